@@ -87,7 +87,7 @@ def _check(value: Any, rule: Any, at: str, errors: list[str], warnings: list[str
                 warnings += w
                 return
             tried += e
-        errors.append(tried[-1])
+        errors.append(tried[-1 if isinstance(value, list | Mapping) else 0])
     elif isinstance(rule, Enum):
         if value not in rule:
             errors.append(f"{at}: {value!r} is not one of {', '.join(map(str, rule))}")
