@@ -6,8 +6,9 @@ the id and a date given as parameter, so equal input gives equal files. Tasks wr
 which sees a row per file, renames them and writes the manifest last.
 
 A payload that several records share is stored once, by the record with the largest id; the others are revisits that refer
-to it. Which that is follows from one aggregate per digest; it is written out and joined back, a plain join that the
-adaptive skew join splits where a third of all pages are one copy. Revisits drop their payload before the sort.
+to it. Which that is follows from one aggregate per digest; it is written out and joined to the records' keys, a plain join
+that the adaptive skew join splits where a third of all pages are one copy, and reaches the writer as a mark before the
+record. Payloads move once, to be sorted.
 
 Defined cases: a null payload is empty; a null id sorts first and is never referred to unless no other has its payload;
 of rows equal in id and payload the one whose url is largest is the response; fully equal rows are written as often as
@@ -72,31 +73,35 @@ def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payloa
     """Writes the archives; payloads of at least least_bytes are stored once. Returns the manifest."""
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     slim = slim.withColumns({"sha": F.sha1("payload"), "length": F.octet_length("payload")})
-    best = slim.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("best"), F.count("*").alias("copies"), F.sum("length").alias("bytes"))
+    keys = slim.select("id", "url", "sha", "length")
+    best = keys.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("best"), F.count("*").alias("copies"), F.sum("length").alias("bytes"))
     best = materialize(best, "warc-digests")
     total = best.agg(F.sum("bytes")).first()[0] or 0
     shared = best.where("copies > 1").select("sha", "best")
-    joined = slim.join(shared, "sha", "left")
-    is_best = F.struct("id", "url").eqNullSafe(F.struct(F.col("best.id").alias("id"), F.col("best.url").alias("url")))
-    double = F.col("best").isNotNull() & (F.col("length") >= least_bytes)
-    marked = joined.select(
-        "id", "url", "sha", "length", double.alias("double"), (double & ~is_best).alias("revisit"), F.col("best.id").alias("refers"),
-        F.when(~(double & ~is_best), F.col("payload")).alias("payload"),
-    )
+    # A mark for each record with a shared payload travels with the records to where they are sorted, and stands before
+    # those that it is about; so payloads are shuffled once.
+    marks = keys.where(F.col("length") >= least_bytes).join(shared, "sha").select("id", "url", "sha", "best").distinct()
+    rows = slim.withColumns({"mark": F.lit(False), "best": F.lit(None).cast(marks.schema["best"].dataType)})
+    both = rows.unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
     by = [F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("sha").asc()]
-    ordered = marked.repartitionByRange(max(1, -(-total // shard_bytes)), *by).sortWithinPartitions(*by)
+    ordered = both.repartitionByRange(max(1, -(-total // shard_bytes)), *by).sortWithinPartitions(*by, F.col("mark").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, out, size, n, last = [], None, 0, 0, None
+        made, out, size, n, marked, best, again = [], None, 0, 0, None, None, False
         name = ""
         try:
             for b in batches:
                 for r in b.to_pylist():
-                    # Equal rows stand side by side: all but the first revisit it.
                     key = (r["id"], r["url"], r["sha"])
-                    again, last = r["double"] and key == last, key
+                    if r["mark"]:
+                        # Equal rows stand side by side: all but the first revisit it.
+                        marked, best, again = key, r["best"], False
+                        continue
+                    double = key == marked
+                    revisit = double and (again or key[:2] != (best["id"], best["url"]))
+                    again = double
                     sha = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    data = _member(record(r["id"], r["url"], (r["payload"] or "").encode(), sha, r["length"], r["refers"], r["revisit"] or again, date))
+                    data = _member(record(r["id"], r["url"], r["payload"].encode(), sha, r["length"], best["id"] if revisit else None, revisit, date))
                     if out is not None and size + len(data) > roll_bytes:
                         out.close()
                         made.append({"name": name, "bytes": size, "records": n})
