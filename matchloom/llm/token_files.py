@@ -5,9 +5,9 @@ documents, counted from the shard's start) and docs (int64 document ids; 0 where
 shards follow each other, and the manifest has each shard's base: the prefix sums of the shards' ids and documents. Tasks
 write under temporary names; the driver, which sees a row per shard, renames them and writes the manifest last.
 
-Texts are encoded by the tokenizers library. The tokenizer never merges across ASCII white space, so each distinct
-stretch between white space is encoded once and remembered in a bounded table (``WORDS``); set ``whole=True`` for
-tokenizers of which that isn't true.
+Texts are encoded by the tokenizers library. The tokenizer drops white space and never merges across it, nor a letter or digit
+with a full stop or comma, so each distinct stretch between white space is encoded once and remembered in a bounded table
+(``WORDS``); set ``whole=True`` for tokenizers of which that isn't true.
 
 Defined cases: a null or blank text has the end id alone; null ids come first (the manifest counts them); equal ids go by
 text; repeated rows are written as often as they occur; an empty table gives a manifest without shards.
@@ -41,23 +41,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.whole = dtype, whole
+        self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4000]
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each stretch, from one call over all of them: blanks part them, and offsets tell whose a token is."""
+        texts = [p.decode() for p in parts]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ids = np.array(found.ids, self.dtype)
+        cuts = [0, *(np.searchsorted(first, ends) * ids.itemsize).tolist()]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, parts: set[bytes]) -> None:
+        """Remembers new stretches. A full stop or comma after a letter or digit is a piece of its own to the tokenizer."""
+        stems = {p: p[:-1] for p in parts if p[-1] in b".," and p[-2:-1].isalnum()}
+        new = list({stems.get(p, p) for p in parts}.union(p[-1:] for p in stems).difference(self.known))
+        if new:
+            self.known.update(zip(new, self._pieces(new), strict=True))
+        for p, stem in stems.items():
+            self.known[p] = self.known[stem] + self.known[p[-1:]]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, as bytes."""
         if self.whole:
             return self._ids([t or "" for t in texts])
         out = []
         for t in texts:
-            parts = (t or "").encode().split()  # at ASCII white space
-            if new := list({*parts}.difference(self.known)):
-                if len(self.known) + len(new) > WORDS:
+            raw = (t or "").encode()
+            # At ASCII white space. The tokenizer ignores case, but for the names of special tokens.
+            parts = (raw if not self.lower or b"<|" in raw else raw.lower()).split()
+            if new := {*parts}.difference(self.known):
+                if len(self.known) + 2 * len(new) > WORDS:
                     self.known = {}
-                    new = list({*parts})
-                self.known.update(zip(new, self._ids([p.decode() for p in new]), strict=True))
+                    new = {*parts}
+                self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, parts)))
         return out
 
