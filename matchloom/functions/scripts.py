@@ -50,9 +50,16 @@ def _class_of(spans: list[list[int]]) -> str:
     return "[" + "".join(rf"\x{{{s:X}}}-\x{{{e:X}}}" for s, e in spans) + "]"
 
 
-def counts(text: Column, ranges: dict[str, list[list[int]]] = RANGES) -> dict[str, Column]:
-    """The number of a text's characters in each class, natively: a character class for each."""
-    found = {k: F.regexp_count(text, F.lit(_class_of(v))).cast("long") for k, v in ranges.items()}
-    known = "[" + "".join(_class_of(v)[1:-1] for v in ranges.values()) + "]"
-    found["unknown"] = F.length(F.regexp_replace(text, known, "")).cast("long")
+def bare(text: Column) -> Column:
+    """What isn't ASCII. Most texts are nearly all ASCII, and the many ranges of the other classes are slow to test."""
+    return F.regexp_replace(text, r"[\x00-\x7F]+", "")
+
+
+def counts(text: Column, other: Column, ranges: dict[str, list[list[int]]] = RANGES) -> dict[str, Column]:
+    """The number of a text's characters in each class, natively. other is bare(text), as a column of its own, so that it is
+    made once."""
+    ascii_only = {k for k, v in ranges.items() if all(e < 128 for _, e in v)}
+    mixed = {k for k, v in ranges.items() if k not in ascii_only and any(s < 128 for s, _ in v)}
+    found = {k: F.regexp_count(text if k in ascii_only | mixed else other, F.lit(_class_of(v))).cast("long") for k, v in ranges.items()}
+    found["unknown"] = F.length(text).cast("long") - sum(found.values(), F.lit(0).cast("long"))
     return found

@@ -128,11 +128,13 @@ class Block:
 
     def lcs_bound(self, a: str) -> np.ndarray:
         """Shared characters, however placed: no LCS is longer."""
-        out = np.zeros(len(self.texts), np.int64)
-        for ch in set(a):
+        counts: dict[int, int] = {}
+        for ch in a:
             if c := self.code.get(ch):
-                out += np.minimum(self.bag[c], a.count(ch))
-        return out
+                counts[c] = counts.get(c, 0) + 1
+        if not counts:
+            return np.zeros(len(self.texts), np.int64)
+        return np.minimum(self.bag[list(counts)], np.fromiter(counts.values(), np.int16, len(counts))[:, None]).sum(0, dtype=np.int64)
 
     def lcs(self, a: str, wanted: np.ndarray) -> np.ndarray:
         """Of a and each wanted string; the others get 0."""

@@ -122,13 +122,27 @@ def exact(
     return _named(out, tiers).drop("__tier")
 
 
+def _blocks(keys: DataFrame, side: str, size: int) -> DataFrame:
+    """Keys (x.s, x.k, …) in blocks of neighbouring lengths and about `size` keys: a band of lengths takes the next ones until it
+    is full, and a length with more keys than that has several parts, dealt by hash. So no block grows with the data.
+    Returns (side_band, side_part, side, side_lo, side_hi), the last two the block's shortest and longest length."""
+    sized = keys.withColumn("len", F.length("x.s"))
+    lengths = sized.groupBy("len").agg(F.count("*").alias("n"))  # a row for each length: few
+    before = F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1))
+    bands = lengths.select("len", F.floor(F.coalesce(before, F.lit(0)) / size).alias("band"), F.ceil(F.col("n") / size).alias("parts"))
+    dealt = sized.join(F.broadcast(bands), "len").withColumn("part", F.pmod(F.xxhash64("x.k"), F.col("parts")))
+    grouped = dealt.groupBy("band", "part").agg(F.collect_list("x").alias(side), F.min("len").alias("lo"), F.max("len").alias("hi"))
+    return grouped.toDF(f"{side}_band", f"{side}_part", side, f"{side}_lo", f"{side}_hi")
+
+
 def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float, best_only: bool = False) -> DataFrame:
     """(a, b, score) of keys that score at least the threshold.
 
-    left and right have distinct keys (k), right with the position of the first row that has it (pos). For scorers whose
-    score a difference in length bounds, a block of one length is joined to the lengths that can reach the threshold: an
-    equality join on length, without recall loss. Other scorers meet all blocks. Pairs never leave the task that
-    scores them unless they reach the threshold; with best_only only the best of each block does.
+    left and right have distinct keys (k), right with the position of the first row that has it (pos). Keys are put in blocks
+    of like length. For scorers whose score a difference in length bounds, only blocks whose lengths can reach the
+    threshold meet, without recall loss; for the others all blocks do. Which meet is decided on the blocks' lengths
+    alone, and the blocks then follow by equality joins. Pairs never leave the task that scores them unless they reach the
+    threshold; with best_only only the best of each block does.
     """
     bound = scorer in similarity.LENGTH_BOUND or scorer not in similarity.SCORERS
     scorer = scorer if scorer in similarity.SCORERS else "token_sort_ratio"
@@ -138,24 +152,14 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
         resort = lambda c: c
     a = left.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k")).alias("x"))
     b = right.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k"), F.col("pos").alias("pos")).alias("x"))
-
-    def blocks(df: DataFrame, side: str) -> DataFrame:
-        sized = df.withColumn("len", F.length("x.s"))
-        per = sized.groupBy("len").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        dealt = sized.join(per, "len").withColumn("part", F.pmod(F.xxhash64("x.k"), F.col("parts")))
-        return dealt.groupBy("len", "part").agg(F.collect_list("x").alias(side)).withColumnRenamed("len", f"{side}_len").drop("part")
-
-    l, r = blocks(a, "a"), blocks(b, "b")
+    a, b = _blocks(a, "a", BLOCK // 2), _blocks(b, "b", 2 * BLOCK)
+    meet = a.select("a_band", "a_part", "a_lo", "a_hi").crossJoin(b.select("b_band", "b_part", "b_lo", "b_hi"))  # of blocks' lengths
     if bound and threshold > 0:
-        # 200 * min(m, n) / (m + n) >= t, for lengths m and n.
-        t = threshold - 1e-4
-        low, high = F.ceil(F.col("a_len") * t / (200 - t)), F.floor(F.col("a_len") * (200 - t) / t)
-        near = l.withColumn("b_len", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))))
-        pairs = near.join(r, "b_len")
-    else:
-        # Blocks, not keys, meet each other here; there are a thousandth as many.
-        pairs = l.crossJoin(r)
-    pairs = pairs.select("a", "b").repartition(F.xxhash64(F.col("a")[0]["k"], F.col("b")[0]["k"]))
+        t = threshold - 1e-4  # 200 * min(m, n) / (m + n) >= t, for lengths m and n
+        meet = meet.where((F.col("b_hi") * (200 - t) >= F.col("a_lo") * t) & (F.col("a_hi") * (200 - t) >= F.col("b_lo") * t))
+    pairs = meet.drop("a_lo", "a_hi", "b_lo", "b_hi").join(a.drop("a_lo", "a_hi"), ["a_band", "a_part"]).join(b.drop("b_lo", "b_hi"), ["b_band", "b_part"])
+    # A block pair is much work on few bytes: they are spread one by one, not merged by size.
+    pairs = pairs.select("a", "b").repartition(max(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +169,14 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
                 out: list[tuple[str, str, float]] = []
                 for x in row["a"]:
                     s = similarity.block_scores(scorer, block, x["s"], threshold)
-                    hit = np.flatnonzero((s >= threshold) if threshold > 0 else np.ones(len(s), bool))
-                    if best_only and len(hit):
-                        top = hit[s[hit] == s[hit].max()]
-                        hit = top[[pos[top].argmin()]]
+                    if best_only:
+                        top = s.max()
+                        if top < threshold:
+                            continue
+                        hit = np.flatnonzero(s == top)
+                        hit = hit[[pos[hit].argmin()]]
+                    else:
+                        hit = np.flatnonzero(s >= threshold) if threshold > 0 else np.arange(len(s))
                     out += [(x["k"], keys[i], float(np.float32(s[i]))) for i in hit]
                 if out:
                     ka, kb, sc = zip(*out, strict=True)

@@ -162,7 +162,8 @@ def unicode_profile(df: DataFrame, name: str, ranges=None) -> DataFrame:
     ranges = ranges or scripts.RANGES
     cells = df.select(strip(F.coalesce(column(name).cast("string"), F.lit(""))).alias("v")).where("v <> ''")
     kinds = [*ranges, "unknown"]
-    found = scripts.counts(F.col("v"), ranges)
+    cells = cells.select("v", scripts.bare(F.col("v")).alias("other"))
+    found = scripts.counts(F.col("v"), F.col("other"), ranges)
     counted = cells.select(*[found[k].alias(k) for k in kinds])
     used = sum((F.when(F.col(k) > 0, 1).otherwise(0) for k in ranges if k not in scripts.COMMON), F.lit(0))
     return counted.agg(
@@ -175,7 +176,8 @@ def unicode_flagged(df: DataFrame, name: str, ranges=None, n: int = FLAGGED) ->
     """The first rows with too many unknown characters or mixed scripts."""
     ranges = ranges or scripts.RANGES
     cells = with_position(df).select(F.col(POS).alias("row"), strip(F.coalesce(column(name).cast("string"), F.lit(""))).alias("v")).where("v <> ''")
-    found = scripts.counts(F.col("v"), ranges)
+    cells = cells.select("row", "v", scripts.bare(F.col("v")).alias("other"))
+    found = scripts.counts(F.col("v"), F.col("other"), ranges)
     used = sum((F.when(found[k] > 0, 1).otherwise(0) for k in ranges if k not in scripts.COMMON), F.lit(0))
     return cells.where((used > 1) | (found["unknown"] / F.length("v") * 100 > scripts.UNKNOWN_PERCENT)).select("row").orderBy("row").limit(n)
 
