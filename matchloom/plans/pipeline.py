@@ -113,6 +113,7 @@ def run(spark: SparkSession, recipe: Mapping[str, Any], base_dir: str = ".", as_
     warnings += more
     groups, more, errors = recipes.read_groups(recipe.get("output") or {}, base_dir)
     warnings += more
+    errors += recipes.missing_filter_fields(recipe, loaded)
     bad, more = recipes.validate_fields(recipe, {n: resolve.public(df) for n, df in loaded.items()}, groups)
     warnings += more
     if errors + bad:

@@ -392,6 +392,15 @@ def validate_fields(recipe: Mapping[str, Any], sources: Mapping[str, DataFrame],
     return errors, warnings
 
 
+def missing_filter_fields(recipe: Mapping[str, Any], sources: Mapping[str, DataFrame]) -> list[str]:
+    """Population filters on columns that their source lacks: such a run can't begin."""
+    return [
+        f"population {name!r} filter: source {p['source']!r} has no column {c['field']!r}"
+        for name, p in populations_of(recipe).items() if p["source"] in sources
+        for c in p.get("filter") or [] if "field" in c and c["field"] not in sources[p["source"]].columns
+    ]
+
+
 # ---- sidecars ----------------------------------------------------------------------------------------------------------
 _LOOKS_AROUND = re.compile(r"\(\?(?:=|!|<=|<!)|\\[1-9]")
 GROUP_KEYS = {"group_name", "regex", "exclude_regex", "values", "match_columns"}

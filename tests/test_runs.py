@@ -194,6 +194,12 @@ def test_small_source_helpers(monkeypatch):
         files.jdbc_options({"driver": "trino", "query": "q", "connection": {"host": "${ML_NONE}"}})
 
 
+def test_a_filter_on_a_missing_column_stops_the_run(spark, folder):
+    bad = RECIPE | {"populations": {"all": {"source": "v", "record_key": "vendor id", "filter": [{"field": "gone", "op": "is_null"}]}}}
+    with pytest.raises(recipes.RecipeError, match="no column 'gone'"):
+        pipeline.run(spark, bad, str(folder))
+
+
 def test_dry_run(spark, folder):
     text, ok = cli.dry_run(spark, folder / "r.yaml", str(folder))
     assert ok and text.endswith("valid")
