@@ -79,13 +79,16 @@ def repeated_words(tokens: Column, window: int) -> Column:
 def measures(text: Column, rules: Rules = Rules()) -> Column:
     """The base figures of a text, as a struct."""
     full = F.coalesce(text, F.lit(""))
-    blank = " \t\n\x0b\f\r"
-    lines = F.filter(F.split(full, "\n"), lambda x: F.length(F.translate(x, blank, "")) > 0)
-    of_words = _let(words(full), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w, rules.window).alias("repeats")))
+    lines = F.filter(F.split(full, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_words = _let(
+        words(full),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w, rules.window).alias("repeats")
+        ),
+    )
     return F.struct(
         of_words.alias("words"),
-        F.length(F.translate(full, blank, "")).cast("long").alias("word_chars"),
-        (F.length(full) - F.length(F.translate(full, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(full, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
 
@@ -116,7 +119,7 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
     """A row per input row: id, body (hash of the text), host, the base figures, n_boilerplate, base_failed, kept."""
     base = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(host_col).alias("host"), measures(F.col(text_col), rules).alias("m")
-    ).select("id", "body", "host", F.col("m.words.n").alias("n_words"), "m.word_chars", "m.n_symbols", "m.n_dup_lines", F.col("m.words.repeats").alias("n_repeat_words"))
+    ).select("id", "body", "host", F.col("m.words.n").alias("n_words"), F.col("m.words.chars").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.words.repeats").alias("n_repeat_words"))
     lines, often = _lines(docs, id_col, text_col, host_col, rules).alias("l"), frequent_lines(docs, id_col, text_col, host_col, rules).alias("o")
     found = lines.join(often, F.col("l.host").eqNullSafe(F.col("o.host")) & (F.col("l.line") == F.col("o.line"))).select("l.id", "l.body", "l.host", "l.place", "l.n")
     cut = (
