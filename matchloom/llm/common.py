@@ -17,8 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else; a null text is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-cases A-Z and nothing else; a null text is empty. In an ASCII text, where the two agree, lower() is faster."""
+    full = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(full) == F.length(full), F.lower(full)).otherwise(F.translate(full, UPPER, LOWER))
 
 
 def terms(text: Column) -> Column:
