@@ -21,6 +21,9 @@ POS = "__pos"
 DST_POS = "__dst_pos"
 #: Keys of a side in a block of the fuzzy join.
 BLOCK = 1024
+#: Destination keys, and their characters in all, up to which they go to every task; beyond, blocks of both sides meet.
+BROADCAST_KEYS = 20_000
+BROADCAST_CHARS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -152,6 +155,9 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
         resort = lambda c: c
     a = left.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k")).alias("x"))
     b = right.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k"), F.col("pos").alias("pos")).alias("x"))
+    size = b.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("x.k")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= BROADCAST_KEYS and size["chars"] <= BROADCAST_CHARS:
+        return _score_few(a, b, scorer, threshold, best_only, bound)
     a, b = _blocks(a, "a", BLOCK // 2), _blocks(b, "b", 2 * BLOCK)
     meet = a.select("a_band", "a_part", "a_lo", "a_hi").crossJoin(b.select("b_band", "b_part", "b_lo", "b_hi"))  # of blocks' lengths
     if bound and threshold > 0:
@@ -164,27 +170,68 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = similarity.Block([x["s"] for x in row["b"]])
-                keys, pos = [x["k"] for x in row["b"]], np.array([x["pos"] for x in row["b"]], np.int64)
-                out: list[tuple[str, str, float]] = []
-                for x in row["a"]:
-                    s = similarity.block_scores(scorer, block, x["s"], threshold)
-                    if best_only:
-                        top = s.max()
-                        if top < threshold:
-                            continue
-                        hit = np.flatnonzero(s == top)
-                        hit = hit[[pos[hit].argmin()]]
-                    else:
-                        hit = np.flatnonzero(s >= threshold) if threshold > 0 else np.arange(len(s))
-                    out += [(x["k"], keys[i], float(np.float32(s[i]))) for i in hit]
-                if out:
-                    ka, kb, sc = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ka), pa.array(kb), pa.array(sc, pa.float64())], ["a", "b", "score"])
+                yield from _hits(row["a"], [_Targets(row["b"])], scorer, threshold, best_only, bound)
 
     return pairs.mapInArrow(run, "a string, b string, score double")
 
 
+class _Targets:
+    """A block of destination keys as a task scores them."""
+
+    def __init__(self, rows: Sequence[Mapping]):
+        self.block = similarity.Block([r["s"] for r in rows])
+        self.keys, self.pos = [r["k"] for r in rows], np.array([r["pos"] for r in rows], np.int64)
+        self.lo, self.hi = int(self.block.lengths.min(initial=0)), int(self.block.lengths.max(initial=0))
+
+
+def _hits(sources: Sequence[Mapping], targets: Sequence[_Targets], scorer: str, threshold: float, best_only: bool, bound: bool) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[str, str, float]] = []
+    t = threshold - 1e-4
+    for x in sources:
+        n, best = len(x["s"]), None
+        for b in targets:
+            if bound and threshold > 0 and (b.hi * (200 - t) < n * t or n * (200 - t) < b.lo * t):
+                continue
+            s = similarity.block_scores(scorer, b.block, x["s"], threshold)
+            if not best_only:
+                hit = np.flatnonzero(s >= threshold) if threshold > 0 else np.arange(len(s))
+                out += [(x["k"], b.keys[i], float(np.float32(s[i]))) for i in hit]
+            elif len(s) and (top := s.max()) >= threshold:
+                hit = np.flatnonzero(s == top)
+                i = hit[b.pos[hit].argmin()]
+                if best is None or (top, -b.pos[i]) > best[:2]:
+                    best = (top, -b.pos[i], b.keys[i])
+        if best:
+            out.append((x["k"], best[2], float(np.float32(best[0]))))
+        if len(out) >= 50_000:
+            yield _batch(out)
+            out = []
+    if out:
+        yield _batch(out)
+
+
+def _batch(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    a, b, score = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score, pa.float64())], ["a", "b", "score"])
+
+
+def _score_few(a: DataFrame, b: DataFrame, scorer: str, threshold: float, best_only: bool, bound: bool) -> DataFrame:
+    """As score_keys, where the destinations are counted to be few: their keys go to every task, and no block is shuffled."""
+    spark = a.sparkSession
+    rows = sorted((r["x"].asDict() for r in b.collect()), key=lambda r: len(r["s"]))
+    sent = spark.sparkContext.broadcast([rows[i : i + 2 * BLOCK] for i in range(0, len(rows), 2 * BLOCK)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets = None
+        for batch in batches:
+            targets = targets or [_Targets(part) for part in sent.value]
+            yield from _hits([x["x"] for x in batch.to_pylist()], targets, scorer, threshold, best_only, bound)
+
+    # Much work on few bytes: keys are spread evenly, not merged by size.
+    spread = a.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spread.mapInArrow(run, "a string, b string, score double")
+
+
 def fuzzy(
     src: DataFrame, dst: DataFrame, src_field: str, dst_field: str, tiers: Sequence[str] = ("raw", "clean"), threshold: float = 80,
     scorer: str = "token_sort_ratio", norm: Norm = Norm(), key: str | None = None, exclude_self: str | None = None,

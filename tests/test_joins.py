@@ -69,9 +69,11 @@ def brute(scorer, threshold, left, right):
 NAMES = ["alpha beta", "beta alpha", "alpha betta", "gamma", "delta epsilon zeta", "delta zeta epsilon", "gama", "", "al", "a" * 70, "a" * 69 + "b", "éta théta"]
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
 @pytest.mark.parametrize("scorer", [*similarity.SCORERS, "unknown"])
 @pytest.mark.parametrize("threshold", [0, 60, 85])
-def test_fuzzy_equals_brute_force(spark, scorer, threshold):
+def test_fuzzy_equals_brute_force(spark, scorer, threshold, few, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", few)
     left = [(f"v{i}", n, i) for i, n in enumerate([*NAMES[::-1], None])]
     right = [(f"d{i}", n, i) for i, n in enumerate([*NAMES, "alpha  beta"])]
     src, dst = spark.createDataFrame(left, f"id string, name string, {POS} long"), spark.createDataFrame(right, f"did string, target string, {POS} long")
@@ -85,8 +87,10 @@ def test_fuzzy_all_matches_and_tiers(sides):
     assert {r for r in got(r, "id", "did") if r[0] == "v4"} == {("v4", "d4")}, "null counts as empty"
 
 
-def test_blocks_split_large_lengths(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_blocks_split_large_lengths(spark, monkeypatch, few):
     monkeypatch.setattr(joins, "BLOCK", 3)
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", few)
     names = [f"name{i:03d}" for i in range(40)]
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "k string, pos long")
     found = {(r["a"], r["b"]) for r in joins.score_keys(df.select("k"), df, "ratio", 85).collect()}
