@@ -55,6 +55,8 @@ LONG = "This is the story of how it was that we came to be in the town by the se
         ("<article><script>if (a<b) { '</p>' }</script><style>p{}</style><!-- <p>no</p> --><p>yes</p><div hidden>no</div></article>", "yes"),
         ("<article><p>one<p>two</article><article>three</article>", "one two three"),
         (f"<div class='cookie-notice'>{LONG}</div><article><p>kept</p><div class='ad'>buy</div></article>", "kept"),
+        (f"<div class='content wide'><p>{LONG}</p><p>*** junk +++ only --- here ***</p><div id='related'>no</div></div><p>{LONG}</p>", f"{LONG} *** junk +++ only --- here ***"),
+        (f"<div id=content><p>{LONG}</p><article><p>inner</p></article></div>", "inner"),
         ("<ARTICLE><P CLASS=lead>Upper</P></ARTICLE></div></div>", "Upper"),
         ("<article><p>a > b & c < d</p></article>", "a > b & c < d"),
     ],

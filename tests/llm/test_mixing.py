@@ -54,3 +54,10 @@ def test_a_hot_source_is_dealt_out(spark):
     out, mix = mixing.assign(df)
     r = out.where("source = 'hot'").selectExpr(f"sum({mix}.copies * {mix}.size) t", f"max({mix}.target) g").first()
     assert abs(r["t"] - r["g"]) <= 50
+
+
+def test_prefix_sums_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 3)
+    rows = [(s, c, p, (s + 2 * c + 3 * p) % 5) for s in range(2) for c in range(4) for p in range(11)]
+    got = {(r["number"], r["cls"], r["part"]): r["base"] for r in mixing.prefix_sums(spark.createDataFrame(rows, "number int, cls long, part long, n long")).collect()}
+    assert got == {(s, c, p): sum(n for s2, c2, p2, n in rows if s2 == s and (c2, p2) < (c, p)) for s, c, p, _ in rows}
