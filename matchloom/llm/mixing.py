@@ -23,8 +23,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 MAX_SOURCES = 1_000_000
-#: Documents of a bucket, about.
+#: A source has a part for so many documents; each part is divided by size classes.
 BUCKET = 2_000
+#: Parts whose counts are summed in one window.
+FAN = 1_000
 #: Size classes double every so many steps.
 CLASSES = 8
 
@@ -54,7 +56,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(source, source_size, target, documents) with a row per source."""
+    """(number, source, source_size, target, documents) with a row per source."""
     per = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size_of(F.col(text_col))).alias("source_size"), F.count("*").alias("n"))
     rows = per.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -62,7 +64,8 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source") ->
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     got = targets([r["source_size"] for r in rows])
     return docs.sparkSession.createDataFrame(
-        [(r["source"], r["source_size"], t, r["n"]) for r, t in zip(rows, got, strict=True)], "source string, source_size long, target double, documents long"
+        [(i, r["source"], r["source_size"], t, r["n"]) for i, (r, t) in enumerate(zip(rows, got, strict=True))],
+        "number int, source string, source_size long, target double, documents long",
     )
 
 
@@ -80,26 +83,24 @@ def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source
     marked = docs.withColumn(key, F.struct(size_of(q(text_col)).alias("size"), _unit(name, F.lit("mix")).alias("u"), q(source_col).cast("string").alias("source"))).alias("d")
     # The table of sources has at most MAX_SOURCES rows, which plan() has checked.
     joined = marked.join(F.broadcast(sources), F.col(f"d.`{key}`.source").eqNullSafe(F.col("s.source")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("documents") / (BUCKET * CLASSES)))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("documents") / BUCKET))
     cls = F.floor(F.log2(q(key)["size"] + 1.0) * CLASSES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     dealt = joined.select(
         *[F.col(f"d.`{c}`") for c in docs.columns],
         q(key),
-        F.struct(cls.alias("cls"), F.floor(q(key)["u"] * parts).alias("part")).alias(bucket),
+        F.struct(F.col("number"), cls.alias("cls"), F.floor(q(key)["u"] * parts).alias("part")).alias(bucket),
         F.struct(F.col("source_size"), F.col("target"), rate.alias("rate")).alias(mix),
     )
-    group = [q(key)["source"], q(bucket)["cls"], q(bucket)["part"]]
+    group = ["number", "cls", "part"]
     # Only three columns of the documents are read here; the text only for its size.
-    counts = dealt.groupBy(group[0].alias("source"), group[1].alias("cls"), group[2].alias("part")).agg(F.count("*").alias("n"))
-    counts = materialize(counts, "mix-counts")
-    before = Window.partitionBy("source").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "mix-bases").alias("b")
-    inside = Window.partitionBy(*group).orderBy(q(key)["size"], q(key)["u"], q(id_col), F.xxhash64(q(text_col)))
+    counts = dealt.groupBy(*[q(bucket)[g].alias(g) for g in group]).agg(F.count("*").alias("n"))
+    bases = materialize(prefix_sums(materialize(counts, "mix-counts")), "mix-bases").alias("b")
+    inside = Window.partitionBy(*[q(bucket)[g] for g in group]).orderBy(q(key)["size"], q(key)["u"], q(id_col), F.xxhash64(q(text_col)))
     placed = dealt.withColumn(place, F.row_number().over(inside)).alias("p")
     at = lambda c: F.col(f"p.`{c}`")
     # Counts of buckets: far fewer than documents; joined by shuffle unless Spark finds them small.
-    same = at(key)["source"].eqNullSafe(F.col("b.source")) & (at(bucket)["cls"] == F.col("b.cls")) & (at(bucket)["part"] == F.col("b.part"))
+    same = (at(bucket)["number"] == F.col("b.number")) & (at(bucket)["cls"] == F.col("b.cls")) & (at(bucket)["part"] == F.col("b.part"))
     offset = _unit(F.coalesce(at(key)["source"], F.lit("")), F.lit("offset"))
     rank = F.col("b.base") + at(place)
     copies = F.floor(rank * at(mix)["rate"] + offset) - F.floor((rank - 1) * at(mix)["rate"] + offset)
@@ -110,6 +111,25 @@ def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source
     return out, mix
 
 
+def prefix_sums(counts: DataFrame) -> DataFrame:
+    """(number, cls, part, base): base is the documents of the source in earlier classes, or in earlier parts of the class.
+
+    In three levels, so that no window grows with a source: within FAN parts, over such groups within a class, and over the
+    classes of a source. Each level's sums are made with partial aggregation.
+    """
+    counts = counts.withColumn("hi", F.floor(F.col("part") / FAN))
+
+    def level(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+    parts = level(counts, ["number", "cls", "hi"], "part", "base1")
+    groups = level(counts.groupBy("number", "cls", "hi").agg(F.sum("n").alias("n")), ["number", "cls"], "hi", "base2").drop("n")
+    classes = level(counts.groupBy("number", "cls").agg(F.sum("n").alias("n")), ["number"], "cls", "base3").drop("n")
+    both = parts.join(groups, ["number", "cls", "hi"]).join(classes, ["number", "cls"])
+    return both.select("number", "cls", "part", (F.col("base1") + F.col("base2") + F.col("base3")).alias("base"))
+
+
 def emit(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """The mix: each row as many times as it has copies, with its columns."""
     out, mix = assign(docs, id_col, text_col, source_col)

@@ -70,7 +70,7 @@ t AS (
 ),
 k AS (
   SELECT d.doc_id, d.source, size, source_size, target, u, floor(log2(size + 1.0) * 8) AS cls,
-    floor(u * greatest(1, ceil(n / 16000.0))) AS part
+    floor(u * greatest(1, ceil(n / 2000.0))) AS part
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ),
 p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, u, doc_id) AS place,
