@@ -2,9 +2,9 @@
 
 A probe is a window of consecutive words of a benchmark item. The corpus is indexed by position, (term, document, place),
 for the terms that probes look up: of each window the few that are rarest in the corpus, by counts over all documents.
-Lists are intersected from the rarest term on, each shifted by the term's offset in the window, so all that is left is
-starts at which every looked-up term stands right. Those starts are then held against the whole window. Postings of
-terms that no probe looks up are never read, so they aren't stored.
+Their lists are intersected, each shifted by the term's place in the item, so all that is left is starts at which every
+looked-up term stands right. Those starts are then held against the whole window. Postings of terms that no probe looks up
+are never read, so they aren't stored.
 
 The terms and windows of the benchmark are broadcast when they are counted to be few and joined by shuffle beyond that.
 
@@ -29,21 +29,19 @@ LISTS = 3
 BROADCAST_ROWS = 200_000
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(window, item, words): distinct windows, each of an item, numbered by a hash of item and words."""
-    w = items.select(F.col(id_col).cast("string").alias("item"), terms(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
-    cut = w.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(size)).alias("words"))
-    return cut.distinct().select(F.xxhash64("item", "words").alias("window"), "item", "words")
+def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(key, item, w): distinct items that have words; key is a hash of id and words."""
+    w = items.select(F.col(id_col).cast("string").alias("item"), terms(F.col(text_col)).alias("w")).where(F.size("w") > 0).distinct()
+    return w.select(F.xxhash64("item", "w").alias("key"), "item", "w")
 
 
 @dataclass
 class Index:
-    """Postings (term, id, body, place, n_words) in the shared folder, and what was looked up to build them."""
+    """Postings (term, id, body, place) in the shared folder, and what they are looked up by."""
 
     postings: DataFrame
-    probes: DataFrame  # window, offset, rank (1 the rarest)
-    windows: DataFrame  # window, item, words, lists
+    probes: DataFrame  # key, q (the term's place in the item), term
+    windows: DataFrame  # key, item, first (place in the item), words, lists (the places in the item that are looked up)
 
     def drop(self) -> None:
         for t in (self.postings, self.probes, self.windows):
@@ -58,42 +56,56 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW, lists: int = LISTS) -> Index:
-    w = materialize(windows(items, item_id, item_text, size), "probe-windows")
-    vocabulary = w.select(F.explode("words").alias("term")).distinct()
+    known = materialize(item_words(items, item_id, item_text), "items")
+    places = known.select("key", F.posexplode("w").alias("q", "term"))
+    vocabulary = places.select("term").distinct()
     counts = _tokens(docs, id_col, text_col).select("term").join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").count()
     counts = materialize(counts, "term-counts")
-    at = w.select("window", F.size("words").alias("len"), F.posexplode("words").alias("offset", "term")).join(small(counts, BROADCAST_ROWS), "term", "left")
-    ranked = at.groupBy("window", "len").agg(
-        F.max(F.col("count").isNull()).alias("missing"), F.array_sort(F.collect_list(F.struct("count", "offset", "term"))).alias("all")  # at most `size`
+    counted = places.join(small(counts, BROADCAST_ROWS), "term", "left").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("q", "count"))).alias("at")  # an item's own words
     )
-    picked = ranked.where(~F.col("missing")).select("window", F.posexplode(F.slice("all", 1, lists)).alias("rank", "x"))
-    probes = materialize(picked.select("window", (F.col("rank") + 1).alias("rank"), "x.offset", "x.term"), "probes")
+    cut = known.join(counted, "key").withColumn("first", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size))))
+    own = F.slice("at", F.col("first") + 1, F.lit(size))
+    ranked = F.array_sort(F.transform(own, lambda x: F.struct(x["count"].alias("n"), x["q"].alias("q"))))
+    windows = cut.select(
+        "key", "item", "first", F.slice("w", F.col("first") + 1, F.lit(size)).alias("words"),
+        F.exists(own, lambda x: x["count"].isNull()).alias("missing"), F.transform(F.slice(ranked, 1, lists), lambda x: x["q"]).alias("lists"),
+    )
+    windows = materialize(windows.where(~F.col("missing")).drop("missing"), "probe-windows")
+    wanted = windows.select("key", F.explode("lists").alias("q")).distinct()
+    probes = materialize(wanted.join(places, ["key", "q"]), "probes")
+    postings = materialize(_tokens(docs, id_col, text_col).join(small(probes.select("term").distinct(), BROADCAST_ROWS), "term"), "postings")
     drop(counts)
-    looked_up = probes.select("term").distinct()
-    postings = materialize(_tokens(docs, id_col, text_col).join(small(looked_up, BROADCAST_ROWS), "term"), "postings")
-    used = probes.groupBy("window").agg(F.max("rank").alias("lists"))
-    kept = materialize(w.join(used, "window"), "probe-windows")
-    drop(w)
-    return Index(postings, probes, kept)
-
-
-def _listed(index: Index) -> DataFrame:
-    return index.postings.join(small(index.probes, BROADCAST_ROWS), "term")
+    drop(known)
+    return Index(postings, probes, windows)
 
 
 def candidates(index: Index) -> DataFrame:
-    """(window, id, body, start) at which all looked-up terms of the window stand at their offsets."""
-    shifted = _listed(index).select("window", "id", "body", (F.col("place") - F.col("offset")).alias("start"), "rank").where("start >= 0")
-    bits = F.bit_or(F.expr("shiftleft(1, rank - 1)"))
-    met = shifted.groupBy("window", "id", "body", "start").agg(bits.alias("bits")).select("window", "id", "body", "start", F.bit_count("bits").alias("met"))
-    w = small(index.windows.select("window", "lists"), BROADCAST_ROWS)
-    return met.join(w, "window").where(F.col("met") == F.col("lists")).select("window", "id", "body", "start")
+    """(id, body, start, item, words): starts at which all looked-up terms of a window stand at their places.
+
+    A posting less the term's place in the item is where the item would begin; postings that agree on that meet in one
+    group, with the places they came from as bits (modulo 64, so that beyond 64 words bits may coincide and let more
+    through to the comparison of whole windows, never less). A group with fewer places than any window of the item looks
+    up ends there; else the windows whose bits are all set are candidates.
+    """
+    bit = lambda q: F.expr(f"shiftleft(1L, {q} % 64)")
+    mask = F.aggregate("lists", F.lit(0).cast("long"), lambda acc, q: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), q % 64)))
+    w = index.windows.withColumns({"mask": mask, "n": F.size("lists")})
+    least = w.groupBy("key").agg(F.min("n").alias("least"))
+    met = (
+        index.postings.join(small(index.probes, BROADCAST_ROWS), "term")
+        .select("key", "id", "body", (F.col("place") - F.col("q")).alias("begin"), bit("q").alias("bit"))
+        .groupBy("key", "id", "body", "begin").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("met"))
+    )
+    met = met.join(small(least, BROADCAST_ROWS), "key").where(F.col("met") >= F.col("least"))
+    found = met.join(small(w.select("key", "item", "first", "words", "mask"), BROADCAST_ROWS), "key")
+    hit = found.where((F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")) & (F.col("begin") + F.col("first") >= 0))
+    return hit.select("id", "body", (F.col("begin") + F.col("first")).alias("start"), "item", "words")
 
 
 def occurrences(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, body, item, start, n): exact places of whole windows, by document id and text."""
-    full = candidates(index).join(small(index.windows.select("window", "item", "words"), BROADCAST_ROWS), "window")
-    where = full.groupBy("id", "body").agg(F.collect_set(F.struct("start", "words", "item")).alias("all"))  # no more than the text has places
+    where = candidates(index).groupBy("id", "body").agg(F.collect_set(F.struct("start", "words", "item")).alias("all"))  # no more than the text has places
     where = materialize(where, "starts").alias("c")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), text.alias("text")).alias("d")
@@ -131,18 +143,19 @@ def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
 
 
 def proximity_matches(index: Index, slack: int) -> DataFrame:
-    """(window, item, id, body, place): windows whose looked-up terms all stand, in any order, within the window's length
-    plus slack. place is the first such term's. Places are dealt to cells as long as the span and entered in the cell
-    before too, so every such group lies whole in one cell; a cell is no longer than two spans, whatever the text."""
-    w = small(index.windows.select("window", "item", "lists", (F.size("words") + slack).alias("span")), BROADCAST_ROWS)
-    rows = _listed(index).select("window", "id", "body", "place", "rank").join(w, "window")
+    """(item, first, id, body, place): windows whose looked-up terms all stand, in any order, within the window's length plus
+    slack; place is that of the first of them. Places are dealt to cells as long as that span and entered in the cell before
+    too, so every such group lies whole in one cell; a cell is no longer than two spans, whatever the text."""
+    w = index.windows.withColumn("span", F.size("words") + slack).withColumn("n", F.size("lists"))
+    listed = w.select("key", "item", "first", "span", "n", F.explode("lists").alias("q")).join(index.probes, ["key", "q"])
+    rows = index.postings.join(small(listed, BROADCAST_ROWS), "term")
     cell = F.floor(F.col("place") / F.col("span"))
     dealt = rows.withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    # From each first place, the span ahead must hold all ranks.
-    cells = dealt.groupBy("window", "item", "lists", "span", "id", "body", "cell").agg(F.collect_set(F.struct("place", "rank")).alias("at"))
-    starts = cells.withColumn("first", F.explode("at")).withColumn("place", F.col("first.place"))
-    seen = F.expr("size(array_distinct(transform(filter(at, x -> x.place >= place and x.place < place + span), x -> x.rank)))")
-    return starts.where(seen == F.col("lists")).select("window", "item", "id", "body", "place").distinct()
+    cells = dealt.groupBy("key", "item", "first", "span", "n", "id", "body", "cell").agg(F.collect_set(F.struct("place", "q")).alias("at"))
+    # From each place on, the span ahead must hold all terms.
+    starts = cells.withColumn("begin", F.explode("at")).withColumn("place", F.col("begin.place"))
+    seen = F.expr("size(array_distinct(transform(filter(at, x -> x.place >= place and x.place < place + span), x -> x.q)))")
+    return starts.where(seen == F.col("n")).select("item", "first", "id", "body", "place").distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW) -> DataFrame:
