@@ -19,7 +19,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +39,8 @@ MARKS = set(
     "disqus dropdown footer footnav gdpr header menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
     "reader-comments recommended related reply replies respond rss share sharing sidebar sidebars signup social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
+#: Class or id words of elements that hold the main text, where a page has no article or main element.
+CONTENT = set("article articlebody article-body article-content content content-body entry entry-content main maincontent main-content post post-body post-content story story-body".split())
 #: Frequent function words of the languages told apart.
 STOP = set(
     "a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its more no not of on one only or other she so than that the their them then there these they this to up was we were what when which who will with would you your "
@@ -65,7 +67,7 @@ class Block:
     text: str
     linked: int
     bad: bool
-    main: bool
+    main: int  # 2 inside an article or main element, 1 inside one whose class or id says so, else 0
     heading: bool
 
 
@@ -82,12 +84,21 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def _holds_content(attributes: str) -> bool:
+    """Whether class, id or role say that an element holds the main text."""
+    for m in _ATTR.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "role" and value in ("main", "article") or name in ("class", "id") and not CONTENT.isdisjoint(re.split(r"[\s_]+", value)):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = [0]
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, hidden, boilerplate, main
-    state = (False, False, False)
+    stack: list[tuple[str, bool, bool, int]] = []  # element, hidden, boilerplate, main
+    state = (False, False, 0)
 
     def flush(heading: bool = False) -> None:
         text = " ".join("".join(parts).split())
@@ -125,7 +136,7 @@ def blocks(page: str) -> list[Block]:
             # An end tag closes what is open inside it, but inline ones never close blocks around them.
             if depth >= 0 and (name in BLOCK or name in HIDDEN or not any(s[0] in BLOCK for s in stack[depth + 1 :])):
                 del stack[depth:]
-                state = stack[-1][1:] if stack else (False, False, False)
+                state = stack[-1][1:] if stack else (False, False, 0)
             continue
         if name in BLOCK:
             flush()
@@ -141,8 +152,8 @@ def blocks(page: str) -> list[Block]:
             links += 1
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()  # paragraphs don't nest
-        hidden, boiler, main = stack[-1][1:] if stack else (False, False, False)
-        inside = name in MAIN or main
+        hidden, boiler, main = stack[-1][1:] if stack else (False, False, 0)
+        inside = 2 if name in MAIN else max(main, 1 if m[3] and name in BLOCK and name != "body" and _holds_content(m[3]) else 0)
         # A header inside an article introduces it; anywhere else it is the page's.
         boiler = boiler or (name in BOILERPLATE and not (name == "header" and main)) or (bool(m[3]) and name not in ("body", "html", *MAIN) and _marked(m[3]))
         stack.append((name, hidden or name in HIDDEN, boiler, inside))
@@ -206,9 +217,12 @@ def classify(found: list[Block], s: Settings = Settings()) -> list[bool]:
 
 def main_text(page: str | None, s: Settings = Settings()) -> str:
     found = blocks(page or "")
+    if level := max((b.main for b in found if not b.bad), default=0):
+        # Only the surest evidence of the page counts: an article beats a wrapper named content around it.
+        found = [replace(b, main=level * (b.main == level)) for b in found]
     chosen = classify(found, s)
     if any(b.main and c for b, c in zip(found, chosen, strict=True)):
-        chosen = [c and b.main for b, c in zip(found, chosen, strict=True)]  # an article is the main text alone
+        chosen = [c and bool(b.main) for b, c in zip(found, chosen, strict=True)]  # an article is the main text alone
     return " ".join(b.text for b, c in zip(found, chosen, strict=True) if c)
 
 
