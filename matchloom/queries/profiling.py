@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scripts
 from ..operators import profile
 from ..operators.joins import POS
+from ..sources.files import spread
 from .base import Query, chars, ratio_sql, read
 
 QUERIES: dict[str, Query] = {}
@@ -24,7 +25,7 @@ def register(sql: str | None):
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").select("doc_id", "text", "lang", F.col("doc_id").alias(POS))
+    return spread(read(spark, d, "documents").select("doc_id", "text", "lang", F.col("doc_id").alias(POS)))
 
 
 def _toks(spark, d, tier="clean"):

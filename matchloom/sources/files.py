@@ -36,6 +36,18 @@ def interpolate(value: Any) -> Any:
     return [interpolate(v) for v in value] if isinstance(value, list) else value
 
 
+#: Bytes that are worth a task of their own.
+TASK_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer splits than there are cores (a small file in one row group) is dealt out to them, as far as its size
+    is worth it. A large table has more splits than that and stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    want = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.repartition(want) if df._jdf.rdd().getNumPartitions() < want else df
+
+
 def strings(df: DataFrame) -> DataFrame:
     return df.select(*[column(c).cast("string").alias(c) for c in df.columns])
 
