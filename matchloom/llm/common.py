@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 #: Separators of "terms": anything but ASCII digits, ASCII letters in lower case and non-ASCII characters.
 TERM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Separators of "words": ASCII white space.
@@ -31,7 +33,7 @@ def words(text: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -73,6 +75,11 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shards(spark: SparkSession, total: int, size: int, least: int = 1 << 20) -> int:
+    """Files for so many bytes: of that size, or smaller ones where they would leave cores without work."""
+    return max(1, -(-total // size), min(spark.sparkContext.defaultParallelism, total // least))
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Marks the frame for broadcast if it is counted to hold no more rows than that; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

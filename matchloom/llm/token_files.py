@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .common import new_dir
+from .common import new_dir, shards
 
 #: Stretches that a Python worker remembers.
 WORDS = 1_000_000
@@ -101,7 +101,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
     dtype = "<u2" if max(vocabulary - 1, end_id or 0) < 1 << 16 else "<u4"
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    parts = shards(docs.sparkSession, total, shard_bytes)
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     width = np.dtype(dtype).itemsize
 
@@ -125,16 +125,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
         if docs_n:
             yield pa.RecordBatch.from_pylist([{"name": name, "first": first, "docs": docs_n, "nulls": nulls, "ids": ids_n}], schema=pa.schema([("name", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("nulls", pa.int64()), ("ids", pa.int64())]))
 
-    ordered = slim.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = slim.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     rows = ordered.mapInArrow(run, "name string, first long, docs long, nulls long, ids long").withColumn("part", F.spark_partition_id()).collect()  # one per shard
     rows.sort(key=lambda r: r["part"])
-    names, parts, base, doc_base = [], [], 0, 0
+    names, made_of, base, doc_base = [], [], 0, 0
     for i, r in enumerate(rows):
         shard = f"shard-{i:06d}"
         names += [(f"{r['name']}.{k}", f"{shard}.{k}") for k in ("ids", "offsets", "docs")]
-        parts.append({"shard": shard, "docs": r["docs"], "nulls": r["nulls"], "ids": r["ids"], "base": base, "doc_base": doc_base})
+        made_of.append({"shard": shard, "docs": r["docs"], "nulls": r["nulls"], "ids": r["ids"], "base": base, "doc_base": doc_base})
         base, doc_base = base + r["ids"], doc_base + r["docs"]
-    made = {"dtype": dtype, "ids": base, "docs": doc_base, "end_id": end_id, "shards": parts}
+    made = {"dtype": dtype, "ids": base, "docs": doc_base, "end_id": end_id, "shards": made_of}
     store.commit(folder, names, made)
     return made
 
@@ -144,7 +144,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     made = store.manifest(folder)
     dtype = made["dtype"]
     schema = "shard string, base long, nulls long"
-    shards = spark.createDataFrame([(s["shard"], s["base"], s["nulls"]) for s in made["shards"]], schema)
+    listed = spark.createDataFrame([(s["shard"], s["base"], s["nulls"]) for s in made["shards"]], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +165,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return shards.repartition(max(1, len(made["shards"]))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(max(1, len(made["shards"]))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens(folder: str, document: int) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .common import materialize, new_dir
+from .common import materialize, new_dir, shards
 
 ROLL_BYTES = 1 << 30
 #: Payload bytes of a shard, about.
@@ -84,7 +84,7 @@ def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payloa
     rows = slim.withColumns({"mark": F.lit(False), "best": F.lit(None).cast(marks.schema["best"].dataType)})
     both = rows.unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
     by = [F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("sha").asc()]
-    ordered = both.repartitionByRange(max(1, -(-total // shard_bytes)), *by).sortWithinPartitions(*by, F.col("mark").desc())
+    ordered = both.repartitionByRange(shards(pages.sparkSession, total, shard_bytes), *by).sortWithinPartitions(*by, F.col("mark").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, out, size, n, marked, best, again = [], None, 0, 0, None, None, False
