@@ -30,25 +30,30 @@ def decision_record(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
     """The first, least or greatest of the candidates that have a value, and which it is. Of equal ones, and where none is a
     number, the first listed wins."""
     names, how, prefix = list(cfg["candidates"]), cfg.get("select", "first"), cfg.get("strip_prefix", "alpha")
-    values = [_present(df, n) for n in names]
-    first = F.coalesce(*[F.when(v.isNotNull(), F.lit(i)) for i, v in enumerate(values)])
+    # Each part is a column of its own first, so that it is computed once and the generated code stays small.
+    made = df.withColumns({f"__v{i}": _present(df, n) for i, n in enumerate(names)})
+    first = F.coalesce(*[F.when(F.col(f"__v{i}").isNotNull(), F.lit(i)) for i in range(len(names))])
     at = first
     if how in ("min", "max"):
-        keys = [F.when(v.isNotNull(), _parsed(df, n, prefix)[1]) for n, v in zip(names, values, strict=True)]
+        made = made.withColumns({f"__k{i}": _parsed(df, n, prefix)[1] for i, n in enumerate(names)})
         fold = F.least if how == "min" else F.greatest
-        extreme = fold(*keys, F.lit(None).cast("double"))
-        at = F.coalesce(*[F.when(k == extreme, F.lit(i)) for i, k in enumerate(keys)], first)
-    pick = lambda items: reduce(lambda rest, x: F.when(at == x[0], x[1]).otherwise(rest), reversed(list(enumerate(items))), F.lit(None).cast("string"))
-    return df.withColumns({cfg["write_to"]: pick(values), f"{cfg['write_to']}_src": pick([F.lit(n) for n in names])})
+        made = made.withColumn("__extreme", fold(*[F.col(f"__k{i}") for i in range(len(names))], F.lit(None).cast("double")))
+        at = F.coalesce(*[F.when(F.col(f"__k{i}") == F.col("__extreme"), F.lit(i)) for i in range(len(names))], first)
+    made = made.withColumn("__at", at)
+    pick = lambda items: reduce(lambda rest, x: F.when(F.col("__at") == x[0], x[1]).otherwise(rest), reversed(list(enumerate(items))), F.lit(None).cast("string"))
+    out = made.withColumns({cfg["write_to"]: pick([F.col(f"__v{i}") for i in range(len(names))]), f"{cfg['write_to']}_src": pick([F.lit(n) for n in names])})
+    return out.drop("__at", "__extreme", *[f"__{c}{i}" for c in "vk" for i in range(len(names))])
 
 
 def compare(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
     """higher, lower or same: as numbers if both are, else as text; null if either is blank."""
     prefix = cfg.get("strip_prefix", "alpha")
     (a, x), (b, y) = _parsed(df, cfg["left"], prefix), _parsed(df, cfg["right"], prefix)
-    verdict = lambda p, q: F.when(p > q, "higher").when(p < q, "lower").otherwise("same")
-    out = F.when(a.isNotNull() & b.isNotNull(), F.when(x.isNotNull() & y.isNotNull(), verdict(x, y)).otherwise(verdict(a, b)))
-    return df.withColumn(cfg["output"], out)
+    made = df.withColumns({"__a": a, "__x": x, "__b": b, "__y": y})  # each computed once
+    verdict = lambda p, q: F.when(F.col(p) > F.col(q), "higher").when(F.col(p) < F.col(q), "lower").otherwise("same")
+    numbers = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    out = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.when(numbers, verdict("__x", "__y")).otherwise(verdict("__a", "__b")))
+    return made.withColumn(cfg["output"], out).drop("__a", "__x", "__b", "__y")
 
 
 def group_hit(df: DataFrame, group: Mapping[str, Any]) -> Column:
