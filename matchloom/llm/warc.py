@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are range-sorted by id; each task writes one run of gzip members (one per record, without a time stamp) and rolls
+Records are range-sorted by id (those of one id by a hash of the url, the url and the digest); each task writes one run of gzip members (one per record, without a time stamp) and rolls
 to a new file when the compressed size is reached. Lengths, digests, record ids and dates are made anew from the payload,
 the id and a date given as parameter, so equal input gives equal files. Tasks write under temporary names; the driver,
 which sees a row per file, renames them and writes the manifest last.
@@ -83,8 +83,12 @@ def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payloa
     marks = keys.where(F.col("length") >= least_bytes).join(shared, "sha").select("id", "url", "sha", "best").distinct()
     rows = slim.withColumns({"mark": F.lit(False), "best": F.lit(None).cast(marks.schema["best"].dataType)})
     both = rows.unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
-    by = [F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("sha").asc()]
-    ordered = both.repartitionByRange(shards(pages.sparkSession, total, shard_bytes), *by).sortWithinPartitions(*by, F.col("mark").desc())
+    # Ranges are told by id and a hash of the url: many records of one id still spread, and the samples that Spark takes to
+    # the driver to find the ranges stay small.
+    both = both.withColumn("spot", F.xxhash64("url"))
+    by = [F.col("id").asc_nulls_first(), F.col("spot").asc()]
+    ranged = both.repartitionByRange(shards(pages.sparkSession, total, shard_bytes), *by)
+    ordered = ranged.sortWithinPartitions(*by, F.col("url").asc_nulls_first(), F.col("sha").asc(), F.col("mark").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, out, size, n, marked, best, again = [], None, 0, 0, None, None, False
