@@ -89,7 +89,7 @@ def test_contraction_of_a_long_chain(spark):
 def test_one_document_stays(spark, edge):
     kept = simhash.one_per_component(edge)
     assert kept.columns == edge.columns
-    rows = [r["doc_id"] for r in kept.collect()]
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert len(rows) == len(set(rows)), "of equal ids with unlike texts each component keeps its own"
     assert kept.count() == len({r["root"] for r in simhash.components(edge).collect()})
 
