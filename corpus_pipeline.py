@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, mixing, quality, simhash, token_files
+from matchloom.llm import decontaminate, mixing, near_copies, quality, token_files
 from matchloom.llm.common import load, materialize
 from matchloom.llm.registry import tokenizer_path
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash links stays."""
-    return simhash.one_per_component(docs)
+    """One document of each component of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays."""
+    return near_copies.one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,13 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("mixing", mix),
     ("token output", token_output),
 ]
 
-#: SQL has no XXH64 of the second stage and no tokenizer of the last; the tests hold run() against brute force.
+#: SQL has no MinHash of the second stage and no tokenizer of the last; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 

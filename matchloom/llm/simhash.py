@@ -148,8 +148,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of every component, all its columns kept; rows equal in id go by a hash of the text."""
+    return first_of_each(docs, components(docs, id_col, text_col), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same for components found before: a row per document with id, body, root and component_id."""
     body = fresh(docs, "body_hash")
-    found = components(docs, id_col, text_col)
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("body").alias("body"), F.min("id").alias("id"))
     first = materialize(first, "simhash-first").alias("f")
     marked = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
