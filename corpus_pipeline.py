@@ -14,8 +14,8 @@ from matchloom.llm.registry import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep(docs)
+    """Documents that the quality rules reject go; lines of any length can be boilerplate."""
+    return quality.keep(docs, rules=quality.EVERY_LINE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

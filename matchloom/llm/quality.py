@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
 Lines are normalised (case, digits, inner white space) and hashed; for each host the distinct documents that hold a
-line are counted. Short lines held by more documents than the limit are boilerplate: they are removed, and a document
+line are counted. Lines held by more documents than the limit are boilerplate: they are removed, and a document
 that keeps too little is rejected. Identical texts count as one document, so mass copies of one text don't make its own
-lines boilerplate; long lines are passages, which deduplication handles, and never boilerplate.
+lines boilerplate. The query's SQL counts lines of 20 words or fewer; with ``EVERY_LINE`` there is no such bound.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; repeated
 rows each get the same verdict; an empty table gives an empty result; other columns are ignored by ``judge`` and carried
@@ -27,12 +27,15 @@ class Rules:
     window: int = 5
     #: A line is boilerplate in a host if more distinct documents than this hold it, ...
     max_line_documents: int = 20
-    #: ... and it has no more words than this.
-    max_line_words: int = 20
+    #: ... and it has no more words than this; None: whatever its length.
+    max_line_words: int | None = 20
     #: A document is depleted if fewer words than min_words, or a smaller share than this, are left.
     min_left_percent: int = 30
 
 
+EVERY_LINE = Rules(max_line_words=None)
+
+
 def _let(value: Column, body) -> Column:
     """Evaluates value once per row and hands it to body."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -94,16 +97,17 @@ def measures(text: Column, rules: Rules = Rules()) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, rules: Rules) -> DataFrame:
-    """A row per short line with a word: its document's key, its place, its hash and its words."""
+    """A row per line with a word, within the limit if there is one: its document's key, its place, its hash and its words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = F.lower(F.regexp_replace(text, "[0-9]+", "0"))
     # In two steps: the hash is taken once for a document, not once for a line.
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.col(host_col).alias("host"), F.split(plain, "\n").alias("lines"))
     rows = whole.select("id", "body", "host", F.posexplode("lines").alias("place", "text"))
     tokens = F.array_remove(F.split("text", WORD_GAP), "")
+    in_limit = F.lit(True) if rules.max_line_words is None else F.size("tokens") <= rules.max_line_words
     return (
         rows.select("id", "body", "host", "place", tokens.alias("tokens"))
-        .where((F.size("tokens") > 0) & (F.size("tokens") <= rules.max_line_words))
+        .where((F.size("tokens") > 0) & in_limit)
         .select("id", "body", "host", "place", F.xxhash64(F.concat_ws(" ", "tokens")).alias("line"), F.size("tokens").alias("n"))
     )
 

@@ -76,3 +76,13 @@ def test_token_stage(stages):
 
 def test_run_equals_its_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[-1][1].collect()))
+
+
+def test_quality_stage_counts_lines_of_any_length(spark):
+    text = lambda tag, n: " ".join(f"{tag}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n))
+    own = lambda i: text("own" + chr(97 + i), 12)
+    notice, passage = text("notice", 25), text("passage", 60)
+    rows = [(i, f"{notice}\n{passage}\n{own(i)}", "en", "h") for i in range(21)]
+    rows += [(100 + i, f"{text('copy', 60)}\n{text('more', 12)}", "en", "h") for i in range(40)] + [(200, f"{notice}\n{own(24)}", "en", "other")]
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(100, 140), 200]
