@@ -7,6 +7,7 @@ works on all rows that the one before it kept, and all but the last return the c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchloom.llm import decontaminate, mixing, near_copies, quality, token_files
 from matchloom.llm.common import load, materialize
@@ -14,8 +15,12 @@ from matchloom.llm.registry import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; lines of any length can be boilerplate."""
-    return quality.keep(docs, rules=quality.EVERY_LINE)
+    """Documents that the quality rules reject go, and so do boilerplate lines, of any length, of all others."""
+    kept = quality.keep(docs, rules=quality.EVERY_LINE)
+    if "n_chars" not in kept.columns:
+        return kept
+    n = F.length("text").cast(kept.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", F.coalesce(n, F.col("n_chars")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
 Lines are normalised (case, digits, inner white space) and hashed; for each host the distinct documents that hold a
-line are counted. Lines held by more documents than the limit are boilerplate: they are removed, and a document
-that keeps too little is rejected. Identical texts count as one document, so mass copies of one text don't make its own
+line are counted. Lines held by more documents than the limit are boilerplate: a document that keeps too little without them
+is rejected, and ``keep`` takes them out of the texts of all others. Identical texts count as one document, so mass copies of one text don't make its own
 lines boilerplate. The query's SQL counts lines of 20 words or fewer; with ``EVERY_LINE`` there is no such bound.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; repeated
@@ -119,8 +119,8 @@ def frequent_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="
     return seen.groupBy("host", "line").count().where(F.col("count") > rules.max_line_documents).select("host", "line")
 
 
-def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
-    """A row per input row: id, body (hash of the text), host, the base figures, n_boilerplate, base_failed, kept."""
+def _judged(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
+    """What judge() returns, and places: those of the text's boilerplate lines, null if it has none."""
     base = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(host_col).alias("host"), measures(F.col(text_col), rules).alias("m")
     ).select("id", "body", "host", F.col("m.words.n").alias("n_words"), F.col("m.words.chars").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.words.repeats").alias("n_repeat_words"))
@@ -129,22 +129,39 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
     cut = (
         found.distinct()  # repeated rows name the same lines
         .groupBy("id", "body", "host")
-        .agg(F.sum("n").alias("n_boilerplate"))
+        .agg(F.sum("n").alias("n_boilerplate"), F.sort_array(F.collect_set("place")).alias("places"))
         .alias("c")
     )
     b = base.alias("b")
     same = F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.body") == F.col("c.body")) & F.col("b.host").eqNullSafe(F.col("c.host"))
-    out = b.join(cut, same, "left").select("b.*", F.coalesce("c.n_boilerplate", F.lit(0)).cast("long").alias("n_boilerplate"))
+    out = b.join(cut, same, "left").select("b.*", F.coalesce("c.n_boilerplate", F.lit(0)).cast("long").alias("n_boilerplate"), "c.places")
     left = F.col("n_words") - F.col("n_boilerplate")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     depleted = (F.col("n_boilerplate") > 0) & ((left < rules.min_words) | (100 * left < rules.min_left_percent * F.col("n_words")))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
+def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
+    """A row per input row: id, body (hash of the text), host, the base figures, n_boilerplate, base_failed, kept."""
+    return _judged(docs, id_col, text_col, host_col, rules).drop("places")
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without its lines at those places; in time that grows with the lines."""
+    return _let(
+        F.split(text, "\n"),
+        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i)), "\n"),
+    )
+
+
 def keep(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of documents that pass, with all their columns."""
+    """The rows of documents that pass, with all their columns, their texts without the boilerplate lines."""
     body = fresh(docs, "body_hash")
     marked = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
-    bad = judge(docs, id_col, text_col, host_col, rules).where(~F.col("kept")).select("id", "body", "host").distinct().alias("r")
+    judged = _judged(docs, id_col, text_col, host_col, rules).where(~F.col("kept") | F.col("places").isNotNull())
+    r = judged.select("id", "body", "host", "kept", "places").distinct().alias("r")
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.id")) & (F.col(f"d.`{body}`") == F.col("r.body")) & F.col(f"d.`{host_col}`").eqNullSafe(F.col("r.host"))
-    return marked.join(bad, same, "left_anti").drop(body)
+    text = F.col(f"d.`{text_col}`")
+    cut = F.when(F.col("r.places").isNull(), text).otherwise(without_lines(text, F.col("r.places"))).alias(text_col)
+    joined = marked.join(r, same, "left").where(F.coalesce(F.col("r.kept"), F.lit(True)))
+    return joined.select(*[cut if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

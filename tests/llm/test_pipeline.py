@@ -86,3 +86,10 @@ def test_quality_stage_counts_lines_of_any_length(spark):
     rows += [(100 + i, f"{text('copy', 60)}\n{text('more', 12)}", "en", "h") for i in range(40)] + [(200, f"{notice}\n{own(24)}", "en", "other")]
     got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "")
     assert sorted(r["doc_id"] for r in got.collect()) == [*range(100, 140), 200]
+
+
+def test_quality_stage_returns_texts_without_boilerplate(spark):
+    own = lambda i: " ".join(f"own{chr(97 + i)}{chr(97 + k)}" for k in range(12))
+    rows = [(i, f"All rights reserved\n{own(i)}", "h", 80) for i in range(21)]
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int"), "")
+    assert sorted(map(tuple, got.collect())) == [(i, own(i), "h", len(own(i))) for i in range(21)]

@@ -84,3 +84,14 @@ def test_repeats_at_the_edges(spark, n):
     text = " ".join("ab"[i % 2] for i in range(n))
     df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
     assert rows_of(quality.judge(df)) == brute([(1, text, "s")])
+
+
+def test_keep_takes_boilerplate_lines_out_of_the_text(spark):
+    own = lambda i: " ".join(f"own{chr(97 + i)}{chr(97 + k)}" for k in range(12))
+    rows = [(i, f"Menu {i}\n\n{own(i)}\nMENU  {i + 1}\n", "h") for i in range(21)]
+    rows += [(0, rows[0][1], "h"), (50, rows[0][1], "other"), (None, rows[3][1], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("source", "text", "doc_id", "1 AS r")
+    got = quality.keep(df)
+    cut = lambda i: f"\n{own(i)}\n"
+    want = [("h", cut(i), i, 1) for i in range(21)] + [("h", cut(0), 0, 1), ("other", rows[0][1], 50, 1), ("h", cut(3), None, 1)]
+    assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
