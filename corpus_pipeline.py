@@ -16,7 +16,7 @@ from matchloom.llm.registry import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, and so do boilerplate lines, of any length, of all others."""
-    kept = quality.keep(docs, rules=quality.EVERY_LINE)
+    kept = quality.keep(docs)
     if "n_chars" not in kept.columns:
         return kept
     n = F.length("text").cast(kept.schema["n_chars"].dataType)
