@@ -93,15 +93,20 @@ reps AS (
   SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM grams JOIN often USING (doc_id, g)) GROUP BY doc_id
 ),
 l AS (
-  SELECT doc_id, source, text, regexp_extract_all(lower(regexp_replace(x, '[0-9]+', '0', 'g')), '{_WORD}') AS t
-  FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM d)
+  SELECT doc_id, source, text, place, x, regexp_extract_all(lower(regexp_replace(x, '[0-9]+', '0', 'g')), '{_WORD}') AS t
+  FROM (SELECT doc_id, source, text, unnest(lines) AS x, generate_subscripts(lines, 1) AS place FROM d)
+),
+k AS (SELECT doc_id, source, text, place, x, array_to_string(t, ' ') AS line, len(t) AS n FROM l),
+freq AS (SELECT source, line FROM k WHERE n > 0 GROUP BY source, line HAVING count(DISTINCT text) > 20),
+marked AS (SELECT k.*, freq.line IS NOT NULL AS often FROM k LEFT JOIN freq ON k.n > 0 AND k.source IS NOT DISTINCT FROM freq.source AND k.line = freq.line),
+cut AS (
+  SELECT doc_id, coalesce(sum(n) FILTER (often), 0)::BIGINT AS n_boilerplate,
+    greatest(coalesce(sum(length(x) + 1) FILTER (NOT often), 0) - 1, 0)::BIGINT AS clean_chars, md5(coalesce(string_agg(md5(x), ',' ORDER BY place) FILTER (NOT often), '')) AS clean_md5
+  FROM marked GROUP BY doc_id
 ),
-short AS (SELECT doc_id, source, text, array_to_string(t, ' ') AS line, len(t) AS n FROM l WHERE len(t) BETWEEN 1 AND 20),
-freq AS (SELECT source, line FROM short GROUP BY source, line HAVING count(DISTINCT text) > 20),
-cut AS (SELECT doc_id, sum(n) AS n_boilerplate FROM short JOIN freq ON short.source IS NOT DISTINCT FROM freq.source AND short.line = freq.line GROUP BY doc_id),
 j AS (
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_boilerplate, 0)::BIGINT AS n_boilerplate
-  FROM base LEFT JOIN reps USING (doc_id) LEFT JOIN cut USING (doc_id)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_boilerplate, clean_chars, clean_md5
+  FROM base LEFT JOIN reps USING (doc_id) JOIN cut USING (doc_id)
 )
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)

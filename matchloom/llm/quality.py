@@ -1,13 +1,17 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
-Lines are normalised (case, digits, inner white space) and hashed; for each host the distinct documents that hold a
-line are counted. Lines held by more documents than the limit are boilerplate: a document that keeps too little without them
-is rejected, and ``keep`` takes them out of the texts of all others. Identical texts count as one document, so mass copies of one text don't make its own
-lines boilerplate. The query's SQL counts lines of 20 words or fewer; with ``EVERY_LINE`` there is no such bound.
+Texts are read once: the base figures and, for each line, a hash of its normalised form (case, digits, inner white space) and its
+words go to a table that holds no text. From that table the distinct documents of each host that hold a line are counted.
+Lines of any length held by more documents than the limit are boilerplate and are removed; a document that keeps too little
+without them is rejected. ``keep`` returns the texts of all others without those lines; ``judge`` returns figures and
+the digest and length of what is left.
+
+Documents are distinct by their text, so that mass copies of one text don't make its own lines boilerplate (they are the
+near-duplicate stage's to thin out); with ``distinct="id"`` each document counts for itself.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; repeated
-rows each get the same verdict; an empty table gives an empty result; other columns are ignored by ``judge`` and carried
-along by ``keep``.
+rows each get the same verdict; rows equal in id but not in text are told apart; an empty table gives an empty result; other
+columns are ignored by ``judge`` and carried along by ``keep``.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, fresh, words
+from .common import fresh, materialize, words
 
 
 @dataclass(frozen=True)
@@ -25,17 +29,14 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    #: A line is boilerplate in a host if more distinct documents than this hold it, ...
+    #: A line is boilerplate in a host if more distinct documents than this hold it.
     max_line_documents: int = 20
-    #: ... and it has no more words than this; None: whatever its length.
-    max_line_words: int | None = 20
+    #: What tells documents apart there: "text", or "id" (and text).
+    distinct: str = "text"
     #: A document is depleted if fewer words than min_words, or a smaller share than this, are left.
     min_left_percent: int = 30
 
 
-EVERY_LINE = Rules(max_line_words=None)
-
-
 def _let(value: Column, body) -> Column:
     """Evaluates value once per row and hands it to body."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -96,35 +97,48 @@ def measures(text: Column, rules: Rules = Rules()) -> Column:
     )
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, rules: Rules) -> DataFrame:
-    """A row per line with a word, within the limit if there is one: its document's key, its place, its hash and its words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = F.lower(F.regexp_replace(text, "[0-9]+", "0"))
-    # In two steps: the hash is taken once for a document, not once for a line.
-    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.col(host_col).alias("host"), F.split(plain, "\n").alias("lines"))
-    rows = whole.select("id", "body", "host", F.posexplode("lines").alias("place", "text"))
-    tokens = F.array_remove(F.split("text", WORD_GAP), "")
-    in_limit = F.lit(True) if rules.max_line_words is None else F.size("tokens") <= rules.max_line_words
-    return (
-        rows.select("id", "body", "host", "place", tokens.alias("tokens"))
-        .where((F.size("tokens") > 0) & in_limit)
-        .select("id", "body", "host", "place", F.xxhash64(F.concat_ws(" ", "tokens")).alias("line"), F.size("tokens").alias("n"))
+def marks(text: Column) -> Column:
+    """For each line of a text: the hash of its normalised form, its words, and the digest and length of the line itself."""
+    full = F.coalesce(text, F.lit(""))
+    plain = F.regexp_replace(F.lower(F.regexp_replace(full, "[0-9]+", "0")), r"[\x20\x09\x0B-\x0D]+", " ")
+    n = lambda x: F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    normal = F.transform(F.split(plain, "\n"), lambda x: _let(F.trim(x), lambda t: F.struct(F.xxhash64(t).alias("line"), n(t).alias("n"))))
+    return _let(
+        normal,
+        lambda p: F.transform(
+            F.split(full, "\n"),
+            lambda x, i: F.struct(F.get(p, i)["line"].alias("line"), F.get(p, i)["n"].alias("n"), F.md5(x).alias("digest"), F.length(x).alias("chars")),
+        ),
     )
 
 
-def frequent_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
-    """(host, line) of the boilerplate: a line's distinct documents are first made distinct by (host, line, text), which
+def figures(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
+    """The one pass over texts: id, body (hash of the text), host, the base figures, and marks of the lines."""
+    m = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(host_col).alias("host"),
+        measures(F.col(text_col), rules).alias("m"), marks(F.col(text_col)).alias("lines"),
+    )
+    return m.select(
+        "id", "body", "host", F.col("m.words.n").alias("n_words"), F.col("m.words.chars").alias("word_chars"), "m.n_symbols", "m.n_dup_lines",
+        F.col("m.words.repeats").alias("n_repeat_words"), "lines",
+    )
+
+
+def frequent_lines(table: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(host, line) of the boilerplate: a line's distinct documents are first made distinct by (host, line, document), which
     spreads even a line that a third of all documents hold, and only then counted by (host, line) with partial sums."""
-    seen = _lines(docs, id_col, text_col, host_col, rules).select("host", "line", "body").distinct()
+    if rules.distinct not in ("text", "id"):
+        raise ValueError(f"documents are told apart by text or id, not by {rules.distinct!r}")
+    unit = F.col("body") if rules.distinct == "text" else F.xxhash64("id", "body")
+    seen = table.select("host", unit.alias("unit"), F.explode("lines").alias("x")).where("x.n > 0").select("host", F.col("x.line").alias("line"), "unit").distinct()
     return seen.groupBy("host", "line").count().where(F.col("count") > rules.max_line_documents).select("host", "line")
 
 
-def _judged(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
-    """What judge() returns, and places: those of the text's boilerplate lines, null if it has none."""
-    base = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(host_col).alias("host"), measures(F.col(text_col), rules).alias("m")
-    ).select("id", "body", "host", F.col("m.words.n").alias("n_words"), F.col("m.words.chars").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.words.repeats").alias("n_repeat_words"))
-    lines, often = _lines(docs, id_col, text_col, host_col, rules).alias("l"), frequent_lines(docs, id_col, text_col, host_col, rules).alias("o")
+def decided(table: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The table of figures with n_boilerplate, places (those of the boilerplate lines, null if there are none), base_failed, kept."""
+    rows = table.select("id", "body", "host", F.posexplode("lines").alias("place", "x")).where("x.n > 0")
+    lines = rows.select("id", "body", "host", "place", F.col("x.line").alias("line"), F.col("x.n").alias("n")).alias("l")
+    often = frequent_lines(table, rules).alias("o")
     found = lines.join(often, F.col("l.host").eqNullSafe(F.col("o.host")) & (F.col("l.line") == F.col("o.line"))).select("l.id", "l.body", "l.host", "l.place", "l.n")
     cut = (
         found.distinct()  # repeated rows name the same lines
@@ -132,7 +146,7 @@ def _judged(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source"
         .agg(F.sum("n").alias("n_boilerplate"), F.sort_array(F.collect_set("place")).alias("places"))
         .alias("c")
     )
-    b = base.alias("b")
+    b = table.alias("b")
     same = F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.body") == F.col("c.body")) & F.col("b.host").eqNullSafe(F.col("c.host"))
     out = b.join(cut, same, "left").select("b.*", F.coalesce("c.n_boilerplate", F.lit(0)).cast("long").alias("n_boilerplate"), "c.places")
     left = F.col("n_words") - F.col("n_boilerplate")
@@ -142,8 +156,17 @@ def _judged(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source"
 
 
 def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
-    """A row per input row: id, body (hash of the text), host, the base figures, n_boilerplate, base_failed, kept."""
-    return _judged(docs, id_col, text_col, host_col, rules).drop("places")
+    """A row per input row: id, body (hash of the text), host, the base figures, n_boilerplate, base_failed, kept, and of the
+    text without its boilerplate lines clean_chars (code points) and clean_md5 (of the digests of its lines, comma-joined)."""
+    table = materialize(figures(docs, id_col, text_col, host_col, rules), "quality-figures")
+    out = decided(table, rules)
+    left = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("places", i)))
+    chars = F.aggregate("left", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    return (
+        out.withColumn("left", left)
+        .withColumns({"clean_chars": chars + F.greatest(F.size("left") - 1, F.lit(0)), "clean_md5": F.md5(F.array_join(F.transform("left", lambda x: x["digest"]), ","))})
+        .drop("lines", "places", "left")
+    )
 
 
 def without_lines(text: Column, places: Column) -> Column:
@@ -158,7 +181,8 @@ def keep(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", r
     """The rows of documents that pass, with all their columns, their texts without the boilerplate lines."""
     body = fresh(docs, "body_hash")
     marked = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
-    judged = _judged(docs, id_col, text_col, host_col, rules).where(~F.col("kept") | F.col("places").isNotNull())
+    table = materialize(figures(docs, id_col, text_col, host_col, rules), "quality-figures")
+    judged = decided(table, rules).where(~F.col("kept") | F.col("places").isNotNull())
     r = judged.select("id", "body", "host", "kept", "places").distinct().alias("r")
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.id")) & (F.col(f"d.`{body}`") == F.col("r.body")) & F.col(f"d.`{host_col}`").eqNullSafe(F.col("r.host"))
     text = F.col(f"d.`{text_col}`")

@@ -57,7 +57,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = quality.judge(load(spark, sf_dir, "documents"))
-    return r.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate", "base_failed", "kept")
+    return r.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate", "clean_chars", "clean_md5", "base_failed", "kept")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
