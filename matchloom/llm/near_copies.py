@@ -1,14 +1,18 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles, at 0.8 or more, checked exactly.
-
-Candidates come from MinHash: 20 bands of 4 values, which put a pair at similarity 0.8 into a common bucket but for
-3 in 100,000, and one at 0.9 but for 3 in 10 billion. Every candidate pair is then either found connected already or
-compared on its whole shingle sets, so that no bucket is sampled or cut. So as not to form the pairs of a large group, two
-rounds first hold each text against one leader that it shares a bucket with; contraction joins what agrees, and only
-pairs of a bucket that then still lie in different components are compared one by one.
+"""The wide part of operator 7: near copies by the Jaccard similarity of five-word shingle sets, at 0.8 or more, checked exactly.
+
+Fingerprints at such a similarity differ in 4 to 14 bits of 64 (sf0.1), and a grid range join of that radius lets nearly all
+pairs through: SimHash alone can't find them. So its links, found on the grid at 2 bits, come first and join
+what is nearly equal, each checked on shingle sets; further candidates come from MinHash: 20 bands of 4 values, which put
+a pair at similarity 0.8 into a common bucket but for 3 in 100,000, and one at 0.9 but for 3 in 10 billion.
+Every candidate pair is then either found connected already, ruled out by a bound, or compared on its whole shingle sets, so
+that no bucket is sampled or cut. So as not to form the pairs of a large group, two rounds first hold each text against
+one leader that it shares a bucket with, and contraction joins what agrees. Of the texts whose buckets then still lie in
+different components, those with too many shingles that no other open text has can't have a link (see ``_hopeful``);
+what is left is compared pair by pair, as far as sizes and shared shingles allow.
 
 Texts with equal shingle sets are one node, so a mass of exact copies costs as much as one text.
 
-Defined cases: words are ASCII-lower-cased and split at white space; a text of fewer than five words is one shingle; null
+Defined cases: words are ASCII-lower-cased and split at white space; a text of fewer words than a shingle is one shingle; null
 and blank texts have the empty set and are copies of each other; a null id never names a component unless it has no other; repeated
 rows leave one row; an empty table gives an empty result; all columns are carried.
 """
@@ -23,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import drop, materialize
-from .simhash import _hash, contract, first_of_each
+from .simhash import _hash, contract
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 #: Similarity of LEAST[0] / LEAST[1] or more links two texts.
@@ -67,43 +72,44 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).cast("string").alias("text"))
 
 
-def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, body (a hash of the text), node (a hash of its shingle set), n (shingles), buckets."""
+def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """A row per document: id, body (a hash of the text), node (a hash of its shingle set), n (shingles), fp (the set's SimHash),
+    buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, keys = [], [], []
+            node, n, fps, keys = [], [], [], []
             for t in b.column(2):
-                g = shingles(t.as_py())
+                g = shingles(t.as_py(), shingle)
                 node.append(signed(_hash(g.tobytes())))
                 n.append(len(g))
+                fps.append(signed(simhash.majority((g[i : i + CHUNK] for i in range(0, len(g), CHUNK)), len(g))))
                 keys.append(buckets(g))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "body", "node", "n", "buckets"]
-            )
+            columns = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "body", "node", "n", "fp", "buckets"])
 
     slim = _slim(docs, id_col, text_col)
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, body long, node long, n long, buckets array<long>")
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, body long, node long, n long, fp long, buckets array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, grams) of the wanted nodes, taken from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for node, t in zip(b.column(0), b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingles(t.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingles(t.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))], ["node", "grams"])
 
     s, w = _slim(docs, id_col, text_col).alias("s"), wanted.alias("w")
     texts = s.join(w, F.col("s.id").eqNullSafe(F.col("w.id")) & (F.col("s.body") == F.col("w.body"))).select("w.node", "s.text")
     return texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those with a similarity of LEAST or more."""
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Of the pairs (a, b) those of that similarity or more."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    shared, (up, down) = F.size(F.array_intersect("x", "y")), LEAST
+    shared, (up, down) = F.size(F.array_intersect("x", "y")), similarity
     return both.where(shared * (up + down) >= up * (F.size("x") + F.size("y"))).select("a", "b")
 
 
@@ -111,16 +117,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def links(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the nodes with a link; near has (bucket, node, n), a row per node in a shared bucket."""
-    near_of_size = lambda p, q: (F.col(p) * LEAST[1] >= F.col(q) * LEAST[0]) & (F.col(q) * LEAST[1] >= F.col(p) * LEAST[0])
+def _hopeful(left: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Rows (bucket, node, n, root) of the nodes that can still have a link, with shared: how many of a node's shingles another
+    open node has as well. A link shares up / down of either text's shingles at least, so a node with fewer has none."""
+    up, down = similarity
+    tokens = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.explode("grams").alias("g"))
+    own = tokens.groupBy("g").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count("*").alias("own"))
+    counted = left.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return counted.where(F.col("shared") * down >= F.col("n") * up)
+
+
+def links(near: DataFrame, sets: DataFrame, first: DataFrame, similarity: tuple[int, int] = LEAST) -> DataFrame:
+    """(node, root) of the nodes with a link; near has (bucket, node, n), a row per node in a shared bucket, and first the pairs
+    (a, b) to begin with."""
+    up, down = similarity
+    near_of_size = lambda p, q: (F.col(p) * down >= F.col(q) * up) & (F.col(q) * down >= F.col(p) * up)
     spark = near.sparkSession
     edges = tested = spark.createDataFrame([], "a long, b long")
     stars = spark.createDataFrame([], "node long, root long")
-    for turn in (*ORDERS, None):
+    for turn in ("simhash", *ORDERS, None):
         placed = near.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
         ends = [F.min("root").alias("lo"), F.max("root").alias("hi")]
-        if turn is not None:
+        if turn == "simhash":
+            pairs = first
+        elif turn is not None:
             flip = lambda c: F.col(c).bitwiseXOR(F.lit(turn).cast("long"))  # noqa: B023, E731
             by = placed.groupBy("bucket").agg(*ends, F.min(flip("node")).alias("lead")).where("lo <> hi").select("bucket", "lead")
             led = placed.join(by, "bucket").select("node", "lead").where(flip("node") != F.col("lead"))
@@ -129,11 +149,14 @@ def links(near: DataFrame, sets: DataFrame) -> DataFrame:
         else:
             by = placed.groupBy("bucket").agg(*ends).where("lo <> hi").select("bucket")
             left = materialize(placed.join(by, "bucket", "left_semi"), "near-open")
+            left = materialize(_hopeful(left, sets, similarity), "near-hopeful")
             p, q = left.alias("p"), left.alias("q")
-            met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near_of_size("p.n", "q.n"))
+            # The shingles that two texts share are among those that either shares with anyone.
+            enough = F.least("p.shared", "q.shared") * (up + down) >= up * (F.col("p.n") + F.col("q.n"))
+            met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near_of_size("p.n", "q.n") & enough)
             pairs = met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
         pairs = materialize(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialize(_alike(pairs, sets), "near-links")
+        found = materialize(_alike(pairs, sets, similarity), "near-links")
         if not found.isEmpty():
             edges = edges.union(found)
             stars = contract(materialize(edges, "near-edges"))
@@ -141,18 +164,22 @@ def links(near: DataFrame, sets: DataFrame) -> DataFrame:
     return stars
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, body, root (a node of its component), component_id (its smallest id)."""
-    seen = materialize(prints(docs, id_col, text_col), "near-prints")
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = LEAST) -> DataFrame:
+    """A row per document: id, body, root (a node of its component), component_id (its smallest id). MinHash's bands are made for
+    similarities from about 0.8 on."""
+    seen = materialize(prints(docs, id_col, text_col, shingle), "near-prints")
     best = F.min(F.struct("body", "id")).alias("one")
-    distinct = materialize(seen.groupBy("node").agg(F.min("id").alias("least"), best, F.first("n").alias("n"), F.first("buckets").alias("buckets")), "near-distinct")
+    distinct = seen.groupBy("node").agg(F.min("id").alias("least"), best, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
+    distinct = materialize(distinct, "near-distinct")
     rows = distinct.select("node", "n", F.explode("buckets").alias("bucket"))
     busy = materialize(rows.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"), "near-buckets")
     near = materialize(rows.join(busy, "bucket", "left_semi").select("bucket", "node", "n"), "near-members")
     drop(busy)
-    wanted = distinct.join(near.select("node").distinct(), "node", "left_semi").select("node", "one.id", "one.body")
-    sets = materialize(_sets(docs, wanted, id_col, text_col), "near-sets")
-    stars = links(near, sets)
+    first = materialize(_by_fingerprint(distinct), "near-first")
+    known = near.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    wanted = distinct.join(known, "node", "left_semi").select("node", "one.id", "one.body")
+    sets = materialize(_sets(docs, wanted, id_col, text_col, shingle), "near-sets")
+    stars = links(near, sets, first, similarity)
     rooted = materialize(distinct.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "near-rooted")
     drop(sets)
     drop(near)
@@ -161,6 +188,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return seen.join(table, "node").select("id", "body", "root", "component_id")
 
 
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of every component, all its columns kept; rows equal in id go by a hash of the text."""
-    return first_of_each(docs, components(docs, id_col, text_col), id_col, text_col)
+def _by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: nodes of one fingerprint with the least of them, and the least of linked fingerprints."""
+    least = materialize(distinct.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    same = distinct.join(least.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
+    edges = simhash.links(least.select("fp"))
+    named = edges.join(least.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    return same.unionByName(named.select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from matchloom.llm import near_copies
+from matchloom.llm import near_copies, simhash
 
 
 def grams(text):
@@ -65,10 +65,18 @@ def edited():
 
 def test_components_equal_brute_force(spark, edited):
     df = spark.createDataFrame(edited, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in near_copies.one_per_component(df).collect()) == first_ids(edited)
+    assert sorted(r["doc_id"] for r in simhash.one_per_component(df, shingle=5, similarity=(4, 5)).collect()) == first_ids(edited)
 
 
 def test_defined_cases(edge, empty):
-    kept = near_copies.one_per_component(edge)
-    assert kept.columns == edge.columns and near_copies.one_per_component(empty).count() == 0
+    kept = simhash.one_per_component(edge, shingle=5, similarity=(4, 5))
+    assert kept.columns == edge.columns and simhash.one_per_component(empty, shingle=5, similarity=(4, 5)).count() == 0
     assert [r["doc_id"] for r in kept.collect()].count(4) == 1
+
+
+def test_hopeless_texts_are_those_that_share_too_little(spark):
+    sets = [(1, list(range(10))), (2, list(range(8)) + [20, 21]), (3, list(range(7)) + [30, 31, 32]), (4, [30, 41])]
+    rows = [(7, k, len(g), k) for k, g in sets]
+    left, grams = spark.createDataFrame(rows, "bucket long, node long, n long, root long"), spark.createDataFrame(sets, "node long, grams array<long>")
+    got = {r["node"]: r["shared"] for r in near_copies._hopeful(left, grams, (4, 5)).collect()}
+    assert got == {1: 8, 2: 8, 3: 8}

@@ -7,8 +7,8 @@ import corpus_pipeline
 from matchloom.llm import mixing, quality
 
 from .conftest import SF, terms
+from .test_near_copies import first_ids
 from .test_quality import brute as brute_quality
-from .test_simhash import brute_components, brute_fingerprint
 from .test_token_files import direct
 
 
@@ -34,12 +34,7 @@ def test_quality_stage(stages):
 
 def test_near_duplicate_stage(stages):
     before, after = stages[1]
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows(before)}
-    comp = brute_components(fps.values())
-    first = {}
-    for k in sorted(fps):
-        first.setdefault(comp[fps[k]], k)
-    assert sorted(r["doc_id"] for r in rows(after)) == sorted(first.values()) and after.columns == before.columns
+    assert sorted(r["doc_id"] for r in rows(after)) == first_ids([(r["doc_id"], r["text"]) for r in rows(before)]) and after.columns == before.columns
 
 
 def test_decontamination_stage(spark, stages):

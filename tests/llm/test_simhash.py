@@ -80,6 +80,28 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
     assert groups({f: got.get(f, f) for f in fps}) == groups(comp)
 
 
+def test_hot_cells_and_small_ones_link_the_same(spark, monkeypatch):
+    """A cell of a few hundred fingerprints: one base with flips of one bit, and of two within a segment."""
+    base, fps = 0x0123456789ABCDEF, {0x0123456789ABCDEF}
+    fps |= {base ^ 1 << k for k in range(64)} | {base ^ 3 << k for k in range(0, 64, 2)} | {base ^ 1 << k ^ 1 << 63 for k in range(40)} | {base ^ 7 << k for k in range(0, 60, 7)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    comp = brute_components(fps)
+    for cell in (1, 32, 10_000):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df).collect()]
+        assert edges and all((a ^ b).bit_count() <= 2 for a, b in edges)
+        got = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.contract(simhash.links(df)).collect()}
+        groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+        assert groups({f: got.get(f, f) for f in fps}) == groups(comp)
+
+
+def test_ties_keep_the_same_row(spark):
+    rows = [(1, "same text of rows that differ elsewhere", k) for k in (5, 3, 9, 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    kept = {tuple(r) for n in (1, 3, 7) for r in simhash.one_per_component(df.repartition(n)).collect()}
+    assert len(kept) == 1
+
+
 def test_contraction_of_a_long_chain(spark):
     edges = [(i + 1, i) for i in range(200)] + [(1001, 1000)]
     got = {r["node"]: r["root"] for r in simhash.contract(spark.createDataFrame(edges, "a long, b long")).collect()}
