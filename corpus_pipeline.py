@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontaminate, mixing, near_copies, quality, token_files
+from matchloom.llm import decontaminate, mixing, quality, simhash, token_files
 from matchloom.llm.common import load, materialize
 from matchloom.llm.registry import tokenizer_path
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays."""
-    return near_copies.one_per_component(docs)
+    return simhash.one_per_component(docs, shingle=5, similarity=(4, 5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("mixing", mix),
     ("token output", token_output),
