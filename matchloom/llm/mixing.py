@@ -1,28 +1,33 @@
-"""Mixing sources to target weights by systematic sampling.
+"""Mixing sources to target weights by systematic sampling. DataFrame functions only.
 
 Targets come from water-filling over the sources' sizes. Within a source every document has the expected copies
 target / size of the source; in a fixed order their prefix sums, moved by one offset drawn from the source's name, cross
 an integer once for each copy. The order goes by size classes, then by hash, so that each class is sampled in proportion
 and the words taken come near the target. Places in the order are the counts of earlier buckets plus the place in the
-own bucket: a source is dealt to many buckets (size class and hash), so that a hot source is spread over all tasks.
+own bucket: a source is dealt to many buckets (size class and hash of id and text), so that a hot source is spread over all
+tasks.
 
-The summary that reaches the driver has a row per source (never per document); more sources than MAX_SOURCES raise.
+Sources may be as many as they like: their numbers and the water-filling are prefix sums over ranges (``ranged_sums``), no row
+of theirs reaches the driver, and their table is broadcast up to a counted size and joined by shuffle beyond.
 
 Defined cases: a null or blank text has size 0; a null source is a source of its own and last; a source of size 0 has
-target 0 and takes no copies; equal rows are sampled as separate documents; an empty table gives an empty result.
+target 0 and takes no copies; null and repeated ids are told apart by their texts; equal rows are sampled as separate documents;
+rows equal in id and text go by a hash of all columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import fresh, materialize
+from .common import drop, fresh, materialize, ranged_sums, small
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-MAX_SOURCES = 1_000_000
+#: Rows of the table of sources up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 #: A source has a part for so many documents; each part is divided by size classes.
 BUCKET = 2_000
 #: Parts whose counts are summed in one window.
@@ -35,38 +40,26 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> list[float]:
-    """Water-filling for sources in order: weights repeat, no target is above `most` times its size, the excess is
-    reshared by weight until none is above."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    out: list[float] = [0.0] * len(sizes)
-    free, left = set(range(len(sizes))), share * sum(sizes)
-    while free:
-        total = sum(w[i] for i in free)
-        over = [i for i in free if left * w[i] / total > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / total
-            break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            free.remove(i)
-        left = share * sum(sizes) - sum(most * sizes[i] for i in range(len(sizes)) if i not in free)
-    return out
-
-
-def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(number, source, source_size, target, documents) with a row per source."""
-    per = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size_of(F.col(text_col))).alias("source_size"), F.count("*").alias("n"))
-    rows = per.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    got = targets([r["source_size"] for r in rows])
-    return docs.sparkSession.createDataFrame(
-        [(i, r["source"], r["source_size"], t, r["n"]) for i, (r, t) in enumerate(zip(rows, got, strict=True))],
-        "number int, source string, source_size long, target double, documents long",
-    )
+def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(number, source, source_size, target, documents) with a row per source.
+
+    Water-filling by sorting: no target is above `most` times its source's size, and the excess is reshared by weight. A source
+    is at that limit if filling all of smaller limits for their weight leaves it at least as much.
+    """
+    per = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size_of(F.col(text_col))).alias("source_size"), F.count("*").alias("documents"))
+    numbered = ranged_sums(materialize(per, "mix-sizes"), [F.col("source").asc_nulls_last()], {"number": F.lit(1).cast("long")})
+    weight = F.get(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("number") % len(weights)).cast("int"))
+    sized = numbered.withColumn("weight", weight).withColumn("limit", F.col("source_size") * most)
+    order = [(F.col("limit").cast("double") / F.col("weight")).asc(), F.col("number").asc()]
+    placed = materialize(ranged_sums(sized, order, {"below": F.col("limit"), "passed": F.col("weight")}), "mix-placed")
+    whole = placed.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weights")).first()  # one row
+    total = share * (whole["all"] or 0)
+    capped = (F.lit(total) - F.col("below")) * F.col("weight") / (F.lit(whole["weights"] or 0) - F.col("passed")) > F.col("limit")
+    put = placed.withColumn("capped", capped)
+    rest = put.agg(F.sum(F.when(F.col("capped"), F.col("limit"))).alias("taken"), F.sum(F.when(~F.col("capped"), F.col("weight"))).alias("free")).first()  # one row
+    left, free = total - (rest["taken"] or 0), rest["free"] or 1
+    target = F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(F.lit(left) * F.col("weight") / F.lit(free))
+    return put.select("number", "source", "source_size", target.alias("target"), "documents")
 
 
 def _unit(*parts: Column) -> Column:
@@ -76,13 +69,14 @@ def _unit(*parts: Column) -> Column:
 
 def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> tuple[DataFrame, str]:
     """The rows of docs with a struct column of size, source_size, target, copies; and that column's name."""
-    sources = materialize(plan(docs, text_col, source_col), "mix-sources").alias("s")
+    sources = materialize(plan(docs, text_col, source_col), "mix-sources")
+    sources = small(sources, BROADCAST_ROWS).alias("s")
     mix, key, bucket, place = (fresh(docs, n) for n in ("mix", "mix_key", "mix_bucket", "mix_place"))
     q = lambda name: F.col(f"`{name}`")
     name = F.coalesce(q(id_col).cast("string"), F.lit(""))
-    marked = docs.withColumn(key, F.struct(size_of(q(text_col)).alias("size"), _unit(name, F.lit("mix")).alias("u"), q(source_col).cast("string").alias("source"))).alias("d")
-    # The table of sources has at most MAX_SOURCES rows, which plan() has checked.
-    joined = marked.join(F.broadcast(sources), F.col(f"d.`{key}`.source").eqNullSafe(F.col("s.source")))
+    u = _unit(name, F.md5(F.coalesce(q(text_col), F.lit(""))), F.lit("mix"))
+    marked = docs.withColumn(key, F.struct(size_of(q(text_col)).alias("size"), u.alias("u"), q(source_col).cast("string").alias("source"))).alias("d")
+    joined = marked.join(sources, F.col(f"d.`{key}`.source").eqNullSafe(F.col("s.source")))
     parts = F.greatest(F.lit(1), F.ceil(F.col("documents") / BUCKET))
     cls = F.floor(F.log2(q(key)["size"] + 1.0) * CLASSES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -95,8 +89,11 @@ def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source
     group = ["number", "cls", "part"]
     # Only three columns of the documents are read here; the text only for its size.
     counts = dealt.groupBy(*[q(bucket)[g].alias(g) for g in group]).agg(F.count("*").alias("n"))
-    bases = materialize(prefix_sums(materialize(counts, "mix-counts")), "mix-bases").alias("b")
-    inside = Window.partitionBy(*[q(bucket)[g] for g in group]).orderBy(q(key)["size"], q(key)["u"], q(id_col), F.xxhash64(q(text_col)))
+    counts = materialize(counts, "mix-counts")
+    bases = materialize(prefix_sums(counts), "mix-bases").alias("b")
+    drop(counts)
+    others = [q(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
+    inside = Window.partitionBy(*[q(bucket)[g] for g in group]).orderBy(q(key)["size"], q(key)["u"], q(id_col), F.xxhash64(q(text_col)), F.xxhash64(*others))
     placed = dealt.withColumn(place, F.row_number().over(inside)).alias("p")
     at = lambda c: F.col(f"p.`{c}`")
     # Counts of buckets: far fewer than documents; joined by shuffle unless Spark finds them small.

@@ -5,12 +5,51 @@ from matchloom.llm import mixing
 from .conftest import words
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == [200.0, 250 / 3, 500 / 3]
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
-    sizes = [5, 1000, 10, 0, 77, 12345]
-    t = mixing.targets(sizes)
-    assert sum(t) == pytest.approx(1.5 * sum(sizes)) and all(x <= 2 * s for x, s in zip(t, sizes, strict=True))
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Water-filling in rounds: what is above its limit is cut to it, and the excess reshared, until none is."""
+    w, out = [weights[i % len(weights)] for i in range(len(sizes))], [0.0] * len(sizes)
+    free, left = set(range(len(sizes))), share * sum(sizes)
+    while free:
+        total = sum(w[i] for i in free)
+        over = [i for i in free if left * w[i] / total > most * sizes[i]]
+        if not over:
+            for i in free:
+                out[i] = left * w[i] / total
+            break
+        for i in over:
+            out[i] = float(most * sizes[i])
+            left -= most * sizes[i]
+            free.remove(i)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [0, 0], [5, 1000, 10, 0, 77, 12345], [7], list(range(0, 4000, 13))])
+def test_targets(spark, sizes):
+    names = sorted(f"s{k}" for k in range(len(sizes) - 1)) + [None]  # the null source is the last
+    rows = [(n, " ".join("w" * k), i) for i, (n, k) in enumerate(zip(names, sizes))]
+    df = spark.createDataFrame(rows, "source string, text string, doc_id long")
+    got = sorted(mixing.plan(df).collect(), key=lambda r: r["number"])
+    assert [(r["source"], r["source_size"], r["documents"]) for r in got] == [(n, k, 1) for n, k in zip(names, sizes)]
+    assert [r["target"] for r in got] == pytest.approx(targets(sizes))
+    assert mixing.plan(df.limit(0)).count() == 0
+
+
+def test_many_sources_are_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)  # joined by shuffle
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 50 as int)) AS text", "concat('s', id % 2000) AS source")
+    out, mix = mixing.assign(df)
+    rows = [(r["source"], r["doc_id"], r[mix]) for r in out.collect()]
+    sizes = {}
+    for s, k, m in rows:
+        sizes[s] = sizes.get(s, 0) + m["size"]
+    want = dict(zip(sorted(sizes), targets([sizes[s] for s in sorted(sizes)])))
+    assert len(rows) == 3000 and all(m["target"] == pytest.approx(want[s]) and m["source_size"] == sizes[s] for s, _, m in rows)
+
+
+def test_null_and_repeated_ids_spread(spark):
+    df = spark.range(9000).selectExpr("cast(null as long) AS doc_id", "concat('w ', id) AS text", "'h' AS source")
+    out, mix = mixing.assign(df)
+    assert out.selectExpr(f"sum({mix}.copies)").first()[0] in (13500, 13499, 13501)
 
 
 def rows_of(df):
@@ -56,6 +95,13 @@ def test_a_hot_source_is_dealt_out(spark):
     assert abs(r["t"] - r["g"]) <= 50
 
 
+def test_ties_in_id_and_text_go_by_the_other_columns(spark):
+    rows = [(1, "a text of some words", "h", k) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix int")
+    got = [sorted(map(tuple, mixing.emit(df.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60
+
+
 def test_prefix_sums_in_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN", 3)
     rows = [(s, c, p, (s + 2 * c + 3 * p) % 5) for s in range(2) for c in range(4) for p in range(11)]
