@@ -1,16 +1,22 @@
 """Benchmark decontamination by a distributed positional inverted index. DataFrame functions only.
 
-A probe is a window of consecutive words of a benchmark item. The corpus is indexed by position, (term, document, place),
-for the terms that probes look up: of each window the few that are rarest in the corpus, by counts over all documents.
-Their lists are intersected, each shifted by the term's place in the item, so all that is left is starts at which every
-looked-up term stands right. Those starts are then held against the whole window. Postings of terms that no probe looks up
-are never read, so they aren't stored.
+A probe is a window of consecutive words of a benchmark item. Texts are split into words once; the words are written out, and
+the corpus is indexed by position, (term, document, place), for the terms that probes look up: of each window the few that are
+rarest in the corpus, by counts over all documents (``full=True`` stores the postings of every term instead; the lookups are the
+same). Two questions are put to the index:
 
-The terms and windows of the benchmark are broadcast when they are counted to be few and joined by shuffle beyond that.
+* exact phrases: the lists of a window's terms are intersected, each shifted by the term's place in the item, so all that
+  is left is starts at which every looked-up term stands right; those are then held against the whole window;
+* proximity: places of a window's looked-up terms are dealt to cells as long as the window and the slack; a cell that has them all
+  is then held against all words of the window, which must stand, in any order, within that many consecutive words.
+
+The lookups go by the distinct word sequences of items; which items these belong to is only joined to what was found.
+What is made from the benchmark alone is broadcast when it is counted to be small and joined by shuffle beyond that.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words has no window; one of fewer words
 than the window is one window; items of equal id count once; a null item id is written as an empty string; a window with
-a word that the corpus lacks can't occur; repeated document rows each get their row; empty tables give empty hits.
+a word that the corpus lacks can't occur; repeated document rows each get their row, and rows equal in id are told apart by their
+texts; empty tables give empty hits; other columns are ignored, and carried along by ``clean``.
 """
 
 from __future__ import annotations
@@ -25,41 +31,46 @@ from .common import drop, fresh, materialize, small, terms
 WINDOW = 10
 #: Lists intersected for each window before the whole window is compared.
 LISTS = 3
+#: Words that may stand between those of a proximity match.
+SLACK = 5
 #: Rows of a table made from the benchmark alone up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(key, item, w): distinct items that have words; key is a hash of id and words."""
-    w = items.select(F.col(id_col).cast("string").alias("item"), terms(F.col(text_col)).alias("w")).where(F.size("w") > 0).distinct()
-    return w.select(F.xxhash64("item", "w").alias("key"), "item", "w")
+    """(item, w): distinct items that have words."""
+    return items.select(F.col(id_col).cast("string").alias("item"), terms(F.col(text_col)).alias("w")).where(F.size("w") > 0).distinct()
+
+
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, body, w): a document's id, a hash of its text, and its words."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), terms(F.col(text_col)).alias("w"))
 
 
 @dataclass
 class Index:
-    """Postings (term, id, body, place) in the shared folder, and what they are looked up by."""
+    """Tables in the shared folder: the words of documents, the postings, and what these are looked up by."""
 
-    postings: DataFrame
+    words: DataFrame  # id, body, w
+    postings: DataFrame  # term, id, body, place
+    items: DataFrame  # item, key (of its words)
     probes: DataFrame  # key, q (the term's place in the item), term
-    windows: DataFrame  # key, item, first (place in the item), words, lists (the places in the item that are looked up)
+    windows: DataFrame  # key, first (place in the item), words, lists (the places in the item that are looked up)
 
     def drop(self) -> None:
-        for t in (self.postings, self.probes, self.windows):
+        for t in (self.words, self.postings, self.items, self.probes, self.windows):
             drop(t)
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # In two steps: the hash is taken once for a document, not once for a word.
-    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), terms(F.col(text_col)).alias("w"))
-    return whole.select("id", "body", F.posexplode("w").alias("place", "term"))
-
-
-def build_index(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW, lists: int = LISTS) -> Index:
-    known = materialize(item_words(items, item_id, item_text), "items")
+def build_index(
+    docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW, lists: int = LISTS, full: bool = False
+) -> Index:
+    words = materialize(tokens(docs, id_col, text_col), "words")
+    named = materialize(item_words(items, item_id, item_text).select("item", F.sha2(F.array_join("w", " "), 256).alias("key"), "w"), "items")
+    known = named.select("key", "w").dropDuplicates(["key"])
     places = known.select("key", F.posexplode("w").alias("q", "term"))
     vocabulary = places.select("term").distinct()
-    counts = _tokens(docs, id_col, text_col).select("term").join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").count()
+    counts = words.select(F.explode("w").alias("term")).join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").count()
     counts = materialize(counts, "term-counts")
     counted = places.join(small(counts, BROADCAST_ROWS), "term", "left").groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("q", "count"))).alias("at")  # an item's own words
@@ -68,61 +79,105 @@ def build_index(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="te
     own = F.slice("at", F.col("first") + 1, F.lit(size))
     ranked = F.array_sort(F.transform(own, lambda x: F.struct(x["count"].alias("n"), x["q"].alias("q"))))
     windows = cut.select(
-        "key", "item", "first", F.slice("w", F.col("first") + 1, F.lit(size)).alias("words"),
+        "key", "first", F.slice("w", F.col("first") + 1, F.lit(size)).alias("words"),
         F.exists(own, lambda x: x["count"].isNull()).alias("missing"), F.transform(F.slice(ranked, 1, lists), lambda x: x["q"]).alias("lists"),
     )
     windows = materialize(windows.where(~F.col("missing")).drop("missing"), "probe-windows")
     wanted = windows.select("key", F.explode("lists").alias("q")).distinct()
     probes = materialize(wanted.join(places, ["key", "q"]), "probes")
-    postings = materialize(_tokens(docs, id_col, text_col).join(small(probes.select("term").distinct(), BROADCAST_ROWS), "term"), "postings")
+    postings = words.select("id", "body", F.posexplode("w").alias("place", "term"))
+    if not full:
+        postings = postings.join(small(probes.select("term").distinct(), BROADCAST_ROWS), "term")
+    postings = materialize(postings.select("term", "id", "body", "place"), "postings")
     drop(counts)
-    drop(known)
-    return Index(postings, probes, windows)
+    return Index(words, postings, named, probes, windows)
+
+
+def _bit(q):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (q % 64).cast("int"))
+
+
+def _masked(index: Index) -> tuple[DataFrame, DataFrame]:
+    """Windows with the bits of the places that they look up, and the least number of lookups of any window of an item. Bits are
+    places modulo 64: beyond 64 words bits may coincide and let more through to the comparison of whole windows, never less."""
+    mask = F.aggregate("lists", F.lit(0).cast("long"), lambda acc, q: acc.bitwiseOR(_bit(q)))
+    w = index.windows.withColumns({"mask": mask, "n": F.size("lists")})
+    return w, w.groupBy("key").agg(F.min("n").alias("least"), F.max(F.size("words")).alias("size"))
 
 
 def candidates(index: Index) -> DataFrame:
-    """(id, body, start, item, words): starts at which all looked-up terms of a window stand at their places.
+    """(id, body, start, words): starts at which all looked-up terms of a window stand at their places.
 
     A posting less the term's place in the item is where the item would begin; postings that agree on that meet in one
-    group, with the places they came from as bits (modulo 64, so that beyond 64 words bits may coincide and let more
-    through to the comparison of whole windows, never less). A group with fewer places than any window of the item looks
+    group, with the places they came from as bits. A group with fewer places than any window of the item looks
     up ends there; else the windows whose bits are all set are candidates.
     """
-    bit = lambda q: F.expr(f"shiftleft(1L, {q} % 64)")
-    mask = F.aggregate("lists", F.lit(0).cast("long"), lambda acc, q: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), q % 64)))
-    w = index.windows.withColumns({"mask": mask, "n": F.size("lists")})
-    least = w.groupBy("key").agg(F.min("n").alias("least"))
+    w, least = _masked(index)
     met = (
         index.postings.join(small(index.probes, BROADCAST_ROWS), "term")
-        .select("key", "id", "body", (F.col("place") - F.col("q")).alias("begin"), bit("q").alias("bit"))
+        .select("key", "id", "body", (F.col("place") - F.col("q")).alias("begin"), _bit(F.col("q")).alias("bit"))
         .groupBy("key", "id", "body", "begin").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("met"))
     )
     met = met.join(small(least, BROADCAST_ROWS), "key").where(F.col("met") >= F.col("least"))
-    found = met.join(small(w.select("key", "item", "first", "words", "mask"), BROADCAST_ROWS), "key")
+    found = met.join(small(w.select("key", "first", "words", "mask"), BROADCAST_ROWS), "key")
     hit = found.where((F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")) & (F.col("begin") + F.col("first") >= 0))
-    return hit.select("id", "body", (F.col("begin") + F.col("first")).alias("start"), "item", "words")
+    return hit.select("id", "body", (F.col("begin") + F.col("first")).alias("start"), "words")
+
 
+def near_candidates(index: Index, slack: int = SLACK) -> DataFrame:
+    """(id, body, start, words): stretches of two spans from start in which all looked-up terms of a window stand; a span is
+    the window and the slack. Places are dealt to cells of a span and entered in the cell before too, so that any span lies
+    whole in one cell's stretch, whatever the text's length."""
+    w, least = _masked(index)
+    sized = index.probes.join(small(least.select("key", (F.col("size") + slack).alias("span")), BROADCAST_ROWS), "key")
+    rows = index.postings.join(small(sized, BROADCAST_ROWS), "term").withColumn("cell", F.floor(F.col("place") / F.col("span")))
+    met = (
+        rows.select("key", "span", "id", "body", F.explode(F.array("cell", F.col("cell") - 1)).alias("cell"), _bit(F.col("q")).alias("bit"))
+        .groupBy("key", "span", "id", "body", "cell").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("met"))
+    )
+    met = met.join(small(least.select("key", "least"), BROADCAST_ROWS), "key").where(F.col("met") >= F.col("least"))
+    found = met.join(small(w.select("key", "words", "mask"), BROADCAST_ROWS), "key")
+    hit = found.where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+    return hit.select("id", "body", F.greatest(F.lit(0), F.col("cell") * F.col("span")).cast("int").alias("start"), "words").distinct()
+
+
+def _held(index: Index, found: DataFrame, condition) -> DataFrame:
+    """(id, body, start, words) of the candidates that meet the condition on the words (w) of their document. A text's words are
+    joined once, to all its candidates, which its places and the windows that share their rarest terms bound."""
+    where = materialize(found.groupBy("id", "body").agg(F.collect_set(F.struct("start", "words")).alias("all")), "starts").alias("c")
+    d = index.words.alias("d")
+    both = d.join(where, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.body") == F.col("c.body"))).select("c.id", "c.body", "d.w", "c.all")
+    each = both.select("id", "body", "w", F.explode("all").alias("x")).select("id", "body", "w", "x.start", "x.words")
+    return each.where(condition).select("id", "body", "start", "words").distinct()
+
+
+def occurrences(index: Index) -> DataFrame:
+    """(id, body, start, words): exact places of whole windows, by document id and text."""
+    return _held(index, candidates(index), F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words"))
 
-def occurrences(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, body, item, start, n): exact places of whole windows, by document id and text."""
-    where = candidates(index).groupBy("id", "body").agg(F.collect_set(F.struct("start", "words", "item")).alias("all"))  # no more than the text has places
-    where = materialize(where, "starts").alias("c")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), text.alias("text")).alias("d")
-    both = d.join(where, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.body") == F.col("c.body")))
-    # The words are split once for a document: they stay below the explosion.
-    tokens = both.select("c.id", "c.body", terms(F.col("text")).alias("w"), "all")
-    each = tokens.select("id", "body", "w", F.explode("all").alias("x")).select("id", "body", "w", "x.start", "x.words", "x.item")
-    held = each.where(F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words"))
-    return held.select("id", "body", "start", F.size("words").alias("n"), "item").distinct()
 
+def proximity_matches(index: Index, slack: int = SLACK) -> DataFrame:
+    """(id, body, words): windows whose words all stand, in any order, within the window's length plus slack. Exact matches are
+    among them."""
+    span = F.size("words") + slack
+    stretch = F.slice("w", F.col("start") + 1, 2 * span)
+    spans = F.transform(F.sequence(F.lit(1), span + 1), lambda s: F.slice(stretch, s, span))
+    all_in = F.exists(spans, lambda x: F.size(F.array_except("words", x)) == 0)
+    return _held(index, near_candidates(index, slack), all_in).select("id", "body", "words").distinct()
 
-def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW) -> DataFrame:
-    """A row per document: id, body, n_words, n_hit, n_items, item_ids (sorted), contaminated."""
+
+def _items_of(index: Index, found: DataFrame) -> DataFrame:
+    """(id, body, item): the items whose windows were found."""
+    owners = index.windows.select("key", "words").distinct().join(index.items.select("key", F.coalesce("item", F.lit("")).alias("item")), "key").select("words", "item").distinct()
+    return found.select("id", "body", "words").distinct().join(small(owners, BROADCAST_ROWS), "words").select("id", "body", "item").distinct()
+
+
+def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """A row per document: id, body, n_words, n_hit, n_items, item_ids (sorted), contaminated, and n_near_items: items with
+    a window whose words all stand, in any order, within the window's length plus slack."""
     index = build_index(docs, items, id_col, text_col, item_id, item_text, size)
-    found = materialize(occurrences(docs, index, id_col, text_col), "occurrences")
-    index.drop()
-    spans = found.select("id", "body", "start", "n").distinct().groupBy("id", "body").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("spans"))
+    found = materialize(occurrences(index), "occurrences")
+    spans = found.select("id", "body", "start", F.size("words").alias("n")).distinct().groupBy("id", "body").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("spans"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))
     union = F.aggregate(
         "spans",
@@ -131,38 +186,29 @@ def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
         lambda a: a["hit"],
     )
     hit = spans.select("id", "body", union.alias("n_hit"))
-    ids = found.select("id", "body", F.coalesce("item", F.lit("")).alias("item")).distinct().groupBy("id", "body").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    both = materialize(hit.join(ids.withColumnsRenamed({"id": "i", "body": "b"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("body") == F.col("b"))).select("id", "body", "n_hit", "item_ids"), "hits").alias("h")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.size(terms(F.col(text_col))).cast("long").alias("n_words")).alias("d")
-    out = d.join(both, F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.body") == F.col("h.body")), "left")
+    ids = _items_of(index, found).groupBy("id", "body").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    near = _items_of(index, proximity_matches(index, slack)).groupBy("id", "body").agg(F.count("*").alias("n_near_items"))
+    # Every exact match is a proximity match, so near has all rows of the others.
+    key = lambda df, i: df.withColumnsRenamed({"id": f"id{i}", "body": f"body{i}"})
+    same = lambda i: F.col("id").eqNullSafe(F.col(f"id{i}")) & (F.col("body") == F.col(f"body{i}"))
+    all_hits = near.join(key(hit, 1), same(1), "left").join(key(ids, 2), same(2), "left").select("id", "body", "n_hit", "item_ids", "n_near_items")
+    both = materialize(all_hits, "hits").alias("h")
+    sizes = materialize(index.words.select("id", "body", F.size("w").cast("long").alias("n_words")), "sizes").alias("d")
+    index.drop()
+    drop(found)
+    out = sizes.join(both, F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.body") == F.col("h.body")), "left")
     none = F.array().cast("array<string>")
-    return out.select(
-        "d.id", "d.body", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids")
-    ).withColumns({"n_items": F.size("item_ids").cast("long"), "contaminated": F.col("n_hit") > 0})
-
-
-def proximity_matches(index: Index, slack: int) -> DataFrame:
-    """(item, first, id, body, place): windows whose looked-up terms all stand, in any order, within the window's length plus
-    slack; place is that of the first of them. Places are dealt to cells as long as that span and entered in the cell before
-    too, so every such group lies whole in one cell; a cell is no longer than two spans, whatever the text."""
-    w = index.windows.withColumn("span", F.size("words") + slack).withColumn("n", F.size("lists"))
-    listed = w.select("key", "item", "first", "span", "n", F.explode("lists").alias("q")).join(index.probes, ["key", "q"])
-    rows = index.postings.join(small(listed, BROADCAST_ROWS), "term")
-    cell = F.floor(F.col("place") / F.col("span"))
-    dealt = rows.withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    cells = dealt.groupBy("key", "item", "first", "span", "n", "id", "body", "cell").agg(F.collect_set(F.struct("place", "q")).alias("at"))
-    # From each place on, the span ahead must hold all terms.
-    starts = cells.withColumn("begin", F.explode("at")).withColumn("place", F.col("begin.place"))
-    seen = F.expr("size(array_distinct(transform(filter(at, x -> x.place >= place and x.place < place + span), x -> x.q)))")
-    return starts.where(seen == F.col("n")).select("item", "first", "id", "body", "place").distinct()
+    zeros = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_near_items")}
+    return out.select("d.id", "d.body", "n_words", zeros["n_hit"].alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), zeros["n_near_items"].alias("n_near_items")).withColumns(
+        {"n_items": F.size("item_ids").cast("long"), "contaminated": F.col("n_hit") > 0}
+    )
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW) -> DataFrame:
     """The rows of documents that hold no window, with all their columns."""
     body = fresh(docs, "body_hash")
     index = build_index(docs, items, id_col, text_col, item_id, item_text, size)
-    bad = materialize(occurrences(docs, index, id_col, text_col).select("id", "body").distinct(), "contaminated").alias("r")
+    bad = materialize(occurrences(index).select("id", "body").distinct(), "contaminated").alias("r")
     index.drop()
     marked = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.id")) & (F.col(f"d.`{body}`") == F.col("r.body"))

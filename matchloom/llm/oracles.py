@@ -21,10 +21,22 @@ hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(ra
 ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM occ) GROUP BY doc_id
-)
+),
+-- Near: all words of a window within its length plus 5. Looked for around its rarest word, or around none if one is missing.
+cnt AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) WHERE t IN (SELECT unnest(words) FROM win) GROUP BY t),
+rare AS (
+  SELECT words, arg_min(t, (coalesce(n, 0), t)) AS a FROM (SELECT words, unnest(words) AS t FROM (SELECT DISTINCT words FROM win)) LEFT JOIN cnt USING (t)
+  GROUP BY words HAVING count(*) = count(n)
+),
+around AS (SELECT doc_id, w, p, w[p] AS a FROM pos WHERE w[p] IN (SELECT a FROM rare)),
+near AS (
+  SELECT DISTINCT doc_id, words FROM around JOIN rare USING (a)
+  WHERE len(list_filter(range(greatest(1, p - len(words) - 4), p + 1), lambda s: list_has_all(w[s : s + len(words) + 4], words))) > 0
+),
+nearby AS (SELECT doc_id, count(DISTINCT coalesce(item_id::VARCHAR, '')) AS n_near_items FROM near JOIN win USING (words) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 WARC = """
@@ -50,7 +62,7 @@ _UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
 MIXING = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
-    {_UNIT.format("concat_ws('|', doc_id::VARCHAR, 'mix')")} AS u
+    {_UNIT.format("concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')), 'mix')")} AS u
   FROM documents
 ),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),

@@ -7,23 +7,29 @@ from matchloom.llm import decontaminate, registry
 from .conftest import SF, terms
 
 
-def brute(rows, items, size=10):
+def brute(rows, items, size=10, slack=5):
     wins = [(str(k), w) for k, t in items if (x := terms(t)) for w in {tuple(x[i : i + size]) for i in range(max(1, len(x) - size + 1))}]
     out = []
     for key, text in rows:
-        w, hit, ids = terms(text), set(), set()
+        w, hit, ids, near = terms(text), set(), set(), set()
+        have = set(w)
         for item, win in wins:
+            if not have.issuperset(win):
+                continue
+            span = len(win) + slack
+            if any(set(w[s : s + span]).issuperset(win) for s in range(len(w))):
+                near.add(item)
             for i in range(len(w) - len(win) + 1):
                 if tuple(w[i : i + len(win)]) == win:
                     hit.update(range(i, i + len(win)))
                     ids.add(item)
-        out.append((str(key), len(w), len(hit), sorted(ids)))
+        out.append((str(key), len(w), len(hit), sorted(ids), len(near)))
     return sorted(out)
 
 
 def got(df, items):
     r = decontaminate.report(df, items)
-    return sorted((str(x["id"]), x["n_words"], x["n_hit"], x["item_ids"]) for x in r.collect())
+    return sorted((str(x["id"]), x["n_words"], x["n_hit"], x["item_ids"], x["n_near_items"]) for x in r.collect())
 
 
 ITEMS = [
@@ -41,21 +47,22 @@ def test_equals_brute_force(spark, docs, texts):
 
 def test_edge_cases(spark, edge):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    extra = [(50, "x ALPHA, beta; gamma alpha beta gamma y", "s", 1, True), (51, "one two three four five six seven eight nine ten eleven", "s", 1, True), (52, "one two three four five six seven eight nine", "s", 1, True)]
+    extra = [(50, "x ALPHA, beta; gamma alpha beta gamma y", "s", 1, True), (51, "one two three four five six seven eight nine ten eleven", "s", 1, True), (52, "one two three four five six seven eight nine", "s", 1, True), (53, "gamma x x beta x alpha", "s", 1, True)]
     df = edge.union(spark.createDataFrame(extra, edge.schema))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     want = brute(rows, ITEMS)
     assert got(df, items) == want
-    assert any(n == 11 for _, _, n, _ in want) and any("8" in i for *_, i in want)
+    assert any(n == 11 for _, _, n, *_ in want) and any("8" in i for *_, i, _ in want)
+    assert any(near > len(i) for *_, i, near in want)
     kept = decontaminate.clean(df, items)
     assert kept.columns == df.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(k for k, _, n, _ in want if not n)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(k for k, _, n, *_ in want if not n)
 
 
 def test_empty_tables(spark, edge, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert got(empty, items) == []
-    assert all(n == 0 for _, _, n, _ in got(edge, items.limit(0)))
+    assert all(n == near == 0 for _, _, n, _, near in got(edge, items.limit(0)))
 
 
 def test_other_way_beyond_the_broadcast_bound(spark, edge, monkeypatch):
@@ -72,15 +79,27 @@ def test_query_hashes_its_items(spark):
     assert any(r["contaminated"] for r in rows)
 
 
-def test_no_python_in_the_plan(spark, edge):
-    items = spark.createDataFrame([(r["doc_id"], r["text"]) for r in edge.collect()], "item_id long, text string")
-    plan = decontaminate._tokens(items, "item_id", "text")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_full_index_finds_the_same(spark, docs, edge):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    few, full = (decontaminate.build_index(edge, items, full=f) for f in (False, True))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert full.postings.count() == sum(len(terms(r["text"])) for r in edge.collect()) > few.postings.count()
+    assert rows(decontaminate.occurrences(full)) == rows(decontaminate.occurrences(few)) != []
+    assert rows(decontaminate.proximity_matches(full)) == rows(decontaminate.proximity_matches(few)) != []
+
+
+def test_no_python_in_the_plans(spark, edge):
+    files = spark.read.schema("item_id long, text string").parquet(SF + "/benchmark.parquet")
+    index = decontaminate.build_index(edge, files)
+    frames = [decontaminate.tokens(edge), decontaminate.item_words(files), decontaminate.candidates(index), decontaminate.near_candidates(index), decontaminate.occurrences(index)]
+    for df in [*frames, decontaminate.proximity_matches(index), decontaminate.report(edge, files), decontaminate.clean(edge, files)]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
 @pytest.mark.parametrize("slack", [0, 3])
 def test_proximity(spark, slack):
-    docs = spark.createDataFrame([(1, "red big dog ran"), (2, "dog x red y big"), (3, "big dog"), (4, "dog a b c d e f g red h i j big")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "red big dog ran"), (2, "dog x red y big"), (3, "big dog"), (4, "dog a b c d e f g red h i j big"), (None, "x " * 1000 + "big z dog red")], "doc_id long, text string")
     index = decontaminate.build_index(docs, spark.createDataFrame([(9, "red big dog")], "item_id long, text string"))
-    found = sorted({r["id"] for r in decontaminate.proximity_matches(index, slack).collect()})
-    assert found == ([1] if slack == 0 else [1, 2])
+    found = {r["id"] for r in decontaminate.proximity_matches(index, slack).collect()}
+    assert found == ({1} if slack == 0 else {1, 2, None})
