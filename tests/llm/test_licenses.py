@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -15,8 +16,10 @@ def brute_regex(markup):
             out += "(?:"
         elif part == "<<endOptional>>":
             out += ")?"
-        elif m := re.fullmatch(r"<<var;name=\w+;most=(\d+)>>", part):
-            out += rf"(?:\S+ ){{0,{m[1]}}}"
+        elif m := re.fullmatch(r"<<var;name=\w+;match=(.+)>>", part):
+            out += "(?:" + "|".join("".join(re.escape(w) + " " for w in terms(c)) for c in m[1].split("|")) + ")"
+        elif part.startswith("<<var"):
+            out += r"(?:\S+ )*?"
         else:
             out += "".join(re.escape(w) + " " for w in terms(part))
     return re.compile(r"(?<!\S)" + out)
@@ -41,6 +44,48 @@ CASES = [
 ]
 
 
+def plain(label):
+    """A text of the license: optional regions kept, replaceable ones filled."""
+    t = re.sub(r"<<var;name=\w+;match=([^|>]+)[^>]*>>", r"\1", licenses.TEMPLATES[label])
+    return re.sub(r"<<(?:begin|end)Optional>>", "", re.sub(r"<<var;name=\w+>>", "Some Holder, of a Long Name & Sons,", t))
+
+
+def bare(label):
+    """The same without optional regions."""
+    t = licenses.TEMPLATES[label]
+    while "<<beginOptional>>" in t:
+        t = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", "", t)
+    t = re.sub(r"<<var;name=\w+;match=([^|>]+)[^>]*>>", r"\1", t)
+    return re.sub(r"<<var;name=\w+>>", "Some Holder", t)
+
+
+LONG = [k for k in licenses.TEMPLATES if k.endswith(("-text", "-header"))]
+CASES += [f"Some words before. {plain(k)} And after." for k in LONG]
+# The same with contrary wording at the end, in the middle, and cut off.
+CASES += [" ".join(plain(k).split()[:-1] + ["never"]) for k in LONG] + [" ".join(plain(k).split()[: len(plain(k).split()) // 2]) for k in LONG]
+CASES += ["copyright a copyright b all rights reserved c copyright " + "x " * 500 + "all rights reserved"]
+
+
+def test_whole_licenses_are_accepted_and_others_arent():
+    scanner = licenses.Scanner()
+    for k in LONG:
+        text, words = plain(k), bare(k).split()
+        assert k in scanner.scan(bare(k))[5].split(","), k
+        assert k in scanner.scan(f"First. {text.upper()} Then.")[5].split(","), k
+        for broken in (words[:-1] + ["never"], words[: len(words) // 2], words[: len(words) // 2] + ["not"] + words[len(words) // 2 :] if k == "mit-text" else words[1:]):
+            assert k not in scanner.scan(" ".join(broken))[5].split(","), k
+    first = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    assert scanner.scan(first + ", but never for money, and only on Mondays.")[5] == ""
+
+
+def test_regions_have_no_bound_and_time_grows_with_the_words():
+    text = "copyright " + "holder " * 5000 + "all rights reserved"
+    assert licenses.Scanner().scan(text)[5] == "all-rights-reserved"
+    began = time.process_time()
+    got = licenses.Scanner().scan("reserved rights all " + "copyright holder " * 200_000)
+    assert got[5] == "" and time.process_time() - began < 10
+
+
 @pytest.mark.parametrize("text", CASES)
 def test_equals_brute_force(text):
     assert licenses.Scanner().scan(text)[:6] == brute(text)
@@ -55,8 +100,17 @@ def test_documents(docs, texts):
 
 
 def test_edge_cases(edge, empty):
-    rows = licenses.scan(edge).collect()
-    assert len(rows) == edge.count() and licenses.scan(empty).count() == 0
+    rows = {(r["id"], r["n_words"]): (r["base_labels"], r["labels"], r["score"]) for r in licenses.scan(edge).collect()}
+    assert set(rows.values()) == {("", "", 0.0)} and rows.keys() == {(r["doc_id"], len(terms(r["text"]))) for r in edge.collect()}
+    assert licenses.scan(empty).count() == 0
+
+
+def test_defined_values(spark):
+    rows = [(1, None, "a"), (None, "MIT License", "b"), (4, "MIT License", "c"), (4, "MIT License", "d"), (4, "Apache License", "e"), (9, "x " * 600_000 + "mit license", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    got = sorted((str(r["id"]), r["n_words"], r["n_base"], r["first_word"], r["labels"], round(r["score"], 6)) for r in licenses.scan(df).collect())
+    want = [("1", 0, 0, None, "", 0.0), ("4", 2, 1, 0, "apache", 1.0), ("4", 2, 1, 0, "mit", 1.0), ("4", 2, 1, 0, "mit", 1.0), ("9", 600_002, 1, 600_000, "mit", round(2 / 600_002, 6)), ("None", 2, 1, 0, "mit", 1.0)]
+    assert got == want
 
 
 def test_markup_errors():
