@@ -2,16 +2,21 @@
 
 A page is cut into blocks at block-level tags. First pass: a block is *bad* if it stands in boilerplate markup (navigation,
 headers, footers, sidebars, forms, adverts, notices, comments) or mostly consists of links; else, by length and stop-word
-density, *good*, *near* (long enough, some stop words) or *short* (too short to tell). An article or main element is
-evidence of its own: in it a block is at least *near*, unless it is bad. Second pass: *near* blocks become good beside a
-good one, and short or near blocks take the label of the nearest decided neighbours on both sides; where those differ,
-a short block is good only inside an article, and a page whose only undecided blocks lie in its article keeps them.
+density, *good*, *near* (long enough, some stop words), *short* (too short to tell) or *bad*. A page without stop words of any
+language known here is told by lengths and links alone. Second pass: *near* blocks become good beside a good one, and short
+blocks take the label of the nearest decided neighbours on both sides.
+
+An article or main element, or a wrapper named so, is a prior: in it fewer words make a block good, no block is bad for want
+of stop words (an article's tables, code and gibberish are its own), a near block is good, and neighbours count inside it alone,
+so that what surrounds it doesn't decide; link lists and boilerplate markup in it are bad all the same, and short blocks among
+them too. Where an article's blocks are chosen, the page's text is theirs alone.
 
 The text is the good blocks in page order: references decoded, white space inside a block made one space, blocks joined by
 one space.
 
 Defined cases: a null or empty page has an empty text; unclosed, stray and cut-off tags never fail (a tag cut off by the end
-of the page is dropped); any length is read whole; repeated rows each get their row; an empty table gives an empty result.
+of the page is dropped; one whose quote is never closed ends at its next bracket); any length is read whole, in time that
+grows with it; repeated rows each get their row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,9 +53,14 @@ STOP = set(
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous "
     "al como con cual del desde el ella entre era es esta este ha hay las lo los más mi muy no nos o para pero por que se si sin sobre su sus también un una y ya".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_PART = re.compile(r"[a-z]+(?:-[a-z]+)*")
+#: Words that turn what follows in a class into its opposite or a mere mention.
+MENTIONS = set("has have no non not with without is show hide hides hidden js wp".split())
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MARKUP = set("class id role hidden aria-hidden".split())
+_EDGES = "".join(map(chr, range(33, 127))).translate({ord(c): None for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}) + "“”„‚‘’«»‹›…–—"
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -71,152 +81,210 @@ class Block:
     heading: bool
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role say that an element is boilerplate or hidden."""
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id"):
-            for x in re.split(r"[\s_]+", value):
-                if x in MARKS or any(p in MARKS for p in x.split("-")):
-                    return True
-    return False
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes that say what an element is, names and values in lower case."""
+    return {n: (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(text) if (n := m[1].lower()) in _MARKUP}
+
+
+def _named_boilerplate(x: str, main: int) -> bool:
+    """Whether a word of a class or id names boilerplate; a header inside an article introduces it."""
+    parts = x.split("-")
+    marks = MARKS - {"header"} if main else MARKS
+    return x in marks or (parts[0] not in MENTIONS and any(p in marks for p in parts))
+
+
+def _hidden(at: dict[str, str]) -> bool:
+    return "hidden" in at and at["hidden"] != "false" or at.get("aria-hidden") == "true"
 
 
-def _holds_content(attributes: str) -> bool:
+def _marked(at: dict[str, str], main: int = 0) -> bool:
+    """Whether class, id or role say that an element is boilerplate."""
+    return at.get("role") in ROLES or any(_named_boilerplate(x, main) for n in ("class", "id") for x in re.split(r"[\s_]+", at.get(n, "")))
+
+
+def _holds_content(at: dict[str, str]) -> bool:
     """Whether class, id or role say that an element holds the main text."""
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in ("main", "article") or name in ("class", "id") and not CONTENT.isdisjoint(re.split(r"[\s_]+", value)):
-            return True
-    return False
+    return at.get("role") in ("main", "article") or any(not CONTENT.isdisjoint(re.split(r"[\s_]+", at.get(n, ""))) for n in ("class", "id"))
+
+
+class _Open:
+    """The open elements: their state, and where those of each name and the block-level ones are, so that no end tag searches."""
 
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[bool, bool, int]]] = []
+        self.named: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
-def blocks(page: str) -> list[Block]:
+    def state(self) -> tuple[bool, bool, int]:
+        return self.stack[-1][1] if self.stack else (False, False, 0)
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def push(self, name: str, state: tuple[bool, bool, int]) -> None:
+        self.named.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, state))
+
+    def close(self, name: str) -> None:
+        """An end tag closes what is open inside its element, but inline ones never close blocks around them."""
+        if not self.named.get(name):
+            return
+        depth = self.named[name][-1]
+        if name not in BLOCK and name not in HIDDEN and self.blocks and self.blocks[-1] > depth:
+            return
+        while len(self.stack) > depth:
+            self.named[self.stack.pop()[0]].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+
+def blocks(page: str, trust_names: bool = True) -> list[Block]:
+    """The page's blocks. Without trust_names an article isn't boilerplate because a class or id of what is around it says so."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = [0]
-    stack: list[tuple[str, bool, bool, int]] = []  # element, hidden, boilerplate, main
-    state = (False, False, 0)
+    linked, links, at, n = 0, 0, 0, len(page)
+    opened = _Open()
+    state = opened.state()
 
     def flush(heading: bool = False) -> None:
+        nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked[0], state[1], state[2], heading))
+            out.append(Block(text, linked, state[1], state[2], heading))
         parts.clear()
-        linked[0] = 0
+        linked = 0
 
     def data(raw: str) -> None:
+        nonlocal linked
         if raw and not state[0]:
             text = references.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
-                linked[0] += len("".join(text.split()))
+                linked += len("".join(text.split()))
 
-    at, links, n = 0, 0, len(page)
+    begun = 0  # where the text before the next tag begins
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            data(page[at:])
+        found = page.find("<", at)
+        if found < 0:
             break
-        data(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if c := _COMMENT.match(page, found):
+            data(page[begun:found])
+            at = begun = c.end()
             continue
-        if not m[4]:  # cut off by the page's end
+        m = _TAG.match(page, found)
+        if not m:
+            at = found + 1
+            continue
+        data(page[begun:found])
+        # A quote that is never closed: the tag ends at the next bracket.
+        end = m.end() if page[m.end() : m.end() + 1] == ">" else page.find(">", m.end())
+        if end < 0:  # cut off by the page's end
+            begun = n
             break
-        name = m[2].lower()
+        attributes, at, name = page[m.end(2) : end], end + 1, m[2].lower()
+        begun = at
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name in BLOCK:
                 flush(name[0] == "h" and name[1:].isdigit())
             if name == "a":
                 links = max(0, links - 1)
-            # An end tag closes what is open inside it, but inline ones never close blocks around them.
-            if depth >= 0 and (name in BLOCK or name in HIDDEN or not any(s[0] in BLOCK for s in stack[depth + 1 :])):
-                del stack[depth:]
-                state = stack[-1][1:] if stack else (False, False, 0)
+            opened.close(name)
+            state = opened.state()
             continue
         if name in BLOCK:
             flush()
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(s[0] == "a" for s in stack[-1:]):
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and opened.top() == "a":
                 links = 0
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            at = begun = close.end() if close else n
             continue
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
         if name == "a":
             links += 1
-        if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()  # paragraphs don't nest
-        hidden, boiler, main = stack[-1][1:] if stack else (False, False, 0)
-        inside = 2 if name in MAIN else max(main, 1 if m[3] and name in BLOCK and name != "body" and _holds_content(m[3]) else 0)
+        if name == "p" and opened.top() == "p":
+            opened.close("p")  # paragraphs don't nest
+        hidden, boiler, main = opened.state()
+        own = _attributes(attributes) if attributes else {}
+        inside = 2 if name in MAIN else max(main, 1 if own and name in BLOCK and name != "body" and _holds_content(own) else 0)
+        if not trust_names and name in MAIN:
+            boiler = False
         # A header inside an article introduces it; anywhere else it is the page's.
-        boiler = boiler or (name in BOILERPLATE and not (name == "header" and main)) or (bool(m[3]) and name not in ("body", "html", *MAIN) and _marked(m[3]))
-        stack.append((name, hidden or name in HIDDEN, boiler, inside))
-        state = stack[-1][1:]
+        boiler = boiler or (name in BOILERPLATE and not (name == "header" and main)) or bool(own and name not in ("body", "html", *MAIN) and _marked(own, main))
+        opened.push(name, (hidden or name in HIDDEN or bool(own) and _hidden(own), boiler, inside))
+        state = opened.state()
+    data(page[begun:])
     flush()
     return out
 
 
-def label(b: Block, s: Settings) -> str:
+def _stops(w: list[str]) -> int:
+    return sum(x.strip(_EDGES).lower() in STOP for x in w)
+
+
+def label(b: Block, s: Settings, known: bool = True) -> str:
+    """The first pass; known says whether the page has stop words of a known language at all."""
     w = b.text.split()
     visible = sum(map(len, w))
-    if b.bad or (visible and b.linked / visible > s.max_link_density and not b.main):
+    links = b.linked / visible if visible else 0.0
+    if b.bad:
         return "bad"
-    if visible and b.linked / visible > 0.9 and len(w) <= s.short_words and not b.heading and not b.main:
+    if not b.heading and links > s.max_link_density and (len(w) >= s.short_words or links > 0.9):
         return "bad"
-    density = sum(x.strip(".,;:!?\"'()").lower() in STOP for x in w) / len(w)
     if len(w) < s.short_words:
         return "short"
-    if density >= s.stop_high:
-        return "good" if len(w) >= s.long_words or b.main else "near"
-    if density >= s.stop_low or b.main:
+    long = len(w) >= s.long_words or bool(b.main)
+    if not known:
+        return ("good" if long else "near") if _LETTER.search(b.text) else "bad"
+    stops = _stops(w)
+    if stops >= s.stop_high * len(w):
+        return "good" if long else "near"
+    if stops >= s.stop_low * len(w) or b.main:
         return "near"
     return "bad"
 
 
 def classify(found: list[Block], s: Settings = Settings()) -> list[bool]:
     """True for the blocks of the main text."""
-    first = [label(b, s) for b in found]
-    n = len(found)
-
-    def nearest(labels: list[str], decided: tuple[str, ...]) -> tuple[list[str], list[str]]:
-        before, after, last = ["bad"] * n, ["bad"] * n, "bad"
-        for i in range(n):
-            before[i] = last
-            last = labels[i] if labels[i] in decided else last
-        last = "bad"
-        for i in range(n - 1, -1, -1):
-            after[i] = last
-            last = labels[i] if labels[i] in decided else last
-        return before, after
-
-    # Near blocks beside a good one, or inside an article, are good.
-    before, after = nearest(first, ("good", "bad"))
-    second = list(first)
-    for i, b in enumerate(found):
-        if first[i] == "near":
-            second[i] = "good" if b.main or "good" in (before[i], after[i]) else "bad"
-    before, after = nearest(second, ("good", "bad"))
-    out = []
-    for i, b in enumerate(found):
-        if second[i] != "short":
-            out.append(second[i] == "good")
-        elif b.main:
-            out.append(True)
-        elif before[i] == after[i]:
-            out.append(before[i] == "good")
-        else:
-            out.append(False)
+    sizes = [(b, b.text.split()) for b in found]
+    known = any(len(w) >= s.short_words and _stops(w) >= s.stop_low * len(w) for _, w in sizes) or not any(len(w) >= s.short_words for b, w in sizes if not b.bad)
+    labels = [label(b, s, known) for b in found]
+    for unsure in ("near", "short"):
+        before, after = _neighbours(found, labels, range(len(found))), _neighbours(found, labels, range(len(found) - 1, -1, -1))
+        new = list(labels)
+        for i, b in enumerate(found):
+            if labels[i] != unsure:
+                continue
+            sides = {before[i], after[i]}
+            if unsure == "near":
+                new[i] = "good" if b.main or "good" in sides else "bad"
+            else:
+                # Beside nothing decided, or where the sides differ, an article's block is good and any other isn't.
+                new[i] = "good" if sides == {"good"} or b.main and sides != {"bad"} else "bad"
+        labels = new
+    return [x == "good" for x in labels]
+
+
+def _neighbours(found: list[Block], labels: list[str], order: range) -> list[str | None]:
+    """For each block the label of the nearest decided one before it in that order: inside an article of those inside, else of
+    those outside; bad outside at the page's edge."""
+    out: list[str | None] = [None] * len(found)
+    last: dict[bool, str | None] = {True: None, False: "bad"}
+    for i in order:
+        main = bool(found[i].main)
+        out[i] = last[main]
+        if labels[i] in ("good", "bad"):
+            last[main] = labels[i]
     return out
 
 
 def main_text(page: str | None, s: Settings = Settings()) -> str:
     found = blocks(page or "")
+    if not any(b.main and not b.bad for b in found) and any(b.main for b in found):
+        found = blocks(page or "", trust_names=False)
     if level := max((b.main for b in found if not b.bad), default=0):
         # Only the surest evidence of the page counts: an article beats a wrapper named content around it.
         found = [replace(b, main=level * (b.main == level)) for b in found]

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -71,6 +73,101 @@ def test_long_and_nested_pages():
     assert html.unescape("&amp;") == "&"
 
 
+SPAM = " ".join(f"spamword{i}" for i in range(40))
+RUSSIAN = " ".join(["Это история о том как мы приехали в город у моря и что мы там делали летом"] * 4)
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>another story number {i} of ours</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # Inside an article the rules decide as well.
+        (f"<article><p>{LONG}</p>{LINKS}<p>{LONG}</p></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><p>{SPAM}</p><p>{LONG}</p></article>", f"{LONG} {SPAM} {LONG}"),  # nothing of an article is dropped for its words
+        (f"<div><p>{LONG}</p><p>{SPAM}</p><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+        (f"<article><h1>Head</h1><p>{LONG}</p>{LINKS}<p>cut off</p>{LINKS}</article>", f"Head {LONG}"),
+        (f"<article><h2><a href=x>A linked head</a></h2><p>{LONG}</p></article>", f"A linked head {LONG}"),
+        (f"<article><p>De%%% êeux*** la### {' '.join('ouier$$$ le&amp;&amp;&amp;' for _ in range(20))}</p></article>", f"De%%% êeux*** la### {' '.join('ouier$$$ le&&&' for _ in range(20))}"),
+        # Names that only mention boilerplate, and attributes that only look like names.
+        *[(f"<div {x}><article><p>{LONG}</p></article></div>", LONG) for x in ("class=has-sidebar", "class='no-ads wide'", "class=with-comments", "data-id='menu'", "data-hidden='false'", "title='my class=nav x'", "hidden='false'", "class='sidebar-layout'")],
+        (f"<div class='main-nav'><p>{LONG}</p></div><p>{LONG}</p>", LONG),
+        (f"<article><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p><div class='post-comments'><p>{LONG}</p></div></article>", f"Head {LONG}"),
+        # Pages without an article, in a language without stop words here.
+        (f"<nav>{RUSSIAN}</nav><div><h1>Город у моря</h1><p>{RUSSIAN}</p><p>Коротко.</p><p>{RUSSIAN}</p></div>{LINKS}", f"{RUSSIAN} Коротко. {RUSSIAN}"),
+        (f"<article><p>{RUSSIAN}</p></article>", RUSSIAN),
+        (f"<p>{RUSSIAN}</p><p>++++ ---- ==== //// ++++ ---- ==== //// ++++ ---- ====</p>", RUSSIAN),
+        # Cut-off and stray quotes.
+        (f"<article><p title='a>b'>{LONG}</p><p class=\"x>one more of these</p></article>", f"{LONG} one more of these"),
+    ],
+)
+def test_rules_decide_everywhere(page, want):
+    assert html_text.main_text(page) == want
+
+
+def brute_rules(kinds):
+    """The two passes over (words, stop words, linked share, bad, main, heading) of each block, in plain words."""
+    known = any(n >= 10 and st >= 0.1 * n for n, st, *_ in kinds) or not any(n >= 10 and not bad for n, _, _, bad, _, _ in kinds)
+
+    def first(n, st, links, bad, main, heading):
+        if bad or not heading and (links > 0.9 or links > 0.4 and n >= 10):
+            return "bad"
+        if n < 10:
+            return "short"
+        dense, some = (True, True) if not known else (st / n >= 0.2, st / n >= 0.1)
+        if dense and (main or n >= 30):
+            return "good"
+        return "near" if some or main else "bad"
+
+    labels = [first(*k) for k in kinds]
+    for unsure in ("near", "short"):
+        old = list(labels)
+        for i, k in enumerate(kinds):
+            if old[i] != unsure:
+                continue
+            mine = [(j, old[j]) for j in range(len(kinds)) if bool(kinds[j][4]) == bool(k[4]) and old[j] in ("good", "bad")]
+            edge = None if k[4] else "bad"
+            sides = {next((x for j, x in reversed(mine) if j < i), edge), next((x for j, x in mine if j > i), edge)}
+            good = k[4] or "good" in sides if unsure == "near" else sides == {"good"} or k[4] and sides != {"bad"}
+            labels[i] = "good" if good else "bad"
+    return [x == "good" for x in labels]
+
+
+def test_passes_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(400):
+        rows, found = [], []
+        with_main = rng.random() < 0.5
+        stop = rng.random() < 0.8
+        for _ in range(rng.randint(1, 12)):
+            n, bad, heading, main = rng.choice((3, 9, 10, 15, 19, 20, 29, 30, 50)), rng.random() < 0.15, rng.random() < 0.1, 2 * (with_main and rng.random() < 0.6)
+            st = rng.choice((0, 1, n // 8, n // 4, n // 2)) if stop else 0
+            share = rng.choice((0, 0, 0, 0.5, 1.0))
+            words = ["the"] * st + ["xyz"] * (n - st)
+            linked = round(share * 3 * n)
+            rows.append((n, st, linked / (3 * n), bad, main, heading))
+            found.append(html_text.Block(" ".join(words), linked, bad, main, heading))
+        assert html_text.classify(found) == brute_rules(rows), rows
+
+
+HOSTILE = {
+    "end tags": "<b>" + "<div>" * 20_000 + "</b>" * 100_000, "unclosed": "<div><i>" * 60_000, "strays": "</x>" * 200_000, "quotes": "<a \"" * 200_001, "brackets": "<" * 1_000_000, "comments": "<!-- " * 100_000,
+    "attributes": "<p " + "a=b " * 300_000 + ">", "references": "&amp" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(name):
+    began = time.process_time()
+    html_text.main_text(HOSTILE[name])
+    assert time.process_time() - began < 10
+
+
+def test_long_page_is_read_whole():
+    page = "<article>" + f"<p>{LONG}</p>" * 8000 + "<p>The very end of it all is here and it is as good as the rest.</p></article>"
+    text = html_text.main_text(page)
+    assert len(page) > 1_300_000 and text.endswith("as good as the rest.") and text.count(LONG) == 8000
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article>a</article>", "x"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
