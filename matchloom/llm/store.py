@@ -26,13 +26,18 @@ def create(path: str):
     return where.open_output_stream(name)
 
 
-def commit(folder: str, names: list[tuple[str, str]], manifest: dict[str, Any]) -> None:
-    """Renames what the finished attempts wrote, deletes other attempts' files, and writes the manifest last:
-    a folder without a manifest isn't complete, and nothing reads it."""
+def finish(folder: str, temporary_name: str, name: str) -> None:
+    """Gives a file that a task has written its final name. A second attempt at the same task has written the same bytes, so that
+    it does no harm if it replaces the file."""
+    where, base = of(folder)
+    where.move(of(temporary_name)[1], f"{base}/{name}")
+
+
+def commit(folder: str, manifest: dict[str, Any]) -> None:
+    """Deletes what unfinished attempts left and writes the manifest last: a folder without a manifest isn't complete, and nothing
+    reads it; a file that isn't in the manifest isn't part of it. May be repeated."""
     where, base = of(folder)
     where.create_dir(base, recursive=True)
-    for old, new in names:
-        where.move(of(old)[1], f"{base}/{new}")
     if where.get_file_info(f"{base}/_tmp").type != fs.FileType.NotFound:
         where.delete_dir(f"{base}/_tmp")
     with where.open_output_stream(f"{base}/_manifest.tmp") as f:

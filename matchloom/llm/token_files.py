@@ -1,20 +1,24 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
 A shard has three files: ids (uint16 if the vocabulary allows, else uint32, little-endian), offsets (int64, one more than
-documents, counted from the shard's start) and docs (int64 document ids; 0 where null). Documents are range-sorted by id, so
-shards follow each other, and the manifest has each shard's base: the prefix sums of the shards' ids and documents. Tasks
-write under temporary names; the driver, which sees a row per shard, renames them and writes the manifest last.
+documents, counted from the shard's start) and docs (int64 document ids; 0 where null). Documents are in ascending order of their
+ids and cut into shards at fixed marks of the texts' bytes added up in that order (``Cuts``), so that the files
+depend on the documents alone, not on the cluster. The manifest has each shard's base: the prefix sums of the shards' ids and
+documents. Tasks write under temporary names and give each finished file its final one; the driver, which sees a row per
+shard, writes the manifest last.
 
-Texts are encoded by the tokenizers library. The tokenizer drops white space and never merges across it, nor a letter or digit
-with a full stop or comma, so each distinct stretch between white space is encoded once and remembered in a bounded table
-(``WORDS``); set ``whole=True`` for tokenizers of which that isn't true.
+Texts are encoded by the tokenizers library. Of a tokenizer with the known normalizer and splitting rule (``PIECES``), which drops
+white space and never merges across it, nor a letter or digit with a full stop or comma, each distinct stretch between white space
+is encoded once and remembered in a bounded table (``WORDS``); of any other whole texts are encoded.
 
 Defined cases: a null or blank text has the end id alone; null ids come first (the manifest counts them); equal ids go by
-text; repeated rows are written as often as they occur; an empty table gives a manifest without shards.
+text, those of an id with more bytes than a shard by a hash of the text first; repeated rows are written as often as they occur;
+an empty table gives a manifest without shards; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,23 +29,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .common import new_dir, shards
+from .common import Cuts, dealt_to_shards, drop, materialize, new_dir, shard_size
 
 #: Stretches that a Python worker remembers.
 WORDS = 1_000_000
-#: UTF-8 bytes of text in a shard, about.
-SHARD_BYTES = 24 << 20
-_encoders: dict[tuple[str, str, bool], "Encoder"] = {}
+#: Fixed value: the splitting rule of the tokenizer whose stretches can be encoded apart.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_encoders: dict[tuple[str, str, bool | None], "Encoder"] = {}
+
+
+def in_stretches(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its parsed file) encodes stretches between white space as it would inside a whole text."""
+    listed = lambda x, key: (x.get(key) or [x]) if x else []
+    before, split = listed(tokenizer["normalizer"], "normalizers"), listed(tokenizer["pre_tokenizer"], "pretokenizers")
+    plain = all(n["type"] in ("NFC", "Lowercase") or (n["type"], n.get("pattern"), n.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for n in before)
+    first = split[0] if split else {}
+    rule = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": PIECES}, "Removed", True)
+    byte_level = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in split[1:])
+    return plain and rule and byte_level and not tokenizer.get("post_processor") and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in tokenizer["added_tokens"])
 
 
 class Encoder:
-    def __init__(self, path: str, dtype: str, whole: bool):
+    def __init__(self, path: str, dtype: str, whole: bool | None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.whole = dtype, whole
-        self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4000]
+        made = json.loads(self.tokenizer.to_str())
+        self.dtype, self.whole = dtype, not in_stretches(made) if whole is None else whole
+        normalizer = made["normalizer"] or {}
+        self.lower = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer] if normalizer else []))
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -85,7 +102,7 @@ class Encoder:
         return out
 
 
-def _encoder(path: str, dtype: str, whole: bool) -> Encoder:
+def _encoder(path: str, dtype: str, whole: bool | None) -> Encoder:
     """One for each Python worker, kept from task to task."""
     key = (path, dtype, whole)
     if key not in _encoders:
@@ -93,52 +110,80 @@ def _encoder(path: str, dtype: str, whole: bool) -> Encoder:
     return _encoders[key]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, id_col="doc_id", text_col="text", whole: bool = False, shard_bytes: int = SHARD_BYTES) -> dict:
-    """Writes the documents in ascending id order; returns the manifest."""
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, id_col="doc_id", text_col="text", whole: bool | None = None, shard_bytes: int | None = None) -> dict:
+    """Writes the documents in ascending id order; returns the manifest. whole: None tells by the tokenizer; shard_bytes (of text):
+    None goes by the data."""
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     dtype = "<u2" if max(vocabulary - 1, end_id or 0) < 1 << 16 else "<u4"
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = shards(docs.sparkSession, total, shard_bytes)
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("spot"))
+    keys = materialize(slim.select("id", "spot", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes")), "token-keys")
+    size = shard_bytes or shard_size(keys.agg(F.sum("bytes")).first()[0] or 0)
+    cuts = Cuts(keys, size)
+    drop(keys)
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     width = np.dtype(dtype).itemsize
+    kinds = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("nulls", pa.int64()), ("ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name = _encoder(tokenizer, dtype, whole), store.temporary(folder)
-        docs_n = nulls = ids_n = 0
-        first = None
-        with store.create(f"{name}.ids") as ids, store.create(f"{name}.offsets") as offsets, store.create(f"{name}.docs") as keys:
-            offsets.write(np.array([0], "<i8").tobytes())
-            for b in batches:
-                if not b.num_rows:
+        encoder, shard = _encoder(tokenizer, dtype, whole), None
+        for b in batches:
+            of = b.column(0).to_numpy()
+            # A batch may reach into further shards.
+            marks = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(marks, marks[1:]):
+                if lo == hi:
                     continue
-                parts = [p + end for p in encoder.encode(b.column(1).to_pylist())]
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
-                ids.write(b"".join(parts))
-                offsets.write((ids_n + np.cumsum(sizes)).astype("<i8").tobytes())
-                keys.write(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                if first is None:
-                    first = b.column(0)[0].as_py()
-                docs_n, nulls, ids_n = docs_n + b.num_rows, nulls + b.column(0).null_count, ids_n + int(sizes.sum())
-        if docs_n:
-            yield pa.RecordBatch.from_pylist([{"name": name, "first": first, "docs": docs_n, "nulls": nulls, "ids": ids_n}], schema=pa.schema([("name", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("nulls", pa.int64()), ("ids", pa.int64())]))
-
-    ordered = slim.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    rows = ordered.mapInArrow(run, "name string, first long, docs long, nulls long, ids long").withColumn("part", F.spark_partition_id()).collect()  # one per shard
-    rows.sort(key=lambda r: r["part"])
-    names, made_of, base, doc_base = [], [], 0, 0
-    for i, r in enumerate(rows):
-        shard = f"shard-{i:06d}"
-        names += [(f"{r['name']}.{k}", f"{shard}.{k}") for k in ("ids", "offsets", "docs")]
-        made_of.append({"shard": shard, "docs": r["docs"], "nulls": r["nulls"], "ids": r["ids"], "base": base, "doc_base": doc_base})
+                if shard is None or shard.number != of[lo]:
+                    if shard is not None:
+                        yield pa.RecordBatch.from_pylist([shard.close()], schema=kinds)
+                    shard = _Shard(folder, int(of[lo]))
+                part = b.slice(lo, hi - lo)
+                shard.add(part.column(1), [x + end for x in encoder.encode(part.column(2).to_pylist())], width)
+        if shard is not None:
+            yield pa.RecordBatch.from_pylist([shard.close()], schema=kinds)
+
+    placed = slim.withColumns({"shard": cuts.shard(), "part": cuts.part()}).select("shard", "id", "text", "part")
+    ordered = dealt_to_shards(placed, len(cuts.firsts)).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "part", "text").select("shard", "id", "text")
+    rows = sorted(ordered.mapInArrow(run, "shard int, docs long, nulls long, ids long").collect(), key=lambda r: r["shard"])  # one per shard
+    made_of, base, doc_base = [], 0, 0
+    for r in rows:
+        made_of.append({"shard": _name(r["shard"]), "docs": r["docs"], "nulls": r["nulls"], "ids": r["ids"], "base": base, "doc_base": doc_base})
         base, doc_base = base + r["ids"], doc_base + r["docs"]
     made = {"dtype": dtype, "ids": base, "docs": doc_base, "end_id": end_id, "shards": made_of}
-    store.commit(folder, names, made)
+    store.commit(folder, made)
     return made
 
 
+def _name(shard: int) -> str:
+    return f"shard-{shard:06d}"
+
+
+class _Shard:
+    """The three files of a shard while a task writes them."""
+
+    def __init__(self, folder: str, number: int):
+        self.folder, self.number, self.name = folder, number, store.temporary(folder)
+        self.files = {k: store.create(f"{self.name}.{k}") for k in ("ids", "offsets", "docs")}
+        self.files["offsets"].write(np.array([0], "<i8").tobytes())
+        self.docs = self.nulls = self.ids = 0
+
+    def add(self, keys: pa.Array, parts: list[bytes], width: int) -> None:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+        self.files["ids"].write(b"".join(parts))
+        self.files["offsets"].write((self.ids + np.cumsum(sizes)).astype("<i8").tobytes())
+        self.files["docs"].write(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+        self.docs, self.nulls, self.ids = self.docs + len(parts), self.nulls + keys.null_count, self.ids + int(sizes.sum())
+
+    def close(self) -> dict:
+        for k, f in self.files.items():
+            f.close()
+            store.finish(self.folder, f"{self.name}.{k}", f"{_name(self.number)}.{k}")
+        return {"shard": self.number, "docs": self.docs, "nulls": self.nulls, "ids": self.ids}
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Reads a folder back: a row per document with doc_id, start, n_tokens, ids_crc32."""
     made = store.manifest(folder)

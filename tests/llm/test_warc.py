@@ -72,6 +72,49 @@ def test_files_are_deterministic_and_roll(spark, pages):
     assert store.manifest(folder)["records"] == len(PAGES)
 
 
+def folder_bytes(df, **options):
+    folder = new_dir(df.sparkSession, "w")
+    made = warc.write(df, folder, **options)
+    assert sorted(p.name for p in Path(folder).iterdir() if p.name[0] != ".") == sorted(["manifest.json", *(f["file"] for f in made["files"])])
+    return {p.name: p.read_bytes() for p in Path(folder).iterdir()}, made
+
+
+def test_files_dont_depend_on_the_partitions(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    first, made = folder_bytes(df.repartition(3), shard_bytes=30_000, roll_bytes=6_000)
+    assert len({f["file"][:14] for f in made["files"]}) > 3 and any(not f["file"].endswith("-0000.warc.gz") for f in made["files"])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert folder_bytes(df.repartition(11), shard_bytes=30_000, roll_bytes=6_000)[0] == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_record_ids_are_unique_and_refer_to_records(spark, pages):
+    files, _ = folder_bytes(pages)
+    heads = [warc.parse(m)[0] for name, data in files.items() if name.endswith(".gz") for m in warc.members(data)]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(PAGES)
+    responses = {h["warc-record-id"]: h["warc-payload-digest"] for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisits and all(responses[h["warc-refers-to"]] == h["warc-payload-digest"] for h in revisits)
+
+
+def test_null_and_repeated_ids_are_cut_up(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"http://h/{i}", f"page {i} " + "word " * (i % 30)) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    _, made = folder_bytes(df, shard_bytes=4000)
+    assert len(made["files"]) > 10 and max(f["records"] for f in made["files"]) < 200 and made["records"] == 900
+
+
+def test_very_long_payload(spark):
+    text = "ü long page " * 150_000
+    df = spark.createDataFrame([(1, "u", text), (2, "v", text)], "page_id long, url string, html string")
+    size = len(text.encode())
+    assert rows_of(warc.write_and_read(df)) == [(1, size, sha(text), "revisit", 2), (2, size, sha(text), "response", None)]
+
+
 def test_archives_are_plain_gzip_with_payloads(spark, pages):
     folder = new_dir(spark, "w")
     made = warc.write(pages, folder)
@@ -82,7 +125,7 @@ def test_archives_are_plain_gzip_with_payloads(spark, pages):
 
 
 def test_damage_is_found(spark, pages):
-    data = warc.record(1, "u", b"payload", sha("payload"), 7, None, False, warc.DATE)
+    data = warc.record(1, "u", b"payload", sha("payload"), 7, None, warc.DATE)
     with pytest.raises(ValueError, match="digest"):
         warc.parse(data.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
 
