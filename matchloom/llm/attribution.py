@@ -9,9 +9,8 @@ by binary search over both sorted lists. A token that crosses a section's end is
 
 Under each rule a token counts once, so the sections' counts add up to the document's.
 
-Stretches that begin with ASCII white space after a visible character are encoded apart and remembered in a bounded
-table; byte-level BPE splits there before it merges, so ids and spans equal those of the whole text. Set ``whole=True`` for
-tokenizers of which that isn't true.
+Of a byte-level tokenizer that changes nothing about a text (no normalizer, no prefix) the tokens' bytes follow each other and make
+up the text, so that their spans are sums of their lengths; of any other the tokenizer's own spans are taken.
 
 Defined cases: a null or empty text has one empty section without tokens; characters outside all sections count for
 section -1; repeated rows each get their sections; an empty table gives an empty result; extra columns are ignored.
@@ -19,6 +18,7 @@ section -1; repeated rows each get their sections; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -29,44 +29,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("first", "last", "most")
-KNOWN = 500_000
-_CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
-_spanners: dict[tuple[str, bool], "Spanner"] = {}
+#: Characters of the texts that are encoded in one call.
+CALL = 1 << 20
+_spanners: dict[str, "Spanner"] = {}
 
 
 class Spanner:
-    def __init__(self, path: str, whole: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.whole = whole
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.offsets, np.int32).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def spans(self, text: str) -> np.ndarray:
-        """Start and end of each token, in characters."""
-        if self.whole:
-            return self._encode([text])[0].astype(np.int64)
-        parts = _CUT.split(text)
-        if new := list({*parts}.difference(self.known)):
-            if len(self.known) + len(new) > KNOWN:
-                self.known = {}
-                new = list({*parts})
-            self.known.update(zip(new, self._encode(new), strict=True))
-        got = [self.known[p] for p in parts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.repeat(np.cumsum(sizes) - sizes, np.fromiter(map(len, got), np.int64, len(got)))
-        return np.concatenate(got).astype(np.int64) + at[:, None]
-
-
-def _spanner(path: str, whole: bool) -> Spanner:
-    if (path, whole) not in _spanners:
-        _spanners[path, whole] = Spanner(path, whole)
-    return _spanners[path, whole]
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.bytes_of: np.ndarray | None = None
+        if (made["normalizer"], made["post_processor"], split.get("type"), split.get("add_prefix_space"), made["model"].get("continuing_subword_prefix"), made["model"].get("end_of_word_suffix")) == (None, None, "ByteLevel", False, None, None):
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, k in vocabulary.items():
+                self.bytes_of[k] = len(token)  # one letter stands for a byte
+
+    def spans(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Of each text, encoded whole and once: start and end of each token, in characters."""
+        held: list[str] = []
+        size = 0
+        for t in [*texts, None]:
+            if held and (t is None or size + len(t) > CALL):
+                yield from self._spans(held)
+                held, size = [], 0
+            if t is not None:
+                held.append(t)
+                size += len(t)
+
+    def _spans(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if self.bytes_of is None:
+            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+                yield np.array(e.offsets, np.int64).reshape(-1, 2)
+            return
+        for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            raw = t.encode()
+            end = np.cumsum(self.bytes_of[np.array(e.ids, np.int64)])
+            if (end[-1] if len(end) else 0) != len(raw):
+                raise ValueError("the tokens don't make up the text")
+            start = np.concatenate([np.zeros(min(1, len(end)), np.int64), end[:-1]])
+            if len(raw) != len(t):
+                place = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # of each byte the character it is of
+                start, end = place[start], place[end - 1] + 1
+            yield np.stack([start, end], 1)
+
+
+def _spanner(path: str) -> Spanner:
+    if path not in _spanners:
+        _spanners[path] = Spanner(path)
+    return _spanners[path]
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -99,7 +115,7 @@ def attribute(spans: np.ndarray, sections: list[tuple[int, int]], rule: str = "f
     return np.bincount(pick[held], minlength=n), np.bincount(pick[held & crossing], minlength=n), int((~held).sum())
 
 
-def count(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", rule: str = "first", whole: bool = False, sections_col: str | None = None) -> DataFrame:
+def count(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", rule: str = "first", sections_col: str | None = None) -> DataFrame:
     """A row per section: id, section, start, end (characters), n_tokens, n_crossing, doc_tokens. Sections are the lines, or
     the array<struct<start,end>> in sections_col, which must be sorted and not overlap."""
     if rule not in RULES:
@@ -109,13 +125,12 @@ def count(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", rul
     names = ["section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spanner = _spanner(tokenizer, whole)
+        spanner = _spanner(tokenizer)
         for b in batches:
             rows, cols = [], [[] for _ in names]
-            for i, t in enumerate(b.column(1)):
-                text = t.as_py() or ""
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, (text, spans) in enumerate(zip(texts, spanner.spans(texts), strict=True)):
                 parts = lines(text) if sections_col is None else [(s["start"], s["end"]) for s in b.column(2)[i].as_py() or []]
-                spans = spanner.spans(text) if text else np.zeros((0, 2), np.int64)
                 if parts:
                     got, crossing, outside = attribute(spans, parts, rule)
                 else:
