@@ -5,8 +5,8 @@ pairs through: SimHash alone can't find them. So its links, found on the grid at
 what is nearly equal, each checked on shingle sets; further candidates come from MinHash: 20 bands of 4 values, which put
 a pair at similarity 0.8 into a common bucket but for 3 in 100,000, and one at 0.9 but for 3 in 10 billion.
 Every candidate pair is then either found connected already, ruled out by a bound, or compared on its whole shingle sets, so
-that no bucket is sampled or cut. So as not to form the pairs of a large group, two rounds first hold each text against
-one leader that it shares a bucket with, and contraction joins what agrees. Of the texts whose buckets then still lie in
+that no bucket is sampled or cut. So as not to form the pairs of a large group, each text is first held against
+two leaders that it shares a bucket with, one of them the group's most typical text, and contraction joins what agrees. Of the texts whose buckets then still lie in
 different components, those with too many shingles that no other open text has can't have a link (see ``_hopeful``);
 what is left is compared pair by pair, as far as sizes and shared shingles allow.
 
@@ -34,8 +34,6 @@ from .simhash import _hash, contract
 SHINGLE, BANDS, ROWS = 5, 20, 4
 #: Similarity of LEAST[0] / LEAST[1] or more links two texts.
 LEAST = (4, 5)
-#: Leader rounds, each with its own order of the nodes.
-ORDERS = (0, 0x5DEECE66D1CE4E5B)
 #: Shingles taken through all hash functions at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 14
 _MIX = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -117,14 +115,28 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """(node, own) of the nodes that have shingles no other has: how many."""
+    tokens = sets.select("node", F.explode("grams").alias("g"))
+    return tokens.groupBy("g").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, root, …) of buckets with nodes of different components."""
+    by = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return rows.join(by, "bucket", "left_semi")
+
+
 def _hopeful(left: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Rows (bucket, node, n, root) of the nodes that can still have a link, with shared: how many of a node's shingles another
-    open node has as well. A link shares up / down of either text's shingles at least, so a node with fewer has none."""
+    """Rows (bucket, node, n, root) of the nodes that can still have a link in the bucket, with shared: how many of a node's
+    shingles another open node has as well. Two linked texts share up / (up + down) of their sizes added up, and up / down of
+    either, at least; a node that shares less than that with a text as short as the bucket's shortest has no link there."""
     up, down = similarity
-    tokens = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.explode("grams").alias("g"))
-    own = tokens.groupBy("g").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count("*").alias("own"))
+    own = _own(sets.join(left.select("node").distinct(), "node", "left_semi"))
     counted = left.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    return counted.where(F.col("shared") * down >= F.col("n") * up)
+    counted = counted.where(F.col("shared") * down >= F.col("n") * up)
+    least = counted.groupBy("bucket").agg(F.min("n").alias("least"))
+    return counted.join(least, "bucket").where(F.col("shared") * (up + down) >= (F.col("n") + F.col("least")) * up).drop("least")
 
 
 def links(near: DataFrame, sets: DataFrame, first: DataFrame, similarity: tuple[int, int] = LEAST) -> DataFrame:
@@ -132,36 +144,33 @@ def links(near: DataFrame, sets: DataFrame, first: DataFrame, similarity: tuple[
     (a, b) to begin with."""
     up, down = similarity
     near_of_size = lambda p, q: (F.col(p) * down >= F.col(q) * up) & (F.col(q) * down >= F.col(p) * up)
-    spark = near.sparkSession
-    edges = tested = spark.createDataFrame([], "a long, b long")
-    stars = spark.createDataFrame([], "node long, root long")
-    for turn in ("simhash", *ORDERS, None):
-        placed = near.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        ends = [F.min("root").alias("lo"), F.max("root").alias("hi")]
-        if turn == "simhash":
-            pairs = first
-        elif turn is not None:
-            flip = lambda c: F.col(c).bitwiseXOR(F.lit(turn).cast("long"))  # noqa: B023, E731
-            by = placed.groupBy("bucket").agg(*ends, F.min(flip("node")).alias("lead")).where("lo <> hi").select("bucket", "lead")
-            led = placed.join(by, "bucket").select("node", "lead").where(flip("node") != F.col("lead"))
-            each = led.groupBy("node").agg(F.min("lead").alias("lead"))
-            pairs = each.select(F.col("node").alias("a"), flip("lead").alias("b"))
-        else:
-            by = placed.groupBy("bucket").agg(*ends).where("lo <> hi").select("bucket")
-            left = materialize(placed.join(by, "bucket", "left_semi"), "near-open")
-            left = materialize(_hopeful(left, sets, similarity), "near-hopeful")
-            p, q = left.alias("p"), left.alias("q")
-            # The shingles that two texts share are among those that either shares with anyone.
-            enough = F.least("p.shared", "q.shared") * (up + down) >= up * (F.col("p.n") + F.col("q.n"))
-            met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near_of_size("p.n", "q.n") & enough)
-            pairs = met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-        pairs = materialize(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialize(_alike(pairs, sets, similarity), "near-links")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            stars = contract(materialize(edges, "near-edges"))
-        tested = tested.union(pairs)
-    return stars
+    tested = materialize(_ordered(first.unionByName(_to_leaders(near, sets))), "near-pairs")
+    stars = contract(materialize(_alike(tested, sets, similarity), "near-links"))
+    placed = near.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    left = materialize(_open(placed), "near-open")
+    left = materialize(_open(materialize(_hopeful(left, sets, similarity), "near-hopeful")), "near-open")
+    p, q = left.alias("p"), left.alias("q")
+    # The shingles that two texts share are among those that either shares with anyone.
+    enough = F.least("p.shared", "q.shared") * (up + down) >= up * (F.col("p.n") + F.col("q.n"))
+    met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near_of_size("p.n", "q.n") & enough)
+    pairs = _ordered(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    found = materialize(_alike(pairs, sets, similarity), "near-links")
+    if found.isEmpty():
+        return stars
+    # What is known goes on as its stars.
+    return contract(materialize(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found).distinct(), "near-edges"))
+
+
+def _to_leaders(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with two leaders that it shares a bucket with: the most typical node, which has the smallest share
+    of shingles that no other node has and so is nearest to the text that a group's copies were made from, and the one
+    of the smallest hash."""
+    typical = F.coalesce(F.col("own"), F.lit(0)) / F.col("n")
+    rows = near.join(_own(sets), "node", "left").select("bucket", "node", F.struct(typical.alias("rank"), F.col("node").alias("at")).alias("a"), F.struct(F.lit(0.0).alias("rank"), F.col("node").alias("at")).alias("b"))
+    leads = rows.groupBy("bucket").agg(F.min("a").alias("lead_a"), F.min("b").alias("lead_b"))
+    each = rows.join(leads, "bucket").groupBy("node").agg(F.min("lead_a").alias("lead_a"), F.min("lead_b").alias("lead_b"))
+    return each.select(F.col("node").alias("a"), F.explode(F.array("lead_a.at", "lead_b.at")).alias("b")).where("a <> b")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = LEAST) -> DataFrame:

@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.array_join("item_ids", ","), 256)
-    return r.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated")
+    return r.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated", "n_near_items")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
