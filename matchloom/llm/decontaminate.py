@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, fresh, materialize, small, terms
@@ -43,15 +43,21 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, body, w): a document's id, a hash of its text, and its words."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), terms(F.col(text_col)).alias("w"))
+    """(id, body, n_words, line): a document's id, a hash of its text, its words and their number; the words in one string, which
+    takes a quarter of an array's room on the way."""
+    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), terms(F.col(text_col)).alias("w"))
+    return split.select("id", "body", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("line"))
+
+
+def _words() -> Column:
+    return F.when(F.col("n_words") > 0, F.split("line", " ")).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass
 class Index:
     """Tables in the shared folder: the words of documents, the postings, and what these are looked up by."""
 
-    words: DataFrame  # id, body, w
+    words: DataFrame  # id, body, n_words, line
     postings: DataFrame  # term, id, body, place
     items: DataFrame  # item, key (of its words)
     probes: DataFrame  # key, q (the term's place in the item), term
@@ -70,7 +76,7 @@ def build_index(
     known = named.select("key", "w").dropDuplicates(["key"])
     places = known.select("key", F.posexplode("w").alias("q", "term"))
     vocabulary = places.select("term").distinct()
-    counts = words.select(F.explode("w").alias("term")).join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").count()
+    counts = words.select(F.explode(_words()).alias("term")).join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").count()
     counts = materialize(counts, "term-counts")
     counted = places.join(small(counts, BROADCAST_ROWS), "term", "left").groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("q", "count"))).alias("at")  # an item's own words
@@ -85,7 +91,7 @@ def build_index(
     windows = materialize(windows.where(~F.col("missing")).drop("missing"), "probe-windows")
     wanted = windows.select("key", F.explode("lists").alias("q")).distinct()
     probes = materialize(wanted.join(places, ["key", "q"]), "probes")
-    postings = words.select("id", "body", F.posexplode("w").alias("place", "term"))
+    postings = words.select("id", "body", F.posexplode(_words()).alias("place", "term"))
     if not full:
         postings = postings.join(small(probes.select("term").distinct(), BROADCAST_ROWS), "term")
     postings = materialize(postings.select("term", "id", "body", "place"), "postings")
@@ -141,29 +147,33 @@ def near_candidates(index: Index, slack: int = SLACK) -> DataFrame:
     return hit.select("id", "body", F.greatest(F.lit(0), F.col("cell") * F.col("span")).cast("int").alias("start"), "words").distinct()
 
 
-def _held(index: Index, found: DataFrame, condition) -> DataFrame:
-    """(id, body, start, words) of the candidates that meet the condition on the words (w) of their document. A text's words are
-    joined once, to all its candidates, which its places and the windows that share their rarest terms bound."""
-    where = materialize(found.groupBy("id", "body").agg(F.collect_set(F.struct("start", "words")).alias("all")), "starts").alias("c")
-    d = index.words.alias("d")
-    both = d.join(where, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.body") == F.col("c.body"))).select("c.id", "c.body", "d.w", "c.all")
-    each = both.select("id", "body", "w", F.explode("all").alias("x")).select("id", "body", "w", "x.start", "x.words")
-    return each.where(condition).select("id", "body", "start", "words").distinct()
+def _held(index: Index, found: DataFrame) -> DataFrame:
+    """Of candidates (id, body, start, words, near) those that hold: the window stands at start, or (near is its slack, else null)
+    all its words stand, in any order, within its length and the slack in the stretch of two such spans from start. A text's words
+    are joined once, to all its candidates, which its places and the windows that share their rarest terms bound."""
+    where = materialize(found.groupBy("id", "body").agg(F.collect_set(F.struct("start", "words", "near")).alias("all")), "starts")
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.body") == F.col(f"{b}.body"))
+    # Texts without a candidate stay where they are, as long as those with one are counted to be few.
+    some = index.words.alias("d").join(small(where.select("id", "body"), BROADCAST_ROWS).alias("s"), same("d", "s"), "left_semi").alias("d")
+    both = some.join(where.alias("c"), same("d", "c")).select("c.id", "c.body", "n_words", "line", "all")
+    each = both.select("id", "body", _words().alias("w"), "all").select("id", "body", "w", F.explode("all").alias("x")).select("id", "body", "w", "x.start", "x.words", "x.near")
+    exact = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
+    span = F.size("words") + F.col("near")
+    stretch = F.slice("w", F.col("start") + 1, 2 * span)
+    spans = F.transform(F.sequence(F.lit(1), span + 1), lambda s: F.slice(stretch, s, span))
+    all_in = F.exists(spans, lambda x: F.size(F.array_except("words", x)) == 0)
+    return each.where(F.when(F.col("near").isNull(), exact).otherwise(all_in)).select("id", "body", "start", "words", "near").distinct()
 
 
 def occurrences(index: Index) -> DataFrame:
     """(id, body, start, words): exact places of whole windows, by document id and text."""
-    return _held(index, candidates(index), F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words"))
+    return _held(index, candidates(index).withColumn("near", F.lit(None).cast("int"))).drop("near")
 
 
 def proximity_matches(index: Index, slack: int = SLACK) -> DataFrame:
     """(id, body, words): windows whose words all stand, in any order, within the window's length plus slack. Exact matches are
     among them."""
-    span = F.size("words") + slack
-    stretch = F.slice("w", F.col("start") + 1, 2 * span)
-    spans = F.transform(F.sequence(F.lit(1), span + 1), lambda s: F.slice(stretch, s, span))
-    all_in = F.exists(spans, lambda x: F.size(F.array_except("words", x)) == 0)
-    return _held(index, near_candidates(index, slack), all_in).select("id", "body", "words").distinct()
+    return _held(index, near_candidates(index, slack).withColumn("near", F.lit(slack))).select("id", "body", "words").distinct()
 
 
 def _items_of(index: Index, found: DataFrame) -> DataFrame:
@@ -176,7 +186,9 @@ def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
     """A row per document: id, body, n_words, n_hit, n_items, item_ids (sorted), contaminated, and n_near_items: items with
     a window whose words all stand, in any order, within the window's length plus slack."""
     index = build_index(docs, items, id_col, text_col, item_id, item_text, size)
-    found = materialize(occurrences(index), "occurrences")
+    asked = candidates(index).withColumn("near", F.lit(None).cast("int")).unionByName(near_candidates(index, slack).withColumn("near", F.lit(slack)))
+    held = materialize(_held(index, asked), "occurrences")
+    found = held.where("near IS NULL")
     spans = found.select("id", "body", "start", F.size("words").alias("n")).distinct().groupBy("id", "body").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("spans"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))
     union = F.aggregate(
@@ -187,15 +199,15 @@ def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
     )
     hit = spans.select("id", "body", union.alias("n_hit"))
     ids = _items_of(index, found).groupBy("id", "body").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    near = _items_of(index, proximity_matches(index, slack)).groupBy("id", "body").agg(F.count("*").alias("n_near_items"))
+    near = _items_of(index, held.where("near IS NOT NULL")).groupBy("id", "body").agg(F.count("*").alias("n_near_items"))
     # Every exact match is a proximity match, so near has all rows of the others.
     key = lambda df, i: df.withColumnsRenamed({"id": f"id{i}", "body": f"body{i}"})
     same = lambda i: F.col("id").eqNullSafe(F.col(f"id{i}")) & (F.col("body") == F.col(f"body{i}"))
     all_hits = near.join(key(hit, 1), same(1), "left").join(key(ids, 2), same(2), "left").select("id", "body", "n_hit", "item_ids", "n_near_items")
     both = materialize(all_hits, "hits").alias("h")
-    sizes = materialize(index.words.select("id", "body", F.size("w").cast("long").alias("n_words")), "sizes").alias("d")
+    sizes = materialize(index.words.select("id", "body", "n_words"), "sizes").alias("d")
     index.drop()
-    drop(found)
+    drop(held)
     out = sizes.join(both, F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.body") == F.col("h.body")), "left")
     none = F.array().cast("array<string>")
     zeros = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_near_items")}
@@ -208,8 +220,8 @@ def clean(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", i
     """The rows of documents that hold no window, with all their columns."""
     body = fresh(docs, "body_hash")
     index = build_index(docs, items, id_col, text_col, item_id, item_text, size)
-    bad = materialize(occurrences(index).select("id", "body").distinct(), "contaminated").alias("r")
+    bad = materialize(occurrences(index).select("id", "body").distinct(), "contaminated")
     index.drop()
     marked = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.id")) & (F.col(f"d.`{body}`") == F.col("r.body"))
-    return marked.join(bad, same, "left_anti").drop(body)
+    return marked.join(small(bad, BROADCAST_ROWS).alias("r"), same, "left_anti").drop(body)
