@@ -138,23 +138,28 @@ def analyze(spark: SparkSession, file: str, columns: str | None = None, fmt: str
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="matchloom", description=__doc__)
     p.add_argument("--recipe", help="recipe file, YAML or JSON")
-    p.add_argument("--data-dir", default=".", help="folder of the sources")
+    p.add_argument("--data-dir", "--data", default=".", help="folder of the sources")
+    p.add_argument("--no-libpostal", action="store_true", help="the token rules for addresses, which are the only ones here")
     p.add_argument("--output", help="path of the result")
     p.add_argument("--dry-run", action="store_true", help="check the recipe and its sources only")
-    p.add_argument("--mermaid", choices=["default", "detailed", "disabled"], default="default")
+    p.add_argument("--mermaid", nargs="?", const="default", choices=["default", "detailed", "disabled"], default="default")
     p.add_argument("--analyze", metavar="FILE", help="profile a file")
     p.add_argument("--columns", help="columns to profile, by commas, or auto")
-    p.add_argument("--format", choices=["md", "xlsx", "json"], default="md")
+    p.add_argument("--format", "--signal-format", choices=["md", "xlsx", "json", "both"], default="md", help="of a profile; both: md and xlsx")
+    p.add_argument("--signal-output", metavar="FILE", help="path of a profile")
     p.add_argument("--sections", help="of the profile: " + ", ".join(profile_report.SECTIONS))
     p.add_argument("--top", type=int, default=15)
-    p.add_argument("--suggest", metavar="DIR", help="write suggested sidecars there")
+    p.add_argument("--suggest", "--save-config", metavar="DIR", help="write suggested sidecars there")
     a = p.parse_args(argv)
     if bool(a.recipe) == bool(a.analyze):
         p.error("give --recipe or --analyze")
     spark = session()
     try:
         if a.analyze:
-            print(analyze(spark, a.analyze, a.columns, a.format, a.output, a.sections and [s.strip() for s in a.sections.split(",")], a.top, a.suggest))
+            to, sections = a.signal_output or a.output, a.sections and [s.strip() for s in a.sections.split(",")]
+            for fmt in ("md", "xlsx") if a.format == "both" else (a.format,):
+                named = str(Path(to).with_suffix(f".{fmt}")) if to and a.format == "both" else to
+                print(analyze(spark, a.analyze, a.columns, fmt, named, sections, a.top, a.suggest))
         elif a.dry_run:
             text, ok = dry_run(spark, a.recipe, a.data_dir)
             print(text)

@@ -1,12 +1,14 @@
 """String similarity: longest common subsequence, in blocks.
 
 ``ratio`` is 200 * LCS / (sum of lengths). The bit-parallel LCS runs for one string against a whole block at once: the
-block is a matrix of character codes, and each of its columns advances the bit vectors of all strings together, in NumPy.
-Strings over 64 characters use Python integers of any width. The set and partial scorers build on the same LCS.
+block holds character codes by place, and each place advances the bit vectors of all strings that reach it together, in NumPy;
+strings over 64 characters have several words of bits each, with carries. A block takes memory in proportion to its characters. The
+set and partial scorers build on the same LCS.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -114,53 +116,76 @@ class Block:
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.order = np.argsort(-self.lengths, kind="stable")
         width = int(self.lengths.max(initial=0))
-        letters = sorted(set("".join(texts)))
+        letters = sorted(set().union(*texts))
         self.code = {ch: i + 1 for i, ch in enumerate(letters)}
-        self.matrix = np.zeros((width, len(texts)), np.int32)  # by place, the longest strings first
-        for k, i in enumerate(self.order):
-            self.matrix[: self.lengths[i], k] = [self.code[ch] for ch in texts[i]]
+        points = np.array([ord(ch) for ch in letters], np.int64)
         # How many strings reach each place: those after them need no more steps.
         self.reach = np.searchsorted(-self.lengths[self.order], -np.arange(1, width + 1), "right")
-        self.bag = np.zeros((len(letters) + 1, len(texts)), np.int16)
-        for i, t in enumerate(texts):
-            for ch in t:
-                self.bag[self.code[ch], i] += 1
+        self.start = np.concatenate([[0], np.cumsum(self.reach)])
+        # Codes by place, the longest strings first, and of each place only the strings that reach it.
+        self.flat = np.empty(int(self.start[-1]), np.int32)
+        bag: tuple[list, list, list] = ([], [], [])
+        for k, i in enumerate(self.order):
+            codes = np.searchsorted(points, np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), "<u4")) + 1
+            self.flat[self.start[: len(codes)] + k] = codes
+            kinds, counts = np.unique(codes, return_counts=True)
+            bag[0].append(kinds)
+            bag[1].append(np.full(len(kinds), i))
+            bag[2].append(counts)
+        # For each character the strings that have it, and how often.
+        kinds, owners, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in bag)
+        by = np.argsort(kinds, kind="stable")
+        self.owners, self.counts = owners[by], counts[by].astype(np.int64)
+        self.of = np.searchsorted(kinds[by], np.arange(len(letters) + 2))
 
     def lcs_bound(self, a: str) -> np.ndarray:
         """Shared characters, however placed: no LCS is longer."""
-        counts: dict[int, int] = {}
-        for ch in a:
+        out = np.zeros(len(self.texts), np.int64)
+        for ch, n in Counter(a).items():
             if c := self.code.get(ch):
-                counts[c] = counts.get(c, 0) + 1
-        if not counts:
-            return np.zeros(len(self.texts), np.int64)
-        return np.minimum(self.bag[list(counts)], np.fromiter(counts.values(), np.int16, len(counts))[:, None]).sum(0, dtype=np.int64)
+                held = slice(self.of[c], self.of[c + 1])
+                out[self.owners[held]] += np.minimum(self.counts[held], n)  # a string has a character once here
+        return out
 
     def lcs(self, a: str, wanted: np.ndarray) -> np.ndarray:
         """Of a and each wanted string; the others get 0."""
         out = np.zeros(len(self.texts), np.int64)
         if not a or not wanted.any():
             return out
-        if len(a) > 64:
+        words, n = -(-len(a) // 64), int(wanted.sum())
+        if n * (16 + words) < 256 * words:  # few strings for so many words: integers of any width take less
             for i in np.flatnonzero(wanted):
                 out[i] = lcs(a, self.texts[i])
             return out
-        table = np.zeros(len(self.code) + 1, np.uint64)
+        used: dict[int, int] = {0: 0}  # a row of the table for each character of a, row 0 for all others
+        table = np.zeros((words, len(set(a)) + 1), np.uint64)
+        row_of = np.zeros(len(self.code) + 1, np.int64)
         for i, ch in enumerate(a):
             if c := self.code.get(ch):
-                table[c] |= np.uint64(1 << i)
-        picked = wanted[self.order]
-        rows = self.matrix[:, picked]
-        reach = np.concatenate([[0], np.cumsum(picked)])[self.reach]
-        full = np.uint64((1 << len(a)) - 1)
-        v = np.full(rows.shape[1], full, np.uint64)
-        for j in range(len(rows)):
+                row_of[c] = used.setdefault(c, len(used))
+                table[i // 64, row_of[c]] |= np.uint64(1 << i % 64)
+        places = np.flatnonzero(wanted[self.order])
+        reach = np.searchsorted(places, self.reach)
+        full = [np.uint64((1 << min(64, len(a) - 64 * w)) - 1) for w in range(words)]
+        v = np.repeat(np.array(full, np.uint64)[:, None], len(places), 1)
+        for j in range(len(self.reach)):
             if not (n := int(reach[j])):
                 break
-            x = v[:n]
-            u = x & table[rows[j, :n]]
-            v[:n] = (x + u) | (x - u)
-        out[self.order[picked]] = len(a) - np.bitwise_count(v & full).astype(np.int64)
+            rows = row_of[self.flat[self.start[j] + places[:n]]]
+            carry = None
+            for w in range(words):
+                x = v[w, :n]
+                u = x & table[w, rows]
+                total = x + u
+                if w + 1 < words or carry is not None:
+                    over = total < x
+                    if carry is not None:
+                        total = total + carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64)
+                v[w, :n] = total | (x & ~u)
+        left = sum(np.bitwise_count(v[w] & full[w]).astype(np.int64) for w in range(words))
+        out[self.order[places]] = len(a) - left
         return out
 
     def ratios(self, a: str, least: float) -> np.ndarray:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +87,25 @@ def _keys(df: DataFrame, field: str, tiers: Sequence[str], norm: Norm) -> DataFr
 
 
 def _first_tier(df: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(column(key))
-    return df.withColumn("__best", F.min("__tier").over(w)).where(F.col("__tier") == F.col("__best")).drop("__best")
+    """Each key's rows of its first tier. The tiers are aggregated and joined back, so that no key's rows, nor those without one,
+    gather in a task."""
+    best = df.groupBy(column(key).alias("__bk")).agg(F.min("__tier").alias("__best"))
+    return df.join(best, column(key).eqNullSafe(F.col("__bk")) & (F.col("__tier") == F.col("__best"))).drop("__best", "__bk")
+
+
+def _firsts(b: DataFrame, order: list, own: str | None) -> DataFrame:
+    """Of the destinations of each (tier, key) the first, which is all that a best match can be; where a source must not meet itself
+    (own has the destination's record) the first of another record as well. First rows are picked before the shuffle
+    and again after it, so a key that a third of all destinations share stays small."""
+    first = lambda df: df.withColumn("__first", F.row_number().over(Window.partitionBy("__tier_d", "__k_d").orderBy(*order))).where("__first = 1").drop("__first")
+    if own is None:
+        return first(b)
+    name = column(own).cast("string")
+    b = b.where(name.isNotNull())
+    one = first(b)
+    taken = one.select(F.col("__tier_d").alias("__t1"), F.col("__k_d").alias("__k1"), name.alias("__own1"))
+    others = b.join(taken, (F.col("__tier_d") == F.col("__t1")) & (F.col("__k_d") == F.col("__k1")) & (name != F.col("__own1"))).drop("__t1", "__k1", "__own1")
+    return one.unionByName(first(others))
 
 
 def _top(df: DataFrame, key: str, order: list) -> DataFrame:
@@ -103,7 +121,9 @@ def exact(
     src: DataFrame, dst: DataFrame, src_field: str, dst_field: str, tiers: Sequence[str] = ("raw", "clean"), norm: Norm = Norm(),
     key: str | None = None, exclude_self: str | None = None, mode: str = "best_match", tie: TieBreaker | None = None,
 ) -> DataFrame:
-    """Equal keys under the first tier that matches. All tiers are joined at once, on (tier, key): one shuffle.
+    """Equal keys under the first tier that matches. All tiers are joined at once, on (tier, key). For a best match the
+    destinations are cut down to the first of each (tier, key) before, so that a source row meets one row a tier, however many
+    rows on either side share a key.
 
     best_match keeps the first destination of each source key; all_matches every one of the first successful tier. Null
     keys never match, empty ones do.
@@ -114,14 +134,14 @@ def exact(
     a = _keys(left, src_field, tiers, norm).where(F.col("__k").isNotNull())
     b = _keys(right, names[dst_field], tiers, norm).where(F.col("__k").isNotNull())
     b = b.withColumnsRenamed({"__tier": "__tier_d", "__k": "__k_d"})
+    order = _order(tie, names.get(tie.column) if tie else None)
+    own = names.get(exclude_self) if exclude_self else None
+    if mode != "all_matches":
+        b = _firsts(b, order, own)
     out = a.join(b, (F.col("__tier") == F.col("__tier_d")) & (F.col("__k") == F.col("__k_d"))).drop("__tier_d", "__k_d", "__k")
-    if exclude_self and exclude_self in names:
-        out = out.where(column(exclude_self).cast("string") != column(names[exclude_self]).cast("string"))
-    if mode == "all_matches":
-        out = _first_tier(out, key)
-    else:
-        tied = names.get(tie.column) if tie else None
-        out = _top(out, key, [F.col("__tier"), *_order(tie, tied), F.col(POS)])
+    if own:
+        out = out.where(column(exclude_self).cast("string") != column(own).cast("string"))
+    out = _first_tier(out, key) if mode == "all_matches" else _top(out, key, [F.col("__tier"), *order, F.col(POS)])
     return _named(out, tiers).drop("__tier")
 
 
@@ -155,9 +175,8 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
         resort = lambda c: c
     a = left.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k")).alias("x"))
     b = right.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k"), F.col("pos").alias("pos")).alias("x"))
-    size = b.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("x.k")), F.lit(0)).alias("chars")).first()
-    if size["n"] <= BROADCAST_KEYS and size["chars"] <= BROADCAST_CHARS:
-        return _score_few(a, b, scorer, threshold, best_only, bound)
+    if (few := _if_few(b)) is not None:
+        return _score_few(a, few, scorer, threshold, best_only, bound)
     a, b = _blocks(a, "a", BLOCK // 2), _blocks(b, "b", 2 * BLOCK)
     meet = a.select("a_band", "a_part", "a_lo", "a_hi").crossJoin(b.select("b_band", "b_part", "b_lo", "b_hi"))  # of blocks' lengths
     if bound and threshold > 0:
@@ -175,6 +194,31 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
     return pairs.mapInArrow(run, "a string, b string, score double")
 
 
+def _if_few(b: DataFrame) -> list[dict] | None:
+    """The destination keys, if they are few and short, else None: one job decides. It takes no more keys than the bound and one, and
+    hands over a mark in place of keys that have too many characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, chars, held = 0, 0, []
+        for batch in batches:
+            x = batch.column(0)
+            n, chars = n + batch.num_rows, chars + int(pa.compute.sum(pa.compute.utf8_length(x.field("k"))).as_py() or 0)
+            if n > BROADCAST_KEYS or chars > BROADCAST_CHARS:
+                yield pa.RecordBatch.from_pylist([{"s": None, "k": None, "pos": None}], schema=kinds)
+                return
+            held.append(pa.RecordBatch.from_arrays([x.field(c) for c in ("s", "k", "pos")], schema=kinds))
+        yield from held
+
+    kinds = pa.schema([("s", pa.string()), ("k", pa.string()), ("pos", pa.int64())])
+    rows, chars = [], 0
+    for r in b.limit(BROADCAST_KEYS + 1).mapInArrow(run, "s string, k string, pos long").collect():
+        if r["s"] is None:
+            return None
+        rows.append(r.asDict())
+        chars += len(r["k"])
+    return rows if len(rows) <= BROADCAST_KEYS and chars <= BROADCAST_CHARS else None
+
+
 class _Targets:
     """A block of destination keys as a task scores them."""
 
@@ -215,10 +259,10 @@ def _batch(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score, pa.float64())], ["a", "b", "score"])
 
 
-def _score_few(a: DataFrame, b: DataFrame, scorer: str, threshold: float, best_only: bool, bound: bool) -> DataFrame:
+def _score_few(a: DataFrame, few: list[dict], scorer: str, threshold: float, best_only: bool, bound: bool) -> DataFrame:
     """As score_keys, where the destinations are counted to be few: their keys go to every task, and no block is shuffled."""
     spark = a.sparkSession
-    rows = sorted((r["x"].asDict() for r in b.collect()), key=lambda r: len(r["s"]))
+    rows = sorted(few, key=lambda r: len(r["s"]))
     sent = spark.sparkContext.broadcast([rows[i : i + 2 * BLOCK] for i in range(0, len(rows), 2 * BLOCK)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +298,12 @@ def fuzzy(
         found = part if found is None else found.unionByName(part)
     b = b.withColumnsRenamed({"__tier": "__tier_d", "__k": "__k_d"})
     out = a.join(found, (F.col("__tier") == F.col("__t")) & (F.col("__k") == F.col("a"))).drop("__t", "a", "__k")
-    if best_only:
-        b = b.withColumn("__first", F.row_number().over(Window.partitionBy("__tier_d", "__k_d").orderBy(DST_POS))).where("__first = 1").drop("__first")
+    order, own = _order(tie, tied), names.get(exclude_self) if exclude_self else None
+    if mode != "all_matches":
+        b = _firsts(b, order, own)  # equal keys have equal scores
     out = out.join(b, (F.col("__tier") == F.col("__tier_d")) & (F.col("b") == F.col("__k_d"))).drop("__tier_d", "__k_d", "b")
     out = out.withColumnRenamed("score", "name_score")
-    if exclude_self and exclude_self in names:
-        out = out.where(column(exclude_self).cast("string") != column(names[exclude_self]).cast("string"))
-    if mode == "all_matches":
-        out = _first_tier(out, key)
-    else:
-        out = _top(out, key, [F.col("__tier"), F.col("name_score").desc(), *_order(tie, tied), F.col(POS)])
+    if own:
+        out = out.where(column(exclude_self).cast("string") != column(own).cast("string"))
+    out = _first_tier(out, key) if mode == "all_matches" else _top(out, key, [F.col("__tier"), F.col("name_score").desc(), *order, F.col(POS)])
     return _named(out, tiers).drop("__tier")

@@ -136,21 +136,27 @@ def best(candidates: DataFrame, key: str, mode: str = "best_match", tie: TieBrea
 
 
 def rollup(matched: DataFrame, buckets: Sequence[Mapping[str, Any]], norm: Norm = Norm(), step_names: Sequence[str] = ()) -> DataFrame:
-    """Each group's first target, in tie-breaking order, for all of the group. A window takes it in one shuffle; rows out of
-    scope or without a key are a partition each, so they never gather in one task."""
+    """Each group's first target, in tie-breaking order, for all of the group. The first target of each group is aggregated, with
+    partial sums, and joined back, so that a group of any size is spread; rows out of scope or without a key keep their own."""
     for b in buckets:
         steps = list(step_names) if b.get("steps") is None else list(b["steps"])
         target, to = column(b["target"]), b.get("write_to", "rolled_supplier_id")
         scope = F.coalesce(F.col("match_step").isin(steps), F.lit(False)) if "match_step" in matched.columns else F.lit(False)
         group = tier(b.get("group_key_tier", "raw"), column(b["group_key"]), norm.name_aliases, norm.name_stopwords)
         df = matched.withColumn("__g", F.when(scope & (strip(group) != ""), group))
-        alone = F.when(F.col("__g").isNull(), F.monotonically_increasing_id())
         k = tie_key(target, b.get("strip_prefix", ""))
-        k = k.desc_nulls_first() if b.get("order", "asc") == "desc" else k.asc_nulls_first()
-        pos = [F.col(POS)] if POS in df.columns else []
-        w = Window.partitionBy("__g", "__alone").orderBy(k, target, *pos).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        df = df.withColumn("__alone", alone).withColumn("__first", F.first(target).over(w))
-        df = df.withColumn(to, F.when(F.col("__g").isNotNull(), F.coalesce("__first", target)).otherwise(target)).drop("__g", "__alone", "__first")
+        pos = [F.col(POS).alias("p")] if POS in df.columns else []
+        keyed = df.where(F.col("__g").isNotNull()).select(F.col("__g").alias("__gk"), k.alias("__t"), F.struct(target.alias("x"), *pos).alias("__x"))
+        if b.get("order", "asc") == "desc":
+            # Nulls first, then the largest key; of its rows the first by target and position.
+            keyed = keyed.withColumn("__null", F.col("__t").isNull())
+            top = keyed.groupBy("__gk").agg(F.max("__null").alias("__n"), F.max("__t").alias("__m"))
+            best = keyed.join(top, "__gk").where(F.when(F.col("__n"), F.col("__null")).otherwise(F.col("__t") == F.col("__m"))).groupBy("__gk").agg(F.min("__x").alias("__x"))
+            best = best.select("__gk", F.col("__x.x").alias("__first"))
+        else:
+            best = keyed.groupBy("__gk").agg(F.min(F.struct("__t", "__x")).alias("__o")).select("__gk", F.col("__o.__x.x").alias("__first"))
+        df = df.join(best, F.col("__g") == F.col("__gk"), "left")
+        df = df.withColumn(to, F.when(F.col("__g").isNotNull(), F.coalesce("__first", target)).otherwise(target)).drop("__g", "__gk", "__first")
         matched = df.withColumn(f"{to}_changed", ~column(to).cast("string").eqNullSafe(target.cast("string")))
     return matched
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import time
 import uuid
 from collections.abc import Mapping
@@ -25,13 +24,7 @@ from .recipe import RecipeError
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of what several readers use: a table in the folder all executors share (spark.checkpoint.dir)."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="matchloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/phase-{uuid.uuid4().hex}"
+    path = f"{files.shared_folder(spark)}/phase-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

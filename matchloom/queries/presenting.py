@@ -25,13 +25,13 @@ def register(sql: str | None):
 
 def _sides(spark, d):
     c = read(spark, d, "customer").selectExpr("c_custkey", "c_nationkey", "CASE WHEN c_custkey % 4 = 0 THEN '  ' ELSE 'C' || CAST(c_custkey % 100 AS STRING) END AS left_id")
-    s = read(spark, d, "supplier").where("s_suppkey < 25").selectExpr("s_suppkey % 25 AS c_nationkey2", "CASE WHEN s_suppkey % 5 = 0 THEN 'n/a' ELSE 'S' || CAST(s_suppkey * 3 AS STRING) END AS right_id")
-    return c.join(s, F.col("c_nationkey") == F.col("c_nationkey2"), "left")
+    s = read(spark, d, "supplier").selectExpr("s_suppkey AS paired", "CASE WHEN s_suppkey % 5 = 0 THEN 'n/a' ELSE 'S' || CAST(s_suppkey * 3 AS STRING) END AS right_id")
+    return c.join(s, F.col("c_custkey") == F.col("paired"), "left")
 
 
 _SIDES = """WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'C' || (c_custkey % 100)::VARCHAR END AS l, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 100 END AS ln,
     CASE WHEN s_suppkey IS NULL THEN NULL WHEN s_suppkey % 5 = 0 THEN 'n/a' ELSE 'S' || (s_suppkey * 3)::VARCHAR END AS r, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 3 END AS rn
-  FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 25) ON c_nationkey = s_suppkey % 25)"""
+  FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey)"""
 
 
 @register(f"{_SIDES} SELECT c_custkey, coalesce(l, r) AS decided, CASE WHEN l IS NOT NULL THEN 'left_id' WHEN r IS NOT NULL THEN 'right_id' END AS decided_src FROM x")

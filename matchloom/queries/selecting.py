@@ -6,6 +6,7 @@ import datetime as dt
 import tempfile
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, nfkc, normalized, raw, strip_prefix, tie_key
@@ -131,10 +132,13 @@ def step_exclude_long_list(spark, d):
     return filters.exclude(migrated(spark, d), "record_key", [f"V{i}" for i in range(0, 4000, 2)]).select("record_key")
 
 
-@register("SELECT p_partkey AS ordinal, p_name FROM part WHERE p_partkey < 1000 ORDER BY p_partkey")
+@register("SELECT p_partkey AS ordinal, p_name, row_number() OVER (ORDER BY p_partkey) AS place FROM part ORDER BY p_partkey")
 def source_order_sink(spark, d):
+    """All parts, dealt out by hash and put back in source order; place is where a row then stands."""
     p = read(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), "p_name").withColumn(POS, F.col("ordinal"))
-    return resolve.public(resolve.source_order(p.where("ordinal < 1000").orderBy(F.rand(1)), p, "ordinal"))
+    sorted_ = resolve.public(resolve.source_order(p.repartition(7, F.hash("p_name", "ordinal")), p, "ordinal"))
+    ids = sorted_.withColumn("at", F.monotonically_increasing_id())  # rises in the order of the rows
+    return ids.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("long")).drop("at")
 
 
 def _staged(spark, d, fmt):

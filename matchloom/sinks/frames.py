@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
@@ -16,33 +15,36 @@ from ..operators.resolve import public
 from .xlsx import Workbook
 
 
-def _single_file(df: DataFrame, path: Path, fmt: str) -> None:
-    """Spark writes a folder; the one part in it becomes the file."""
-    folder = path.parent / f".{path.name}.{uuid.uuid4().hex}"
-    path.parent.mkdir(parents=True, exist_ok=True)
+def _single_file(df: DataFrame, path: str, fmt: str) -> None:
+    """Spark writes a folder beside the file; the one part in it becomes the file, in whatever file system it lies."""
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    folder = jvm.org.apache.hadoop.fs.Path(target.getParent() or jvm.org.apache.hadoop.fs.Path("."), f"_{target.getName()}.{uuid.uuid4().hex}")
     try:
-        w = df.coalesce(1).write
-        if fmt == "csv":
-            w.csv(str(folder), header=True, escape='"', emptyValue='""', nullValue="", quoteAll=False)
-        else:
-            w.parquet(str(folder))
-        part = next(p for p in folder.iterdir() if p.name.startswith("part-"))
-        part.replace(path)
+        _write(df.coalesce(1), folder.toString(), fmt)
+        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        fs.delete(target, True)
+        fs.rename(part, target)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        fs.delete(folder, True)
+
+
+def _write(df: DataFrame, folder: str, fmt: str) -> None:
+    w = df.write.mode("overwrite")
+    if fmt == "csv":
+        w.csv(folder, header=True, escape='"', emptyValue='""', nullValue="")
+    else:
+        w.parquet(folder)
 
 
 def write(df: DataFrame, path: str | Path, fmt: str, single: bool = True) -> None:
-    """One file by default; with single=False a folder that all executors write, for results too large for one."""
-    path, df = Path(path), public(df)
+    """One file by default, which one task writes; with single=False a folder that all tasks write, for results too large for that."""
+    to, df = str(path) if "://" in str(path) else str(Path(path).absolute()), public(df)
     if fmt in ("csv", "parquet"):
         df = flatten(df) if fmt == "csv" else df
-        if single:
-            _single_file(df, path, fmt)
-        elif fmt == "csv":
-            df.write.mode("overwrite").csv(str(path), header=True, escape='"', emptyValue='""', nullValue="")
-        else:
-            df.write.mode("overwrite").parquet(str(path))
+        (_single_file if single else _write)(df, to, fmt)
     elif fmt == "xlsx":
         with Workbook(path) as book:
             book.sheet("Data", rows_of(df), band=True)

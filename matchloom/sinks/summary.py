@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from ..operators.output import map_columns
 from ..operators.resolve import public
 from . import frames
-from .xlsx import BAD, GOOD, HEADER, TITLE, Workbook
+from .xlsx import BAD, GOOD, HEADER, HIGH, LOW, MIDDLE, TITLE, Workbook
 
 STEP_HEADER = (
     "Step", "Source Pop", "Source Column", "Dest Pop", "Dest Column", "Method", "Data Tier", "Name Threshold", "Address Threshold",
@@ -212,19 +212,27 @@ def _summary_rows(recipe: Mapping[str, Any], stats: Mapping[str, Any], seconds:
         yield from _rows(recipe["steps"], stats["step_counts"], total)
 
 
+def band(score: Any) -> int | None:
+    """The colour of a score of 0 to 100."""
+    if not isinstance(score, int | float):
+        return None
+    return HIGH if score >= 80 else MIDDLE if score >= 60 else LOW
+
+
 def report(
     path: str | Path, matched: DataFrame, unmatched: DataFrame | None, recipe: Mapping[str, Any], stats: Mapping[str, Any], output: Mapping[str, Any] | None = None,
     seconds: Mapping[str, float] | None = None, recipe_file: str | None = None, base_dir: str = ".", merged: DataFrame | None = None,
 ) -> None:
     """Summary, Matched (or Merged), Analysis, Recipe and a tab for each sidecar file. Rows stream, a partition at a time."""
     output = (recipe.get("output") or {}) if output is None else output
-    verdicts = {"higher": GOOD, "lower": BAD}
+    verdict = {"higher": BAD, "lower": GOOD}.get  # higher is worse
     names = [c["output"] for c in output.get("compare_columns") or []]
     with Workbook(path) as book:
         book.sheet("Summary", _summary_rows(recipe, stats, seconds, recipe_file), widths=[32, 20, 20, 20, 20, 24, 18], header=0)
         shown = merged if merged is not None else map_columns(public(matched), output, "matched", coalesce=True)
         heads = {(e.get("header") or e.get("field")): e.get("field") for e in (output.get("columns") or {}).get("matched") or []}
-        marks = {i: verdicts for i, c in enumerate(shown.columns) if heads.get(c, c) in names}
+        marks = {i: verdict for i, c in enumerate(shown.columns) if heads.get(c, c) in names}
+        marks |= {i: band for i, c in enumerate(shown.columns) if heads.get(c, c) in ("name_score", "addr_score")}
         book.sheet("Merged" if merged is not None else "Matched", frames.rows_of(shown), widths=[20] * len(shown.columns), band=True, marks=marks)
         if unmatched is not None:
             rest = frames.unmatched_export(public(unmatched), output)

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import re
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 from typing import Any
 from xml.sax.saxutils import escape, quoteattr
 
 # Styles by number, in the order of the cellXfs below.
-PLAIN, HEADER, BAND, ROUNDED, ROUNDED_BAND, GOOD, BAD, TITLE = range(8)
+PLAIN, HEADER, BAND, ROUNDED, ROUNDED_BAND, GOOD, BAD, TITLE, HIGH, MIDDLE, LOW = range(11)
 _STYLES = """<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">
 <numFmts count="1"><numFmt numFmtId="164" formatCode="0.00"/></numFmts>
 <fonts count="3"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Calibri"/></font><font><b/><sz val="14"/><name val="Calibri"/></font></fonts>
-<fills count="6"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>%s</fills>
+<fills count="7"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>%s</fills>
 <borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>
-<cellXfs count="8"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/><xf fillId="3" applyFill="1"/><xf numFmtId="164" applyNumberFormat="1"/><xf numFmtId="164" fillId="3" applyNumberFormat="1" applyFill="1"/><xf fillId="4" applyFill="1"/><xf fillId="5" applyFill="1"/><xf fontId="2" applyFont="1"/></cellXfs>
-</styleSheet>""" % "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in ("1F4E79", "F2F2F2", "E2EFDA", "FCE4D6"))
+<cellXfs count="11"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/><xf fillId="3" applyFill="1"/><xf numFmtId="164" applyNumberFormat="1"/><xf numFmtId="164" fillId="3" applyNumberFormat="1" applyFill="1"/><xf fillId="4" applyFill="1"/><xf fillId="5" applyFill="1"/><xf fontId="2" applyFont="1"/>%s</cellXfs>
+</styleSheet>""" % (
+    "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in ("1F4E79", "F2F2F2", "C6EFCE", "FFC7CE", "FFEB9C")),
+    "".join(f'<xf numFmtId="164" fillId="{k}" applyNumberFormat="1" applyFill="1"/>' for k in (4, 6, 5)),
+)
 _BAD = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\uD800-\uDFFF￾￿]")
 MAX_ROWS = 1_048_576
 
@@ -51,9 +54,9 @@ class Workbook:
     def __enter__(self) -> "Workbook":
         return self
 
-    def sheet(self, name: str, rows: Iterable[Sequence[Any]], widths: Sequence[float] = (), header: int = 1, band: bool = False, marks: dict[int, dict[Any, int]] | None = None) -> int:
+    def sheet(self, name: str, rows: Iterable[Sequence[Any]], widths: Sequence[float] = (), header: int = 1, band: bool = False, marks: dict[int, Callable[[Any], int | None]] | None = None) -> int:
         """Adds a sheet; returns its rows. The first `header` rows are styled as headers and frozen; marks maps columns
-        (from 0) to styles by value; a cell may be (value, style)."""
+        (from 0) to the style of a value, or None; a cell may be (value, style)."""
         name = re.sub(r"[\[\]:*?/\\]", "_", name)[:31]
         base, n = name, 1
         while name.lower() in {x.lower() for x in self.names}:
@@ -81,7 +84,7 @@ class Workbook:
                         if isinstance(v, float) and count > header:
                             v, style = round(v, 2), ROUNDED_BAND if shaded else ROUNDED
                         if marks and i in marks and count > header:
-                            style = marks[i].get(v, style)
+                            style = style if (mark := marks[i](v)) is None else mark
                     cells.append(_cell(f"{letters(i + 1)}{count}", v, style))
                 put(f'<row r="{count}">{"".join(cells)}</row>')
             put("</sheetData></worksheet>")

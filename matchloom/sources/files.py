@@ -7,16 +7,24 @@ import io
 import json
 import os
 import re
+import shutil
 import sqlite3
 import ssl
+import tempfile
 import time
 import urllib.request
+import uuid
 import zipfile
 from collections.abc import Callable, Mapping
+from functools import reduce
 from pathlib import Path
-from typing import Any
+from typing import Any, BinaryIO
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import column
 
@@ -56,9 +64,46 @@ def project(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.select(*[column(c) for c in columns]) if columns else df
 
 
-def read_format(spark: SparkSession, path: str, fmt: str, as_strings: bool = True) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, which spark.checkpoint.dir names. Where it is unset a local session gets
+    a temporary one; on a cluster that is an error, since its machines share no temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="matchloom-shared-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def own_folder(path: Path, label: str) -> Path:
+    made = path / f"{label}-{uuid.uuid4().hex}"
+    made.mkdir(parents=True)
+    return made
+
+
+#: Bytes of a CSV file up to which it is one task's work anyway.
+WHOLE_BYTES = 32 << 20
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(f.getLen() for f in fs.globStatus(at) or []) if not fs.exists(at) else fs.getContentSummary(at).getLength()
+
+
+def has_quoted_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a field may go over a line's end: some line has an odd number of quotes. A scan in all tasks, up to the first."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(odd % 2 == 1).limit(1).isEmpty()
+
+
+def read_format(spark: SparkSession, path: str, fmt: str, as_strings: bool = True, multiline: bool | None = None) -> DataFrame:
+    """multiline: whether CSV fields may go over line ends, which forbids splitting a file; None looks at large files."""
     if fmt in ("csv", "tsv"):
-        return spark.read.csv(path, sep="\t" if fmt == "tsv" else ",", header=True, inferSchema=False, escape='"', multiLine=True, nullValue=NO_NULL)
+        if multiline is None:
+            multiline = _bytes(spark, path) <= WHOLE_BYTES or has_quoted_lines(spark, path)
+        return spark.read.csv(path, sep="\t" if fmt == "tsv" else ",", header=True, inferSchema=False, escape='"', multiLine=multiline, nullValue=NO_NULL)
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt in ("json", "jsonl"):
@@ -68,27 +113,57 @@ def read_format(spark: SparkSession, path: str, fmt: str, as_strings: bool = Tru
     return strings(df) if as_strings else df
 
 
+def in_order(spark: SparkSession, path: str, fmt: str, **options: Any) -> DataFrame:
+    """A source whose rows come in the order of its files' names and of the rows in them, so that a row's position is the same in
+    every run. Within a file Spark's splits are in order; of several files it packs the larger first, so each is read by itself."""
+    df = read_format(spark, path, fmt, **options)
+    files = sorted(df.inputFiles())
+    if len(files) < 2:
+        return df
+    parts = [read_format(spark, f, fmt, **options) for f in files]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*[column(c) for c in df.columns])
+
+
 def load_file(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", **_: Any) -> DataFrame:
     """CSV, TSV, JSON and Parquet by suffix. Parquet keeps its types; the rest is text."""
     file = spec["file"]
     path = file if "://" in file else str(Path(base_dir, file))
     fmt = spec.get("format") or FORMATS.get(Path(file).suffix.lower(), "csv")
-    return project(read_format(spark, path, fmt, as_strings=fmt != "parquet"), spec.get("columns"))
+    return project(in_order(spark, path, fmt, as_strings=fmt != "parquet", multiline=spec.get("multiline")), spec.get("columns"))
+
+
+#: Rows that go through the driver at a time.
+ROWS = 50_000
 
 
 def _sqlite(spark: SparkSession, spec: Mapping[str, Any], base_dir: str) -> DataFrame:
+    """A local database: its rows are handed on to a table in the shared folder, some at a time."""
     path = spec["connection"].get("database") or spec["connection"].get("path")
     with sqlite3.connect(f"file:{Path(base_dir, path)}?mode=ro", uri=True) as db:
         cursor = db.execute(spec["query"])
-        names = [d[0] for d in cursor.description]
-        rows = [tuple(None if v is None else str(v) for v in r) for r in cursor]  # a small local database
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+        schema = pa.schema([(d[0], pa.string()) for d in cursor.description])
+        where, folder = pa.fs.FileSystem.from_uri(f"{_uri(shared_folder(spark))}/sqlite-{uuid.uuid4().hex}")
+        where.create_dir(folder, recursive=True)
+        with pq.ParquetWriter(f"{folder}/rows.parquet", schema, filesystem=where) as out:
+            while rows := cursor.fetchmany(ROWS):
+                columns = [[None if v is None else str(v) for v in c] for c in zip(*rows, strict=True)]
+                out.write_table(pa.table([pa.array(c, pa.string()) for c in columns], schema=schema))
+    kinds = ", ".join(f"`{n}` string" for n in schema.names)
+    return spark.read.schema(kinds).parquet(_uri(folder) if isinstance(where, pa.fs.LocalFileSystem) else f"{shared_folder(spark)}/{folder.rpartition('/')[2]}")
+
+
+def _uri(path: str) -> str:
+    return f"file://{path}" if path.startswith("/") else path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path
 
 
 def jdbc_options(spec: Mapping[str, Any]) -> dict[str, str]:
     """The reader's options for a Postgres or Trino query."""
     c, kind = spec["connection"], spec["driver"].lower()
-    options = {"query": spec["query"], "user": str(c.get("user", ""))}
+    options = {"user": str(c.get("user", "")), "fetchsize": str(spec.get("fetch_size", 10_000))}
+    if p := spec.get("partition"):  # column, lower, upper, count: so many queries side by side, a range each
+        options |= {"dbtable": f"({spec['query']}) q", "partitionColumn": str(p["column"]), "lowerBound": str(p["lower"]), "upperBound": str(p["upper"]), "numPartitions": str(p["count"])}
+    else:
+        options["query"] = spec["query"]
     if c.get("password"):
         options["password"] = str(c["password"])
     if kind in ("postgres", "postgresql"):
@@ -102,7 +177,9 @@ def jdbc_options(spec: Mapping[str, Any]) -> dict[str, str]:
             params.append("SSL=true")
             if c.get("verify") is False:
                 params.append("SSLVerification=NONE")
-        if props := c.get("session_properties"):
+        # Results come in spools unless the environment says otherwise.
+        spool = os.environ.get("TRINO_SPOOLING_ENABLED", "true").lower() in ("1", "true", "yes", "on")
+        if props := {"spooling_enabled": str(spool).lower()} | dict(c.get("session_properties") or {}):
             params.append("sessionProperties=" + ";".join(f"{k}:{v}" for k, v in props.items()))
         url, driver = url + ("?" + "&".join(params) if params else ""), "io.trino.jdbc.TrinoDriver"
     else:
@@ -137,28 +214,32 @@ def detect_format(url: str, content_type: str | None = None) -> str:
     return FORMATS.get(suffix) or TYPES.get((content_type or "").split(";")[0].strip().lower(), "csv")
 
 
-def unzip(data: bytes, entry: str | None = None) -> tuple[bytes, str]:
-    """The named entry, the only one, or the largest; its format by its suffix."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        files = [i for i in z.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX")]
-        if entry and entry not in {i.filename for i in files}:
-            raise ValueError(f"the archive has no entry {entry!r}; it has {', '.join(i.filename for i in files)}")
-        if not files:
-            raise ValueError("the archive is empty")
-        name = entry or max(files, key=lambda i: i.file_size).filename
-        return z.read(name), FORMATS.get(Path(name).suffix.lower(), "csv")
+def unzip(data: bytes | BinaryIO, entry: str | None = None) -> tuple[BinaryIO, str]:
+    """The named entry, the only one, or the largest, as a stream; its format by its suffix."""
+    z = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
+    files = [i for i in z.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX")]
+    if entry and entry not in {i.filename for i in files}:
+        raise ValueError(f"the archive has no entry {entry!r}; it has {', '.join(i.filename for i in files)}")
+    if not files:
+        raise ValueError("the archive is empty")
+    name = entry or max(files, key=lambda i: i.file_size).filename
+    return z.open(name), FORMATS.get(Path(name).suffix.lower(), "csv")
 
 
-Fetch = Callable[[str, Mapping[str, str], bool, float], tuple[bytes, str]]
+Fetch = Callable[[str, Mapping[str, str], bool, float], tuple[bytes | BinaryIO, str]]
 
 
-def fetch(url: str, headers: Mapping[str, str], verify: bool, timeout: float) -> tuple[bytes, str]:
-    """Body and content type; redirects are followed."""
+def fetch(url: str, headers: Mapping[str, str], verify: bool, timeout: float) -> tuple[BinaryIO, str]:
+    """Body, as a stream, and content type; redirects are followed."""
     if not url.startswith(("http://", "https://")):
         raise ValueError(f"not a web address: {url}")
     context = None if verify else ssl._create_unverified_context()
-    with urllib.request.urlopen(urllib.request.Request(url, headers=dict(headers)), timeout=timeout, context=context) as r:  # noqa: S310
-        return r.read(), r.headers.get("Content-Type", "")
+    r = urllib.request.urlopen(urllib.request.Request(url, headers=dict(headers)), timeout=timeout, context=context)  # noqa: S310
+    return r, r.headers.get("Content-Type", "")
+
+
+def _stream(body: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(body) if isinstance(body, bytes) else body
 
 
 def parse_ttl(text: str | None) -> float | None:
@@ -184,21 +265,32 @@ def cache_path(spec: Mapping[str, Any], base_dir: str, recipe: str = "", source:
 
 
 def load_http(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", get: Fetch = fetch, **_: Any) -> DataFrame:
-    """A file from the web, staged where the driver runs and read by Spark; its rows as text."""
+    """A file from the web, streamed into the folder that all executors share and read by Spark; its rows as text. An archive is
+    staged beside the driver, and its entry streamed on."""
     spec = interpolate(dict(spec))
     verify, timeout = spec.get("verify", True), float(spec.get("timeout", TIMEOUT_S))
     url = spec.get("url")
     if source := spec.get("url_from"):
-        url = json_path(json.loads(get(source["endpoint"], source.get("headers") or {}, verify, timeout)[0]), source["json_path"])
-    data, kind = get(url, spec.get("headers") or {}, verify, timeout)
+        with _stream(get(source["endpoint"], source.get("headers") or {}, verify, timeout)[0]) as answer:
+            url = json_path(json.loads(answer.read()), source["json_path"])
+    body, kind = get(url, spec.get("headers") or {}, verify, timeout)
     fmt = spec.get("format") or detect_format(url, kind)
-    if fmt == "zip" or data[:4] == b"PK\x03\x04":
-        data, inner = unzip(data, spec.get("zip_entry"))
-        fmt = inner if fmt == "zip" else fmt
-    staged = Path(base_dir, ".cache", f"http_{cache_key(spec)}.{fmt}")
-    staged.parent.mkdir(parents=True, exist_ok=True)
-    staged.write_bytes(data)
-    return project(strings(read_format(spark, str(staged), fmt)), spec.get("columns"))
+    with _stream(body) as stream, tempfile.SpooledTemporaryFile(max_size=16 << 20) as held:
+        head = stream.read(4)
+        if fmt == "zip" or head == b"PK\x03\x04":
+            held.write(head)
+            shutil.copyfileobj(stream, held)  # only an archive needs to be read out of order
+            entry, inner = unzip(held, spec.get("zip_entry"))
+            fmt = inner if fmt == "zip" else fmt
+            head, stream = b"", entry
+        where, folder = pa.fs.FileSystem.from_uri(f"{_uri(shared_folder(spark))}/http-{uuid.uuid4().hex}")
+        where.create_dir(folder, recursive=True)
+        with where.open_output_stream(f"{folder}/body.{fmt}") as out:
+            out.write(head)
+            while part := stream.read(1 << 20):
+                out.write(part)
+    at = f"{shared_folder(spark)}/{folder.rpartition('/')[2]}/body.{fmt}"
+    return project(strings(read_format(spark, at, fmt)), spec.get("columns"))
 
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {"file": load_file, "sql": load_sql, "http": load_http}
@@ -212,7 +304,7 @@ def load(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", reci
     ttl = None if kind == "file" else parse_ttl(spec.get("cache_ttl"))
     if ttl is None:
         return LOADERS[kind](spark, spec, base_dir, **options)
-    path = cache_path(spec, base_dir, recipe, source)
+    path = cache_path(spec, base_dir, recipe, source)  # of a base_dir that all executors see, as its files are
     fmt = path.suffix[1:]
     if not (path.exists() and time.time() - path.stat().st_mtime <= ttl):
         df = LOADERS[kind](spark, spec, base_dir, **options)
@@ -220,4 +312,4 @@ def load(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", reci
             df.write.mode("overwrite").csv(str(path), header=True, escape='"')
         else:
             df.write.mode("overwrite").parquet(str(path))
-    return read_format(spark, str(path), fmt, as_strings=False)
+    return in_order(spark, str(path), fmt, as_strings=False)

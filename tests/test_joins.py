@@ -47,6 +47,23 @@ def test_self_matches_are_left_out(spark):
     assert got(joins.fuzzy(df, df, "name", "name", ("raw",), 80, "ratio", key="id", exclude_self="id"), "id", "id_dst") == [("a", "b"), ("b", "a")]
 
 
+@pytest.mark.parametrize("method", ["exact", "fuzzy"])
+@pytest.mark.parametrize("own", [None, "id"])
+def test_a_hot_key_on_both_sides_never_meets_itself_in_full(spark, method, own):
+    """A third of all rows share a key on both sides (and as many have none): as pairs they would be 10^8."""
+    n = 30_000
+    df = spark.range(n).selectExpr("cast(id as string) AS id", f"case id % 3 when 0 then 'hot key' when 1 then null else concat('k', id) end AS name", f"id AS {POS}")
+    f = joins.exact if method == "exact" else lambda *a, **k: joins.fuzzy(df.where("name = 'hot key'"), df.where("name = 'hot key'"), *a[2:], ("raw",), 90, "ratio", **k)
+    r = f(df, df, "name", "name", key="id", exclude_self=own)
+    hot = r.where("name = 'hot key'").selectExpr("count(*) n", "count(distinct id_dst) d", "min(cast(id_dst as int)) lo", "max(cast(id_dst as int)) hi").first()
+    assert (hot["n"], hot["d"], hot["lo"], hot["hi"]) == (n // 3, 2 if own else 1, 0, 3 if own else 0)
+
+
+def test_first_rows_are_picked_before_the_shuffle(sides):
+    plan = joins.exact(*sides, "name", "name", key="id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
 def test_suffixes():
     assert joins.renamed(["a", "b"], ["a", "c"]) == {"a": "a_dst", "c": "c"}
     assert joins.renamed(["a", "a_dst"], ["a"]) == {"a": "a_dst2"}

@@ -10,7 +10,7 @@ import pytest
 import yaml
 
 from matchloom import cli
-from matchloom.operators import profile, resolve
+from matchloom.operators import joins, profile, resolve
 from matchloom.plans import pipeline, recipe as recipes
 from matchloom.sinks import frames, profile_report, summary, xlsx
 from matchloom.sources import files
@@ -188,7 +188,12 @@ def test_small_source_helpers(monkeypatch):
     assert [files.parse_ttl(x) for x in ("30s", "5m", "2h", "1d", "off", None)] == [30, 300, 7200, 86400, None, 86400]
     assert [files.detect_format(*x) for x in (("http://a/b.tsv?x=1", ""), ("http://a", "application/json"), ("http://a", None))] == ["tsv", "json", "csv"]
     o = files.jdbc_options({"driver": "trino", "query": "q", "connection": {"host": "h", "catalog": "c", "schema": "s", "http_scheme": "https", "verify": False, "password": "p"}})
-    assert o["url"] == "jdbc:trino://h:8080/c/s?SSL=true&SSLVerification=NONE"
+    assert o["url"] == "jdbc:trino://h:8080/c/s?SSL=true&SSLVerification=NONE&sessionProperties=spooling_enabled:true"
+    monkeypatch.setenv("TRINO_SPOOLING_ENABLED", "false")
+    o = files.jdbc_options({"driver": "trino", "query": "q", "connection": {"host": "h", "session_properties": {"a": "b"}}})
+    assert o["url"].endswith("?sessionProperties=spooling_enabled:false;a:b")
+    o = files.jdbc_options({"driver": "postgres", "query": "SELECT 1", "connection": {"host": "h", "database": "d"}, "partition": {"column": "id", "lower": 0, "upper": 100, "count": 8}})
+    assert (o["dbtable"], o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"]) == ("(SELECT 1) q", "id", "0", "100", "8") and "query" not in o
     assert files.jdbc_options({"driver": "postgres", "query": "q", "connection": {"host": "h", "database": "d"}})["url"] == "jdbc:postgresql://h:5432/d"
     with pytest.raises(ValueError, match="environment variables"):
         files.jdbc_options({"driver": "trino", "query": "q", "connection": {"host": "${ML_NONE}"}})
@@ -246,3 +251,33 @@ def test_streams(spark, folder, tmp_path_factory):
 def test_public_frames_hide_inner_columns(spark, folder):
     result = pipeline.run(spark, RECIPE, str(folder))
     assert not [c for c in resolve.public(result.matched).columns if c.startswith("_")]
+
+
+def test_rows_of_several_files_come_in_order(spark, tmp_path):
+    """A short file before a long one, and more splits than one: positions follow names and rows, not sizes."""
+    for name, rows in (("a.csv", 3), ("b.csv", 4000), ("c.csv", 50)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("id,name\n" + "".join(f"{name[0]}{i:05},same\n" for i in range(rows)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = joins.with_position(files.load(spark, {"file": "in", "format": "csv", "multiline": False}, str(tmp_path)))
+        ids = [r["id"] for r in df.orderBy(joins.POS).collect()]
+        assert ids == sorted(ids) and len(ids) == 4053 and df.rdd.getNumPartitions() > 5
+        one = spark.createDataFrame([("x", "same")], "k string, name string")
+        assert joins.exact(one, df, "name", "name", key="k").first()["id"] == "a00000"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_large_csv_files_are_split_unless_fields_go_over_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE_BYTES", 10)
+    (tmp_path / "plain.csv").write_text('id,name\n1,"a ""b"" c"\n2,\n')
+    (tmp_path / "lines.csv").write_text('id,name\n1,"a\nb"\n2,""\n')
+    assert not files.has_quoted_lines(spark, str(tmp_path / "plain.csv")) and files.has_quoted_lines(spark, str(tmp_path / "lines.csv"))
+    assert [tuple(r) for r in files.load(spark, {"file": "plain.csv"}, str(tmp_path)).collect()] == [("1", 'a "b" c'), ("2", None)]
+    assert [tuple(r) for r in files.load(spark, {"file": "lines.csv"}, str(tmp_path)).collect()] == [("1", "a\nb"), ("2", "")]
+
+
+def test_score_bands():
+    assert [summary.band(x) for x in (100, 80, 79.9, 60, 59, None, "x")] == [xlsx.HIGH, xlsx.HIGH, xlsx.MIDDLE, xlsx.MIDDLE, xlsx.LOW, None, None]

@@ -32,6 +32,28 @@ def test_a_block_equals_single_pairs(texts, a, least):
     assert np.allclose(got, want)
 
 
+def test_long_keys_and_many_equal_characters():
+    """More of one character than 16 bits count, on either side, and bit vectors of many words."""
+    a, b = "a" * 40_000, "a" * 32_000
+    assert s.Block([b, "x", a]).ratios(a, 50) == pytest.approx([200 * 32_000 / 72_000, 0, 100])
+    assert s.Block([a]).ratios(b, 0) == pytest.approx([200 * 32_000 / 72_000])
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdé ."), n)) for n in (0, 1, 63, 64, 65, 127, 128, 129, 300, 700)]
+    for x in texts:
+        assert np.allclose(s.Block(texts).ratios(x, 0), [s.ratio(x, t) for t in texts])
+
+
+def test_a_long_key_in_a_block_takes_memory_for_its_own_characters():
+    import tracemalloc
+
+    texts = ["k" * 200_000] + [f"key {i}" for i in range(2000)]
+    tracemalloc.start()
+    s.Block(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+
+
 def test_pinned_values():
     assert s.ratio("", "") == 100 and s.ratio("a", "") == 0
     assert round(s.token_sort_ratio("eyes marketplace", "e y marketplace"), 2) == 83.87
