@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import spread
+from ..sources.files import shared_folder, spread
 
 #: Separators of "terms": anything but ASCII digits, ASCII letters in lower case and non-ASCII characters.
 TERM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,20 +44,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset a local session gets a temporary one;
-    a cluster without the setting is an error, since its machines share no temporary folder."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="matchloom-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

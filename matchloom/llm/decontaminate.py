@@ -59,7 +59,7 @@ class Index:
 
     words: DataFrame  # id, body, n_words, line
     postings: DataFrame  # term, id, body, place
-    items: DataFrame  # item, key (of its words)
+    items: DataFrame  # item, key (the number of its word sequence)
     probes: DataFrame  # key, q (the term's place in the item), term
     windows: DataFrame  # key, first (place in the item), words, lists (the places in the item that are looked up)
 
@@ -72,8 +72,10 @@ def build_index(
     docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", size: int = WINDOW, lists: int = LISTS, full: bool = False
 ) -> Index:
     words = materialize(tokens(docs, id_col, text_col), "words")
-    named = materialize(item_words(items, item_id, item_text).select("item", F.sha2(F.array_join("w", " "), 256).alias("key"), "w"), "items")
-    known = named.select("key", "w").dropDuplicates(["key"])
+    listed = materialize(item_words(items, item_id, item_text), "item-names")
+    # Word sequences are numbered once and for all when they are written out; postings carry the numbers.
+    known = materialize(listed.select("w").distinct().withColumn("key", F.monotonically_increasing_id()), "item-words")
+    named = materialize(listed.join(known, "w").select("item", "key"), "items")
     places = known.select("key", F.posexplode("w").alias("q", "term"))
     vocabulary = places.select("term").distinct()
     counts = words.select(F.explode(_words()).alias("term")).join(small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").count()
@@ -95,7 +97,8 @@ def build_index(
     if not full:
         postings = postings.join(small(probes.select("term").distinct(), BROADCAST_ROWS), "term")
     postings = materialize(postings.select("term", "id", "body", "place"), "postings")
-    drop(counts)
+    for t in (counts, listed, known):
+        drop(t)
     return Index(words, postings, named, probes, windows)
 
 
@@ -135,16 +138,16 @@ def near_candidates(index: Index, slack: int = SLACK) -> DataFrame:
     the window and the slack. Places are dealt to cells of a span and entered in the cell before too, so that any span lies
     whole in one cell's stretch, whatever the text's length."""
     w, least = _masked(index)
-    sized = index.probes.join(small(least.select("key", (F.col("size") + slack).alias("span")), BROADCAST_ROWS), "key")
-    rows = index.postings.join(small(sized, BROADCAST_ROWS), "term").withColumn("cell", F.floor(F.col("place") / F.col("span")))
+    span = small(least.select("key", (F.col("size") + slack).alias("span")), BROADCAST_ROWS)
+    rows = index.postings.join(small(index.probes.join(span, "key"), BROADCAST_ROWS), "term").withColumn("cell", F.floor(F.col("place") / F.col("span")).cast("int"))
     met = (
-        rows.select("key", "span", "id", "body", F.explode(F.array("cell", F.col("cell") - 1)).alias("cell"), _bit(F.col("q")).alias("bit"))
-        .groupBy("key", "span", "id", "body", "cell").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("met"))
+        rows.select("key", "id", "body", F.explode(F.array("cell", F.col("cell") - 1)).alias("cell"), _bit(F.col("q")).alias("bit"))
+        .groupBy("key", "id", "body", "cell").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("met"))
     )
-    met = met.join(small(least.select("key", "least"), BROADCAST_ROWS), "key").where(F.col("met") >= F.col("least"))
+    met = met.join(small(least, BROADCAST_ROWS), "key").where(F.col("met") >= F.col("least"))
     found = met.join(small(w.select("key", "words", "mask"), BROADCAST_ROWS), "key")
     hit = found.where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-    return hit.select("id", "body", F.greatest(F.lit(0), F.col("cell") * F.col("span")).cast("int").alias("start"), "words").distinct()
+    return hit.select("id", "body", F.greatest(F.lit(0), F.col("cell") * (F.col("size") + slack)).alias("start"), "words").distinct()
 
 
 def _held(index: Index, found: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ def finish(folder: str, temporary_name: str, name: str) -> None:
     """Gives a file that a task has written its final name. A second attempt at the same task has written the same bytes, so that
     it does no harm if it replaces the file."""
     where, base = of(folder)
+    if where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # some stores don't rename over a file
+        where.delete_file(f"{base}/{name}")
     where.move(of(temporary_name)[1], f"{base}/{name}")
 
 

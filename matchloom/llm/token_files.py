@@ -8,7 +8,7 @@ documents. Tasks write under temporary names and give each finished file its fin
 shard, writes the manifest last.
 
 Texts are encoded by the tokenizers library. Of a tokenizer with the known normalizer and splitting rule (``PIECES``), which drops
-white space and never merges across it, nor a letter or digit with a full stop or comma, each distinct stretch between white space
+white space and never merges across it, nor a letter or digit with the punctuation behind it, each distinct stretch between white space
 is encoded once and remembered in a bounded table (``WORDS``); of any other whole texts are encoded.
 
 Defined cases: a null or blank text has the end id alone; null ids come first (the manifest counts them); equal ids go by
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,13 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _encoders: dict[tuple[str, str, bool | None], "Encoder"] = {}
 
 
+_PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
+
+
+def _ends_in_letter(stretch: bytes) -> bool:
+    return unicodedata.category(stretch.decode()[-1])[0] in "LN"
+
+
 def in_stretches(tokenizer: dict) -> bool:
     """Whether a tokenizer (its parsed file) encodes stretches between white space as it would inside a whole text."""
     listed = lambda x, key: (x.get(key) or [x]) if x else []
@@ -46,7 +54,7 @@ def in_stretches(tokenizer: dict) -> bool:
     first = split[0] if split else {}
     rule = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": PIECES}, "Removed", True)
     byte_level = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in split[1:])
-    return plain and rule and byte_level and not tokenizer.get("post_processor") and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in tokenizer["added_tokens"])
+    return plain and rule and byte_level and not tokenizer.get("post_processor") and all(t["content"].startswith("<|") and not set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in tokenizer["added_tokens"])
 
 
 class Encoder:
@@ -76,13 +84,14 @@ class Encoder:
         return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, parts: set[bytes]) -> None:
-        """Remembers new stretches. A full stop or comma after a letter or digit is a piece of its own to the tokenizer."""
-        stems = {p: p[:-1] for p in parts if p[-1] in b".," and p[-2:-1].isalnum()}
-        new = list({stems.get(p, p) for p in parts}.union(p[-1:] for p in stems).difference(self.known))
+        """Remembers new stretches. What punctuation stands after the last letter or digit is a piece of its own to the tokenizer, so
+        it is encoded apart, and a word once for all that may follow it."""
+        stems = {p: s for p in parts if (s := p.rstrip(_PUNCTUATION)) and s != p and b"<|" not in p and (s[-1:].isalnum() if s[-1] < 128 else _ends_in_letter(s))}
+        new = list({stems.get(p, p) for p in parts}.union(p[len(s) :] for p, s in stems.items()).difference(self.known))
         if new:
             self.known.update(zip(new, self._pieces(new), strict=True))
         for p, stem in stems.items():
-            self.known[p] = self.known[stem] + self.known[p[-1:]]
+            self.known[p] = self.known[stem] + self.known[p[len(stem) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, as bytes."""

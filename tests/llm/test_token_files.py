@@ -111,6 +111,13 @@ def test_files_dont_depend_on_the_partitions(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_punctuation_behind_words():
+    """What may be encoded apart and what may not: quotes, controls, marks, special tokens, letters of other scripts."""
+    odd = ["a' b'. c's' d'll! é! é! ①) x\u0301... ²; <|endoftext|>. <|startoftext|>) don't), (a) [b]. 3.14, 5%. $$$ ... 中文。, µm; ßß— — a— 'tis' 's 't!", "’s’! it’s. “q”.", "a\x7f. b\x00! \x1c. a\x7f\x7f! '.", "word%%% word$$$ word&&&. word.%%% WORD!!"]
+    e = token_files.Encoder(PATH, "<u2", None)
+    assert [np.frombuffer(b, "<u2").tolist() for b in e.encode(odd)] == [direct(x) for x in odd]
+
+
 def test_a_very_long_text_is_encoded_whole(spark):
     text = "a few Words, again. " * 60_000
     assert got(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"))[1] == want([(1, text)])
