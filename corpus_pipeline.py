@@ -15,7 +15,11 @@ from matchloom.llm.registry import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and so do boilerplate lines, of any length, of all others."""
+    """Documents that the quality rules reject go, and so do boilerplate lines, of any length, of all others.
+
+    A null or blank text has no words and goes; a null source is a host of its own; repeated rows are judged alike and all stay or
+    go; rows equal in id are told apart by text and source; an empty table stays empty. A column n_chars follows the text.
+    """
     kept = quality.keep(docs)
     if "n_chars" not in kept.columns:
         return kept
@@ -24,22 +28,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays."""
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more) stays: that of the least id.
+
+    Null and blank texts are copies of each other; a null id stays only where its component has no other; of repeated rows one
+    stays, of rows equal in id and text the least by a hash of all columns; an empty table stays empty.
+    """
     return simhash.one_per_component(docs, shingle=5, similarity=(4, 5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    A null or wordless text holds none and stays; items without words have no window; repeated rows all stay or go; rows equal in
+    id are told apart by text; an empty table, of documents or of items, takes nothing out.
+    """
     return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for.
+
+    A null or blank text has no size and takes no part in the targets; a null source is a source, and the last; repeated rows are
+    sampled as separate documents; ties go by all columns; an empty table stays empty.
+    """
     return mixing.emit(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The mix as token files, read back: doc_id, start, n_tokens, ids_crc32.
+
+    A null or blank text has the end id alone; null ids come first; equal ids go by text; repeated rows are written as often as
+    they occur; an empty table gives no shards and no rows.
+    """
     return token_files.encode_and_read(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
