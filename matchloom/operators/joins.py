@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
+from ..functions.address import Patterns
 from ..functions.text import column, tie_key, tier
 
 POS = "__pos"
@@ -33,6 +34,7 @@ class Norm:
     name_stopwords: Sequence[str] = ()
     addr_aliases: Mapping[str, str] = field(default_factory=dict)
     addr_stopwords: Sequence[str] = ()
+    addr_patterns: Patterns = Patterns()
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def _blocks(keys: DataFrame, side: str, size: int) -> DataFrame:
     lengths = sized.groupBy("len").agg(F.count("*").alias("n"))  # a row for each length: few
     before = F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1))
     bands = lengths.select("len", F.floor(F.coalesce(before, F.lit(0)) / size).alias("band"), F.ceil(F.col("n") / size).alias("parts"))
-    dealt = sized.join(F.broadcast(bands), "len").withColumn("part", F.pmod(F.xxhash64("x.k"), F.col("parts")))
+    dealt = sized.join(bands, "len").withColumn("part", F.pmod(F.xxhash64("x.k"), F.col("parts")))
     grouped = dealt.groupBy("band", "part").agg(F.collect_list("x").alias(side), F.min("len").alias("lo"), F.max("len").alias("hi"))
     return grouped.toDF(f"{side}_band", f"{side}_part", side, f"{side}_lo", f"{side}_hi")
 
@@ -177,7 +179,8 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
     b = right.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k"), F.col("pos").alias("pos")).alias("x"))
     if (few := _if_few(b)) is not None:
         return _score_few(a, few, scorer, threshold, best_only, bound)
-    a, b = _blocks(a, "a", BLOCK // 2), _blocks(b, "b", 2 * BLOCK)
+    # A block is shuffled once for each that it meets: the larger, the less is moved.
+    a, b = _blocks(a, "a", 2 * BLOCK), _blocks(b, "b", 4 * BLOCK)
     meet = a.select("a_band", "a_part", "a_lo", "a_hi").crossJoin(b.select("b_band", "b_part", "b_lo", "b_hi"))  # of blocks' lengths
     if bound and threshold > 0:
         t = threshold - 1e-4  # 200 * min(m, n) / (m + n) >= t, for lengths m and n

@@ -17,7 +17,7 @@ from ..functions.text import column, strip, tier_value, tokens
 from .joins import POS, with_position
 
 # What the kinds of columns are told by.
-DATES = r"^(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}-\d{1,2}-\d{2,4})"
+DATES = "|".join((r"^\d{4}-\d{2}-\d{2}", r"^\d{1,2}/\d{1,2}/\d{2,4}", r"^\d{1,2}-\d{1,2}-\d{2,4}"))
 IDS = r"^[A-Za-z]?\d{3,}$"
 NAME_WORDS = "inc llc ltd corp co group pty gmbh sa ag".split()
 ADDRESS_WORDS = "street st avenue ave blvd boulevard drive dr road rd lane ln suite ste floor fl pkwy".split()

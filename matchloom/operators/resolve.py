@@ -62,7 +62,7 @@ def step(
         have = lambda names: [column(c) for c in names if c in got.columns]
         score = address.score_columns(
             have(a["source"]), have(to), tiers=a.get("tiers"), parser=a.get("parser", "auto"), aliases=dict(norm.addr_aliases),
-            stopwords=list(norm.addr_stopwords), weight=(a.get("weights") or {}).get("street_name", 0.6),
+            stopwords=list(norm.addr_stopwords), patterns=norm.addr_patterns, weight=(a.get("weights") or {}).get("street_name", 0.6),
         )
         got = got.withColumn("__addr", score).withColumns(
             {"addr_score": F.col("__addr.score"), "addr_street_match": F.col("__addr.street_match"), "addr_comparison": F.col("__addr.comparison"), "addr_tier": F.col("__addr.tier")}

@@ -12,6 +12,7 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame
 
+from ..functions.address import Patterns
 from ..operators.filters import FILTER_OPS, step_filters
 from ..operators.output import FLAG, GROUP, UNMATCHED, computed_names
 from ..sinks.frames import formats
@@ -467,7 +468,7 @@ def _json(ref: Any, base_dir: str) -> Any:
 
 
 def normalization(cfg: Mapping[str, Any] | None, base_dir: str = ".") -> tuple[dict[str, Any], list[str]]:
-    """Aliases and stop words for names and addresses. A flat alias map is for addresses; a flat stop word list for both."""
+    """Aliases, stop words and address words. A flat alias map is for addresses; a flat stop word list for both."""
     cfg = cfg or {}
     aliases, stop, warnings = _json(cfg.get("aliases"), base_dir) or {}, _json(cfg.get("stopwords"), base_dir) or [], []
     if aliases and not any(isinstance(v, Mapping) for v in aliases.values()):
@@ -478,7 +479,14 @@ def normalization(cfg: Mapping[str, Any] | None, base_dir: str = ".") -> tuple[d
         stop = {k: [*stop.get(k, []), *rest] for k in ("name", "address")}
     else:
         stop = {"name": list(stop), "address": list(stop)}
-    return {"name_aliases": aliases.get("name") or {}, "addr_aliases": aliases.get("address") or {}, "name_stopwords": stop["name"], "addr_stopwords": stop["address"]}, warnings
+    out = {"name_aliases": aliases.get("name") or {}, "addr_aliases": aliases.get("address") or {}, "name_stopwords": stop["name"], "addr_stopwords": stop["address"]}
+    if ref := cfg.get("address_patterns"):
+        if (path := sidecar(ref, base_dir)) is None:
+            raise RecipeError(f"normalization.address_patterns: there is no file {ref!r}, here or in {base_dir!r}")
+        out["addr_patterns"] = Patterns.load(path)
+    if cfg.get("unicode"):
+        warnings.append("normalization.unicode has no effect on matching; the profiler counts scripts")
+    return out, warnings
 
 
 def route_exclusions(recipe: Mapping[str, Any], listed: Mapping[str, Sequence[str]]) -> dict[str, Any]:

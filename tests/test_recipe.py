@@ -136,3 +136,19 @@ def test_exclusions_are_routed():
     assert got["steps"][0]["exclude"] == {"values": ["7"]} and "exclude" not in BASE["steps"][0]
     with pytest.raises(r.RecipeError, match="don't exist"):
         r.route_exclusions(BASE, {"zz": ["7"]})
+
+
+def test_address_words_of_a_recipe_are_used(spark, tmp_path):
+    (tmp_path / "words.json").write_text('{"street_suffixes": ["weg"], "unit_keywords": [], "directionals": [], "state_codes": [], "zip_patterns": []}')
+    values, warnings = r.normalization({"address_patterns": "words.json", "unicode": {"mode": "x"}}, str(tmp_path))
+    assert values["addr_patterns"].suffixes == {"weg"} and any("unicode" in w for w in warnings)
+    with pytest.raises(r.RecipeError, match="no file"):
+        r.normalization({"address_patterns": "gone.json"}, str(tmp_path))
+    from matchloom.operators import resolve
+    from matchloom.operators.joins import Norm
+
+    src = spark.createDataFrame([("k", "12 alter weg 5")], "k string, addr string")
+    dst = spark.createDataFrame([("k", "99 alter weg 7")], "k2 string, addr2 string")
+    step = {"name": "s", "match_fields": [{"source": "k", "destination": "k2", "method": "exact", "tiers": ["raw"]}], "address_support": {"source": ["addr"], "destination": ["addr2"], "tiers": ["raw"]}}
+    street = lambda norm: resolve.step(src, dst, step, norm, key="k").matched.first()["addr_score"]
+    assert street(Norm(**values)) != street(Norm())
