@@ -20,6 +20,7 @@ rows leave one row; an empty table gives an empty result; all columns are carrie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .simhash import _hash, contract
 SHINGLE, BANDS, ROWS = 5, 20, 4
 #: Similarity of LEAST[0] / LEAST[1] or more links two texts.
 LEAST = (4, 5)
+#: Leaders are picked among nodes of like size, classes of which go up by this factor.
+SIZES = 1.2
 #: Shingles taken through all hash functions at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 14
 _MIX = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -142,18 +145,14 @@ def _hopeful(left: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
 def links(near: DataFrame, sets: DataFrame, first: DataFrame, similarity: tuple[int, int] = LEAST) -> DataFrame:
     """(node, root) of the nodes with a link; near has (bucket, node, n), a row per node in a shared bucket, and first the pairs
     (a, b) to begin with."""
-    up, down = similarity
-    near_of_size = lambda p, q: (F.col(p) * down >= F.col(q) * up) & (F.col(q) * down >= F.col(p) * up)
-    tested = materialize(_ordered(first.unionByName(_to_leaders(near, sets))), "near-pairs")
+    leaders = materialize(_leaders(near, sets), "near-leaders")
+    to_leaders = leaders.select(F.col("node").alias("a"), F.explode(F.array("lead", "other")).alias("b")).where("a <> b")
+    tested = materialize(_ordered(first.unionByName(to_leaders)), "near-pairs")
     stars = contract(materialize(_alike(tested, sets, similarity), "near-links"))
     placed = near.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     left = materialize(_open(placed), "near-open")
     left = materialize(_open(materialize(_hopeful(left, sets, similarity), "near-hopeful")), "near-open")
-    p, q = left.alias("p"), left.alias("q")
-    # The shingles that two texts share are among those that either shares with anyone.
-    enough = F.least("p.shared", "q.shared") * (up + down) >= up * (F.col("p.n") + F.col("q.n"))
-    met = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near_of_size("p.n", "q.n") & enough)
-    pairs = _ordered(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+    pairs = _ordered(_possible(left, leaders, sets, similarity))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
     found = materialize(_alike(pairs, sets, similarity), "near-links")
     if found.isEmpty():
@@ -162,15 +161,48 @@ def links(near: DataFrame, sets: DataFrame, first: DataFrame, similarity: tuple[
     return contract(materialize(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found).distinct(), "near-edges"))
 
 
-def _to_leaders(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node with two leaders that it shares a bucket with: the most typical node, which has the smallest share
-    of shingles that no other node has and so is nearest to the text that a group's copies were made from, and the one
-    of the smallest hash."""
-    typical = F.coalesce(F.col("own"), F.lit(0)) / F.col("n")
-    rows = near.join(_own(sets), "node", "left").select("bucket", "node", F.struct(typical.alias("rank"), F.col("node").alias("at")).alias("a"), F.struct(F.lit(0.0).alias("rank"), F.col("node").alias("at")).alias("b"))
-    leads = rows.groupBy("bucket").agg(F.min("a").alias("lead_a"), F.min("b").alias("lead_b"))
-    each = rows.join(leads, "bucket").groupBy("node").agg(F.min("lead_a").alias("lead_a"), F.min("lead_b").alias("lead_b"))
-    return each.select(F.col("node").alias("a"), F.explode(F.array("lead_a.at", "lead_b.at")).alias("b")).where("a <> b")
+def _possible(left: DataFrame, leaders: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of open nodes of a bucket that can be linked, found without pairing what can't.
+
+    Two nodes with one leader share no more than the lesser of what each shares with it, unless they share a shingle that
+    the leader lacks. So of those only pairs with enough in common with the leader meet, or pairs with such a shingle, which are
+    few: copies with edits of their own have hardly any in common. Nodes of unlike leaders meet in their buckets."""
+    up, down = similarity
+    alike_n = (F.col("p.n") * down >= F.col("q.n") * up) & (F.col("q.n") * down >= F.col("p.n") * up)
+    apart = (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & alike_n
+    enough = lambda c: F.least(f"p.{c}", f"q.{c}") * (up + down) >= up * (F.col("p.n") + F.col("q.n"))
+    rows = left.join(leaders.select("node", "lead"), "node")
+    nodes = rows.select("node", "n", "root", "lead").distinct().join(sets, "node")
+    held = sets.select(F.col("node").alias("lead"), F.col("grams").alias("led"))
+    outside = F.array_except("grams", "led")
+    nodes = materialize(nodes.join(held, "lead").select("node", "n", "root", "lead", outside.alias("outside")).withColumn("inside", F.col("n") - F.size("outside")), "near-nodes")
+
+    def met(df: DataFrame, by: list[str], condition) -> DataFrame:
+        same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in by]
+        joined = df.alias("p").join(df.alias("q"), reduce(lambda x, y: x & y, [*same, apart, condition]))
+        return joined.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+
+    unlike = met(rows, ["bucket"], enough("shared") & (F.col("p.lead") != F.col("q.lead")))
+    # Too little inside for any text that is long enough: out before they meet.
+    inside = nodes.where(F.col("inside") * (up + down) * down >= (F.col("n") * down + F.col("n") * up) * up).withColumnRenamed("lead", "bucket").drop("outside")
+    near_leader = met(_open(inside), ["bucket"], enough("inside"))
+    tokens = nodes.select("node", "n", "root", "lead", F.explode("outside").alias("g"))
+    shared = tokens.groupBy("lead", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("lead", "g")
+    beside = met(tokens.join(shared, ["lead", "g"], "left_semi"), ["lead", "g"], F.lit(True))
+    return unlike.unionByName(near_leader).unionByName(beside)
+
+
+def _leaders(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, lead, other): for each node two nodes of its size that it shares a bucket with: the most typical one, which has the
+    smallest share of shingles that no other node has (the larger of equals) and so is nearest to the text that a group's copies
+    were made from, and the one of the smallest hash."""
+    own = F.coalesce(F.col("own"), F.lit(0)) / F.col("n")
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))).cast("int")
+    by = {"a": F.struct(own.alias("own"), (-F.col("n")).alias("less"), F.col("node").alias("at")), "b": F.struct(F.col("node").alias("at"))}
+    rows = near.join(_own(sets), "node", "left").select("bucket", "node", kind.alias("kind"), *[x.alias(k) for k, x in by.items()])
+    leads = rows.groupBy("bucket", "kind").agg(F.min("a").alias("lead_a"), F.min("b").alias("lead_b"))
+    each = rows.join(leads, ["bucket", "kind"]).groupBy("node").agg(F.min("lead_a").alias("lead_a"), F.min("lead_b").alias("lead_b"))
+    return each.select("node", F.col("lead_a.at").alias("lead"), F.col("lead_b.at").alias("other"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = LEAST) -> DataFrame:

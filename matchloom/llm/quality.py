@@ -97,12 +97,15 @@ def measures(text: Column, rules: Rules = Rules()) -> Column:
     )
 
 
-def marks(text: Column) -> Column:
-    """For each line of a text: the hash of its normalised form, its words, and the digest and length of the line itself."""
+def marks(text: Column, digests: bool = True) -> Column:
+    """For each line of a text: the hash of its normalised form, its words, and (with digests) the digest and length of the line
+    itself."""
     full = F.coalesce(text, F.lit(""))
     plain = F.regexp_replace(F.lower(F.regexp_replace(full, "[0-9]+", "0")), r"[\x20\x09\x0B-\x0D]+", " ")
     n = lambda x: F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
     normal = F.transform(F.split(plain, "\n"), lambda x: _let(F.trim(x), lambda t: F.struct(F.xxhash64(t).alias("line"), n(t).alias("n"))))
+    if not digests:
+        return normal
     return _let(
         normal,
         lambda p: F.transform(
@@ -112,11 +115,11 @@ def marks(text: Column) -> Column:
     )
 
 
-def figures(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules()) -> DataFrame:
+def figures(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", rules: Rules = Rules(), digests: bool = True) -> DataFrame:
     """The one pass over texts: id, body (hash of the text), host, the base figures, and marks of the lines."""
     m = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(host_col).alias("host"),
-        measures(F.col(text_col), rules).alias("m"), marks(F.col(text_col)).alias("lines"),
+        measures(F.col(text_col), rules).alias("m"), marks(F.col(text_col), digests).alias("lines"),
     )
     return m.select(
         "id", "body", "host", F.col("m.words.n").alias("n_words"), F.col("m.words.chars").alias("word_chars"), "m.n_symbols", "m.n_dup_lines",
@@ -181,7 +184,7 @@ def keep(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", r
     """The rows of documents that pass, with all their columns, their texts without the boilerplate lines."""
     body = fresh(docs, "body_hash")
     marked = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
-    table = materialize(figures(docs, id_col, text_col, host_col, rules), "quality-figures")
+    table = materialize(figures(docs, id_col, text_col, host_col, rules, digests=False), "quality-figures")
     judged = decided(table, rules).where(~F.col("kept") | F.col("places").isNotNull())
     r = judged.select("id", "body", "host", "kept", "places").distinct().alias("r")
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.id")) & (F.col(f"d.`{body}`") == F.col("r.body")) & F.col(f"d.`{host_col}`").eqNullSafe(F.col("r.host"))
