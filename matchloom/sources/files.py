@@ -113,12 +113,17 @@ def read_format(spark: SparkSession, path: str, fmt: str, as_strings: bool = Tru
     return strings(df) if as_strings else df
 
 
+#: Files that are read one by one to keep their order.
+ORDERED_FILES = 64
+
+
 def in_order(spark: SparkSession, path: str, fmt: str, **options: Any) -> DataFrame:
-    """A source whose rows come in the order of its files' names and of the rows in them, so that a row's position is the same in
-    every run. Within a file Spark's splits are in order; of several files it packs the larger first, so each is read by itself."""
+    """A source whose rows come in the order of its files' names and of the rows in them, so that a row's position says where it
+    stands. Within a file Spark's splits are in order; of several files it packs the larger first, so each is read by itself.
+    With more than ORDERED_FILES rows come in Spark's order of splits, which is the same in every run over the same files."""
     df = read_format(spark, path, fmt, **options)
     files = sorted(df.inputFiles())
-    if len(files) < 2:
+    if not 2 <= len(files) <= ORDERED_FILES:
         return df
     parts = [read_format(spark, f, fmt, **options) for f in files]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*[column(c) for c in df.columns])
