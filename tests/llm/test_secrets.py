@@ -202,3 +202,96 @@ def test_defined_values_of_edge_cases(spark):
     got = sorted((str(r["id"]), [tuple(x) for x in r["base"]]) for r in secrets.scan(df).collect())
     one = [("assign", 0, 14)]
     assert got == [("1", []), ("2", []), ("4", one), ("4", one), ("5", [("assign", 1_100_001, 1_100_015)]), ("None", one)]
+
+
+def carry(text, encoding, digits):
+    """Hidden text and, by the plainest means, the digits that the characters i to j of the text stand in."""
+    data, bits = text.encode(encoding), 4 if digits == "hex" else 6
+    ends = [len(text[:i].encode(encoding)) for i in range(len(text) + 1)]
+    hidden = data.hex().upper() if digits == "hex" else b64(data)
+    return hidden, lambda i, j: (8 * ends[i] // bits, -(-8 * ends[j] // bits))
+
+
+@pytest.mark.parametrize("digits", ["hex", "base64"])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16-le", "utf-16-be"])
+def test_each_finding_in_digits_has_its_own_span(digits, encoding):
+    rng = random.Random(5)
+    for n in range(60):
+        gaps = ["".join(rng.choices("abc dé\n", weights=[9, 9, 9, 9, 9, encoding == "utf-8", 1], k=rng.randint(1, 20))) + "!" for _ in range(3)]
+        inner = f"{gaps[0]}password=x{n:02}hunter{gaps[1]}{KEY}!{gaps[2]}token: y{n:02}hunter"
+        hidden, place = carry(inner, encoding, digits)
+        at = len("some é words: '")
+        want = {(k, *(at + x for x in place(i, j))) for k, i, j in brute_base(inner)}
+        got = {x for x in secrets.scan_text(f"some é words: '{hidden}' and more")[1] if x[0] != "hex"}
+        assert len(want) == 3 and got == want, (inner, hidden)
+
+
+def test_spans_go_through_wrapped_and_nested_digits():
+    inner = f"first password=abcdefgh1 then {KEY} and on, " * 3
+    for form in (lambda t: wrap(b64(t), 76), lambda t: wrap(t.encode().hex(), 60), lambda t: b64(t.encode().hex()), lambda t: b64(b64(t)), lambda t: quote(b64(t).replace("A", "%41")), lambda t: t.encode().hex().encode().hex()):
+        found = [x for x in secrets.scan_text(f"<{form(inner)}>")[1] if x[0] != "hex"]
+        assert [k for k, *_ in found] == ["assign", "access"] * 3 and len({(s, e) for _, s, e in found}) == 6
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+@pytest.mark.parametrize("form", [bytes.hex, lambda b: b.hex().upper(), lambda b: "a" + b.hex(), lambda b: wrap(b.hex(), 60), lambda b: wrap(b.hex(), 60).replace("\n", "\r\n  "), lambda b: "feed\n" + b.hex()])
+def test_hex_digits_are_decoded(form, pack):
+    hidden = form(pack(f"a line of words, password=hunter2hunter2 {KEY}, and one more".encode()))
+    found = [(k, s, e) for k, s, e in secrets.scan_text(f"some words '{hidden}' more")[1] if k != "hex"]
+    assert [k for k, *_ in found] == ["assign", "access"] and all(12 <= s < e <= 12 + len(hidden) for _, s, e in found)
+
+
+def test_compressed_data_in_compressed_data_is_unpacked():
+    for packs in ([gzip.compress] * 2, [zlib.compress, gzip.compress], [gzip.compress, zlib.compress] * 3):
+        data = b"x password=farinside1 y"
+        for pack in packs:
+            data = pack(data)
+        assert secrets.scan_text(f"a {b64(data)} z")[1] == [("assign", 2, 2 + len(b64(data)))]
+    beside = gzip.compress(gzip.compress(b"password=farinside1") + b" and then a " + KEY.encode())
+    assert {k for k, *_ in secrets.scan_text(b64(beside))[1]} == {"assign", "access"}
+    members = gzip.compress(b"") + gzip.compress(b"password=inthesecond")
+    assert [k for k, *_ in secrets.scan_text(b64(members))[1]] == ["assign"], "an empty member ends nothing"
+
+
+def test_texts_that_begin_like_compressed_data_are_texts():
+    for start in (a + b for a in "8HXhx(" for b in map(chr, range(32, 127)) if (ord(a) << 8 | ord(b)) % 31 == 0):
+        for form in (b64, lambda t: wrap(b64(t), 76), lambda t: wrap(t.encode().hex(), 60)):
+            hidden = form(f"{start} is how a text of some lines begins, with token=abcdefgh1 in it, and more words after it")
+            assert "assign" in [k for k, *_ in secrets.scan_text(f"<{hidden}>")[1]], start
+
+
+def test_bombs_in_compressed_data_end(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_UNPACKED", 1 << 18)
+    bomb = gzip.compress(gzip.compress(b"password=abcdefgh1 " + b"\0" * (4 << 20)))
+    assert {k for k, *_ in secrets.scan_text(b64(bomb))[1]} == {"assign", "bomb"}
+    deep = b"token=abcdefgh1 " + random.Random(2).randbytes(1 << 16)
+    for _ in range(8):
+        deep = zlib.compress(deep, 0)
+    assert "bomb" in {k for k, *_ in secrets.scan_text(b64(deep))[1]}, "what isn't reached is told"
+
+
+def test_runs_in_unpacked_data_stay_whole(monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    noise = random.Random(4).randbytes(9000)
+    for digits in (b64, bytes.hex, lambda b: wrap(b64(b), 76)):
+        run = digits(gzip.compress(b64(noise).encode() + b" password=behindthelot "))
+        text = "some words. " * 500 + run + ". and words" * 700
+        assert [k for k, *_ in secrets.scan_text(b64(gzip.compress(text.encode())))[1] if k == "assign"] == ["assign"]
+
+
+def test_levels_below_the_fixed_ones_are_scanned_each():
+    def under(c, levels):
+        for i in range(levels):
+            c = f"&#{ord(c[0])};{c[1:]}" if i % 2 == 0 else f"%{ord(c[0]):02x}{c[1:]}"
+        return c
+
+    # The hex digits stand together on one level only: before it one of them is escaped, below it two of them are a character.
+    text = f"{under('%', 40)}67{under('0', 40)}{'1' * 29}"
+    levels, layer = 0, text
+    seen = set()
+    while got := secrets._unescaped(layer):
+        layer, levels = got[0], levels + 1
+        seen |= {levels for k, *_ in brute_base(layer) if k == "hex"}
+    assert len(seen) == 1 and min(seen) > secrets.ROUNDS and levels > min(seen)
+    assert [k for k, *_ in secrets.scan_text(text)[1]] == ["hex"]
