@@ -64,16 +64,21 @@ def project(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.select(*[column(c) for c in columns]) if columns else df
 
 
+#: Temporary folders of local sessions without spark.checkpoint.dir, by application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, which spark.checkpoint.dir names. Where it is unset a local session gets
     a temporary one; on a cluster that is an error, since its machines share no temporary folder."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="matchloom-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="matchloom-shared-")
+    return _local_folders[context.applicationId]
 
 
 def own_folder(path: Path, label: str) -> Path:
