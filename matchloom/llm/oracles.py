@@ -126,4 +126,36 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM j
 """
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op4_warc": WARC, "op6_mixing": MIXING, "op8_quality": QUALITY}
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Lloyd's rounds written out: c0 to c4 are the codebooks, a0 to a4 the parts' nearest entries in them."""
+    assigned = """
+a{k} AS (
+  SELECT vec_id, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT vec_id, p, x, e, (xx - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT AS d FROM parts JOIN c{k} USING (p)) GROUP BY vec_id, p
+)"""
+    moved = """
+s{k} AS (
+  SELECT p, e, list(floor_div ORDER BY j)::DOUBLE[] AS c FROM (
+    SELECT p, e, j, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS floor_div
+    FROM (SELECT p, e, j, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(x)::BIGINT AS v, generate_subscripts(x, 1) AS j FROM a{k}) GROUP BY p, e, j)
+  ) GROUP BY p, e
+),
+c{n} AS (SELECT p, e, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} USING (p, e))"""
+    steps = [x for k in range(rounds) for x in (assigned.format(k=k), moved.format(k=k, n=k + 1))] + [assigned.format(k=rounds)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cut AS (SELECT vec_id, label, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+parts AS (SELECT *, list_inner_product(x, x) AS xx FROM cut),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),
+{",".join(steps)},
+r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+b AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS j FROM c{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN kept USING (vec_id), b
+"""
+
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op4_warc": WARC, "op6_mixing": MIXING, "op8_quality": QUALITY, "op11_vector_codes": _vector_codes()}

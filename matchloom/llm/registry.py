@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, warc
+from . import attribution, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, vector_codes, warc
 from .common import load
 from .oracles import ORACLES
 
@@ -71,7 +73,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(join("base"), 256).alias("base_sha256"), join("spans").alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(load(spark, sf_dir, "embeddings"))
+    sha = F.lit(books.sha256() if books else hashlib.sha256(b"").hexdigest())
+    r = vector_codes.with_label_error(coded)
+    return r.select(F.col("id").alias("vec_id"), vector_codes.code_string("codes").alias("code"), "error", "label_error", sha.alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_license_scan, op3_token_files, op4_warc, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_html_text, op10_secrets)
+    for f in (op1_decontamination, op2_license_scan, op3_token_files, op4_warc, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_html_text, op10_secrets, op11_vector_codes)
 }
