@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, vector_codes, warc
+from . import attribution, byte_bpe, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, vector_codes, warc
 from .common import load
 from .oracles import ORACLES
 
@@ -80,7 +80,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("vec_id"), vector_codes.code_string("codes").alias("code"), "error", "label_error", sha.alias("codebooks_sha256"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    r = byte_bpe.decode(byte_bpe.encode(load(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return r.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_license_scan, op3_token_files, op4_warc, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_html_text, op10_secrets, op11_vector_codes)
+    for f in (op1_decontamination, op2_license_scan, op3_token_files, op4_warc, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_html_text, op10_secrets, op11_vector_codes, op13_byte_bpe)
 }
