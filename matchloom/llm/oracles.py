@@ -158,4 +158,30 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 """
 
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op4_warc": WARC, "op6_mixing": MIXING, "op8_quality": QUALITY, "op11_vector_codes": _vector_codes()}
+# h is the conversation id's crc32, bit by bit, modulo 9.
+CONVERSATION_TRIE = """
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS whole
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+l AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, sha256(whole)) AS xs FROM t GROUP BY c),
+b AS (
+  SELECT c, xs, c - c % 5 AS base, xor(list_reduce(
+    [4294967295] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_transform(range(0, 8), lambda k: (ascii(x) >> k::INT) & 1)))::BIGINT[],
+    lambda r, bit: xor(r >> 1, CASE WHEN xor(r & 1, bit) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 9 AS h
+  FROM l
+),
+s AS (SELECT b.c, list_concat(coalesce(l.xs[1 : h], []), b.xs[h + 1 :]) AS xs FROM b LEFT JOIN l ON l.c = b.base),
+p AS (SELECT c, xs[1 : d] AS k, d, len(xs) AS n FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM s)),
+node AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (max(n) = d)::BIGINT AS leaf, (count(*) - 1) * coalesce(strlen(k[d].text), 0) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM p GROUP BY d, k
+),
+kids AS (SELECT d - 1 AS d, k[1 : d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT d, k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT e AS d, k[1 : e] AS k, leaf, saved FROM (SELECT k, leaf, saved, unnest(range(0, d + 1)) AS e FROM node)) GROUP BY d, k)
+SELECT a.conv_id, a.d::BIGINT AS depth, up.conv_id AS parent_conv_id, a.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, a.ends_sha256
+FROM node a JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN node up ON up.d = a.d - 1 AND up.k = a.k[1 : a.d - 1]
+"""
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op4_warc": WARC, "op6_mixing": MIXING, "op8_quality": QUALITY, "op11_vector_codes": _vector_codes(), "op12_conversation_trie": CONVERSATION_TRIE}

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, byte_bpe, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, vector_codes, warc
+from . import attribution, byte_bpe, conversation_trie, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, vector_codes, warc
 from .common import load
 from .oracles import ORACLES
 
@@ -80,6 +80,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("vec_id"), vector_codes.code_string("codes").alias("code"), "error", "label_error", sha.alias("codebooks_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(*conversation_trie.rebuilt(conversation_trie.numbered(load(spark, sf_dir, "conversations")))).drop("key")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,5 +94,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_license_scan, op3_token_files, op4_warc, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_html_text, op10_secrets, op11_vector_codes, op13_byte_bpe)
+    for f in (op1_decontamination, op2_license_scan, op3_token_files, op4_warc, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_html_text, op10_secrets, op11_vector_codes, op12_conversation_trie, op13_byte_bpe)
 }
