@@ -70,40 +70,41 @@ def _unit(*parts: Column) -> Column:
 def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> tuple[DataFrame, str]:
     """The rows of docs with a struct column of size, source_size, target, copies; and that column's name."""
     sources = materialize(plan(docs, text_col, source_col), "mix-sources")
-    sources = small(sources, BROADCAST_ROWS).alias("s")
-    mix, key, bucket, place = (fresh(docs, n) for n in ("mix", "mix_key", "mix_bucket", "mix_place"))
+    # What is joined comes in one column whose name no document column has.
+    mix, key, bucket, place, src, base = (fresh(docs, n) for n in ("mix", "mix_key", "mix_bucket", "mix_place", "mix_source", "mix_base"))
+    sources = small(sources.select(F.struct(*sources.columns).alias(src)), BROADCAST_ROWS)
     q = lambda name: F.col(f"`{name}`")
     name = F.coalesce(q(id_col).cast("string"), F.lit(""))
     u = _unit(name, F.md5(F.coalesce(q(text_col), F.lit(""))), F.lit("mix"))
-    marked = docs.withColumn(key, F.struct(size_of(q(text_col)).alias("size"), u.alias("u"), q(source_col).cast("string").alias("source"))).alias("d")
-    joined = marked.join(sources, F.col(f"d.`{key}`.source").eqNullSafe(F.col("s.source")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("documents") / BUCKET))
+    marked = docs.withColumn(key, F.struct(size_of(q(text_col)).alias("size"), u.alias("u"), q(source_col).cast("string").alias("source")))
+    joined = marked.join(sources, q(key)["source"].eqNullSafe(q(src)["source"]))
+    parts = F.greatest(F.lit(1), F.ceil(q(src)["documents"] / BUCKET))
     cls = F.floor(F.log2(q(key)["size"] + 1.0) * CLASSES)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(q(src)["source_size"] > 0, q(src)["target"] / q(src)["source_size"]).otherwise(F.lit(0.0))
     dealt = joined.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns],
+        *[q(c) for c in docs.columns],
         q(key),
-        F.struct(F.col("number"), cls.alias("cls"), F.floor(q(key)["u"] * parts).alias("part")).alias(bucket),
-        F.struct(F.col("source_size"), F.col("target"), rate.alias("rate")).alias(mix),
+        F.struct(q(src)["number"].alias("number"), cls.alias("cls"), F.floor(q(key)["u"] * parts).alias("part")).alias(bucket),
+        F.struct(q(src)["source_size"].alias("source_size"), q(src)["target"].alias("target"), rate.alias("rate")).alias(mix),
     )
     group = ["number", "cls", "part"]
     # Only three columns of the documents are read here; the text only for its size.
     counts = dealt.groupBy(*[q(bucket)[g].alias(g) for g in group]).agg(F.count("*").alias("n"))
     counts = materialize(counts, "mix-counts")
-    bases = materialize(prefix_sums(counts), "mix-bases").alias("b")
+    bases = materialize(prefix_sums(counts), "mix-bases")
+    bases = bases.select(F.struct(*bases.columns).alias(base))
     drop(counts)
     others = [q(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
     inside = Window.partitionBy(*[q(bucket)[g] for g in group]).orderBy(q(key)["size"], q(key)["u"], q(id_col), F.xxhash64(q(text_col)), F.xxhash64(*others))
-    placed = dealt.withColumn(place, F.row_number().over(inside)).alias("p")
-    at = lambda c: F.col(f"p.`{c}`")
+    placed = dealt.withColumn(place, F.row_number().over(inside))
     # Counts of buckets: far fewer than documents; joined by shuffle unless Spark finds them small.
-    same = (at(bucket)["number"] == F.col("b.number")) & (at(bucket)["cls"] == F.col("b.cls")) & (at(bucket)["part"] == F.col("b.part"))
-    offset = _unit(F.coalesce(at(key)["source"], F.lit("")), F.lit("offset"))
-    rank = F.col("b.base") + at(place)
-    copies = F.floor(rank * at(mix)["rate"] + offset) - F.floor((rank - 1) * at(mix)["rate"] + offset)
+    same = [q(bucket)[g] == q(base)[g] for g in group]
+    offset = _unit(F.coalesce(q(key)["source"], F.lit("")), F.lit("offset"))
+    rank = q(base)["base"] + q(place)
+    copies = F.floor(rank * q(mix)["rate"] + offset) - F.floor((rank - 1) * q(mix)["rate"] + offset)
     out = placed.join(bases, same).select(
-        *[at(c) for c in docs.columns],
-        F.struct(at(key)["size"].alias("size"), at(mix)["source_size"].alias("source_size"), at(mix)["target"].alias("target"), copies.cast("long").alias("copies")).alias(mix),
+        *[q(c) for c in docs.columns],
+        F.struct(q(key)["size"].alias("size"), q(mix)["source_size"].alias("source_size"), q(mix)["target"].alias("target"), copies.cast("long").alias("copies")).alias(mix),
     )
     return out, mix
 

@@ -107,3 +107,15 @@ def test_prefix_sums_in_levels(spark, monkeypatch):
     rows = [(s, c, p, (s + 2 * c + 3 * p) % 5) for s in range(2) for c in range(4) for p in range(11)]
     got = {(r["number"], r["cls"], r["part"]): r["base"] for r in mixing.prefix_sums(spark.createDataFrame(rows, "number int, cls long, part long, n long")).collect()}
     assert got == {(s, c, p): sum(n for s2, c2, p2, n in rows if s2 == s and (c2, p2) < (c, p)) for s, c, p, _ in rows}
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_columns_called_like_those_inside(spark, docs, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    names = "documents target number source_size mix mix_key mix_source mix_base size u rate cls part base place b d p".split()
+    plain = docs.select("doc_id", "text", "source")
+    wide = plain.selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)], "named_struct('number', 1, 'source', 'x', 'documents', 2) AS s")
+    copies = lambda df: sorted((r["doc_id"], r["text"]) for r in mixing.emit(df).collect())
+    assert mixing.emit(wide).columns == wide.columns
+    assert copies(wide) == copies(plain)
