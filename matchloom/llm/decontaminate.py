@@ -33,6 +33,8 @@ WINDOW = 10
 LISTS = 3
 #: Words that may stand between those of a proximity match.
 SLACK = 5
+#: Words of a text that candidates are held against together.
+CELL = 256
 #: Rows of a table made from the benchmark alone up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -62,6 +64,7 @@ class Index:
     items: DataFrame  # item, key (the number of its word sequence)
     probes: DataFrame  # key, q (the term's place in the item), term
     windows: DataFrame  # key, first (place in the item), words, lists (the places in the item that are looked up)
+    size: int  # words of a window, at most
 
     def drop(self) -> None:
         for t in (self.words, self.postings, self.items, self.probes, self.windows):
@@ -99,7 +102,7 @@ def build_index(
     postings = materialize(postings.select("term", "id", "body", "place"), "postings")
     for t in (counts, listed, known):
         drop(t)
-    return Index(words, postings, named, probes, windows)
+    return Index(words, postings, named, probes, windows, size)
 
 
 def _bit(q):
@@ -150,19 +153,25 @@ def near_candidates(index: Index, slack: int = SLACK) -> DataFrame:
     return hit.select("id", "body", F.greatest(F.lit(0), F.col("cell") * (F.col("size") + slack)).alias("start"), "words").distinct()
 
 
-def _held(index: Index, found: DataFrame) -> DataFrame:
-    """Of candidates (id, body, start, words, near) those that hold: the window stands at start, or (near is its slack, else null)
-    all its words stand, in any order, within its length and the slack in the stretch of two such spans from start. A text's words
-    are joined once, to all its candidates, which its places and the windows that share their rarest terms bound."""
-    where = materialize(found.groupBy("id", "body").agg(F.collect_set(F.struct("start", "words", "near")).alias("all")), "starts")
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.body") == F.col(f"{b}.body"))
-    # Texts without a candidate stay where they are, as long as those with one are counted to be few.
-    some = index.words.alias("d").join(small(where.select("id", "body"), BROADCAST_ROWS).alias("s"), same("d", "s"), "left_semi").alias("d")
-    both = some.join(where.alias("c"), same("d", "c")).select("c.id", "c.body", "n_words", "line", "all")
-    each = both.select("id", "body", _words().alias("w"), "all").select("id", "body", "w", F.explode("all").alias("x")).select("id", "body", "w", "x.start", "x.words", "x.near")
-    exact = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
+def _held(index: Index, found: DataFrame, slack: int = 0) -> DataFrame:
+    """Of candidates (id, body, start, words, near) those that hold: the window stands at start, or (near is the slack, else null)
+    all its words stand, in any order, within its length and the slack in the stretch of two such spans from start. A candidate is
+    joined to a cell of its text, CELL words and as many more as a stretch takes, so that no row grows with a text."""
+    reach = 2 * (index.size + slack)
+    asked = materialize(found.withColumn("cell", F.floor(F.col("start") / CELL).cast("int")).distinct(), "starts")
+
+    def same(a: str, b: str, *more: str) -> Column:
+        return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.body") == F.col(f"{b}.body")) & F.expr(" AND ".join(["true", *(f"{a}.{c} = {b}.{c}" for c in more)]))
+
+    # Texts and cells without a candidate stay where they are, as long as those with one are counted to be few.
+    texts = index.words.alias("d").join(small(asked.select("id", "body").distinct(), BROADCAST_ROWS).alias("s"), same("d", "s"), "left_semi").alias("d")
+    cells = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.col("n_words") - 1) / CELL), F.lit(0)).cast("int")), lambda c: F.struct(c.alias("cell"), F.array_join(F.slice("w", c * CELL + 1, CELL + reach), " ").alias("line")))
+    held = texts.select("id", "body", "n_words", _words().alias("w")).select("id", "body", F.explode(cells).alias("x")).select("id", "body", "x.*").alias("h")
+    held = held.join(small(asked.select("id", "body", "cell").distinct(), BROADCAST_ROWS).alias("s"), same("h", "s", "cell"), "left_semi").alias("h")
+    each = held.join(asked.alias("c"), same("h", "c", "cell")).select("c.id", "c.body", "start", "words", "near", (F.col("start") - F.col("c.cell") * CELL + 1).alias("at"), F.split("line", " ").alias("w"))
+    exact = F.slice("w", F.col("at"), F.size("words")) == F.col("words")
     span = F.size("words") + F.col("near")
-    stretch = F.slice("w", F.col("start") + 1, 2 * span)
+    stretch = F.slice("w", F.col("at"), 2 * span)
     spans = F.transform(F.sequence(F.lit(1), span + 1), lambda s: F.slice(stretch, s, span))
     all_in = F.exists(spans, lambda x: F.size(F.array_except("words", x)) == 0)
     return each.where(F.when(F.col("near").isNull(), exact).otherwise(all_in)).select("id", "body", "start", "words", "near").distinct()
@@ -176,7 +185,7 @@ def occurrences(index: Index) -> DataFrame:
 def proximity_matches(index: Index, slack: int = SLACK) -> DataFrame:
     """(id, body, words): windows whose words all stand, in any order, within the window's length plus slack. Exact matches are
     among them."""
-    return _held(index, near_candidates(index, slack).withColumn("near", F.lit(slack))).select("id", "body", "words").distinct()
+    return _held(index, near_candidates(index, slack).withColumn("near", F.lit(slack)), slack).select("id", "body", "words").distinct()
 
 
 def _items_of(index: Index, found: DataFrame) -> DataFrame:
@@ -190,7 +199,7 @@ def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
     a window whose words all stand, in any order, within the window's length plus slack."""
     index = build_index(docs, items, id_col, text_col, item_id, item_text, size)
     asked = candidates(index).withColumn("near", F.lit(None).cast("int")).unionByName(near_candidates(index, slack).withColumn("near", F.lit(slack)))
-    held = materialize(_held(index, asked), "occurrences")
+    held = materialize(_held(index, asked, slack), "occurrences")
     found = held.where("near IS NULL")
     spans = found.select("id", "body", "start", F.size("words").alias("n")).distinct().groupBy("id", "body").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("spans"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))

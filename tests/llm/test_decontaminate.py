@@ -103,3 +103,15 @@ def test_proximity(spark, slack):
     index = decontaminate.build_index(docs, spark.createDataFrame([(9, "red big dog")], "item_id long, text string"))
     found = {r["id"] for r in decontaminate.proximity_matches(index, slack).collect()}
     assert found == ({1} if slack == 0 else {1, 2, None})
+
+
+@pytest.mark.parametrize("cell", [256, 7])
+def test_long_texts_of_repeated_words(spark, monkeypatch, cell):
+    """Each word of the text begins a candidate."""
+    monkeypatch.setattr(decontaminate, "CELL", cell)
+    n = 60_000 if cell == 256 else 300
+    rows = [(1, "a " * n), (2, "a b " * (n // 2)), (3, "b " * 700 + "a " * 11 + "b " * 700), (4, None)]
+    items = [(1, "a " * 12), (2, "b a " * 6), (3, "b " * 5 + "a " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    r = {x["id"]: (x["n_words"], x["n_hit"], x["item_ids"]) for x in decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert r == {1: (n, n, ["1"]), 2: (n, n, ["2"]), 3: (1411, 16, ["1", "3"]), 4: (0, 0, [])}
