@@ -81,6 +81,13 @@ _RUNS = re.compile(r"(?:[A-Za-z0-9+/_-]++\r?\n[ \t]*+)?[A-Za-z0-9+/_-]{16,}+(?:\
 # As many hex digits as 14 bytes have at least, and the lines beside them.
 _HEX_RUNS = re.compile(rf"(?:{_HEX}++\r?\n[ \t]*+)?{_HEX}{{28,}}+(?:\r?\n[ \t]*+{_HEX}++)*+")
 _BREAK = re.compile(r"\r?\n[ \t]*")
+# A byte behind an escape, or a character that stands for itself among such.
+_ESCAPED_BYTE = (
+    rf"%(?:25)*({_HEX}{{2}})|\\(?:(?:u00+5[cC]|x5[cC]|U0000005[cC])*(?:x|u00|U000000)({_HEX}{{2}})|([abfnrtv0\\'\"/]))"
+    rf"|&(?:(?:amp|#0*38|#[xX]0*26);)*\#(?:0*([0-9]{{1,3}})|[xX]0*({_HEX}{{1,2}}));"
+)
+_HEAD, _BYTE = re.compile(r"x\^|" + _ESCAPED_BYTE), re.compile(_ESCAPED_BYTE + r"|([\x00-\xff])", re.S)
+_SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
 
 Finding = tuple[str, int, int]
 Arrays = tuple[np.ndarray, np.ndarray]
@@ -263,6 +270,81 @@ def _spread(runs: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarr
     return first, first + np.repeat(width, n)
 
 
+def _byte(m: re.Match) -> int:
+    k = m.lastindex
+    if k in (1, 2, 5):
+        return int(m[k], 16)
+    if k == 4:
+        return min(int(m[k]), 256)
+    return _SHORT.get(m[k], ord(m[k])) if k == 3 else ord(m[k])
+
+
+def _heads(text: str) -> Iterator[int]:
+    """Where two bytes stand, at least one of them escaped, that compressed data may begin with; or both as they are, as x^ may."""
+    end, before, place = -1, 0, 0
+    for m in _HEAD.finditer(text):
+        if m[0] == "x^":
+            yield m.start()
+            continue
+        b = _byte(m)
+        if m.start() == end:
+            first, at = before, place
+        else:
+            at = m.start() - 1
+            first = ord(text[at]) if at >= max(end, 0) else 256
+        if max(first, b) < 256 and _packed(bytes((first, b, 0))):
+            yield at
+        end, before, place = m.end(), b, m.start()
+        after = text[end : end + 1]
+        if b < 256 and after and after not in "%\\&" and ord(after) < 256 and _packed(bytes((b, ord(after), 0))):
+            yield m.start()
+
+
+def _compressed_at(text: str, start: int, plus: bool) -> tuple[bytes, int] | None:
+    """Compressed data that begins there behind escapes, and its end; None if it is none. In some URLs a plus is a blank."""
+    z, data, ends, at, step = zlib.decompressobj(47), bytearray(), [], start, 64
+    while True:
+        chunk = bytearray()
+        while len(chunk) < step and (m := _BYTE.match(text, at)) and (b := _byte(m)) < 256:
+            chunk.append(32 if plus and m[0] == "+" else b)
+            at = m.end()
+            ends.append(at)
+        data += chunk
+        rest = bytes(chunk)
+        try:
+            while rest and not z.eof:
+                z.decompress(rest, CHUNK)
+                rest = z.unconsumed_tail
+        except zlib.error:
+            return None
+        if z.eof:
+            n = len(data) - len(z.unused_data)
+            del data[n:], ends[n:]
+            at = ends[-1]
+            # Another member may follow.
+            if not _packed(bytes(x for x in map(_byte, _BYTE.finditer(text[at : at + 64])) if x < 256)[:3]):
+                return bytes(data), at
+            z = zlib.decompressobj(47)
+            continue
+        if not chunk:
+            return bytes(data), at
+        step = min(2 * step, 1 << 16)
+
+
+def _escaped_data(text: str) -> Iterator[Layer]:
+    """Compressed data whose bytes stand in URL or Unicode escapes or in references, with its span."""
+    if "%" not in text and "\\" not in text and "&" not in text:
+        return
+    reach = 0
+    for start in _heads(text):
+        if start < reach:
+            continue
+        got = _compressed_at(text, start, False) or _compressed_at(text, start, True)
+        if got:
+            reach = got[1]
+            yield got[0], (start, reach), None
+
+
 def _settled(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     """As _unescaped, but all levels down, in one pass: each escape is decoded as soon as it is complete, and what it stands for
     may complete another with what stands before it."""
@@ -467,6 +549,10 @@ def _below(layer: str, to: Map | None, depth: int, left: list[int]) -> Iterator[
                 else:
                     for below in _unpacked(found):
                         yield below, Map(where), 0
+    for found, at, _ in _escaped_data(layer):
+        where = _span(to, *at)
+        for below in _unpacked(found):
+            yield below, Map(where), 0
 
 
 def scan_text(text: str | None) -> tuple[list[Finding], list[Finding]]:
