@@ -69,7 +69,7 @@ def write_output(result: pipeline.Result, output: Mapping[str, Any], path: Path,
 
 def run_recipe(spark: SparkSession, path: str | Path, base_dir: str = ".", output: str | None = None, as_of: dt.datetime | None = None, chart: str = "default") -> list[Path]:
     r = recipes.load(path)
-    result = pipeline.run(spark, r, base_dir, as_of)
+    result = pipeline.run(spark, r, base_dir, as_of, write=True)
     for w in result.warnings:
         print(f"[WARN] {w}", file=sys.stderr)
     stats = result.stats()

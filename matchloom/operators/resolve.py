@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -36,8 +36,10 @@ def _inherit(df: DataFrame, spec: Sequence[Mapping[str, str]]) -> DataFrame:
 def step(
     src: DataFrame, dst: DataFrame, spec: Mapping[str, Any], norm: Norm = Norm(), key: str | None = None, mode: str = "best_match",
     tie: TieBreaker | None = None, same_population: bool = False, as_of: dt.datetime | None = None, base_dir: str = ".",
+    hold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StepResult:
-    """One matching rule: exclusions, filters, the name join, address gates, inherited columns."""
+    """One matching rule: exclusions, filters, the name join, address gates, inherited columns. Matches and rejections both come from the
+    gated join: hold, if given, writes it down so that it runs once for both."""
     out_of = None
     if cfg := spec.get("exclude"):
         field_, values = cfg.get("field", key), filters.excluded_values(cfg, base_dir)
@@ -69,17 +71,18 @@ def step(
         ).drop("__addr")
         street = F.lit(False) if not a.get("require_street_match") else ~F.col("addr_street_match")
         low = F.lit(False) if "threshold" not in a else F.col("addr_score") < F.lit(float(a["threshold"]))
-        reason = F.when(street, "street_mismatch").when(low, "addr_below_threshold")
+        got = got.withColumn("__reason", F.when(street, "street_mismatch").when(low, "addr_below_threshold"))
         if key and key in got.columns and (a.get("require_street_match") or "threshold" in a):
             # Of a key's rejections the street goes first, then the last candidate's score counts.
-            bad = got.withColumn("__reason", reason).where(F.col("__reason").isNotNull())
+            got = hold(got) if hold else got
+            bad = got.where(F.col("__reason").isNotNull())
             last = Window.partitionBy("__rk").orderBy(F.col("__reason").desc(), F.col(DST_POS).desc())
             rejected = (
                 bad.select(column(key).cast("string").alias("__rk"), "__reason", "addr_score", DST_POS)
                 .withColumn("__n", F.row_number().over(last)).where("__n = 1")
                 .select("__rk", F.col("__reason").alias("reason"), F.col("addr_score").alias("best_addr_score"))
             )
-        got = got.where(reason.isNull())
+        got = got.where(F.col("__reason").isNull()).drop("__reason")
     return StepResult(_inherit(got.withColumn("match_step", F.lit(spec["name"])), spec.get("inherit") or []), rejected, out_of)
 
 
@@ -93,15 +96,16 @@ class PhaseResult:
 def run_steps(
     steps: Sequence[Mapping[str, Any]], pops: Mapping[str, DataFrame], sources: Mapping[str, DataFrame], norm: Norm, key: str,
     tie: TieBreaker | None = None, offset: int = 0, mode: str = "best_match", as_of: dt.datetime | None = None, base_dir: str = ".",
+    hold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> PhaseResult:
-    """All steps over the full populations; nothing runs until the result is read."""
+    """All steps over the full populations; nothing runs until the result is read, but for what hold writes down."""
     matched, rejected, exclusions = [], [], {}
     for i, spec in enumerate(steps):
         src = pops.get(spec["source"])
         dst = pops.get(spec["destination"], sources.get(spec["destination"]))
         if src is None or dst is None:
             continue
-        r = step(src, dst, spec, norm, key, mode, tie, spec["source"] == spec["destination"], as_of, base_dir)
+        r = step(src, dst, spec, norm, key, mode, tie, spec["source"] == spec["destination"], as_of, base_dir, hold)
         matched.append(r.matched.withColumn("__step", F.lit(offset + i)))
         if r.rejected is not None:
             rejected.append(r.rejected.withColumns({"step": F.lit(spec["name"]), "__step": F.lit(offset + i)}))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import column
@@ -29,6 +29,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, steps: Sequence[str] = ()) -> tuple[DataFrame, Counts]:
+    """As ``cut``, with the table's rows, and those of each step, counted while they are written: by the tasks that write them, whose
+    counts Spark takes once even if a task runs again. No job counts them afterwards."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    named = [F.count(F.when(F.col("match_step") == s, 1)).alias(f"s{i}") for i, s in enumerate(steps)] if "match_step" in df.columns else []
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *named))
+    got = seen.get
+    return table, Counts(got["n"], {s: got[f"s{i}"] for i, s in enumerate(steps[: len(named)]) if got[f"s{i}"]})
+
+
+@dataclass
+class Counts:
+    rows: int = 0
+    steps: dict[str, int] = field(default_factory=dict)
+
+
+def counted(df: DataFrame | None) -> Counts:
+    """By jobs, for frames that haven't been written."""
+    if df is None:
+        return Counts()
+    steps = {r["match_step"]: r["count"] for r in df.groupBy("match_step").count().collect()} if "match_step" in df.columns else None
+    return Counts(df.count(), {}) if steps is None else Counts(sum(steps.values()), steps)
+
+
 @dataclass
 class Phase:
     name: str
@@ -36,11 +60,14 @@ class Phase:
     unmatched: DataFrame | None
     input: DataFrame | None
     exclusions: dict[str, Any] = field(default_factory=dict)
+    counts: Counts | None = None  # of the matches, where they were observed
+    input_rows: int | None = None  # where the rows before it were observed
 
 
 @dataclass
 class Result:
-    """Lazy frames of a run; ``stats()`` counts them."""
+    """Frames of a run. They are lazy, and ``stats()`` counts them by jobs, unless the run was written: then they are tables, each made
+    once, and the counts are those observed meanwhile."""
 
     matched: DataFrame
     unmatched: DataFrame
@@ -53,20 +80,21 @@ class Result:
     sources: dict[str, DataFrame] = field(default_factory=dict)
     groups: list[dict[str, Any]] = field(default_factory=list)
     seconds: dict[str, float] = field(default_factory=dict)
+    matched_counts: Counts | None = None
+    unmatched_counts: Counts | None = None
 
     def stats(self) -> dict[str, Any]:
-        """Counts for reports, each from one job."""
-        steps = {r["match_step"]: r["count"] for r in self.matched.groupBy("match_step").count().collect()} if "match_step" in self.matched.columns else {}
-        out = {"total_source": self.source.count(), "matched_count": sum(steps.values()), "unmatched_count": self.unmatched.count(), "step_counts": steps, "exclusions": self.exclusions}
+        """Counts for reports."""
+        matched = self.matched_counts or counted(self.matched)
+        # Without a match_step column nothing is matched.
+        rows = matched.rows if "match_step" in self.matched.columns else 0
+        out = {"total_source": self.source.count(), "matched_count": rows, "unmatched_count": (self.unmatched_counts or counted(self.unmatched)).rows, "step_counts": matched.steps, "exclusions": self.exclusions}
         if self.phases:
-            out["phases"] = [
-                {
-                    "name": p.name, "input_count": p.input.count() if p.input is not None else 0, "matched_count": p.matched.count() if p.matched is not None else 0,
-                    "step_counts": {r["match_step"]: r["count"] for r in p.matched.groupBy("match_step").count().collect()} if p.matched is not None else {},
-                    "exclusions": p.exclusions,
-                }
-                for p in self.phases
-            ]
+            out["phases"] = []
+            for p in self.phases:
+                c = p.counts or counted(p.matched)
+                n = p.input_rows if p.input_rows is not None else p.input.count() if p.input is not None else 0
+                out["phases"].append({"name": p.name, "input_count": n, "matched_count": c.rows, "step_counts": c.steps, "exclusions": p.exclusions})
         return out
 
 
@@ -93,8 +121,9 @@ def _empty(spark: SparkSession, like: DataFrame | None = None) -> DataFrame:
     return like.limit(0) if like is not None else spark.createDataFrame([], "match_step string")
 
 
-def run(spark: SparkSession, recipe: Mapping[str, Any], base_dir: str = ".", as_of: dt.datetime | None = None, sources: Mapping[str, DataFrame] | None = None) -> Result:
-    """Builds the plan of a recipe. Frames given as sources are used in place of loading."""
+def run(spark: SparkSession, recipe: Mapping[str, Any], base_dir: str = ".", as_of: dt.datetime | None = None, sources: Mapping[str, DataFrame] | None = None, write: bool = False) -> Result:
+    """Builds the plan of a recipe. Frames given as sources are used in place of loading. With write every step's join runs once, its
+    rows are written to the shared folder and counted on the way, and whatever is made of the result reads these tables."""
     began = time.time()
     recipe = dict(recipe)
     warnings = recipes.validate(recipe)
@@ -113,18 +142,18 @@ def run(spark: SparkSession, recipe: Mapping[str, Any], base_dir: str = ".", as_
         raise RecipeError("\n".join(errors + bad))
     load_s = time.time() - began
     make = _phases if "phases" in recipe else _single
-    out = make(spark, recipe, loaded, norm, as_of, base_dir)
+    out = make(spark, recipe, loaded, norm, as_of, base_dir, write)
     out.warnings, out.sources, out.groups = warnings + out.warnings, loaded, groups
-    out.seconds = {"load": load_s, "plan": time.time() - began - load_s}
+    out.seconds = {"load": load_s, "match" if write else "plan": time.time() - began - load_s}
     return out
 
 
-def _single(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, DataFrame], norm: Norm, as_of: dt.datetime | None, base_dir: str) -> Result:
+def _single(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, DataFrame], norm: Norm, as_of: dt.datetime | None, base_dir: str, write: bool) -> Result:
     output, steps = recipe["output"], recipe["steps"]
     pops = filters.populations(recipe["populations"], loaded)
     key, warnings = record_key(steps, recipe["populations"], pops)
     mode, tie = output.get("match_mode", "best_match"), TieBreaker.of(output.get("tie_breaker"))
-    r = resolve.run_steps(steps, pops, loaded, norm, key, tie, 0, mode, as_of, base_dir)
+    r = resolve.run_steps(steps, pops, loaded, norm, key, tie, 0, mode, as_of, base_dir, cut if write else None)
     source = pops[steps[0]["source"]]
     if r.matched is None:
         matched = _empty(spark, source).withColumn("match_step", F.lit(None).cast("string"))
@@ -132,11 +161,14 @@ def _single(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, Da
         matched = resolve.best(r.matched, key, mode, tie)
         if output.get("final_rollup"):
             matched = resolve.rollup(matched, output["final_rollup"], norm, [s["name"] for s in steps])
-    unmatched = resolve.unmatched(source, matched, key, r.rejected)
-    return Result(matched, unmatched, source, key, recipe, warnings, r.exclusions)
+    if not write:
+        return Result(matched, resolve.unmatched(source, matched, key, r.rejected), source, key, recipe, warnings, r.exclusions)
+    matched, found = cut_counted(matched, [x["name"] for x in steps])
+    missed, lost = cut_counted(resolve.unmatched(source, matched, key, r.rejected))
+    return Result(matched, missed, source, key, recipe, warnings, r.exclusions, matched_counts=found, unmatched_counts=lost)
 
 
-def _phases(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, DataFrame], norm: Norm, as_of: dt.datetime | None, base_dir: str) -> Result:
+def _phases(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, DataFrame], norm: Norm, as_of: dt.datetime | None, base_dir: str, write: bool) -> Result:
     """Each phase's matches are written out once and feed the next; the last phase's rows are joined by those of the first
     that later phases lost, with nulls for what they never got."""
     phases: list[Phase] = []
@@ -147,6 +179,7 @@ def _phases(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, Da
     keys: list[DataFrame] = []
     exclusions: dict[str, Any] = {}
     warnings: list[str] = []
+    before: Counts | None = None
     for i, p in enumerate(recipe["phases"]):
         name, steps = p.get("name", f"Phase {i + 1}"), p.get("steps") or []
         if not steps:
@@ -156,18 +189,18 @@ def _phases(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, Da
         source = pops.get(steps[0]["source"])
         if source is None or source.isEmpty():
             phases.append(Phase(name, None, None, source))
-            previous, offset = None, offset + len(steps)
+            previous, offset, before = None, offset + len(steps), None
             continue
         key, more = record_key(steps, p.get("populations") or {}, pops)
         warnings += more
         if first_key is None:
             first_key, first_source = key, source
-        r = resolve.run_steps(steps, pops, loaded, norm, key, None, offset, "best_match", as_of, base_dir)
-        matched = None
+        r = resolve.run_steps(steps, pops, loaded, norm, key, None, offset, "best_match", as_of, base_dir, cut if write else None)
+        matched, found = None, None
         if r.matched is not None:
             matched = resolve.best(r.matched, key)
             # Positions stay those of the first phase's source, so that results keep its order.
-            matched = cut(matched)
+            matched, found = cut_counted(matched, [x["name"] for x in steps])
             if first_key in matched.columns:
                 keys.append(matched.select(column(first_key)))
             if i == 0:
@@ -176,8 +209,10 @@ def _phases(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, Da
             rejections.append(r.rejected.withColumn("__phase", F.lit(i)))
         exclusions |= r.exclusions
         missed = resolve.unmatched(source, matched if matched is not None else source.limit(0), key, r.rejected)
-        phases.append(Phase(name, matched, missed, source, r.exclusions))
-        previous, offset = matched, offset + len(steps)
+        # The rows of a phase are those of the one before, unless its population filters them.
+        whole = before is not None and all(x.get("source") == "_previous_matched" and not x.get("filter") for x in [(p.get("populations") or {}).get(steps[0]["source"]) or {}])
+        phases.append(Phase(name, matched, missed, source, r.exclusions, found, before.rows if whole else None))
+        previous, offset, before = matched, offset + len(steps), found
     if first_source is None:
         raise RecipeError("no phase has rows to match")
     final = previous if previous is not None else _empty(spark, first)
@@ -194,7 +229,11 @@ def _phases(spark: SparkSession, recipe: dict[str, Any], loaded: Mapping[str, Da
     for k in keys:
         all_keys = k if all_keys is None else all_keys.unionByName(k)
     unmatched = resolve.unmatched(first_source, all_keys if all_keys is not None else first_source.limit(0), first_key, rejected)
-    return Result(final, unmatched, first_source, first_key, recipe, warnings, exclusions, phases)
+    out = Result(final, unmatched, first_source, first_key, recipe, warnings, exclusions, phases)
+    if write:
+        out.matched, out.matched_counts = cut_counted(final, [s["name"] for s in recipes.steps_of(recipe)])
+        out.unmatched, out.unmatched_counts = cut_counted(unmatched)
+    return out
 
 
 def presented(result: Result, output: Mapping[str, Any] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -217,9 +217,9 @@ RECIPE = {
 _CASCADE = f"""{_PAIRS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY t, dest_ordinal) AS n FROM pairs) WHERE n = 1)"""
 
 
-def cascade(spark, d, **output):
+def cascade(spark, d, write=False, **output):
     recipe = RECIPE | {"output": RECIPE["output"] | output}
-    return pipeline.run(spark, recipe, sources={"migrated": migrated(spark, d), "trusted": trusted(spark, d)})
+    return pipeline.run(spark, recipe, sources={"migrated": migrated(spark, d), "trusted": trusted(spark, d)}, write=write)
 
 
 @register(f"{_CASCADE} SELECT record_key, dest_id, supplier_id AS derived_id, CASE t WHEN 0 THEN 'raw' ELSE 'cleaned' END AS match_step FROM best")
@@ -259,7 +259,7 @@ def rollup_step_scope(spark, d):
 _STEP2 = {"method": "exact", "tiers": ["raw"]}
 
 
-def _chain(spark, d):
+def _chain(spark, d, write=False):
     # Keys of a third of the customers and half of the nations are mangled, so that rows get lost in either phase.
     orders = read(spark, d, "orders").selectExpr("CAST(o_orderkey AS STRING) AS okey", "CAST(o_custkey AS STRING) AS cust", f"o_orderkey AS {POS}")
     customers = read(spark, d, "customer").selectExpr("CASE WHEN c_custkey % 3 = 0 THEN 'old ' ELSE '' END || CAST(c_custkey AS STRING) AS ckey", "CAST(c_nationkey AS STRING) AS nation", f"c_custkey AS {POS}")
@@ -272,7 +272,7 @@ def _chain(spark, d):
             {"name": "nations", "populations": {"p": {"source": "_previous_matched", "record_key": "okey"}}, "steps": [{"name": "to nation", "source": "p", "destination": "nations", "match_fields": [{"source": "nation", "destination": "nkey", **_STEP2}]}]} | out,
         ],
     }
-    return pipeline.run(spark, recipe, sources={"orders": orders, "customers": customers, "nations": nations})
+    return pipeline.run(spark, recipe, sources={"orders": orders, "customers": customers, "nations": nations}, write=write)
 
 
 _CHAIN = """WITH o AS (SELECT o_orderkey::VARCHAR AS okey, o_custkey FROM orders), c AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS c_custkey, c_nationkey FROM customer),
@@ -299,3 +299,24 @@ def enrich_left(spark, d):
     c = read(spark, d, "customer").select("c_custkey", "c_name")
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("first_order"), F.col("o_orderkey").alias(POS))
     return resolve.enrich(c, o, "c_custkey")
+
+
+def _counts(spark, stats):
+    rows = [("total", stats["total_source"]), ("matched", stats["matched_count"]), ("unmatched", stats["unmatched_count"]), *((f"step {k}", n) for k, n in stats["step_counts"].items())]
+    for p in stats.get("phases", []):
+        rows += [(f"{p['name']}: input", p["input_count"]), (f"{p['name']}: matched", p["matched_count"]), *((f"{p['name']}: step {k}", n) for k, n in p["step_counts"].items())]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+@register(f"""{_CASCADE} SELECT 'total' AS what, count(*) AS n FROM migrated UNION ALL SELECT 'matched', count(*) FROM best UNION ALL SELECT 'step ' || CASE t WHEN 0 THEN 'raw' ELSE 'cleaned' END, count(*) FROM best GROUP BY t
+  UNION ALL SELECT 'unmatched', count(*) FROM migrated WHERE record_key NOT IN (SELECT record_key FROM best)""")
+def run_counts(spark, d):
+    """Counts of a run, observed while its result was written once."""
+    return _counts(spark, cascade(spark, d, write=True).stats())
+
+
+@register(f"""{_CHAIN}, m AS (SELECT okey, n_nationkey FROM o JOIN c ON o_custkey = c_custkey LEFT JOIN n ON c_nationkey = n_nationkey), k AS (SELECT count(*) AS a, count(n_nationkey) AS b, (SELECT count(*) FROM o) AS t FROM m)
+  SELECT unnest(['total', 'matched', 'unmatched', 'step to customer', 'step to nation', 'customers: input', 'customers: matched', 'customers: step to customer', 'nations: input', 'nations: matched', 'nations: step to nation']) AS what,
+    unnest([t, a, t - a, a - b, b, t, a, a, a, b, b]) AS n FROM k""")
+def run_counts_phases(spark, d):
+    return _counts(spark, _chain(spark, d, write=True).stats())

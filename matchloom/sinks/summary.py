@@ -131,7 +131,7 @@ def markdown(recipe: Mapping[str, Any], stats: Mapping[str, Any], seconds: Mappi
 
     total, matched = stats["total_source"], stats["matched_count"]
     out = [f"# {recipe.get('name', 'Recipe')} - Run Summary"]
-    out += [f"**Recipe file:** `{recipe_file}`  "] * bool(recipe_file) + [f"*{recipe['description']}*"] * bool(recipe.get("description"))
+    out += [f"**Recipe file:** `{recipe_file}`  "] * bool(recipe_file) + [f"*{recipe.get('description')}*"] * bool(recipe.get("description"))
     out += ["", "**Populations:**"]
     sources, targets = {s["source"] for s in steps_of(recipe)}, {s["destination"] for s in steps_of(recipe)}
     for name, p in populations_of(recipe).items():
