@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 #: White space as Python's str.strip and \s see it, in a Java regex.
 SPACE = r"[\s\x1c-\x1f]"
+#: The column of a row's position in its source.
+POS = "__pos"
 TIERS = ("raw", "clean", "normalized")
 
 

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..functions.address import Patterns
-from ..functions.text import column, tie_key, tier
+from ..functions.text import POS, column, tie_key, tier
 
-POS = "__pos"
 DST_POS = "__dst_pos"
 #: Keys of a side in a block of the fuzzy join.
 BLOCK = 1024

@@ -119,6 +119,10 @@ def run_steps(
     return PhaseResult(union(matched), all_rejected, exclusions)
 
 
+#: Of all candidates of a source row: the step's number and the destination's position.
+CANDIDATE_ORDER = ("__step", DST_POS)
+
+
 def best(candidates: DataFrame, key: str, mode: str = "best_match", tie: TieBreaker | None = None) -> DataFrame:
     """One match per key over all steps: the earliest step, then the best scores, then the tie-breaker. Exact matches count
     as 100 where another step is fuzzy."""
@@ -136,7 +140,8 @@ def best(candidates: DataFrame, key: str, mode: str = "best_match", tie: TieBrea
         df = df.withColumn("__n", F.row_number().over(Window.partitionBy(column(key)).orderBy(*order))).where("__n = 1")
     if "name_score" in df.columns:
         df = df.withColumn("name_score", F.coalesce("name_score", F.lit(100.0)))
-    return df.drop(*[c for c in df.columns if c.startswith("_") and c != POS])
+    keep = (POS, *CANDIDATE_ORDER) if mode == "all_matches" else (POS,)
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in keep])
 
 
 def rollup(matched: DataFrame, buckets: Sequence[Mapping[str, Any]], norm: Norm = Norm(), step_names: Sequence[str] = ()) -> DataFrame:
@@ -194,10 +199,14 @@ def enrich(source: DataFrame, matched: DataFrame, key: str) -> DataFrame:
 
 
 def source_order(df: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Sorted by where the key first stands in the source; keys that don't stand there come last."""
+    """Sorted by where the key first stands in the source; keys that don't stand there come last. A key's candidates, where there are
+    several, follow by step, by falling score, and by the positions of source and destination."""
     firsts = with_position(source).groupBy(column(key).cast("string").alias("__ok")).agg(F.min(POS).alias("__at"))
     # One global sort, at the sink only.
     pos = [F.col(POS)] if POS in df.columns else []
+    if all(c in df.columns for c in CANDIDATE_ORDER):
+        score = [F.col("name_score").desc()] if "name_score" in df.columns else []
+        pos = [F.col("__step"), *score, *pos, F.col(DST_POS)]
     out = df.join(firsts, column(key).cast("string") == F.col("__ok"), "left").orderBy(F.col("__at").asc_nulls_last(), *pos)
     return out.drop("__ok", "__at")
 

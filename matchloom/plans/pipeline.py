@@ -130,7 +130,7 @@ def run(spark: SparkSession, recipe: Mapping[str, Any], base_dir: str = ".", as_
     if recipe.get("exclusions"):
         recipe = recipes.route_exclusions(recipe, filters.read_exclusions(recipe["exclusions"], base_dir))
     given = dict(sources or {})
-    loaded = {n: with_position(given[n] if n in given else files.load(spark, s, base_dir, recipe.get("name", ""), n)) for n, s in recipe["sources"].items()}
+    loaded = {n: with_position(given[n] if n in given else files.load(spark, s, base_dir, recipe.get("name", ""), n, positions=True)) for n, s in recipe["sources"].items()}
     norm, more = _norm(recipe, base_dir)
     warnings += more
     groups, more, errors = recipes.read_groups(recipe.get("output") or {}, base_dir)

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import address
 from ..operators import filters
-from ..operators.joins import with_position
+from ..operators.joins import POS, exact, with_position
 from ..plans import pipeline, recipe as recipes
 from ..sinks import frames
 from ..sources import files
-from .base import WITH, Query, clean_sql, read, trusted
+from .base import WITH, Query, chars, clean_sql, ratio_sql, read, trusted
 from .matching import _CASCADE, RECIPE, cascade, migrated
 
 QUERIES: dict[str, Query] = {}
@@ -190,3 +190,46 @@ def sink_scan_csv_folder(spark, d):
     rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
     frames.write(with_position(rows), folder / "c.csv", "csv", single=False)
     return files.load(spark, {"file": "c.csv"}, str(folder))
+
+
+def _many_files(spark, d):
+    """The parts in 150 CSV files, whose names follow the keys and whose sizes don't."""
+    folder = _folder(spark)
+    rows = read(spark, d, "part").select("p_partkey", "p_name")
+    (rows.repartitionByRange(150, F.sqrt("p_partkey")).sortWithinPartitions("p_partkey")).write.csv(str(folder / "parts.csv"), header=True)
+    return files.load(spark, {"file": "parts.csv", "multiline": False}, str(folder), positions=True)
+
+
+@register("SELECT p_partkey::VARCHAR AS p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part")
+def positions_many_files(spark, d):
+    """Rows of many files are numbered by the files' names and the rows in them."""
+    return _many_files(spark, d).select("p_partkey", F.col(POS).alias("place"))
+
+
+@register("SELECT p_name AS name, min(p_partkey)::VARCHAR AS first_key FROM part GROUP BY p_name")
+def first_wins_many_files(spark, d):
+    """Of destinations of one name the first in 150 files."""
+    names = read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return exact(names, _many_files(spark, d), "name", "p_name", ("raw",)).select("name", F.col("p_partkey").alias("first_key"))
+
+
+@register(f"""WITH s AS (SELECT DISTINCT c_mktsegment AS m FROM customer), sc AS (SELECT m, n_nationkey, {ratio_sql(chars('m'), chars('n_name'))}::FLOAT AS score FROM s, nation),
+  hits AS (SELECT c_custkey, 0 AS st, 100 AS score, o_orderkey AS d FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT c_custkey, 1, score, n_nationkey FROM customer JOIN sc ON m = c_mktsegment WHERE score >= 45)
+  SELECT row_number() OVER (ORDER BY c_custkey, st, score DESC, d) AS rank, c_custkey::VARCHAR AS id, CASE st WHEN 0 THEN 'orders' ELSE 'similar' END AS step, d::VARCHAR AS dest FROM hits""")
+def all_matches_order(spark, d):
+    """All candidates of all customers, written in order by many tasks and read again: by customer, step, falling score, destination."""
+    customers = read(spark, d, "customer").selectExpr("CAST(c_custkey AS STRING) AS id", "c_mktsegment AS segment", f"c_custkey AS {POS}")
+    orders = read(spark, d, "orders").selectExpr("CAST(o_orderkey AS STRING) AS okey", "CAST(o_custkey AS STRING) AS cust", f"o_orderkey AS {POS}")
+    nations = read(spark, d, "nation").selectExpr("CAST(n_nationkey AS STRING) AS nkey", "n_name", f"CAST(n_nationkey AS BIGINT) AS {POS}")
+    step = lambda name, to, **m: {"name": name, "source": "c", "destination": to, "match_fields": [{"tiers": ["raw"]} | m]}
+    recipe = {
+        "name": "all", "sources": {n: {"file": n} for n in ("customers", "orders", "nations")}, "populations": {"c": {"source": "customers", "record_key": "id", "filter": []}},
+        "steps": [step("orders", "orders", source="id", destination="cust", method="exact"), step("similar", "nations", source="segment", destination="n_name", method="fuzzy", scorer="ratio", threshold=45)],
+        "output": {"format": "csv", "match_mode": "all_matches"},
+    }
+    r = pipeline.run(spark, recipe, sources={"customers": customers, "orders": orders, "nations": nations})
+    folder = _folder(spark)
+    frames.write(pipeline.presented(r)[0].select("id", "match_step", F.coalesce("okey", "nkey").alias("dest")), folder / "all.parquet", "parquet", single=False)
+    out = files.load(spark, {"file": "all.parquet"}, str(folder), positions=True)
+    place = F.col(POS) if POS in out.columns else F.monotonically_increasing_id()
+    return out.select((place + 1).alias("rank"), "id", F.col("match_step").alias("step"), "dest")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import math
 import re
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
@@ -39,15 +43,29 @@ def _cell(ref: str, v: Any, style: int) -> str:
         return f'<c r="{ref}" s="{style}"/>' if style else ""
     if isinstance(v, bool):
         return f'<c r="{ref}" s="{style}" t="b"><v>{int(v)}</v></c>'
-    if isinstance(v, int | float):
+    if isinstance(v, int | float) and math.isfinite(v):
         return f'<c r="{ref}" s="{style}"><v>{v!r}</v></c>'
-    text = escape(_BAD.sub("", str(v)))[:32767]
+    text = escape(_BAD.sub("", str(v)))
     return f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
 
+#: Characters that a cell holds, less room for the mark of one that goes on; counted as UTF-16 does.
+MOST, MORE = 32_700, " … (goes on in sheet {})"
+LONG = "Long cells"
+
+
+def pieces(text: str) -> list[str]:
+    """A text in stretches that a cell holds."""
+    step = MOST if not text or max(text) <= "\uffff" else MOST // 2
+    return [text[i : i + step] for i in range(0, len(text), step)] or [""]
+
+
 class Workbook:
+    """A workbook that is written as its rows come. A text that no cell holds goes on, piece by piece, in a sheet of its own."""
+
     def __init__(self, path: str | Path):
         self.path, self.names = Path(path), []
+        self.long = tempfile.TemporaryFile("w+", encoding="utf-8")
         self.path.parent.mkdir(parents=True, exist_ok=True)
         self.zip = zipfile.ZipFile(self.path, "w", zipfile.ZIP_DEFLATED)
 
@@ -85,6 +103,9 @@ class Workbook:
                             v, style = round(v, 2), ROUNDED_BAND if shaded else ROUNDED
                         if marks and i in marks and count > header:
                             style = style if (mark := marks[i](v)) is None else mark
+                    if isinstance(v, str) and len(v) > MOST // 2 and len(parts := pieces(_BAD.sub("", v))) > 1:
+                        v = parts[0] + MORE.format(LONG)
+                        self.long.writelines(json.dumps([name, f"{letters(i + 1)}{count}", k, x]) + "\n" for k, x in enumerate(parts[1:], 2))
                     cells.append(_cell(f"{letters(i + 1)}{count}", v, style))
                 put(f'<row r="{count}">{"".join(cells)}</row>')
             put("</sheetData></worksheet>")
@@ -93,6 +114,10 @@ class Workbook:
     def __exit__(self, *error: Any) -> None:
         if not self.names and error[0] is None:
             self.sheet("Data", [], header=0)
+        if self.long.tell() and error[0] is None:
+            self.long.seek(0)
+            self.sheet(LONG, itertools.chain([["Sheet", "Cell", "Part", "Text"]], map(json.loads, self.long)))
+        self.long.close()
         ids = range(1, len(self.names) + 1)
         main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
         office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

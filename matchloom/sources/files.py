@@ -16,17 +16,16 @@ import urllib.request
 import uuid
 import zipfile
 from collections.abc import Callable, Mapping
-from functools import reduce
 from pathlib import Path
 from typing import Any, BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import column
+from ..functions.text import POS, column
 
 #: No text has it: with it an empty quoted field stays empty and an unquoted one is null.
 NO_NULL = "\x01"
@@ -103,35 +102,55 @@ def has_quoted_lines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(odd % 2 == 1).limit(1).isEmpty()
 
 
-def read_format(spark: SparkSession, path: str, fmt: str, as_strings: bool = True, multiline: bool | None = None) -> DataFrame:
-    """multiline: whether CSV fields may go over line ends, which forbids splitting a file; None looks at large files."""
+#: Columns that say where a row stands: its file, where its split begins (in Parquet nothing: rows are numbered there), its number.
+PLACE = ("__file", "__block", "__row")
+
+
+def read_format(spark: SparkSession, path: str, fmt: str, as_strings: bool = True, multiline: bool | None = None, places: bool = False) -> DataFrame:
+    """multiline: whether CSV fields may go over line ends, which forbids splitting a file; None looks at large files. places: with
+    the columns PLACE."""
     if fmt in ("csv", "tsv"):
         if multiline is None:
             multiline = _bytes(spark, path) <= WHOLE_BYTES or has_quoted_lines(spark, path)
-        return spark.read.csv(path, sep="\t" if fmt == "tsv" else ",", header=True, inferSchema=False, escape='"', multiLine=multiline, nullValue=NO_NULL)
-    if fmt == "parquet":
+        df, as_strings = spark.read.csv(path, sep="\t" if fmt == "tsv" else ",", header=True, inferSchema=False, escape='"', multiLine=multiline, nullValue=NO_NULL), False
+    elif fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt in ("json", "jsonl"):
         df = spark.read.json(path, multiLine=fmt == "json")
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return strings(df) if as_strings else df
+    out = [column(c).cast("string").alias(c) if as_strings else column(c) for c in df.columns]
+    if places:
+        at = df.metadataColumn("_metadata")
+        block, row = (F.lit(0).cast("long"), at["row_index"]) if fmt == "parquet" else (at["file_block_start"], F.monotonically_increasing_id())
+        out += [x.alias(n) for x, n in zip((at["file_path"], block, row), PLACE)]
+    return df.select(*out)
 
 
-#: Files that are read one by one to keep their order.
-ORDERED_FILES = 64
+#: Splits up to which their table is sent to every task.
+BROADCAST_SPLITS = 200_000
 
 
 def in_order(spark: SparkSession, path: str, fmt: str, **options: Any) -> DataFrame:
-    """A source whose rows come in the order of its files' names and of the rows in them, so that a row's position says where it
-    stands. Within a file Spark's splits are in order; of several files it packs the larger first, so each is read by itself.
-    With more than ORDERED_FILES rows come in Spark's order of splits, which is the same in every run over the same files."""
+    """A source whose rows know their positions, by the order of its files' names and of the rows in them. Of one file Spark's splits
+    are in order, and nothing is added. Of several it packs the larger first: then a column POS has the rows of all splits before, in
+    the order of (file, where the split begins), plus the row's number in its split. Splits are counted when the source is opened;
+    where they are others by the time it is read (the settings of splits have changed) reading fails, it doesn't renumber."""
     df = read_format(spark, path, fmt, **options)
-    files = sorted(df.inputFiles())
-    if not 2 <= len(files) <= ORDERED_FILES:
+    if len(df.inputFiles()) < 2:
         return df
-    parts = [read_format(spark, f, fmt, **options) for f in files]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*[column(c) for c in df.columns])
+    placed = read_format(spark, path, fmt, places=True, **options)
+    file, block, row = PLACE
+    counts = placed.groupBy(file, block).agg(F.min(row).alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    at = f"{shared_folder(spark)}/splits-{uuid.uuid4().hex}"
+    counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).write.parquet(at)
+    splits = spark.read.parquet(at)
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    inside = F.col(row) - F.col("__first")
+    changed = F.raise_error(F.lit("the source's splits have changed since its rows were numbered; open it again")).cast("long")
+    pos = F.when((inside >= 0) & (inside < F.col("__n")), F.col("__base") + inside).otherwise(changed)
+    return placed.join(splits, [file, block], "left").select(*[column(c) for c in df.columns], pos.alias(POS))
 
 
 def load_file(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", **_: Any) -> DataFrame:
@@ -139,7 +158,9 @@ def load_file(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".",
     file = spec["file"]
     path = file if "://" in file else str(Path(base_dir, file))
     fmt = spec.get("format") or FORMATS.get(Path(file).suffix.lower(), "csv")
-    return project(in_order(spark, path, fmt, as_strings=fmt != "parquet", multiline=spec.get("multiline")), spec.get("columns"))
+    df = in_order(spark, path, fmt, as_strings=fmt != "parquet", multiline=spec.get("multiline"))
+    columns = spec.get("columns")
+    return project(df, [*columns, POS] if columns and POS in df.columns else columns)
 
 
 #: Rows that go through the driver at a time.
@@ -306,20 +327,41 @@ def load_http(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".",
 LOADERS: dict[str, Callable[..., DataFrame]] = {"file": load_file, "sql": load_sql, "http": load_http}
 
 
-def load(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", recipe: str = "", source: str = "", **options: Any) -> DataFrame:
-    """A source by its loader. SQL and HTTP results are kept for their cache time."""
+def load(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", recipe: str = "", source: str = "", positions: bool = False, **options: Any) -> DataFrame:
+    """A source by its loader. SQL and HTTP results are kept for their cache time. positions: with the column POS where rows of
+    several files have one."""
     kind = spec.get("loader") or ("file" if "file" in spec else None)
     if kind not in LOADERS:
         raise ValueError(f"unknown loader {kind!r}; known: {', '.join(LOADERS)}")
     ttl = None if kind == "file" else parse_ttl(spec.get("cache_ttl"))
     if ttl is None:
-        return LOADERS[kind](spark, spec, base_dir, **options)
-    path = cache_path(spec, base_dir, recipe, source)  # of a base_dir that all executors see, as its files are
-    fmt = path.suffix[1:]
-    if not (path.exists() and time.time() - path.stat().st_mtime <= ttl):
         df = LOADERS[kind](spark, spec, base_dir, **options)
-        if fmt == "csv":
-            df.write.mode("overwrite").csv(str(path), header=True, escape='"')
+    else:
+        path = cache_path(spec, base_dir, recipe, source)  # of a base_dir that all executors see, as its files are
+        if not _fresh(path, ttl):
+            _cache(LOADERS[kind](spark, spec, base_dir, **options), path)
+        df = in_order(spark, str(path), path.suffix[1:], as_strings=False)
+    return df if positions else df.drop(POS)
+
+
+def _fresh(path: Path, ttl: float) -> bool:
+    """Whether the cache is young, and was written to its end: Spark's mark comes last."""
+    done = path / "_SUCCESS"
+    return done.exists() and time.time() - done.stat().st_mtime <= ttl
+
+
+def _cache(df: DataFrame, path: Path) -> None:
+    """Written beside the old one, which is replaced at the end: a write that dies leaves the cache as it was."""
+    beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    try:
+        if path.suffix == ".csv":
+            df.write.csv(str(beside), header=True, escape='"')
         else:
-            df.write.mode("overwrite").parquet(str(path))
-    return in_order(spark, str(path), fmt, as_strings=False)
+            df.write.parquet(str(beside))
+        old = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+        if path.exists():
+            path.rename(old)
+        beside.rename(path)
+        shutil.rmtree(old, ignore_errors=True)
+    finally:
+        shutil.rmtree(beside, ignore_errors=True)

@@ -6,6 +6,8 @@ import json
 import sqlite3
 import zipfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import yaml
 
@@ -253,21 +255,63 @@ def test_public_frames_hide_inner_columns(spark, folder):
     assert not [c for c in resolve.public(result.matched).columns if c.startswith("_")]
 
 
-def test_rows_of_several_files_come_in_order(spark, tmp_path):
-    """A short file before a long one, and more splits than one: positions follow names and rows, not sizes."""
-    for name, rows in (("a.csv", 3), ("b.csv", 4000), ("c.csv", 50)):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / name).write_text("id,name\n" + "".join(f"{name[0]}{i:05},same\n" for i in range(rows)))
+@pytest.mark.parametrize("fmt", ["csv", "jsonl", "parquet"])
+def test_rows_of_many_files_know_their_positions(spark, tmp_path, fmt):
+    """200 files, short ones before long ones, the long ones of several splits: positions follow names and rows, not sizes."""
+    folder, want = tmp_path / "in", []
+    folder.mkdir()
+    for k in range(200):
+        rows = [f"{k:03}-{i:05}" for i in range(1 + (k * 7919) % 40 + (3000 if k % 50 == 3 else 0))]
+        want += rows
+        if fmt == "csv":
+            (folder / f"{k:03}.csv").write_text("id,name\n" + "".join(f"{x},same\n" for x in rows))
+        elif fmt == "jsonl":
+            (folder / f"{k:03}.jsonl").write_text("".join(json.dumps({"id": x, "name": "same"}) + "\n" for x in rows))
+        else:
+            pq.write_table(pa.table({"id": rows, "name": ["same"] * len(rows)}), folder / f"{k:03}.parquet", row_group_size=500)
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
-        df = joins.with_position(files.load(spark, {"file": "in", "format": "csv", "multiline": False}, str(tmp_path)))
-        ids = [r["id"] for r in df.orderBy(joins.POS).collect()]
-        assert ids == sorted(ids) and len(ids) == 4053 and df.rdd.getNumPartitions() > 5
+        df = files.load(spark, {"file": "in", "format": fmt, "multiline": False, "columns": ["name", "id"]}, str(tmp_path), positions=True)
+        assert df.columns == ["name", "id", joins.POS]
+        got = df.collect()
+        assert len(got) == len(want) and all(want[r[joins.POS]] == r["id"] for r in got)
         one = spark.createDataFrame([("x", "same")], "k string, name string")
-        assert joins.exact(one, df, "name", "name", key="k").first()["id"] == "a00000"
+        assert joins.exact(one, df, "name", "name", key="k").first()["id"] == "000-00000"
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+        if fmt == "parquet":
+            assert all(want[r[joins.POS]] == r["id"] for r in df.select("id", joins.POS).collect())  # rows are numbered in the file itself
+        else:
+            with pytest.raises(Exception, match="splits have changed"):
+                df.select("id", joins.POS).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert joins.POS not in files.load(spark, {"file": "in", "format": fmt}, str(tmp_path)).columns
+
+
+def test_a_cache_that_was_not_finished_is_not_read(spark, tmp_path):
+    spec = {"loader": "http", "url": "http://here/n.csv", "cache_ttl": "1h"}
+    path = files.cache_path(spec, str(tmp_path), "r", "s")
+    path.mkdir(parents=True)
+    pq.write_table(pa.table({"id": ["half"]}), path / "part-00000.parquet")
+    load = lambda body: [r["id"] for r in files.load(spark, spec, str(tmp_path), "r", "s", get=lambda *_: (body, "text/csv")).collect()]
+    assert load(b"id\n1\n2\n") == ["1", "2"]
+    assert load(b"id\nother\n") == ["1", "2"]
+    assert [p.name for p in path.parent.iterdir()] == [path.name]
+
+
+def test_long_cells_go_on_in_a_sheet_of_their_own(tmp_path):
+    texts = ["&" * 40_000, "a" * 32_765 + "&&&", "😀" * 20_000, "short", float("nan"), "<" * 32_700, "x\x00" * 40_000]
+    with xlsx.Workbook(tmp_path / "b.xlsx") as book:
+        book.sheet("Data", [["text"], *[[t] for t in texts]])
+    sheets = xlsx.read(tmp_path / "b.xlsx")
+    cells = [r[0] for r in sheets["Data"][1:]]
+    for sheet, cell, _, text in sheets[xlsx.LONG][1:]:
+        assert sheet == "Data" and len(text.encode("utf-16-le")) <= 2 * 32_767
+        cells[int(cell[1:]) - 2] += text
+    mark = xlsx.MORE.format(xlsx.LONG)
+    assert [str(c).replace(mark, "") for c in cells] == [str(t).replace("\x00", "") for t in texts]
+    assert all(len(str(r[0]).encode("utf-16-le")) <= 2 * 32_767 for r in sheets["Data"])
 
 
 def test_large_csv_files_are_split_unless_fields_go_over_lines(spark, tmp_path, monkeypatch):
