@@ -3,14 +3,15 @@
 ``ratio`` is 200 * LCS / (sum of lengths). The bit-parallel LCS runs for one string against a whole block at once: the
 block holds character codes by place, and each place advances the bit vectors of all strings that reach it together, in NumPy;
 strings over 64 characters have several words of bits each, with carries. A block takes memory in proportion to its characters. The
-set and partial scorers build on the same LCS.
+set and partial scorers build on the same LCS: shared tokens are looked up in an inverted index of the block and count without any LCS,
+and the windows of partial scores advance side by side, those alone that share enough characters.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -157,13 +158,7 @@ class Block:
             for i in np.flatnonzero(wanted):
                 out[i] = lcs(a, self.texts[i])
             return out
-        used: dict[int, int] = {0: 0}  # a row of the table for each character of a, row 0 for all others
-        table = np.zeros((words, len(set(a)) + 1), np.uint64)
-        row_of = np.zeros(len(self.code) + 1, np.int64)
-        for i, ch in enumerate(a):
-            if c := self.code.get(ch):
-                row_of[c] = used.setdefault(c, len(used))
-                table[i // 64, row_of[c]] |= np.uint64(1 << i % 64)
+        row_of, table = self._rows(a)
         places = np.flatnonzero(wanted[self.order])
         reach = np.searchsorted(places, self.reach)
         full = [np.uint64((1 << min(64, len(a) - 64 * w)) - 1) for w in range(words)]
@@ -171,23 +166,108 @@ class Block:
         for j in range(len(self.reach)):
             if not (n := int(reach[j])):
                 break
-            rows = row_of[self.flat[self.start[j] + places[:n]]]
-            carry = None
-            for w in range(words):
-                x = v[w, :n]
-                u = x & table[w, rows]
-                total = x + u
-                if w + 1 < words or carry is not None:
-                    over = total < x
-                    if carry is not None:
-                        total = total + carry
-                        over |= total < carry
-                    carry = over.astype(np.uint64)
-                v[w, :n] = total | (x & ~u)
+            _advance(v[:, :n], table[:, row_of[self.flat[self.start[j] + places[:n]]]])
         left = sum(np.bitwise_count(v[w] & full[w]).astype(np.int64) for w in range(words))
         out[self.order[places]] = len(a) - left
         return out
 
+    def _rows(self, a: str) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each character of a that the block has, by the block's codes, row 0 for all others; and the rows' bits in a."""
+        used: dict[int, int] = {0: 0}
+        table = np.zeros((-(-len(a) // 64), len(set(a)) + 1), np.uint64)
+        row_of = np.zeros(len(self.code) + 1, np.int64)
+        for i, ch in enumerate(a):
+            if c := self.code.get(ch):
+                row_of[c] = used.setdefault(c, len(used))
+                table[i // 64, row_of[c]] |= np.uint64(1 << i % 64)
+        return row_of, table
+
+    @cached_property
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all strings one after the other, and where each begins."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        codes = np.zeros(int(self.lengths.sum()), np.int32)
+        for j, n in enumerate(self.reach):
+            codes[starts[self.order[:n]] + j] = self.flat[self.start[j] : self.start[j] + n]
+        return codes, starts
+
+    def partials(self, a: str, least: float) -> np.ndarray:
+        """partial_ratio of a and each string; 0 where it is below least."""
+        if not a:
+            return np.where(self.lengths == 0, 100.0, 0.0) * (least <= 100)
+        out = np.zeros(len(self.texts))
+        long = np.flatnonzero(self.lengths >= len(a))
+        out[long] = self._windows_of_strings(a, long, least)
+        for n in np.unique(self.lengths[(self.lengths > 0) & (self.lengths <= len(a))]):
+            some = np.flatnonzero(self.lengths == n)
+            out[some] = np.maximum(out[some], self._windows_of(a, some, int(n), least))
+        return np.where(out >= least, out, 0.0)
+
+    def _windows_of_strings(self, a: str, some: np.ndarray, least: float) -> np.ndarray:
+        """Of strings no shorter than a: the best ratio of a and a window as long as it, or cut off at either end."""
+        best = np.zeros(len(some))
+        if not len(some):
+            return best
+        m, n = len(a), self.lengths[some]
+        codes, starts = self._joined
+        row_of, table = self._rows(a)
+        room = n + 2 * (m - 1)  # with a window's length of nothing on both sides
+        at = np.cumsum(room) - room
+        rows = np.zeros(int(room.sum()), np.int64)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rows[np.repeat(at + m - 1, n) + within] = row_of[codes[np.repeat(starts[some], n) + within]]
+        windows = n + m - 1
+        owner = np.repeat(np.arange(len(some)), windows)
+        k = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        first = np.repeat(at, windows) + k
+        size = np.minimum(np.minimum(k + 1, m), np.repeat(windows, windows) - k)
+        shared = np.zeros(len(first), np.int64)
+        for ch, count in Counter(a).items():
+            if (c := self.code.get(ch)) and (r := row_of[c]):
+                so_far = np.concatenate([[0], np.cumsum(rows == r)])
+                shared += np.minimum(so_far[first + m] - so_far[first], count)
+        may = np.flatnonzero(200.0 * shared >= (least - 1e-4) * (m + size))
+        if not len(may):
+            return best
+        words = len(table)
+        full = [np.uint64((1 << min(64, m - 64 * w)) - 1) for w in range(words)]
+        for part in np.array_split(may, -(-len(may) // 500_000)):
+            v = np.repeat(np.array(full, np.uint64)[:, None], len(part), 1)
+            for j in range(m):
+                _advance(v, table[:, rows[first[part] + j]])
+            found = m - sum(np.bitwise_count(v[w] & full[w]).astype(np.int64) for w in range(words))
+            np.maximum.at(best, owner[part], 200.0 * found / (m + size[part]))
+        return best
+
+    def _windows_of(self, a: str, some: np.ndarray, n: int, least: float) -> np.ndarray:
+        """Of strings of n characters, no more than a has: the best ratio of one and a window of a."""
+        codes, starts = self._joined
+        row_of, table = self._rows(a)
+        rows = row_of[codes[starts[some][:, None] + np.arange(n)]]
+        k = np.arange(len(a) + n - 1)
+        lo, hi = np.maximum(0, k - n + 1), np.minimum(len(a), k + 1)
+        shared = np.zeros((len(some), len(k)), np.int64)
+        own = np.array([row_of[self.code.get(ch, 0)] for ch in a])
+        for r in np.unique(own[own > 0]):
+            so_far = np.concatenate([[0], np.cumsum(own == r)])
+            shared += np.minimum((rows == r).sum(1)[:, None], (so_far[hi] - so_far[lo])[None])
+        who, which = np.nonzero(200.0 * shared >= (least - 1e-4) * (n + hi - lo)[None])
+        best = np.zeros(len(some))
+        if not len(who):
+            return best
+        if len(a) <= 64:
+            shift = lo[which].astype(np.uint64)
+            bits = (hi - lo)[which].astype(np.uint64)
+            full = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+            v = full.copy()[None]
+            for j in range(n):
+                _advance(v, ((table[0, rows[who, j]] >> shift) & full)[None])
+            found = (hi - lo)[which] - np.bitwise_count(v[0] & full).astype(np.int64)
+        else:
+            found = np.array([lcs(self.texts[some[i]], a[lo[w] : hi[w]]) for i, w in zip(who, which)])
+        np.maximum.at(best, who, 200.0 * found / (n + hi - lo)[which])
+        return best
+
     def ratios(self, a: str, least: float) -> np.ndarray:
         """ratio of a and each string; 0 where it is below least. Bounds are held against least less a rounding margin."""
         total = self.lengths + len(a)
@@ -201,13 +281,98 @@ class Block:
         return np.where(wanted & (score >= least), score, 0.0)
 
 
-def block_scores(name: str, block: Block, a: str, least: float) -> np.ndarray:
+def _advance(v: np.ndarray, hit: np.ndarray) -> None:
+    """One step of the bit-parallel LCS for all strings: v and hit have the words of a string's bits, one below the other."""
+    carry = None
+    for w in range(len(v)):
+        x = v[w]
+        u = x & hit[w]
+        total = x + u
+        if w + 1 < len(v) or carry is not None:
+            over = total < x
+            if carry is not None:
+                total = total + carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+        v[w] = total | (x & ~u)
+
+
+def set_form(s: str) -> str:
+    return " ".join(sorted(set(s.split())))
+
+
+class Forms:
+    """A block's strings as they are, and with their tokens sorted, or made a set and sorted."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+
+    raw = cached_property(lambda self: Block(self.texts))
+    sorted = cached_property(lambda self: Block([sort_tokens(t) for t in self.texts]))
+    sets = cached_property(lambda self: Block([set_form(t) for t in self.texts]))
+
+    @cached_property
+    def index(self) -> dict[str, np.ndarray]:
+        """For each token the strings that have it."""
+        at: dict[str, list[int]] = {}
+        for i, t in enumerate(self.texts):
+            for token in set(t.split()):
+                at.setdefault(token, []).append(i)
+        return {t: np.array(x) for t, x in at.items()}
+
+    def shared(self, a: str) -> np.ndarray:
+        """Characters of the tokens that a and each string share, joined by blanks."""
+        out = np.zeros(len(self.texts), np.int64)
+        for token in set(a.split()):
+            if token in self.index:
+                out[self.index[token]] += len(token) + 1
+        return np.maximum(out - 1, 0)
+
+    def token_sets(self, a: str, least: float) -> np.ndarray:
+        """token_set_ratio of a and each string; 0 where it is below least. What the shared tokens alone score against either side is
+        known from their length; the LCS of the rest is only needed where lengths and characters allow it."""
+        own, size = set(a.split()), self.sets.lengths
+        if not own:
+            return np.zeros(len(self.texts))
+        n, both = len(set_form(a)), self.shared(a)
+        score = np.where(both > 0, np.maximum(200.0 * both / (both + n), 200.0 * both / np.maximum(both + size, 1)), 0.0)
+        score = np.where((both > 0) & ((both == n) | (both == size)), 100.0, score)
+        total, margin = size + n, least - 1e-4
+        may = (size > 0) & (score < 100) & (200.0 * np.minimum(size, n) >= margin * total)
+        may &= 200.0 * self.sets.lcs_bound(set_form(a)) >= margin * total
+        apart = may & (both == 0)
+        score = np.where(apart, 200.0 * self.sets.lcs(set_form(a), apart) / np.maximum(total, 1), score)
+        for i in np.flatnonzero(may & (both > 0)):
+            _, left, right = _parts(a, self.texts[i])
+            score[i] = max(score[i], 200.0 * (both[i] + 1 + lcs(left, right)) / total[i])
+        return np.where((size > 0) & (score >= least), score, 0.0)
+
+    def weighted(self, a: str, least: float) -> np.ndarray:
+        """wratio of a and each string; 0 where it is below least."""
+        lengths = self.raw.lengths
+        if not a:
+            return np.zeros(len(self.texts))
+        apart = np.maximum(lengths, len(a)) / np.maximum(np.minimum(lengths, len(a)), 1)
+        near, scale = apart < 1.5, np.where(apart <= 8, 0.9, 0.6)
+        # What is scaled down has to reach more than the least score before.
+        above = lambda by: least / by - 1e-6
+        out = self.raw.ratios(a, least)
+        if near.any():
+            out = np.maximum(out, np.where(near, 0.95 * np.maximum(self.sorted.ratios(sort_tokens(a), above(0.95)), self.token_sets(a, above(0.95))), 0))
+        if not near.all():
+            tokens = np.maximum(self.sorted.partials(sort_tokens(a), above(0.855)), self.sets.partials(set_form(a), above(0.855)))
+            tokens = np.where(self.shared(a) > 0, 100.0, tokens)
+            out = np.maximum(out, np.where(near, 0, np.maximum(scale * self.raw.partials(a, above(0.9)), 0.95 * scale * tokens)))
+        return np.where((lengths > 0) & (out >= least), out, 0.0)
+
+
+def block_scores(name: str, forms: Forms, a: str, least: float) -> np.ndarray:
     """Scores of a against a block (of sorted tokens for token_sort_ratio); below least they are 0."""
     if name in LENGTH_BOUND:
-        return block.ratios(a, least)
-    score = scorer(name)
-    out = np.fromiter((score(a, b) for b in block.texts), np.float64, len(block.texts))
-    return np.where(out >= least, out, 0.0)
+        return forms.raw.ratios(a, least)
+    if name == "token_set_ratio":
+        return forms.token_sets(a, least)
+    return forms.raw.partials(a, least) if name == "partial_ratio" else forms.weighted(a, least)
 
 
 @lru_cache(maxsize=8)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
@@ -164,20 +164,62 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
 
     left and right have distinct keys (k), right with the position of the first row that has it (pos). Keys are put in blocks
     of like length. For scorers whose score a difference in length bounds, only blocks whose lengths can reach the
-    threshold meet, without recall loss; for the others all blocks do. Which meet is decided on the blocks' lengths
+    threshold meet, without recall loss; so they do for token_set_ratio, whose other pairs come from an index of tokens; for the others
+    all blocks meet. Which meet is decided on the blocks' lengths
     alone, and the blocks then follow by equality joins. Pairs never leave the task that scores them unless they reach the
     threshold; with best_only only the best of each block does.
     """
-    bound = scorer in similarity.LENGTH_BOUND or scorer not in similarity.SCORERS
     scorer = scorer if scorer in similarity.SCORERS else "token_sort_ratio"
+    bound, by_set = scorer in similarity.LENGTH_BOUND, scorer == "token_set_ratio"
     if scorer == "token_sort_ratio":
-        resort = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")), " ")
+        resort = lambda c: F.array_join(F.array_sort(_tokens(c)), " ")
+    elif by_set:
+        resort = lambda c: F.array_join(F.array_sort(F.array_distinct(_tokens(c))), " ")
     else:
         resort = lambda c: c
     a = left.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k")).alias("x"))
     b = right.select(F.struct(resort(F.col("k")).alias("s"), F.col("k").alias("k"), F.col("pos").alias("pos")).alias("x"))
     if (few := _if_few(b)) is not None:
         return _score_few(a, few, scorer, threshold, best_only, bound)
+    if by_set and 0 < threshold <= 100:
+        # Where the tokens that a pair shares don't reach the threshold by themselves, the sets' lengths bound the score.
+        near = _score_blocks(a, b, scorer, threshold, best_only, True)
+        return near.unionByName(_shared_tokens(left, right, threshold)).groupBy("a", "b").agg(F.max("score").alias("score"))
+    return _score_blocks(a, b, scorer, threshold, best_only, bound)
+
+
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
+
+
+def _shared_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of pairs whose shared tokens, of I characters with the blanks between, reach the threshold by themselves against
+    one side's set of tokens, of n: 200 I / (I + n).
+
+    That takes shared tokens of at least n t / (200 - t) characters, so that one of them is among the side's rarest tokens, down to
+    where the commoner ones together have fewer: only these are looked up in the other side's index, and frequent
+    tokens meet nothing unless a key is made of little else.
+    """
+    t = threshold - 1e-4
+    sides = {s: df.select(F.col("k").alias(s), F.explode(F.array_distinct(_tokens(F.col("k")))).alias("t")) for s, df in (("a", left), ("b", right))}
+    counts = sides["a"].select("t").unionByName(sides["b"].select("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def rarest(s: str) -> DataFrame:
+        own = sides[s].join(counts, "t").groupBy(s).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("xs"))  # a key's own tokens
+        weight = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.length(x["t"]) + 1)
+        need = (weight(F.col("xs")) - 1) * t / (200 - t) + 1
+        kept = F.filter(F.col("xs"), lambda x, i: weight(F.slice("xs", i + 1, F.size("xs"))) >= need)
+        return own.select(s, F.explode(F.transform(kept, lambda x: x["t"])).alias("t"))
+
+    met = rarest("a").join(sides["b"], "t").select("a", "b").unionByName(sides["a"].join(rarest("b"), "t").select("a", "b")).distinct()
+    size = lambda xs: F.length(F.array_join(xs, " "))
+    both = F.array_intersect(F.array_distinct(_tokens(F.col("a"))), F.array_distinct(_tokens(F.col("b"))))
+    sized = met.select("a", "b", size(both).alias("i"), size(F.array_distinct(_tokens(F.col("a")))).alias("m"), size(F.array_distinct(_tokens(F.col("b")))).alias("n"))
+    score = F.when((F.col("i") == F.col("m")) | (F.col("i") == F.col("n")), 100.0).otherwise(200.0 * F.col("i") / (F.col("i") + F.least("m", "n")))
+    return sized.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", F.col("score").cast("float").cast("double").alias("score"))
+
+
+def _score_blocks(a: DataFrame, b: DataFrame, scorer: str, threshold: float, best_only: bool, bound: bool) -> DataFrame:
     # A block is shuffled once for each that it meets: the larger, the less is moved.
     a, b = _blocks(a, "a", 2 * BLOCK), _blocks(b, "b", 4 * BLOCK)
     meet = a.select("a_band", "a_part", "a_lo", "a_hi").crossJoin(b.select("b_band", "b_part", "b_lo", "b_hi"))  # of blocks' lengths
@@ -186,7 +228,7 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
         meet = meet.where((F.col("b_hi") * (200 - t) >= F.col("a_lo") * t) & (F.col("a_hi") * (200 - t) >= F.col("b_lo") * t))
     pairs = meet.drop("a_lo", "a_hi", "b_lo", "b_hi").join(a.drop("a_lo", "a_hi"), ["a_band", "a_part"]).join(b.drop("b_lo", "b_hi"), ["b_band", "b_part"])
     # A block pair is much work on few bytes: they are spread one by one, not merged by size.
-    pairs = pairs.select("a", "b").repartition(max(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = pairs.select("a", "b").repartition(max(64, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +267,10 @@ class _Targets:
     """A block of destination keys as a task scores them."""
 
     def __init__(self, rows: Sequence[Mapping]):
-        self.block = similarity.Block([r["s"] for r in rows])
+        self.block = similarity.Forms([r["s"] for r in rows])
         self.keys, self.pos = [r["k"] for r in rows], np.array([r["pos"] for r in rows], np.int64)
-        self.lo, self.hi = int(self.block.lengths.min(initial=0)), int(self.block.lengths.max(initial=0))
+        lengths = [len(r["s"]) for r in rows]
+        self.lo, self.hi = min(lengths, default=0), max(lengths, default=0)
 
 
 def _hits(sources: Sequence[Mapping], targets: Sequence[_Targets], scorer: str, threshold: float, best_only: bool, bound: bool) -> Iterator[pa.RecordBatch]:

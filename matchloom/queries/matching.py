@@ -146,11 +146,45 @@ def fuzzy_partial(spark, d):
     return score_keys(a, b, "partial_ratio", 80).select("a", "b", F.round("score", 4).alias("score"))
 
 
-@register(None)
+def _ordered(x, y):
+    return f"CASE WHEN length({x}) <= length({y}) THEN {x} ELSE {y} END AS s, CASE WHEN length({x}) <= length({y}) THEN {y} ELSE {x} END AS l"
+
+
+# Its parts, put together as they are weighted: partial scores of the keys, of their sorted tokens and of their sets of tokens.
+_WRATIO = f"""WITH {_LIST}, p AS (SELECT p.name || ' limited company' AS a, q.name AS b FROM names p, names q),
+  t AS (SELECT a, b, {sorted_tokens('a')} AS sa, {sorted_tokens('b')} AS sb, list_sort(list_distinct(string_split(a, ' '))) AS x, list_sort(list_distinct(string_split(b, ' '))) AS y FROM p),
+  u AS (SELECT *, array_to_string(x, ' ') AS da, array_to_string(y, ' ') AS db, list_sort(list_intersect(x, y)) AS i, list_filter(x, lambda v: NOT list_contains(y, v)) AS l, list_filter(y, lambda v: NOT list_contains(x, v)) AS r FROM t),
+  q AS (SELECT {_ordered('a', 'b')} FROM u UNION SELECT {_ordered('sa', 'sb')} FROM u UNION SELECT {_ordered('da', 'db')} FROM u),
+  e AS (SELECT s, l, s AS pat, l AS txt FROM q UNION ALL SELECT s, l, l, s FROM q WHERE length(s) = length(l)),
+  w AS (SELECT s, l, pat, txt, unnest(range(1 - length(pat), length(txt)))::BIGINT AS k FROM e),
+  v AS (SELECT DISTINCT s, l, pat, substr(txt, greatest(k, 0) + 1, CASE WHEN k < 0 THEN length(pat) + k ELSE length(pat) END) AS win FROM w),
+  c AS (SELECT s, l, {chars('pat')} AS ca, {chars('win')} AS cb FROM v), part AS (SELECT s, l, max({ratio_sql('ca', 'cb')}) AS score FROM c GROUP BY s, l),
+  f AS (SELECT a, b, sa, sb, da, db, len(i) AS ni, len(l) AS nl, len(r) AS nr, {chars('a')} AS ca, {chars('b')} AS cb, {chars('sa')} AS csa, {chars('sb')} AS csb, {chars("array_to_string(i, ' ')")} AS ci,
+    {chars("array_to_string(list_concat(i, l), ' ')")} AS cl, {chars("array_to_string(list_concat(i, r), ' ')")} AS cr, greatest(length(a), length(b)) / least(length(a), length(b)) AS apart FROM u),
+  g AS (SELECT *, {ratio_sql('ca', 'cb')} AS base, CASE WHEN apart < 1.5 THEN {ratio_sql('csa', 'csb')} END AS by_sort,
+    CASE WHEN apart >= 1.5 THEN NULL WHEN ni > 0 AND (nl = 0 OR nr = 0) THEN 100.0 WHEN ni = 0 THEN {ratio_sql('cl', 'cr')} ELSE greatest({ratio_sql('cl', 'cr')}, {ratio_sql('ci', 'cl')}, {ratio_sql('ci', 'cr')}) END AS by_set,
+    CASE WHEN apart <= 8 THEN 0.9 ELSE 0.6 END AS scale FROM f),
+  h AS (SELECT g.*, k1.score AS p1, CASE WHEN ni > 0 THEN 100.0 ELSE greatest(k2.score, k3.score) END AS p2 FROM g
+    JOIN part k1 ON k1.s IN (a, b) AND k1.l IN (a, b) AND length(k1.s) + length(k1.l) = length(a) + length(b) AND (k1.s <> k1.l OR a = b)
+    JOIN part k2 ON k2.s IN (sa, sb) AND k2.l IN (sa, sb) AND length(k2.s) + length(k2.l) = length(sa) + length(sb) AND (k2.s <> k2.l OR sa = sb)
+    JOIN part k3 ON k3.s IN (da, db) AND k3.l IN (da, db) AND length(k3.s) + length(k3.l) = length(da) + length(db) AND (k3.s <> k3.l OR da = db)),
+  z AS (SELECT a, b, CASE WHEN apart < 1.5 THEN greatest(base, 0.95::DOUBLE * greatest(by_sort, by_set)) ELSE greatest(base, scale::DOUBLE * p1, 0.95::DOUBLE * scale::DOUBLE * p2) END AS score FROM h)
+  SELECT a, b, round(score::FLOAT::DOUBLE, 4) AS score FROM z WHERE score >= 80"""
+
+
+@register(_WRATIO)
 def fuzzy_wratio(spark, d):
     return _all(spark, d, "name || ' limited company'", "WRatio", 80)
 
 
+@register(None)
+def fuzzy_token_set_whole_tables(spark, d):
+    """Every migrated name against every trusted one by sets of tokens, all hits; held against brute force like the next one."""
+    a = migrated(spark, d).select(F.coalesce("name", F.lit("")).alias("k")).distinct()
+    b = trusted(spark, d).groupBy(F.col("dest_name").alias("k")).agg(F.min(POS).alias("pos"))
+    return score_keys(a, b, "token_set_ratio", 88).select("a", "b", F.round("score", 4).alias("score"))
+
+
 @register(None)
 def fuzzy_whole_tables(spark, d):
     """Every migrated name against every trusted one; too many pairs for SQL, so the tests hold it against brute force."""

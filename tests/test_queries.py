@@ -14,7 +14,26 @@ def test_query_equals_its_oracle(spark, name):
 
 
 def test_only_two_queries_have_no_oracle():
-    assert set(queries.QUERIES) - set(queries.ORACLES) == {"fuzzy_wratio", "fuzzy_whole_tables"}
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"fuzzy_token_set_whole_tables", "fuzzy_whole_tables"}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_token_sets_of_whole_tables_equal_brute_force(spark, monkeypatch, few):
+    """By way of few destinations, and by way of blocks and the index of tokens, where few pairs are held against each other."""
+    from matchloom.functions import similarity
+    from matchloom.operators import joins
+
+    if not few:
+        monkeypatch.setattr(joins, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(joins, "BLOCK", 8)
+    src = {r["name"] or "" for r in base.migrated(spark, SF).collect()}
+    dst = {r["dest_name"] for r in base.trusted(spark, SF).collect()}
+    want = {(a, b): x for a in src for b in dst if (x := similarity.token_set_ratio(a, b)) >= 88}
+    got = [tuple(r) for r in queries.QUERIES["fuzzy_token_set_whole_tables"](spark, SF).collect()]
+    assert len(got) == len(want) > 100 and {(a, b): s for a, b, s in got} == pytest.approx(want, abs=1e-3)
+    if not few:
+        a, b = (spark.createDataFrame([(x,) for x in side], "k string") for side in (src, dst))
+        assert joins._shared_tokens(a, b, 88).count() < 0.05 * len(src) * len(dst)
 
 
 def test_fuzzy_join_of_whole_tables_equals_brute_force(spark, monkeypatch):
