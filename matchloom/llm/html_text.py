@@ -14,6 +14,10 @@ them too. Where an article's blocks are chosen, the page's text is theirs alone.
 The text is the good blocks in page order: references decoded, white space inside a block made one space, blocks joined by
 one space.
 
+Names of classes and ids are evidence, not proof: a word before the mark may make it a mention (layout-with-sidebar), and inside an
+article, whose subjects make names too (related-work, comment-theory), all parts of a name have to be boilerplate's. Scripts without
+blanks between words are measured by letters, and their particles count as stop words.
+
 Defined cases: a null or empty page has an empty text; unclosed, stray and cut-off tags never fail (a tag cut off by the end
 of the page is dropped; one whose quote is never closed ends at its next bracket); any length is read whole, in time that
 grows with it; repeated rows each get their row; an empty table gives an empty result.
@@ -55,6 +59,13 @@ STOP = set(
 )
 #: Words that turn what follows in a class into its opposite or a mere mention.
 MENTIONS = set("has have no non not with without is show hide hides hidden js wp".split())
+#: Words that say how something is laid out; what lays out the page may name what stands beside the text.
+LAYOUT = set("layout wrapper wrap container page site grid row column columns outer inner body main content fixed sticky theme template view".split())
+#: Words that may stand beside a mark in the name of boilerplate inside an article.
+FURNITURE = LAYOUT | set("area article articles bar block bottom box button buttons entry form head icon icons item items left link links list post posts right section slot story stories title top unit".split())
+#: Letters of scripts without blanks between words, taken two for a word; particles among them that say as much as stop words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_PARTICLES = re.compile("[のはをにがとでもへや的了是在和有不我這这他她也就說说們们]")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)""")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -79,6 +90,7 @@ class Block:
     bad: bool
     main: int  # 2 inside an article or main element, 1 inside one whose class or id says so, else 0
     heading: bool
+    paragraph: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -86,20 +98,37 @@ def _attributes(text: str) -> dict[str, str]:
     return {n: (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(text) if (n := m[1].lower()) in _MARKUP}
 
 
-def _named_boilerplate(x: str, main: int) -> bool:
-    """Whether a word of a class or id names boilerplate; a header inside an article introduces it."""
+def _named_boilerplate(x: str, layouts: bool = True) -> bool:
+    """Whether a word of a class or id names boilerplate. A word before the mark may make it a mere mention, and a name that begins with
+    a layout's is the layout's; without layouts one that has a layout's word anywhere is."""
+    parts = x.split("-")
+    if x in MARKS:
+        return True
+    first = next((i for i, p in enumerate(parts) if p in MARKS), None)
+    if first is None or not MENTIONS.isdisjoint(parts[:first]):
+        return False
+    return not (parts[0] in ("layout", "wrapper", "theme", "template") or not layouts and not LAYOUT.isdisjoint(parts))
+
+
+def _named_inside(x: str) -> bool:
+    """The same inside an article, whose own words make ids and classes: no part may be other than a mark or a piece of furniture."""
     parts = x.split("-")
-    marks = MARKS - {"header"} if main else MARKS
-    return x in marks or (parts[0] not in MENTIONS and any(p in marks for p in parts))
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in FURNITURE for p in parts) and "header" not in parts and "head" not in parts
 
 
 def _hidden(at: dict[str, str]) -> bool:
     return "hidden" in at and at["hidden"] != "false" or at.get("aria-hidden") == "true"
 
 
-def _marked(at: dict[str, str], main: int = 0) -> bool:
-    """Whether class, id or role say that an element is boilerplate."""
-    return at.get("role") in ROLES or any(_named_boilerplate(x, main) for n in ("class", "id") for x in re.split(r"[\s_]+", at.get(n, "")))
+def _marked(at: dict[str, str], name: str, main: int = 0, layouts: bool = True) -> bool:
+    """Whether class, id or role say that an element is boilerplate. Inside an article the id of a paragraph or heading is a link's
+    target."""
+    if at.get("role") in ROLES:
+        return True
+    if not main:
+        return any(_named_boilerplate(x, layouts) for n in ("class", "id") for x in re.split(r"[\s_]+", at.get(n, "")))
+    text = name == "p" or name[0] == "h" and name[1:].isdigit()
+    return any(x in MARKS and x != "header" if text else _named_inside(x) for n in ("class", "id")[: 1 if text else 2] for x in re.split(r"[\s_]+", at.get(n, "")))
 
 
 def _holds_content(at: dict[str, str]) -> bool:
@@ -140,8 +169,9 @@ class _Open:
             self.blocks.pop()
 
 
-def blocks(page: str, trust_names: bool = True) -> list[Block]:
-    """The page's blocks. Without trust_names an article isn't boilerplate because a class or id of what is around it says so."""
+def blocks(page: str, trust_names: bool = True, layouts: bool = True) -> list[Block]:
+    """The page's blocks. Without trust_names an article isn't boilerplate because a class or id of what is around it says so; without
+    layouts names that have a layout's word in them aren't boilerplate's."""
     out: list[Block] = []
     parts: list[str] = []
     linked, links, at, n = 0, 0, 0, len(page)
@@ -152,7 +182,7 @@ def blocks(page: str, trust_names: bool = True) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, state[1], state[2], heading))
+            out.append(Block(text, linked, state[1], state[2], heading, bool(opened.blocks) and opened.stack[opened.blocks[-1]][0] == "p"))
         parts.clear()
         linked = 0
 
@@ -213,7 +243,7 @@ def blocks(page: str, trust_names: bool = True) -> list[Block]:
         if not trust_names and name in MAIN:
             boiler = False
         # A header inside an article introduces it; anywhere else it is the page's.
-        boiler = boiler or (name in BOILERPLATE and not (name == "header" and main)) or bool(own and name not in ("body", "html", *MAIN) and _marked(own, main))
+        boiler = boiler or (name in BOILERPLATE and not (name == "header" and main)) or bool(own and name not in ("body", "html", *MAIN) and _marked(own, name, main, layouts))
         opened.push(name, (hidden or name in HIDDEN or bool(own) and _hidden(own), boiler, inside))
         state = opened.state()
     data(page[begun:])
@@ -225,32 +255,42 @@ def _stops(w: list[str]) -> int:
     return sum(x.strip(_EDGES).lower() in STOP for x in w)
 
 
+def measure(text: str) -> tuple[int, int, bool]:
+    """Words, stop words, and whether most of the text is in a script without blanks that shows no stop words."""
+    w = text.split()
+    if not (letters := len(_UNSPACED.findall(text))):
+        return len(w), _stops(w), False
+    plain = [x for x in w if not _UNSPACED.search(x)]
+    n, stops = len(plain) + -(-letters // 2), _stops(plain) + len(_PARTICLES.findall(text))
+    return n, min(n, stops), letters > n and 10 * stops < n
+
+
 def label(b: Block, s: Settings, known: bool = True) -> str:
     """The first pass; known says whether the page has stop words of a known language at all."""
-    w = b.text.split()
-    visible = sum(map(len, w))
+    n, stops, strange = measure(b.text)
+    visible = sum(map(len, b.text.split()))
     links = b.linked / visible if visible else 0.0
     if b.bad:
         return "bad"
-    if not b.heading and links > s.max_link_density and (len(w) >= s.short_words or links > 0.9):
+    # A paragraph of an article may be one link; a list of links isn't made of paragraphs.
+    if not b.heading and not (b.main and b.paragraph) and links > s.max_link_density and (n >= s.short_words or links > 0.9):
         return "bad"
-    if len(w) < s.short_words:
+    if n < s.short_words:
         return "short"
-    long = len(w) >= s.long_words or bool(b.main)
-    if not known:
+    long = n >= s.long_words or bool(b.main)
+    if not known or strange:
         return ("good" if long else "near") if _LETTER.search(b.text) else "bad"
-    stops = _stops(w)
-    if stops >= s.stop_high * len(w):
+    if stops >= s.stop_high * n:
         return "good" if long else "near"
-    if stops >= s.stop_low * len(w) or b.main:
+    if stops >= s.stop_low * n or b.main:
         return "near"
     return "bad"
 
 
 def classify(found: list[Block], s: Settings = Settings()) -> list[bool]:
     """True for the blocks of the main text."""
-    sizes = [(b, b.text.split()) for b in found]
-    known = any(len(w) >= s.short_words and _stops(w) >= s.stop_low * len(w) for _, w in sizes) or not any(len(w) >= s.short_words for b, w in sizes if not b.bad)
+    sizes = [(b, *measure(b.text)) for b in found]
+    known = any(n >= s.short_words and stops >= s.stop_low * n for _, n, stops, _ in sizes) or not any(n >= s.short_words for b, n, *_ in sizes if not b.bad)
     labels = [label(b, s, known) for b in found]
     for unsure in ("near", "short"):
         before, after = _neighbours(found, labels, range(len(found))), _neighbours(found, labels, range(len(found) - 1, -1, -1))
@@ -282,9 +322,14 @@ def _neighbours(found: list[Block], labels: list[str], order: range) -> list[str
 
 
 def main_text(page: str | None, s: Settings = Settings()) -> str:
-    found = blocks(page or "")
+    # A page all of whose text is boilerplate by names may be one whose layout is named for what it holds.
+    return _main_text(page or "", s, True) or _main_text(page or "", s, False)
+
+
+def _main_text(page: str, s: Settings, layouts: bool) -> str:
+    found = blocks(page, True, layouts)
     if not any(b.main and not b.bad for b in found) and any(b.main for b in found):
-        found = blocks(page or "", trust_names=False)
+        found = blocks(page, False, layouts)
     if level := max((b.main for b in found if not b.bad), default=0):
         # Only the surest evidence of the page counts: an article beats a wrapper named content around it.
         found = [replace(b, main=level * (b.main == level)) for b in found]

@@ -104,6 +104,47 @@ def test_rules_decide_everywhere(page, want):
     assert html_text.main_text(page) == want
 
 
+JAPANESE = "これは私たちが海辺の町に来た夏の話です。友達と一緒にいろいろなことをしました。とても暑い日が続いていたので、毎日海で泳ぎました。その年のことは今でもよく覚えています。"
+CHINESE = "这是我们夏天在海边的小镇上度过的故事，我们和朋友们一起做了很多事情，那一年的天气非常热，所以我们每天都在海里游泳，现在我还记得那些日子。"
+THAI = "นี่คือเรื่องราวของเราที่มาถึงเมืองริมทะเลและสิ่งที่เราทำกับเพื่อนในฤดูร้อนของปีนั้นเมื่ออากาศร้อนมาก" * 2
+
+
+@pytest.mark.parametrize("names", ["class=layout-with-sidebar", "class=wrapper-header-fixed", "class='page-no-sidebar wide'", "id=theme-nav-top", "class='container-sidebar-right'", "class=main-with-comments"])
+def test_layouts_named_for_what_they_hold(names):
+    assert html_text.main_text(f"<div {names}><p>{LONG}</p><p>{LONG}</p></div>{LINKS}") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("names", ["class=page-header", "id=site-nav", "class=cookie-notice", "class='post-comments'", "class=footer-wrapper", "class='sidebar'"])
+def test_boilerplate_by_name_beside_text(names):
+    assert html_text.main_text(f"<div><p>{LONG}</p></div><div {names}><p>{RUSSIAN}</p></div>") == LONG
+
+
+@pytest.mark.parametrize(
+    "tag", ["section class='related-work'", "p id='comment-theory'", "p class='social-history'", "h2 id='cookies'", "h2 id='copyright-law'", "div id='navigation-at-sea'", "p id='comments'", "section class='sharing-economy'"]
+)
+def test_subjects_of_articles_are_no_boilerplate(tag):
+    assert html_text.main_text(f"<article><p>{LONG}</p><{tag}>{RUSSIAN}</{tag.split()[0]}><p>{LONG}</p></article>") == f"{LONG} {RUSSIAN} {LONG}"
+
+
+@pytest.mark.parametrize("tag", ["div class='post-comments'", "section id='comments'", "div class='related-posts'", "div class=ad", "p class=advert", "ul class='share-buttons'", "div class='comments-area'", "div class='social-links wide'"])
+def test_boilerplate_inside_articles(tag):
+    assert html_text.main_text(f"<article><p>{LONG}</p><{tag}>{RUSSIAN}</{tag.split()[0]}><p>{LONG}</p></article>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("text", [JAPANESE, CHINESE, THAI])
+def test_scripts_without_blanks(text):
+    menu = "<ul><li><a href=x>家</a></li><li><a href=y>店</a></li></ul>"
+    assert html_text.main_text(f"<div><p>{text}</p></div>{menu}") == text
+    assert html_text.main_text(f"<div>{LINKS}</div><div><p>{LONG}</p><p>{text}</p></div>") == f"{LONG} {text}"
+    assert html_text.main_text(f"<article><p>{text}</p></article><p>{LONG}</p>") == text
+
+
+def test_a_paragraph_of_an_article_that_is_a_link():
+    link = "<a href=x>The whole report of the journey with all of its pictures and maps</a>"
+    assert html_text.main_text(f"<article><p>{LONG}</p><p>{link}</p><p>{LONG}</p></article>") == f"{LONG} {link[10:-4]} {LONG}"
+    assert html_text.main_text(f"<div><p>{LONG}</p><p>{link}</p><p>{LONG}</p></div>") == f"{LONG} {LONG}"
+
+
 def brute_rules(kinds):
     """The two passes over (words, stop words, linked share, bad, main, heading) of each block, in plain words."""
     known = any(n >= 10 and st >= 0.1 * n for n, st, *_ in kinds) or not any(n >= 10 and not bad for n, _, _, bad, _, _ in kinds)
