@@ -1,3 +1,4 @@
+import functools
 import re
 import time
 
@@ -5,11 +6,15 @@ import pytest
 
 from matchloom.llm import licenses
 
-from .conftest import terms
+from .conftest import ascii_lower, terms
 
 
+ALL = licenses.all_templates()
+
+
+@functools.cache
 def brute_regex(markup):
-    """A template as a regular expression over space-joined words, each followed by a blank."""
+    """A template as a regular expression over space-joined words, each followed by a blank, and by # where a sentence ends."""
     out = ""
     for part in re.split(r"(<<.*?>>)", markup):
         if part == "<<beginOptional>>":
@@ -17,20 +22,31 @@ def brute_regex(markup):
         elif part == "<<endOptional>>":
             out += ")?"
         elif m := re.fullmatch(r"<<var;name=\w+;match=(.+)>>", part):
-            out += "(?:" + "|".join("".join(re.escape(w) + " " for w in terms(c)) for c in m[1].split("|")) + ")"
+            out += "(?:" + "|".join("".join(re.escape(w) + " #?" for w in terms(c)) for c in m[1].split("|")) + ")"
         elif part.startswith("<<var"):
-            out += r"(?:\S+ )*?"
+            out += r"(?:(?:[^\s#]+ )+?#?)??" if "within" in part else r"(?:[^\s#]+ #?)*?"
         else:
-            out += "".join(re.escape(w) + " " for w in terms(part))
-    return re.compile(r"(?<!\S)" + out)
+            out += "".join(re.escape(w) + " #?" for w in terms(part))
+    return re.compile(r"(?<![^\s#])" + out)
+
+
+def sentences(text):
+    """Words, and whether a sentence ends behind each."""
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
+    for m, after in zip(found, [*(x.start() for x in found[1:]), len(text)]):
+        gap = text[m.end() : after]
+        lines = gap.replace("\t", "").replace(" ", "").replace("\r", "")
+        stop = re.match(r"[^.]*\.[\"')]*\s", gap) and set(gap[: gap.index(".")]) <= set("\"')") and len(m[0]) > 3 and m[0][-4:].isalnum()
+        yield m[0], bool("\n\n" in lines or re.search(r"[!?][\s\"')]", gap) or stop)
 
 
 def brute(text):
     w = terms(text)
     places = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
     base = {label for _, label in places}
-    line = "".join(x + " " for x in w)
-    more = {label for label, t in licenses.TEMPLATES.items() if brute_regex(t).search(line)}
+    line = "".join(x + " " + "#" * ends for x, ends in sentences(ascii_lower(text)))
+    assert line.replace("#", "").split() == w
+    more = {label for label, t in ALL.items() if brute_regex(t).search(line)}
     at = [i for i, _ in places]
     return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more))
 
@@ -46,20 +62,20 @@ CASES = [
 
 def plain(label):
     """A text of the license: optional regions kept, replaceable ones filled."""
-    t = re.sub(r"<<var;name=\w+;match=([^|>]+)[^>]*>>", r"\1", licenses.TEMPLATES[label])
-    return re.sub(r"<<(?:begin|end)Optional>>", "", re.sub(r"<<var;name=\w+>>", "Some Holder, of a Long Name & Sons,", t))
+    t = re.sub(r"<<var;name=\w+;match=([^|>]+)[^>]*>>", r"\1", ALL[label])
+    return re.sub(r"<<(?:begin|end)Optional>>", "", re.sub(r"<<var;name=\w+[^>]*>>", "Some Holder, of a Long Name & Sons, Inc.", t))
 
 
 def bare(label):
     """The same without optional regions."""
-    t = licenses.TEMPLATES[label]
+    t = ALL[label]
     while "<<beginOptional>>" in t:
         t = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", "", t)
     t = re.sub(r"<<var;name=\w+;match=([^|>]+)[^>]*>>", r"\1", t)
-    return re.sub(r"<<var;name=\w+>>", "Some Holder", t)
+    return re.sub(r"<<var;name=\w+[^>]*>>", "Some Holder", t)
 
 
-LONG = [k for k in licenses.TEMPLATES if k.endswith(("-text", "-header"))]
+LONG = [k for k in ALL if k.endswith(("-text", "-header"))]
 CASES += [f"Some words before. {plain(k)} And after." for k in LONG]
 # The same with contrary wording at the end, in the middle, and cut off.
 CASES += [" ".join(plain(k).split()[:-1] + ["never"]) for k in LONG] + [" ".join(plain(k).split()[: len(plain(k).split()) // 2]) for k in LONG]
@@ -78,6 +94,30 @@ def test_whole_licenses_are_accepted_and_others_arent():
     assert scanner.scan(first + ", but never for money, and only on Mondays.")[5] == ""
 
 
+def test_a_region_stays_within_a_sentence():
+    scan = licenses.Scanner().scan
+    story = " ".join(f"This is sentence number {i} of a long text." for i in range(600))
+    assert scan(f"Copyright law is old. {story} All rights reserved")[5] == ""
+    assert scan(f"Copyright law is older than that\n\n{story.replace('.', '')}\n\nAll rights reserved")[5] == ""
+    assert scan("Copyright (c) 2020 by J. R. Smith, Foo Inc., and\nthe Bar Corp. All rights reserved.")[5] == "all-rights-reserved"
+    label, start, end = scan(f"Dedicated to the public domain by John Doe. {story}")[7][0]
+    assert (label, start) == ("public-domain", 0) and end <= 8
+    label, start, end = scan("dedicated to the public domain by " + "word " * 3000)[7][0]
+    assert end <= 8
+
+
+def test_whole_texts_in_files():
+    texts = [k for k in ALL if k not in licenses.TEMPLATES]
+    assert sorted(texts) == ["apache-2.0-text", "cc0-1.0-text", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "lgpl-3.0-text", "mpl-2.0-text"]
+    scan = licenses.default_scanner().scan
+    for k in texts:
+        words = plain(k).split()
+        assert len(words) > 900
+        assert scan(plain(k))[5].split(",") == sorted({*scan(plain(k))[4].split(","), k} - {""} | {x for x in scan(plain(k))[5].split(",") if not x.endswith("-text")})
+        for at in (3, len(words) // 3, len(words) - 1):
+            assert k not in scan(" ".join(words[:at] + ["mutated"] + words[at:]))[5].split(","), (k, at)
+
+
 def test_regions_have_no_bound_and_time_grows_with_the_words():
     text = "copyright " + "holder " * 5000 + "all rights reserved"
     assert licenses.Scanner().scan(text)[5] == "all-rights-reserved"
