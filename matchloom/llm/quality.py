@@ -163,7 +163,8 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
     text without its boilerplate lines clean_chars (code points) and clean_md5 (of the digests of its lines, comma-joined)."""
     table = materialize(figures(docs, id_col, text_col, host_col, rules), "quality-figures")
     out = decided(table, rules)
-    left = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("places", i)))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))  # in time that grows with the lines
+    left = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.transform(rest, lambda i: F.get("lines", i)))
     chars = F.aggregate("left", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
     return (
         out.withColumn("left", left)
