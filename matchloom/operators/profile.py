@@ -133,14 +133,16 @@ def near_duplicates(toks: DataFrame, most: int = 200, threshold: float = 85, n:
 
 
 def quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row per column, from one pass over the table: rows, nulls, distinct values (null is one), duplicates, lengths."""
+    """A row per column: rows, nulls, distinct values (null is one), duplicates, lengths. Distinct values are counted in long form, as
+    (column, 128 bits of the value's hash), which are made distinct with partial sums: columns multiply short rows, never whole ones,
+    and no column's values gather."""
     aggs: list[Column] = [F.count("*").alias("rows")]
     text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     for i, c in enumerate(columns):
         v = column(c)
         size = F.length(v) if c in text else F.lit(None).cast("int")
         aggs += [
-            F.count_if(v.isNull()).alias(f"n{i}"), (F.countDistinct(v) + F.max(v.isNull().cast("int"))).alias(f"d{i}"),
+            F.count_if(v.isNull()).alias(f"n{i}"), F.max(v.isNull().cast("int")).alias(f"z{i}"),
             F.min(size).alias(f"lo{i}"), F.max(size).alias(f"hi{i}"), F.round(F.avg(size), 1).alias(f"av{i}"),
         ]
     one = df.agg(*aggs)
@@ -148,12 +150,21 @@ def quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(c).alias("column"), F.col("rows").alias("total_rows"), F.col(f"n{i}").alias("null_count"), pct(F.col(f"n{i}")).alias("null_pct"),
-            (F.col("rows") - F.col(f"n{i}")).alias("non_null"), F.coalesce(f"d{i}", F.lit(0)).alias("unique_count"), pct(F.coalesce(f"d{i}", F.lit(0))).alias("unique_pct"),
-            (F.col("rows") - F.coalesce(f"d{i}", F.lit(0))).alias("duplicate_count"), F.col(f"lo{i}").alias("min_length"), F.col(f"hi{i}").alias("max_length"), F.col(f"av{i}").alias("mean_length"),
+            (F.col("rows") - F.col(f"n{i}")).alias("non_null"), F.lit(i).alias("i"), F.coalesce(f"z{i}", F.lit(0)).alias("null"), F.col(f"lo{i}").alias("min_length"), F.col(f"hi{i}").alias("max_length"), F.col(f"av{i}").alias("mean_length"),
         )
         for i, c in enumerate(columns)
     ]
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    per = one.select(F.col("rows"), F.explode(F.array(*rows)).alias("x")).select("rows", "x.*")
+    kinds = dict(df.dtypes)
+    plain = lambda c: column(c) + 0.0 if kinds[c] in ("float", "double") else column(c)  # noqa: E731  0.0 and -0.0 are one value
+    cells = [F.struct(F.lit(i).alias("i"), column(c).isNotNull().alias("full"), F.xxhash64(plain(c)).alias("h"), F.xxhash64(F.lit(1), plain(c)).alias("k")) for i, c in enumerate(columns)]
+    values = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("full").groupBy("i", "h", "k").agg(F.lit(1).alias("one"))
+    distinct = values.groupBy("i").agg(F.count("*").alias("values"))  # a row for each column
+    unique = F.coalesce("values", F.lit(0)) + F.col("null")
+    return per.join(F.broadcast(distinct), "i", "left").select(
+        "column", "total_rows", "null_count", "null_pct", "non_null", unique.alias("unique_count"), pct(unique).alias("unique_pct"), (F.col("rows") - unique).alias("duplicate_count"),
+        "min_length", "max_length", "mean_length",
+    )
 
 
 def unicode_profile(df: DataFrame, name: str, ranges=None) -> DataFrame:

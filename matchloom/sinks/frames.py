@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+from pyspark import SparkContext
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +18,76 @@ from .xlsx import Workbook
 
 
 def _single_file(df: DataFrame, path: str, fmt: str) -> None:
-    """Spark writes a folder beside the file; the one part in it becomes the file, in whatever file system it lies."""
+    """One file, in whatever file system it lies. All tasks write parts of a CSV file, without headers, into a folder beside it; the file
+    system then joins them behind the header, in the order of the parts, which is the frame's. Where it can't (only some can
+    without moving bytes) the parts' bytes are copied as they are. The rows of a Parquet file are one task's work."""
     jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    Path_ = jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    target = Path_(path)
     fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    folder = jvm.org.apache.hadoop.fs.Path(target.getParent() or jvm.org.apache.hadoop.fs.Path("."), f"_{target.getName()}.{uuid.uuid4().hex}")
+    folder = Path_(target.getParent() or Path_("."), f"_{target.getName()}.{uuid.uuid4().hex}")
+    parts = lambda at: sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
     try:
-        _write(df.coalesce(1), folder.toString(), fmt)
-        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        if fmt == "csv":
+            _write(df.limit(0).coalesce(1), Path_(folder, "head").toString(), fmt)
+            _write(df, Path_(folder, "rows").toString(), fmt, header=False)
+            made = parts(Path_(folder, "head"))[0]
+            _join(jvm, fs, made, parts(Path_(folder, "rows")), Path_(folder, "whole"))
+            made = Path_(folder, "whole")
+        else:
+            _write(df.coalesce(1), folder.toString(), fmt)
+            made = parts(folder)[0]
         fs.delete(target, True)
-        fs.rename(part, target)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
+        fs.rename(made, target)
+        fs.delete(Path_(target.getParent(), f".{target.getName()}.crc"), False)
     finally:
         fs.delete(folder, True)
 
 
-def _write(df: DataFrame, folder: str, fmt: str) -> None:
+def _join(jvm, fs, head, parts: list, whole) -> None:
+    """The head and the parts behind it, as one file."""
+    fs.rename(head, whole)
+    filled = [p for p in parts if fs.getFileStatus(p).getLen()]
+    if not filled:
+        return
+    try:
+        to = _array(jvm, filled)
+        fs.concat(whole, to)
+        return
+    except UnsupportedOperationException:
+        pass
+    begin = jvm.org.apache.hadoop.fs.Path(whole.getParent(), "begin")
+    fs.rename(whole, begin)
+    out = fs.create(whole, True)
+    try:
+        for p in [begin, *filled]:
+            source = fs.open(p)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
+def _array(jvm, paths: list):
+    """Paths as Java holds an array of them."""
+    out = SparkContext._active_spark_context._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(paths))
+    for i, p in enumerate(paths):
+        out[i] = p
+    return out
+
+
+def _write(df: DataFrame, folder: str, fmt: str, header: bool = True) -> None:
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.csv(folder, header=True, escape='"', emptyValue='""', nullValue="")
+        w.csv(folder, header=header, escape='"', emptyValue='""', nullValue="")
     else:
         w.parquet(folder)
 
 
 def write(df: DataFrame, path: str | Path, fmt: str, single: bool = True) -> None:
-    """One file by default, which one task writes; with single=False a folder that all tasks write, for results too large for that."""
+    """One file by default, of parts that all tasks write; with single=False a folder of these parts."""
     to, df = str(path) if "://" in str(path) else str(Path(path).absolute()), public(df)
     if fmt in ("csv", "parquet"):
         df = flatten(df) if fmt == "csv" else df

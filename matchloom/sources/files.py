@@ -15,7 +15,7 @@ import time
 import urllib.request
 import uuid
 import zipfile
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any, BinaryIO
 
@@ -163,24 +163,37 @@ def load_file(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".",
     return project(df, [*columns, POS] if columns and POS in df.columns else columns)
 
 
-#: Rows that go through the driver at a time.
+#: Rows that a task hands on at a time.
 ROWS = 50_000
 
 
 def _sqlite(spark: SparkSession, spec: Mapping[str, Any], base_dir: str) -> DataFrame:
-    """A local database: its rows are handed on to a table in the shared folder, some at a time."""
-    path = spec["connection"].get("database") or spec["connection"].get("path")
-    with sqlite3.connect(f"file:{Path(base_dir, path)}?mode=ro", uri=True) as db:
-        cursor = db.execute(spec["query"])
-        schema = pa.schema([(d[0], pa.string()) for d in cursor.description])
-        where, folder = pa.fs.FileSystem.from_uri(f"{_uri(shared_folder(spark))}/sqlite-{uuid.uuid4().hex}")
-        where.create_dir(folder, recursive=True)
-        with pq.ParquetWriter(f"{folder}/rows.parquet", schema, filesystem=where) as out:
-            while rows := cursor.fetchmany(ROWS):
-                columns = [[None if v is None else str(v) for v in c] for c in zip(*rows, strict=True)]
-                out.write_table(pa.table([pa.array(c, pa.string()) for c in columns], schema=schema))
-    kinds = ", ".join(f"`{n}` string" for n in schema.names)
-    return spark.read.schema(kinds).parquet(_uri(folder) if isinstance(where, pa.fs.LocalFileSystem) else f"{shared_folder(spark)}/{folder.rpartition('/')[2]}")
+    """A database in a file that the executors see as the other files of base_dir. A task queries it and hands rows on as they come; with
+    a partition (column, count) several do, each those rows whose column has its remainder."""
+    path = str(Path(base_dir, spec["connection"].get("database") or spec["connection"].get("path")).absolute())
+    query = spec["query"].strip().rstrip(";")
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        names = [d[0] for d in db.execute(f"SELECT * FROM ({query}) LIMIT 0").description]
+    split = spec.get("partition") or {}
+    count = int(split.get("count", 1)) if split else 1
+    schema = pa.schema([(n, pa.string()) for n in names])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                # A null key has no remainder and goes to the first.
+                only = f" WHERE coalesce(abs(CAST(\"{split['column']}\" AS INTEGER)) % {count}, 0) = {k}" if split else ""
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as own:
+                    cursor = own.execute(f"SELECT * FROM ({query}){only}")
+                    while got := cursor.fetchmany(ROWS):
+                        columns = [[None if v is None else str(v) for v in c] for c in zip(*got, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
+
+    kinds = ", ".join(f"`{n}` string" for n in names)
+    read = spark.range(0, count, 1, count).mapInArrow(rows, kinds)
+    at = f"{shared_folder(spark)}/sqlite-{uuid.uuid4().hex}"
+    read.write.parquet(at)  # once, for all its readers
+    return spark.read.schema(kinds).parquet(at)
 
 
 def _uri(path: str) -> str:
@@ -188,12 +201,13 @@ def _uri(path: str) -> str:
 
 
 def jdbc_options(spec: Mapping[str, Any]) -> dict[str, str]:
-    """The reader's options for a Postgres or Trino query."""
+    """The reader's options for a query to Postgres, Trino, or any database whose url and driver_class the connection names."""
     c, kind = spec["connection"], spec["driver"].lower()
     options = {"user": str(c.get("user", "")), "fetchsize": str(spec.get("fetch_size", 10_000))}
-    if p := spec.get("partition"):  # column, lower, upper, count: so many queries side by side, a range each
+    p = spec.get("partition")
+    if p and "lower" in p:  # column, lower, upper, count: so many queries side by side, a range each
         options |= {"dbtable": f"({spec['query']}) q", "partitionColumn": str(p["column"]), "lowerBound": str(p["lower"]), "upperBound": str(p["upper"]), "numPartitions": str(p["count"])}
-    else:
+    elif not p:
         options["query"] = spec["query"]
     if c.get("password"):
         options["password"] = str(c["password"])
@@ -213,18 +227,48 @@ def jdbc_options(spec: Mapping[str, Any]) -> dict[str, str]:
         if props := {"spooling_enabled": str(spool).lower()} | dict(c.get("session_properties") or {}):
             params.append("sessionProperties=" + ";".join(f"{k}:{v}" for k, v in props.items()))
         url, driver = url + ("?" + "&".join(params) if params else ""), "io.trino.jdbc.TrinoDriver"
+    elif kind == "jdbc":
+        url, driver = c["url"], c["driver_class"]
     else:
-        raise ValueError(f"unknown SQL driver {spec['driver']!r}; known: sqlite, postgresql, trino")
+        raise ValueError(f"unknown SQL driver {spec['driver']!r}; known: sqlite, postgresql, trino, jdbc")
     if unresolved := [k for k, v in c.items() if isinstance(v, str) and re.search(r"\$\{\w+\}", v)]:
         raise ValueError(f"these connection settings need environment variables that aren't set: {', '.join(unresolved)}")
     return options | {"url": url, "driver": driver}
 
 
+def quantile_splits(column: str, bounds: Sequence[Any]) -> list[str]:
+    """Conditions that each row meets one of: ranges between the bounds, and null."""
+    cuts = sorted(set(bounds))
+    if not cuts:
+        return [f"{column} IS NOT NULL", f"{column} IS NULL"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]}", *inner, f"{column} >= {cuts[-1]}", f"{column} IS NULL"]
+
+
+def _split_by_quantiles(spark: SparkSession, spec: Mapping[str, Any], split: Mapping[str, Any]) -> DataFrame:
+    """A query read side by side without bounds by hand: a first query fetches the numbers of the split column alone (or of `sample`, a
+    query of its own that returns some of them), their quantiles cut as many ranges of like many rows as `count` says, and each range
+    and the null keys are a query each. A skewed key thus has narrow ranges where its rows are."""
+    options = jdbc_options(spec)
+    count = int(split["count"])
+    asked = split.get("sample") or f"SELECT {split['column']} FROM ({spec['query']}) q"
+    keys = spark.read.format("jdbc").options(**options, query=asked).load()
+    key = column(keys.columns[0])
+    if keys.schema[0].dataType.simpleString() in ("string", "boolean", "date") or keys.schema[0].dataType.simpleString().startswith("timestamp"):
+        raise ValueError(f"the split column {split['column']!r} isn't a number; give lower and upper")
+    shares = [k / count for k in range(1, count)]
+    bounds = keys.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()["b"] if shares else []
+    rest = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], f"({spec['query']}) q", predicates=quantile_splits(split["column"], bounds or []), properties=rest)
+
+
 def load_sql(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", **_: Any) -> DataFrame:
     """A query's rows as text, null kept."""
     spec = {**spec, "connection": interpolate(dict(spec.get("connection") or {}))}
     if spec.get("driver", "").lower() == "sqlite":
         df = _sqlite(spark, spec, base_dir)
+    elif (p := spec.get("partition")) and "lower" not in p:
+        df = strings(_split_by_quantiles(spark, spec, p))
     else:
         df = strings(spark.read.format("jdbc").options(**jdbc_options(spec)).load())
     return project(df, spec.get("columns"))
@@ -295,32 +339,48 @@ def cache_path(spec: Mapping[str, Any], base_dir: str, recipe: str = "", source:
     return Path(base_dir, ".cache", f"{safe + '_' if safe else ''}{cache_key(spec)}.{'csv' if spec.get('cache_format') == 'csv' else 'parquet'}")
 
 
-def load_http(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", get: Fetch = fetch, **_: Any) -> DataFrame:
-    """A file from the web, streamed into the folder that all executors share and read by Spark; its rows as text. An archive is
-    staged beside the driver, and its entry streamed on."""
-    spec = interpolate(dict(spec))
-    verify, timeout = spec.get("verify", True), float(spec.get("timeout", TIMEOUT_S))
-    url = spec.get("url")
-    if source := spec.get("url_from"):
-        with _stream(get(source["endpoint"], source.get("headers") or {}, verify, timeout)[0]) as answer:
-            url = json_path(json.loads(answer.read()), source["json_path"])
-    body, kind = get(url, spec.get("headers") or {}, verify, timeout)
-    fmt = spec.get("format") or detect_format(url, kind)
+def _fetch_into(folder: str, get: Fetch, url: str, headers: Mapping[str, str], verify: bool, timeout: float, given: str | None, entry_name: str | None) -> tuple[str, str]:
+    """The file behind an address, or an archive's entry, as a file in the folder; its format and its place."""
+    body, kind = get(url, headers, verify, timeout)
+    fmt = given or detect_format(url, kind)
     with _stream(body) as stream, tempfile.SpooledTemporaryFile(max_size=16 << 20) as held:
         head = stream.read(4)
         if fmt == "zip" or head == b"PK\x03\x04":
             held.write(head)
             shutil.copyfileobj(stream, held)  # only an archive needs to be read out of order
-            entry, inner = unzip(held, spec.get("zip_entry"))
+            entry, inner = unzip(held, entry_name)
             fmt = inner if fmt == "zip" else fmt
             head, stream = b"", entry
-        where, folder = pa.fs.FileSystem.from_uri(f"{_uri(shared_folder(spark))}/http-{uuid.uuid4().hex}")
-        where.create_dir(folder, recursive=True)
-        with where.open_output_stream(f"{folder}/body.{fmt}") as out:
+        where, at = pa.fs.FileSystem.from_uri(f"{_uri(folder)}/{uuid.uuid4().hex}")
+        where.create_dir(at, recursive=True)
+        with where.open_output_stream(f"{at}/body.{fmt}") as out:
             out.write(head)
             while part := stream.read(1 << 20):
                 out.write(part)
-    at = f"{shared_folder(spark)}/{folder.rpartition('/')[2]}/body.{fmt}"
+    return fmt, f"{folder}/{at.rpartition('/')[2]}/body.{fmt}"
+
+
+def load_http(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", get: Fetch = fetch, **_: Any) -> DataFrame:
+    """A file from the web, streamed by a task into the folder that all executors share and read by Spark; its rows as text. An archive is
+    staged beside the task, and its entry streamed on."""
+    spec = interpolate(dict(spec))
+    verify, timeout = spec.get("verify", True), float(spec.get("timeout", TIMEOUT_S))
+    url = spec.get("url")
+    if source := spec.get("url_from"):
+        with _stream(get(source["endpoint"], source.get("headers") or {}, verify, timeout)[0]) as answer:
+            url = json_path(json.loads(answer.read()), source["json_path"])
+    folder, entry_name, given = f"{shared_folder(spark)}/http-{uuid.uuid4().hex}", spec.get("zip_entry"), spec.get("format")
+    headers = spec.get("headers") or {}
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                fmt, at = _fetch_into(folder, get, url, headers, verify, timeout, given, entry_name)
+                yield pa.RecordBatch.from_pydict({"fmt": [fmt], "at": [at]})
+
+    # A task fetches it, under a name of its own for each attempt.
+    got = spark.range(0, 1, 1, 1).mapInArrow(fetched, "fmt string, at string").first()
+    at, fmt = got["at"], got["fmt"]
     return project(strings(read_format(spark, at, fmt)), spec.get("columns"))
 
 

@@ -325,3 +325,65 @@ def test_large_csv_files_are_split_unless_fields_go_over_lines(spark, tmp_path,
 
 def test_score_bands():
     assert [summary.band(x) for x in (100, 80, 79.9, 60, 59, None, "x")] == [xlsx.HIGH, xlsx.HIGH, xlsx.MIDDLE, xlsx.MIDDLE, xlsx.LOW, None, None]
+
+
+def test_one_csv_file_of_parts_equals_that_of_one_task(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "concat('a \"b\", ', id) AS `quoted, name`", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN '' ELSE 'l\n2' END AS x").repartition(9).orderBy("id")
+    frames._write(df.coalesce(1), str(tmp_path / "one"), "csv")
+    frames.write(df, tmp_path / "file.csv", "csv")
+    assert (tmp_path / "file.csv").read_bytes() == next((tmp_path / "one").glob("part-*")).read_bytes()
+    frames.write(df, tmp_path / "file.csv", "csv")  # over itself
+    frames.write(df.limit(0), tmp_path / "empty.csv", "csv")
+    assert (tmp_path / "empty.csv").read_text() == 'id,"quoted, name",x\n'
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["empty.csv", "file.csv", "one"]
+
+
+@pytest.fixture
+def derby(spark, tmp_path):
+    """A table in the database that Spark itself brings."""
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    jvm = spark._jvm
+    jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    db = jvm.java.sql.DriverManager.getConnection(url)
+    s = db.createStatement()
+    s.execute("CREATE TABLE t (k INT, name VARCHAR(40))")
+    # Three quarters of the rows in a hundredth of the range, and some without a key.
+    for at in range(0, 2000, 500):
+        s.execute("INSERT INTO t VALUES " + ", ".join(f"({'NULL' if i % 50 == 0 else i % 100 if i % 4 else i * 5}, 'n{i}')" for i in range(at, at + 500)))
+    s.close()
+    db.close()
+    return {"loader": "sql", "driver": "jdbc", "connection": {"url": url, "driver_class": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "query": "SELECT k, name FROM t", "cache_ttl": "off"}
+
+
+@pytest.mark.parametrize("split", [None, {"column": "k", "count": 8}, {"column": "k", "count": 8, "sample": "SELECT k FROM t WHERE name LIKE '%7'"}, {"column": "k", "lower": 0, "upper": 10000, "count": 4}, {"column": "k", "count": 1}])
+def test_queries_by_jdbc(spark, derby, split):
+    df = files.load(spark, derby | ({"partition": split} if split else {}))
+    rows = sorted((r["NAME"], r["K"]) for r in df.collect())
+    assert rows == sorted((f"n{i}", None if i % 50 == 0 else str(i % 100 if i % 4 else i * 5)) for i in range(2000))
+    if split and split["count"] == 8:
+        sizes = df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+        assert len(sizes) > 6 and max(sizes) < (700 if "sample" in split else 500) and 40 in sizes  # the null keys are a query of their own
+
+
+def test_jdbc_splits_need_numbers(spark, derby):
+    with pytest.raises(ValueError, match="isn't a number"):
+        files.load(spark, derby | {"partition": {"column": "name", "count": 3}})
+    assert files.quantile_splits("k", [3, 3, 9]) == ["k < 3", "k >= 3 AND k < 9", "k >= 9", "k IS NULL"]
+
+
+def test_sqlite_is_read_side_by_side(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("CREATE TABLE t (k INTEGER, v TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(None if i % 10 == 0 else i - 50, f"v{i}") for i in range(500)])
+    spec = {"loader": "sql", "driver": "sqlite", "connection": {"database": "x.db"}, "query": "SELECT k, v FROM t;", "cache_ttl": "off"}
+    for split in ({}, {"partition": {"column": "k", "count": 5}}):
+        rows = sorted((r["v"], r["k"]) for r in files.load(spark, spec | split, str(tmp_path)).collect())
+        assert rows == sorted((f"v{i}", None if i % 10 == 0 else str(i - 50)) for i in range(500))
+
+
+def test_distinct_values_are_counted_in_long_form(spark):
+    df = spark.createDataFrame([(0.0, "a", None), (-0.0, "a", 1), (float("nan"), None, 1), (None, "", 2)], "x double, y string, z long")
+    out = profile.quality(df, ["x", "y", "z"])
+    assert {r["column"]: (r["unique_count"], r["null_count"]) for r in out.collect()} == {"x": (3, 1), "y": (3, 1), "z": (3, 1)}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["column"]: (r["unique_count"], r["total_rows"]) for r in profile.quality(df.limit(0), ["x"]).collect()} == {"x": (0, 0)}
