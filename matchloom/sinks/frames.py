@@ -81,7 +81,8 @@ def _array(jvm, paths: list):
 def _write(df: DataFrame, folder: str, fmt: str, header: bool = True) -> None:
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.csv(folder, header=header, escape='"', emptyValue='""', nullValue="")
+        # Spark's writer trims values unless told not to.
+        w.csv(folder, header=header, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', emptyValue='""', nullValue="")
     else:
         w.parquet(folder)
 

@@ -415,7 +415,7 @@ def _cache(df: DataFrame, path: Path) -> None:
     beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
     try:
         if path.suffix == ".csv":
-            df.write.csv(str(beside), header=True, escape='"')
+            df.write.csv(str(beside), header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         else:
             df.write.parquet(str(beside))
         old = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
