@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 import sqlite3
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import address
@@ -61,12 +60,33 @@ def scan_json_lines(spark, d):
     return files.load(spark, {"file": "c.jsonl", "columns": ["id", "name", "segment"]}, str(folder))
 
 
-@register("SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation")
+def _made(df, write) -> list[str]:
+    """What write(rows, number of the task) makes of each task's rows, in the tasks: it yields names, which come back."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for name in write(rows, TaskContext.get().partitionId()):
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return [r["name"] for r in df.mapInArrow(run, "name string").collect()]
+
+
+@register("SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer")
 def scan_json_array(spark, d):
+    """Files that hold an array each, as many as there are tasks."""
     folder = _folder(spark)
-    rows = [{"id": r["n_nationkey"], "name": r["n_name"]} for r in read(spark, d, "nation").collect()]  # 25 rows
-    (folder / "n.json").write_text(json.dumps(rows))
-    return files.load(spark, {"file": "n.json", "columns": ["id", "name"]}, str(folder))
+    to = str(folder / "c.json")
+    (folder / "c.json").mkdir()
+
+    def write(rows, k):
+        with open(f"{to}/{k:05}.json", "w") as f:
+            f.write("[" + ",\n".join(json.dumps(r) for r in rows) + "]")
+        yield to
+
+    _made(read(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name").repartition(8), write)
+    return files.load(spark, {"file": "c.json", "columns": ["id", "name"]}, str(folder))
 
 
 @register("SELECT c_name AS name, c_custkey AS id FROM customer")
@@ -76,49 +96,66 @@ def scan_projected(spark, d):
     return files.load(spark, {"file": "c.parquet", "columns": ["name", "id"]}, str(folder))
 
 
-@register("SELECT n_name AS name, r_name AS region, (n_nationkey * 2)::VARCHAR AS twice FROM nation JOIN region ON n_regionkey = r_regionkey")
+@register("SELECT c_name AS name, n_name AS nation, (c_custkey * 2)::VARCHAR AS twice FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def source_sqlite(spark, d):
-    path = _folder(spark) / "small.db"
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE nation (k INTEGER, name TEXT, r INTEGER)")
-        db.execute("CREATE TABLE region (k INTEGER, name TEXT)")
-        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()])  # 25 rows
-        db.executemany("INSERT INTO region VALUES (?, ?)", [tuple(r) for r in read(spark, d, "region").select("r_regionkey", "r_name").collect()])
-    spec = {"loader": "sql", "driver": "sqlite", "connection": {"database": str(path)}, "query": "SELECT n.name, r.name AS region, n.k * 2 AS twice FROM nation n JOIN region r ON n.r = r.k", "cache_ttl": "off"}
-    return files.load(spark, spec, str(path.parent))
+    """A database that a task fills and several read side by side."""
+    path = str(_folder(spark) / "small.db")
 
+    def fill(table):
+        def write(rows, _):
+            with sqlite3.connect(path) as db:
+                db.execute(f"DROP TABLE IF EXISTS {table}")
+                db.execute(f"CREATE TABLE {table} (k INTEGER, name TEXT, n INTEGER)")
+                db.executemany(f"INSERT INTO {table} VALUES (?, ?, ?)", ((r["k"], r["name"], r["n"]) for r in rows))
+            yield path
 
-def _nations_csv(spark, d) -> bytes:
-    out = io.StringIO()
-    w = csv.writer(out)
-    w.writerow(["id", "name"])
-    w.writerows([tuple(r) for r in read(spark, d, "nation").select("n_nationkey", "n_name").collect()])  # 25 rows
-    return out.getvalue().encode()
+        return write
 
+    _made(read(spark, d, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_nationkey AS n").coalesce(1), fill("customer"))
+    _made(read(spark, d, "nation").selectExpr("n_nationkey AS k", "n_name AS name", "n_regionkey AS n").coalesce(1), fill("nation"))
+    query = "SELECT c.name, n.name AS nation, c.k * 2 AS twice FROM customer c JOIN nation n ON c.n = n.k"
+    spec = {"loader": "sql", "driver": "sqlite", "connection": {"database": path}, "query": query, "partition": {"column": "twice", "count": 4}, "cache_ttl": "off"}
+    return files.load(spark, spec)
 
-_NATIONS = "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation"
 
+_CUSTOMER_FILE = "SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer"
 
-@register(_NATIONS)
+
+def _customer_file(spark, d) -> str:
+    path = str(_folder(spark) / "customers.csv")
+    frames.write(read(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name"), path, "csv")
+    return path
+
+
+@register(_CUSTOMER_FILE)
 def source_http_zip(spark, d):
-    """A zipped file behind an address that another answer names."""
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        z.writestr("read.me", "x")
-        z.writestr("data/nations.csv", _nations_csv(spark, d))
-    answers = {"http://here/latest": (json.dumps({"files": [{"url": "http://here/n.zip"}]}).encode(), "application/json"), "http://here/n.zip": (packed.getvalue(), "application/zip")}
-    spec = {"loader": "http", "url_from": {"endpoint": "http://here/latest", "json_path": "files[0].url"}, "zip_entry": "data/nations.csv", "cache_ttl": "off"}
-    return files.load(spark, spec, str(_folder(spark)), get=lambda url, *_: answers[url])
+    """A zipped file behind an address that another answer names, fetched by a task."""
+    path = _customer_file(spark, d)
+
+    def pack(_, k):
+        with zipfile.ZipFile(f"{path}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("read.me", "x")
+            z.write(path, "data/customers.csv")
+        yield path
+
+    _made(spark.range(0, 1, 1, 1), pack)
+
+    def get(url, *_):
+        if url == "http://here/latest":
+            return json.dumps({"files": [{"url": "http://here/c.zip"}]}).encode(), "application/json"
+        return open(f"{path}.zip", "rb"), "application/zip"
+
+    spec = {"loader": "http", "url_from": {"endpoint": "http://here/latest", "json_path": "files[0].url"}, "zip_entry": "data/customers.csv", "cache_ttl": "off"}
+    return files.load(spark, spec, str(_folder(spark)), get=get)
 
 
-@register(_NATIONS)
+@register(_CUSTOMER_FILE)
 def source_cached(spark, d):
     """The second reading comes from the cache: by then the source has nothing left."""
-    body, folder = _nations_csv(spark, d), str(_folder(spark))
-    answers = [(body, "text/csv"), (b"id,name\r\n", "text/csv")]
-    spec = {"loader": "http", "url": "http://here/n.csv", "cache_ttl": "1h"}
-    files.load(spark, spec, folder, get=lambda *_: answers.pop(0)).count()
-    return files.load(spark, spec, folder, get=lambda *_: answers.pop(0))
+    path, folder = _customer_file(spark, d), str(_folder(spark))
+    spec = {"loader": "http", "url": "http://here/c.csv", "cache_ttl": "1h"}
+    files.load(spark, spec, folder, get=lambda *_: (open(path, "rb"), "text/csv"))
+    return files.load(spark, spec, folder, get=lambda *_: (b"id,name\r\n", "text/csv"))
 
 
 @register(f"{_CASCADE} SELECT record_key, family, 'no_name_match' AS reason_code, NULL::VARCHAR AS rejection_step, NULL::DOUBLE AS best_rejected_score FROM migrated WHERE record_key NOT IN (SELECT record_key FROM best)")
