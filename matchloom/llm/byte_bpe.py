@@ -47,6 +47,9 @@ FIRST, MOST = 64, 4096
 #: Bytes of a run that is merged at once; longer ones are halved.
 RUN = 512
 
+#: Rows that a task turns over at a time.
+ROWS = 256
+
 #: Letters of long standing, and what ends a run of letters.
 LETTER = r"A-Za-zÀ-ÖØ-öø-ɏА-яぁ-ゖァ-ヺ一-龥가-힣"
 BREAK = regex.compile(rf"(?<=[{LETTER}])(?=[\t-\r !-/:-@\[-`{{-~、。！，？])")
@@ -229,6 +232,13 @@ def bpe(rank_file: str, pattern: str) -> Bpe:
     return Bpe(rank_file, pattern)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that a task holds little beside the batch that Spark hands over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -245,8 +255,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bpe(rank_file, pattern)
-        for batch in batches:
-            ids = pa.array([packed(b.encode(t)) for t in batch.column("text").to_pylist()], pa.binary())
+        for batch in slices(batches):
+            ids = pa.array([packed(b.encode(t.as_py())) for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), ids], names=[*(c for c in batch.schema.names if c != "text"), "ids"])
 
     out = rows.where(F.length("text") <= part).mapInArrow(leaves, leaf_schema)
@@ -295,8 +305,8 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bpe(rank_file, pattern)
-        for batch in batches:
-            made = pa.array([b.decode(unpacked(x)) for x in batch.column("ids").to_pylist()], pa.binary())
+        for batch in slices(batches):
+            made = pa.array([b.decode(unpacked(x.as_py())) for x in batch.column("ids")], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(texts, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")
