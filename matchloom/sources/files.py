@@ -156,7 +156,7 @@ def in_order(spark: SparkSession, path: str, fmt: str, **options: Any) -> DataFr
 def load_file(spark: SparkSession, spec: Mapping[str, Any], base_dir: str = ".", **_: Any) -> DataFrame:
     """CSV, TSV, JSON and Parquet by suffix. Parquet keeps its types; the rest is text."""
     file = spec["file"]
-    path = file if "://" in file else f"{base_dir.rstrip('/')}/{file}" if "://" in base_dir else str(Path(base_dir, file))
+    path = file if "://" in file else f"{str(base_dir).rstrip('/')}/{file}" if "://" in str(base_dir) else str(Path(base_dir, file))
     fmt = spec.get("format") or FORMATS.get(Path(file).suffix.lower(), "csv")
     df = in_order(spark, path, fmt, as_strings=fmt != "parquet", multiline=spec.get("multiline"))
     columns = spec.get("columns")
