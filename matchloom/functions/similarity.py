@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SCORERS = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "WRatio")
 #: Scorers that a difference in length bounds from above.
 LENGTH_BOUND = ("ratio", "token_sort_ratio")
+#: A character or token that one in so many of a block's strings has is looked up in a row of all strings, not in a list of those.
+COMMON = 8
 
 
 def lcs(a: str, b: str) -> int:
@@ -136,14 +138,23 @@ class Block:
         # For each character the strings that have it, and how often.
         kinds, owners, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in bag)
         by = np.argsort(kinds, kind="stable")
-        self.owners, self.counts = owners[by], counts[by].astype(np.int64)
+        self.owners, self.counts = owners[by], counts[by].astype(np.int32)
         self.of = np.searchsorted(kinds[by], np.arange(len(letters) + 2))
+        # What many strings have is faster to add up in a row of all strings.
+        self.whole: dict[int, np.ndarray] = {}
+        for c in np.flatnonzero(np.diff(self.of) * COMMON >= len(texts)) if texts else ():
+            held = slice(self.of[c], self.of[c + 1])
+            self.whole[int(c)] = np.zeros(len(texts), np.int32)
+            self.whole[int(c)][self.owners[held]] = self.counts[held]
 
     def lcs_bound(self, a: str) -> np.ndarray:
         """Shared characters, however placed: no LCS is longer."""
-        out = np.zeros(len(self.texts), np.int64)
+        out = np.zeros(len(self.texts), np.int32)
         for ch, n in Counter(a).items():
             if c := self.code.get(ch):
+                if c in self.whole:
+                    out += np.minimum(self.whole[c], n)
+                    continue
                 held = slice(self.of[c], self.of[c + 1])
                 out[self.owners[held]] += np.minimum(self.counts[held], n)  # a string has a character once here
         return out
@@ -297,6 +308,10 @@ def _advance(v: np.ndarray, hit: np.ndarray) -> None:
         v[w] = total | (x & ~u)
 
 
+#: What sets of tokens don't share is short and comes again and again.
+_known_lcs = lru_cache(maxsize=1 << 16)(lcs)
+
+
 def set_form(s: str) -> str:
     return " ".join(sorted(set(s.split())))
 
@@ -311,40 +326,61 @@ class Forms:
     sorted = cached_property(lambda self: Block([sort_tokens(t) for t in self.texts]))
     sets = cached_property(lambda self: Block([set_form(t) for t in self.texts]))
 
+    @cached_property
+    def tokens(self) -> list[frozenset[str]]:
+        return [frozenset(t.split()) for t in self.texts]
+
     @cached_property
     def index(self) -> dict[str, np.ndarray]:
-        """For each token the strings that have it."""
+        """For each token the strings that have it; for a common one a row of all strings, with what it counts."""
         at: dict[str, list[int]] = {}
-        for i, t in enumerate(self.texts):
-            for token in set(t.split()):
+        for i, own in enumerate(self.tokens):
+            for token in own:
                 at.setdefault(token, []).append(i)
-        return {t: np.array(x) for t, x in at.items()}
+        out = {}
+        for token, x in at.items():
+            out[token] = np.array(x)
+            if len(x) * COMMON >= len(self.texts):
+                out[token] = np.zeros(len(self.texts), np.int32)
+                out[token][x] = len(token) + 1
+        return out
 
     def shared(self, a: str) -> np.ndarray:
         """Characters of the tokens that a and each string share, joined by blanks."""
-        out = np.zeros(len(self.texts), np.int64)
+        out = np.zeros(len(self.texts), np.int32)
         for token in set(a.split()):
-            if token in self.index:
-                out[self.index[token]] += len(token) + 1
+            if (at := self.index.get(token)) is None:
+                continue
+            if at.dtype == np.int32:
+                out += at
+            else:
+                out[at] += len(token) + 1
         return np.maximum(out - 1, 0)
 
     def token_sets(self, a: str, least: float) -> np.ndarray:
-        """token_set_ratio of a and each string; 0 where it is below least. What the shared tokens alone score against either side is
-        known from their length; the LCS of the rest is only needed where lengths and characters allow it."""
-        own, size = set(a.split()), self.sets.lengths
+        """token_set_ratio of a and each string; 0 where it is below least. What the shared tokens alone score against the shorter side is
+        known from their length; the LCS of the rest is only needed where lengths and characters allow more than that."""
+        score, own, size = np.zeros(len(self.texts)), set(a.split()), self.sets.lengths
         if not own:
-            return np.zeros(len(self.texts))
-        n, both = len(set_form(a)), self.shared(a)
-        score = np.where(both > 0, np.maximum(200.0 * both / (both + n), 200.0 * both / np.maximum(both + size, 1)), 0.0)
-        score = np.where((both > 0) & ((both == n) | (both == size)), 100.0, score)
-        total, margin = size + n, least - 1e-4
-        may = (size > 0) & (score < 100) & (200.0 * np.minimum(size, n) >= margin * total)
-        may &= 200.0 * self.sets.lcs_bound(set_form(a)) >= margin * total
-        apart = may & (both == 0)
-        score = np.where(apart, 200.0 * self.sets.lcs(set_form(a), apart) / np.maximum(total, 1), score)
-        for i in np.flatnonzero(may & (both > 0)):
-            _, left, right = _parts(a, self.texts[i])
-            score[i] = max(score[i], 200.0 * (both[i] + 1 + lcs(left, right)) / total[i])
+            return score
+        form, margin = set_form(a), least - 1e-4
+        n, both = len(form), self.shared(a)
+        short = np.minimum(size, n)
+        some = np.flatnonzero((200.0 - margin) * both >= margin * short)  # if 200 * both / (both + short) reaches the least score
+        some = some[both[some] > 0]
+        score[some] = 200.0 * both[some] / (both[some] + short[some])
+        may = 200.0 * short >= margin * (size + n)
+        may &= (size > 0) & (score < 100)
+        if may.any():
+            total, bound = size + n, 200.0 * self.sets.lcs_bound(form)
+            may &= (bound >= margin * total) & (bound > score * total)
+            apart = may & (both == 0)
+            if apart.any():
+                score[apart] = (200.0 * self.sets.lcs(form, apart) / np.maximum(total, 1))[apart]
+            tokens = sorted(own)
+            for i in np.flatnonzero(may & (both > 0)):
+                left, right = " ".join(t for t in tokens if t not in self.tokens[i]), " ".join(sorted(self.tokens[i] - own))
+                score[i] = max(score[i], 200.0 * (both[i] + 1 + _known_lcs(left, right)) / total[i])
         return np.where((size > 0) & (score >= least), score, 0.0)
 
     def weighted(self, a: str, least: float) -> np.ndarray:

@@ -25,6 +25,8 @@ BLOCK = 1024
 #: Destination keys, and their characters in all, up to which they go to every task; beyond, blocks of both sides meet.
 BROADCAST_KEYS = 20_000
 BROADCAST_CHARS = 4_000_000
+#: Pairs of keys that a block scores in the time that the index of tokens takes for one.
+PAIRS_A_CANDIDATE = 200
 
 
 @dataclass(frozen=True)
@@ -182,6 +184,8 @@ def score_keys(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
     if (few := _if_few(b)) is not None:
         return _score_few(a, few, scorer, threshold, best_only, bound)
     if by_set and 0 < threshold <= 100:
+        if not _few_candidates(left, right, threshold):
+            return _score_blocks(a, b, scorer, threshold, best_only, False)
         # Where the tokens that a pair shares don't reach the threshold by themselves, the sets' lengths bound the score.
         near = _score_blocks(a, b, scorer, threshold, best_only, True)
         return near.unionByName(_shared_tokens(left, right, threshold)).groupBy("a", "b").agg(F.max("score").alias("score"))
@@ -192,14 +196,8 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
 
 
-def _shared_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) of pairs whose shared tokens, of I characters with the blanks between, reach the threshold by themselves against
-    one side's set of tokens, of n: 200 I / (I + n).
-
-    That takes shared tokens of at least n t / (200 - t) characters, so that one of them is among the side's rarest tokens, down to
-    where the commoner ones together have fewer: only these are looked up in the other side's index, and frequent
-    tokens meet nothing unless a key is made of little else.
-    """
+def _lookups(left: DataFrame, right: DataFrame, threshold: float) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(key, t) of both sides, a and b: all tokens, and those that are looked up in the other side's."""
     t = threshold - 1e-4
     sides = {s: df.select(F.col("k").alias(s), F.explode(F.array_distinct(_tokens(F.col("k")))).alias("t")) for s, df in (("a", left), ("b", right))}
     counts = sides["a"].select("t").unionByName(sides["b"].select("t")).groupBy("t").agg(F.count("*").alias("n"))
@@ -211,7 +209,34 @@ def _shared_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataF
         kept = F.filter(F.col("xs"), lambda x, i: weight(F.slice("xs", i + 1, F.size("xs"))) >= need)
         return own.select(s, F.explode(F.transform(kept, lambda x: x["t"])).alias("t"))
 
-    met = rarest("a").join(sides["b"], "t").select("a", "b").unionByName(sides["a"].join(rarest("b"), "t").select("a", "b")).distinct()
+    return sides, {s: rarest(s) for s in sides}
+
+
+def _few_candidates(left: DataFrame, right: DataFrame, threshold: float) -> bool:
+    """Whether the index of tokens lets so few pairs meet that it takes less than blocks of all. Tables whose keys are made of a few words
+    meet nearly all by it. One job counts the tokens, forms no pair and gives the number of those that would meet."""
+    sides, rare = _lookups(left, right, threshold)
+    rows = None
+    for c, df in (("na", sides["a"]), ("nb", sides["b"]), ("ra", rare["a"]), ("rb", rare["b"])):
+        part = df.groupBy("t").agg(F.count("*").cast("double").alias(c))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    sums = rows.groupBy("t").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("na", "nb", "ra", "rb")])
+    met = sums.agg(F.sum(F.col("ra") * F.col("nb") + F.col("na") * F.col("rb")).alias("met"))
+    keys = [df.agg(F.count("*").cast("double").alias(n)) for n, df in (("a", left), ("b", right))]
+    got = met.crossJoin(keys[0]).crossJoin(keys[1]).first()
+    return (got["met"] or 0) * PAIRS_A_CANDIDATE <= got["a"] * got["b"]
+
+
+def _shared_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of pairs whose shared tokens, of I characters with the blanks between, reach the threshold by themselves against
+    one side's set of tokens, of n: 200 I / (I + n).
+
+    That takes shared tokens of at least n t / (200 - t) characters, so that one of them is among the side's rarest tokens, down to
+    where the commoner ones together have fewer: only these are looked up in the other side's index, and frequent
+    tokens meet nothing unless a key is made of little else.
+    """
+    sides, rare = _lookups(left, right, threshold)
+    met = rare["a"].join(sides["b"], "t").select("a", "b").unionByName(sides["a"].join(rare["b"], "t").select("a", "b")).distinct()
     size = lambda xs: F.length(F.array_join(xs, " "))
     both = F.array_intersect(F.array_distinct(_tokens(F.col("a"))), F.array_distinct(_tokens(F.col("b"))))
     sized = met.select("a", "b", size(both).alias("i"), size(F.array_distinct(_tokens(F.col("a")))).alias("m"), size(F.array_distinct(_tokens(F.col("b")))).alias("n"))
@@ -232,7 +257,8 @@ def _score_blocks(a: DataFrame, b: DataFrame, scorer: str, threshold: float, bes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a pair of blocks at a time, not a batch of them
+                row = batch.slice(i, 1).to_pylist()[0]
                 yield from _hits(row["a"], [_Targets(row["b"])], scorer, threshold, best_only, bound)
 
     return pairs.mapInArrow(run, "a string, b string, score double")

@@ -112,3 +112,24 @@ def test_blocks_split_large_lengths(spark, monkeypatch, few):
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "k string, pos long")
     found = {(r["a"], r["b"]) for r in joins.score_keys(df.select("k"), df, "ratio", 85).collect()}
     assert found == {(a, b) for a in names for b in names if similarity.ratio(a, b) >= 85}
+
+
+def test_keys_of_few_words_meet_in_blocks_and_keys_of_rare_words_by_the_index(spark, monkeypatch):
+    """Candidates of frequent words would be rows of nearly all pairs; either way finds what brute force finds."""
+    words = ["red", "old", "big", "hot", "ring", "bolt", "rod", "plate"]
+    common = [f"{a} {b} brand {n}" for a in words[:4] for b in words[4:] for n in range(20)]
+    rare = [f"{a} {b} w{n * 7919 % 1_000_003:06d} x{n * 104_729 % 1_000_003:06d}" for n, (a, b) in enumerate((a, b) for a in words[:4] for b in words[4:] for _ in range(20))]
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(joins, "BLOCK", 64)
+    for keys, few in ((common, False), (rare, True)):
+        left, right = [f"{k} ltd" for k in keys[::4]], keys + [f"{k} retired {i}" for i, k in enumerate(keys)]
+        a = spark.createDataFrame([(k,) for k in left], "k string")
+        b = spark.createDataFrame([(k, i) for i, k in enumerate(right)], "k string, pos long")
+        monkeypatch.setattr(joins, "PAIRS_A_CANDIDATE", 15)
+        assert joins._few_candidates(a, b, 88) == few
+        with monkeypatch.context() as m:
+            if not few:
+                m.setattr(joins, "_shared_tokens", lambda *_: pytest.fail("pairs as rows"))
+            found = {(r["a"], r["b"]): r["score"] for r in joins.score_keys(a, b, "token_set_ratio", 88).collect()}
+        want = {(x, y): s for x in left for y in right if (s := similarity.token_set_ratio(x, y)) >= 88}
+        assert found == pytest.approx(want, abs=1e-3) and len(want) > 50

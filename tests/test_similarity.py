@@ -102,3 +102,16 @@ def test_partial_ratio_of_ten_thousand_pairs():
     high = np.array([s.block_scores("partial_ratio", forms, a, 80) for a in asked])
     assert np.allclose(high, np.where(want >= 80, want, 0)) and (high > 0).sum() >= 2
     assert 5 * (time.process_time() - began) < slow and most < slow  # 14 and 3.6 times faster here; other work on the machine varies it
+
+
+def test_token_sets_of_common_and_rare_tokens_equal_single_pairs():
+    """Tokens and characters that most of a block has, some has and one has; empty strings and doubled tokens among them."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(rng.choice(["brand", "ring", "old", "x1", "x2", "größe", "zeta", "retired"], rng.integers(0, 6), p=[0.5, 0.1, 0.1, 0.1, 0.1, 0.04, 0.03, 0.03])) + f" {rng.integers(3000)}" * int(rng.integers(2))
+    texts = [text() for _ in range(300)]
+    forms = s.Forms(texts)
+    for least in (0, 60, 88, 100):
+        for a in [text() for _ in range(25)]:
+            got = s.block_scores("token_set_ratio", forms, a, least)
+            want = np.array([s.token_set_ratio(a, t) for t in texts])
+            assert np.allclose(got, np.where(want >= least, want, 0))
