@@ -89,11 +89,24 @@ def _keys(df: DataFrame, field: str, tiers: Sequence[str], norm: Norm) -> DataFr
     return df.withColumn("__key", F.explode(F.array(*built))).withColumns({"__tier": F.col("__key.n"), "__k": F.col("__key.k")}).drop("__key")
 
 
-def _first_tier(df: DataFrame, key: str) -> DataFrame:
-    """Each key's rows of its first tier. The tiers are aggregated and joined back, so that no key's rows, nor those without one,
-    gather in a task."""
-    best = df.groupBy(column(key).alias("__bk")).agg(F.min("__tier").alias("__best"))
-    return df.join(best, column(key).eqNullSafe(F.col("__bk")) & (F.col("__tier") == F.col("__best"))).drop("__best", "__bk")
+def _of_first_tier(a: DataFrame, met: DataFrame, key: str) -> DataFrame:
+    """Of the sources' rows (one a tier) those of each key's first tier that has a match; met are the rows with one. Tiers are aggregated and
+    joined back before the join with the destinations, so that matches are neither shuffled nor made for tiers that aren't
+    wanted, and no key's rows, nor those without one, gather in a task."""
+    best = met.groupBy(column(key).alias("__bk")).agg(F.min("__tier").alias("__best"))
+    return a.join(best, column(key).eqNullSafe(F.col("__bk")) & (F.col("__tier") == F.col("__best"))).drop("__best", "__bk")
+
+
+def _present(b: DataFrame, own: str | None) -> DataFrame:
+    """A row for each (tier, key) of the destinations; where a source must not meet itself, with the least and largest of their records."""
+    records = [F.min(column(own).cast("string")).alias("__own_lo"), F.max(column(own).cast("string")).alias("__own_hi")] if own else []
+    return b.groupBy("__tier_d", "__k_d").agg(F.lit(1).alias("__one"), *records).drop("__one")
+
+
+def _another(exclude_self: str):
+    """Whether a source has a destination of another record: the least or the largest is one."""
+    own = column(exclude_self).cast("string")
+    return (F.col("__own_lo") != own) | (F.col("__own_hi") != own)
 
 
 def _firsts(b: DataFrame, order: list, own: str | None) -> DataFrame:
@@ -139,12 +152,17 @@ def exact(
     b = b.withColumnsRenamed({"__tier": "__tier_d", "__k": "__k_d"})
     order = _order(tie, names.get(tie.column) if tie else None)
     own = names.get(exclude_self) if exclude_self else None
+    same = (F.col("__tier") == F.col("__tier_d")) & (F.col("__k") == F.col("__k_d"))
     if mode != "all_matches":
         b = _firsts(b, order, own)
-    out = a.join(b, (F.col("__tier") == F.col("__tier_d")) & (F.col("__k") == F.col("__k_d"))).drop("__tier_d", "__k_d", "__k")
+    else:
+        met = a.join(_present(b, own), same)
+        a = _of_first_tier(a, met.where(_another(exclude_self)) if own else met, key)
+    out = a.join(b, same).drop("__tier_d", "__k_d", "__k")
     if own:
         out = out.where(column(exclude_self).cast("string") != column(own).cast("string"))
-    out = _first_tier(out, key) if mode == "all_matches" else _top(out, key, [F.col("__tier"), *order, F.col(POS)])
+    if mode != "all_matches":
+        out = _top(out, key, [F.col("__tier"), *order, F.col(POS)])
     return _named(out, tiers).drop("__tier")
 
 
@@ -368,13 +386,19 @@ def fuzzy(
         part = score_keys(ka, kb, scorer, threshold, best_only).withColumn("__t", F.lit(i))
         found = part if found is None else found.unionByName(part)
     b = b.withColumnsRenamed({"__tier": "__tier_d", "__k": "__k_d"})
-    out = a.join(found, (F.col("__tier") == F.col("__t")) & (F.col("__k") == F.col("a"))).drop("__t", "a", "__k")
+    scored = (F.col("__tier") == F.col("__t")) & (F.col("__k") == F.col("a"))
+    same = (F.col("__tier") == F.col("__tier_d")) & (F.col("b") == F.col("__k_d"))
     order, own = _order(tie, tied), names.get(exclude_self) if exclude_self else None
     if mode != "all_matches":
         b = _firsts(b, order, own)  # equal keys have equal scores
-    out = out.join(b, (F.col("__tier") == F.col("__tier_d")) & (F.col("b") == F.col("__k_d"))).drop("__tier_d", "__k_d", "b")
+    elif own:
+        a = _of_first_tier(a, a.join(found, scored).join(_present(b, own), same).where(_another(exclude_self)), key)
+    else:
+        a = _of_first_tier(a, a.join(found.select("__t", "a").distinct(), scored), key)
+    out = a.join(found, scored).drop("__t", "a", "__k").join(b, same).drop("__tier_d", "__k_d", "b")
     out = out.withColumnRenamed("score", "name_score")
     if own:
         out = out.where(column(exclude_self).cast("string") != column(own).cast("string"))
-    out = _first_tier(out, key) if mode == "all_matches" else _top(out, key, [F.col("__tier"), F.col("name_score").desc(), *order, F.col(POS)])
+    if mode != "all_matches":
+        out = _top(out, key, [F.col("__tier"), F.col("name_score").desc(), *order, F.col(POS)])
     return _named(out, tiers).drop("__tier")

@@ -1,6 +1,7 @@
 import pytest
 
 from matchloom.functions import similarity
+from matchloom.functions.text import tier_value as text_of
 from matchloom.operators import joins
 from matchloom.operators.joins import POS, Norm, TieBreaker
 
@@ -133,3 +134,34 @@ def test_keys_of_few_words_meet_in_blocks_and_keys_of_rare_words_by_the_index(sp
             found = {(r["a"], r["b"]): r["score"] for r in joins.score_keys(a, b, "token_set_ratio", 88).collect()}
         want = {(x, y): s for x in left for y in right if (s := similarity.token_set_ratio(x, y)) >= 88}
         assert found == pytest.approx(want, abs=1e-3) and len(want) > 50
+
+
+def _all_of_first_tier(src, dst, own):
+    """By rows: every match of the first tier in which some row of the key has one."""
+    forms = lambda x: (x, text_of("clean", x, None, None)) if x is not None else (None, None)
+    hits = [(key, t, did, pos) for key, name, rec, pos in src for did, other, drec in dst for t in (0, 1) if forms(name)[t] is not None and forms(name)[t] == forms(other)[t] and (not own or None not in (rec, drec) and rec != drec)]
+    first = {}
+    for key, t, *_ in hits:
+        first[key] = min(t, first.get(key, t))
+    return sorted((str(key), did, pos) for key, t, did, pos in hits if t == first[key])
+
+
+@pytest.mark.parametrize("own", [None, "rec"])
+@pytest.mark.parametrize("join", ["exact", "fuzzy"])
+def test_the_first_tier_is_found_before_destinations_are_joined(spark, join, own):
+    names = ["Acme Inc", "acme inc", "ACME, INC.", None, "", "Beta-Gamma", "beta gamma", "Zeta"]
+    src = [(None if i % 7 == 0 else f"v{i % 9}", names[i % 8], None if i % 5 == 0 else f"r{i % 4}", i) for i in range(40)]
+    dst = [(f"d{i}", names[(3 * i) % 8], None if i % 6 == 0 else f"r{i % 3}") for i in range(30)]
+    if join == "fuzzy":  # in which null names are empty
+        src, dst = [(k, n or "", r, i) for k, n, r, i in src], [(d, n or "", r) for d, n, r in dst]
+    a = spark.createDataFrame(src, f"id string, name string, rec string, {POS} long")
+    b = spark.createDataFrame([(*x, i) for i, x in enumerate(dst)], f"did string, name string, rec string, {POS} long")
+    more = {"exclude_self": own} if own else {}
+    made = joins.exact(a, b, "name", "name", key="id", mode="all_matches", **more) if join == "exact" else joins.fuzzy(a, b, "name", "name", threshold=100, key="id", mode="all_matches", **more)
+    want = _all_of_first_tier(src, dst, own)
+    assert sorted((str(r["id"]), r["did"], r[POS]) for r in made.collect()) == want and len(want) > 50
+    lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    top = next(i for i, x in enumerate(lines) if "Join" in x)
+    at = lines[top].index("Join")
+    right = next(i for i, x in enumerate(lines) if i > top and x[at : at + 3] == "+- ")
+    assert not any("Join" in x for x in lines[right:]), "matches are joined with no aggregate of matches"
