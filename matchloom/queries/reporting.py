@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zipfile
 from pathlib import Path
 
 import yaml
@@ -49,8 +50,7 @@ def report_formats(spark, d):
     """A result in three formats at once, under its output's columns."""
     _, made = _run(spark, d, output={"format": ["csv", "parquet", "xlsx"], "columns": _COLUMNS})
     at = {p.suffix[1:]: p for p in made}
-    sheet = next(iter(xlsx.read(at["xlsx"]).values()))  # as many rows as a sheet holds
-    frames_ = {"csv": files.load(spark, {"file": str(at["csv"])}), "parquet": spark.read.parquet(str(at["parquet"])), "xlsx": spark.createDataFrame(sheet[1:], ", ".join(f"`{c}` string" for c in sheet[0]))}
+    frames_ = {"csv": files.load(spark, {"file": str(at["csv"])}), "parquet": spark.read.parquet(str(at["parquet"])), "xlsx": frames.read_table(spark, at["xlsx"], "Data")}
     out = [df.select(F.lit(f).alias("format"), F.col("Record").alias("record"), "dest_id", "match_step") for f, df in frames_.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -68,8 +68,9 @@ def report_workbook(spark, d):
     shared = files.own_folder(Path(files.shared_folder(spark).removeprefix("file:")), "listed")
     frames.write(migrated(spark, d).where("amount = '50'").select(F.lit("raw").alias("step"), F.col("record_key").alias("record")), shared / "out.csv", "csv")
     folder, made = _run(spark, d, exclusions={"file": str(shared / "out.csv"), "id_column": "record"}, output={"format": "xlsx", "summary": ["xlsx"], "matched_unmatched": ["separate"]})
-    book = xlsx.read(next(p for p in made if p.exists() and p.read_bytes()[:2] == b"PK"))
-    rows = [(tab, len(book[tab]) - 1) for tab in ("Matched", "Analysis", "Exclusions")]
+    file = next(p for p in made if p.exists() and zipfile.is_zipfile(p))
+    rows = [(tab, frames.read_table(spark, file, tab).count()) for tab in ("Matched", "Analysis", "Exclusions")]
+    book = {tab: list(xlsx.rows(file, tab)) for tab in ("Summary", "Recipe")}
     figures = {r[0]: r[1] for r in book["Summary"] if len(r) > 1 and isinstance(r[0], str)}
     rows += [("summary: total", int(figures["Source records"])), ("summary: matched", int(figures["Matched"])), ("summary: unmatched", int(figures["Unmatched"]))]
     head = next(i for i, r in enumerate(book["Summary"]) if r and r[0] == summary.STEP_HEADER[0])
@@ -124,7 +125,7 @@ def profile_workbook(spark, d):
     code = "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'n' || CAST(c_nationkey % 7 AS STRING) END AS code"
     read(spark, d, "customer").selectExpr("c_name AS name", "c_mktsegment AS segment", code).write.parquet(str(folder / "c.parquet"))
     to = cli.analyze(spark, str(folder / "c.parquet"), "name,segment,code", "xlsx", str(folder / "signals.xlsx"))
-    head, *rows = xlsx.read(to)["Summary"]
+    head, *rows = xlsx.rows(to, "Summary")
     at = [head.index(c) for c in ("column", "total_rows", "null_count", "unique_count")]
     return spark.createDataFrame([(r[at[0]], *(int(r[k]) for k in at[1:])) for r in rows], "col string, total long, nulls long, uniques long")
 

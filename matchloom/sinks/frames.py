@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import json
 import uuid
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark import SparkContext
 from pyspark.errors import UnsupportedOperationException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.output import computed_names, flatten, map_columns
 from ..operators.resolve import public
+from ..sources import files
+from . import xlsx
 from .xlsx import Workbook
 
 
@@ -95,17 +103,118 @@ def write(df: DataFrame, path: str | Path, fmt: str, single: bool = True) -> Non
         (_single_file if single else _write)(df, to, fmt)
     elif fmt == "xlsx":
         with Workbook(path) as book:
-            book.sheet("Data", rows_of(df), band=True)
+            table(book, "Data", df)
     else:
         raise ValueError(f"unknown output format {fmt!r}")
 
 
-def rows_of(df: DataFrame):
-    """Header, then the rows, a partition at a time."""
-    df = flatten(public(df))
-    yield df.columns
-    for r in df.toLocalIterator():
-        yield [v if v is None or isinstance(v, bool | int | float | str) else str(v) for v in r]
+#: Rows of a sheet in a piece that a task writes.
+PIECE_ROWS = 20_000
+
+
+def table(book: Workbook, name: str, df: DataFrame, widths: Sequence[float] = (), marks: Mapping[int, Callable[[Any], int | None]] | None = None) -> None:
+    """A frame as a sheet, in its order, and as further ones where it has more rows than a sheet holds. Its rows are written to the shared
+    folder, where each knows its number by its file and its place in it; tasks make them XML, in compressed pieces; the driver
+    copies the pieces into the archive, a buffer at a time, and sees no row."""
+    spark, df = df.sparkSession, flatten(public(df))
+    where, folder = pa.fs.FileSystem.from_uri(files._uri(f"{files.shared_folder(spark)}/sheet-{uuid.uuid4().hex}"))
+    base, head, most = f"{files.shared_folder(spark)}/{folder.rpartition('/')[2]}", df.columns, xlsx.MAX_ROWS - 1
+    try:
+        df.toDF(*[f"c{i}" for i in range(len(head))]).write.parquet(f"{base}/rows")
+        where.create_dir(f"{folder}/pieces", recursive=True)
+        held = spark.read.parquet(f"{base}/rows")
+        at = held.metadataColumn("_metadata")
+        held = held.select(at["file_name"].alias("__file"), at["row_index"].alias("__row"), *held.columns)
+        before = _before(held)
+        made = held.rdd.mapPartitions(lambda rows: _pieces(rows, before, f"{files._uri(base)}/pieces", most, dict(marks or {}), PIECE_ROWS))
+        found = sorted(made.collect())  # a row for each piece
+        for k in range(max((x[0] for x in found), default=0) + 1):
+            own = [x for x in found if x[0] == k]
+            book.rendered(name, head, _unpacked(where, f"{folder}/pieces", own), _long(where, f"{folder}/pieces", own), widths, sum(x[3] for x in own))
+    finally:
+        if where.get_file_info(folder).type != pa.fs.FileType.NotFound:
+            where.delete_dir(folder)
+
+
+def _before(held: DataFrame) -> dict[str, int]:
+    """The rows before each file's, whose names are in the order of the frame's partitions."""
+    out, n = {}, 0
+    for r in sorted(held.groupBy("__file").count().collect()):
+        out[r["__file"]] = n
+        n += r["count"]
+    return out
+
+
+def _pieces(rows: Iterable[Row], before: Mapping[str, int], folder: str, most: int, marks: Mapping[int, Callable], size: int) -> Iterator[tuple[int, int, str, int, bool]]:
+    """(sheet, number in it, file, bytes, whether some cells are too long) of each piece of consecutive rows."""
+    where, at = pa.fs.FileSystem.from_uri(folder)
+    numbered = ((before[r[0]] + r[1], r[2:]) for r in rows)
+    # A piece goes on while numbers do, up to a fixed number of rows, in one sheet.
+    for (_, sheet, _), group in itertools.groupby(numbered, _run_of(most, size)):
+        file, first, n, long = uuid.uuid4().hex, None, 0, []
+        with where.open_output_stream(f"{at}/{file}.xml", compression=None) as out:
+            pack = zlib.compressobj(1)
+            for pos, row in group:
+                first = pos % most if first is None else first
+                shown = [v if v is None or isinstance(v, bool | int | float | str) else str(v) for v in row]
+                xml, more = xlsx.row_xml(pos % most + 2, shown, 1, True, marks)
+                data = xml.encode()
+                n += len(data)
+                out.write(pack.compress(data))
+                long += more
+            out.write(pack.flush())
+        if long:
+            with where.open_output_stream(f"{at}/{file}.long", compression=None) as out:
+                for x in long:
+                    out.write((json.dumps(x) + "\n").encode())
+        yield sheet, first, file, n, bool(long)
+
+
+def _run_of(most: int, size: int) -> Callable[[tuple[int, Any]], tuple[int, int, int]]:
+    """A key for groups of neighbours: consecutive numbers, sheet, fixed stretch of the sheet."""
+    state = {"last": None, "run": 0}
+
+    def key(x: tuple[int, Any]) -> tuple[int, int, int]:
+        if state["last"] is not None and x[0] != state["last"] + 1:
+            state["run"] += 1
+        state["last"] = x[0]
+        return state["run"], x[0] // most, x[0] % most // size
+
+    return key
+
+
+def _unpacked(where: pa.fs.FileSystem, folder: str, pieces: Sequence[tuple]) -> Iterator[bytes]:
+    for _, _, file, *_ in pieces:
+        with where.open_input_stream(f"{folder}/{file}.xml", compression=None) as f:
+            unpack = zlib.decompressobj()
+            while data := f.read(1 << 18):
+                yield unpack.decompress(data)
+            yield unpack.flush()
+
+
+def _long(where: pa.fs.FileSystem, folder: str, pieces: Sequence[tuple]) -> Iterator[list[Any]]:
+    for _, _, file, _, some in pieces:
+        if some:
+            with where.open_input_stream(f"{folder}/{file}.long", compression=None) as f:
+                yield from map(json.loads, io.TextIOWrapper(io.BufferedReader(f), encoding="utf-8"))
+
+
+def read_table(spark: SparkSession, path: str | Path, name: str) -> DataFrame:
+    """A table of a workbook in a folder that all executors see, as text: a task streams a sheet, as many rows as one holds."""
+    parts, head = xlsx.parts_of(path, name), next(xlsx.rows(path, name))
+    schema = pa.schema([(f"c{i}", pa.string()) for i in range(len(head))])
+    text = lambda v: v if v is None or isinstance(v, str) else str(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rows = itertools.islice(xlsx.rows(path, parts[k]), 1, None)
+                while got := list(itertools.islice(rows, PIECE_ROWS)):
+                    columns = zip(*[[text(v) for v in r] + [None] * (len(head) - len(r)) for r in got])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
+
+    kinds = ", ".join(f"c{i} string" for i in range(len(head)))
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, kinds).toDF(*head)
 
 
 def formats(output: Mapping[str, Any], default: str = "xlsx") -> list[str]:

@@ -223,7 +223,7 @@ def report(
     path: str | Path, matched: DataFrame, unmatched: DataFrame | None, recipe: Mapping[str, Any], stats: Mapping[str, Any], output: Mapping[str, Any] | None = None,
     seconds: Mapping[str, float] | None = None, recipe_file: str | None = None, base_dir: str = ".", merged: DataFrame | None = None,
 ) -> None:
-    """Summary, Matched (or Merged), Analysis, Recipe and a tab for each sidecar file. Rows stream, a partition at a time."""
+    """Summary, Matched (or Merged), Analysis, Recipe and a tab for each sidecar file. Tasks write the rows, sidecar files stream."""
     output = (recipe.get("output") or {}) if output is None else output
     verdict = {"higher": BAD, "lower": GOOD}.get  # higher is worse
     names = [c["output"] for c in output.get("compare_columns") or []]
@@ -233,10 +233,10 @@ def report(
         heads = {(e.get("header") or e.get("field")): e.get("field") for e in (output.get("columns") or {}).get("matched") or []}
         marks = {i: verdict for i, c in enumerate(shown.columns) if heads.get(c, c) in names}
         marks |= {i: band for i, c in enumerate(shown.columns) if heads.get(c, c) in ("name_score", "addr_score")}
-        book.sheet("Merged" if merged is not None else "Matched", frames.rows_of(shown), widths=[20] * len(shown.columns), band=True, marks=marks)
+        frames.table(book, "Merged" if merged is not None else "Matched", shown, [20] * len(shown.columns), marks)
         if unmatched is not None:
             rest = frames.unmatched_export(public(unmatched), output)
-            book.sheet("Analysis", frames.rows_of(rest), widths=[20] * len(rest.columns), band=True)
+            frames.table(book, "Analysis", rest, [20] * len(rest.columns))
         book.sheet("Recipe", ([x] for x in echo(recipe).splitlines()), widths=[100], header=0)
         for tab, keys in SIDECARS.items():
             if (rows := sidecar_rows(recipe, keys, base_dir)) is not None:
