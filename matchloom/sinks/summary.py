@@ -168,7 +168,7 @@ def markdown(recipe: Mapping[str, Any], stats: Mapping[str, Any], seconds: Mappi
 SIDECARS = {"Exclusions": ("exclusions",), "Stopwords": ("normalization", "stopwords"), "Aliases": ("normalization", "aliases"), "Groups": ("output", "groups", "file")}
 
 
-def sidecar_rows(recipe: Mapping[str, Any], keys: Sequence[str], base_dir: str = ".") -> list[list[Any]] | None:
+def sidecar_rows(recipe: Mapping[str, Any], keys: Sequence[str], base_dir: str = ".") -> Iterator[list[Any]] | None:
     """The lines of a sidecar file as they stand, or None if there is no such file."""
     value: Any = recipe
     for k in keys:
@@ -180,8 +180,13 @@ def sidecar_rows(recipe: Mapping[str, Any], keys: Sequence[str], base_dir: str =
     path = next((p for p in (Path(value), Path(base_dir, value)) if p.is_file()), None)
     if path is None:
         return None
-    text = path.read_text(encoding="utf-8-sig")
-    return list(csv.reader(text.splitlines())) if path.suffix.lower() == ".csv" else [[x] for x in text.splitlines()]
+    return csv.reader(_lines(path)) if path.suffix.lower() == ".csv" else ([x] for x in _lines(path))
+
+
+def _lines(path: Path) -> Iterator[str]:
+    with path.open(encoding="utf-8-sig") as f:
+        for line in f:
+            yield from line.splitlines()
 
 
 def _summary_rows(recipe: Mapping[str, Any], stats: Mapping[str, Any], seconds: Mapping[str, float] | None, recipe_file: str | None) -> Iterator[list[Any]]:
