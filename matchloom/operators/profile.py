@@ -53,10 +53,12 @@ def top_tokens(toks: DataFrame, n: int | None = 50) -> DataFrame:
 
 
 def ngrams(df: DataFrame, name: str, size: int, tier: str = "raw", n: int | None = 50) -> DataFrame:
-    """(ngram, count): built inside the row, so nothing is shuffled but the counts."""
+    """(ngram, count): rows are their places, and a place's words are joined in generated code, which functions of arrays are not; nothing is
+    shuffled but the counts."""
     rows = df.select(tokens(column(name), tier).alias("t")).where(F.size("t") >= size)
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.array_join(F.slice("t", i, F.lit(size)), " "))
-    return _top(rows.select(F.explode(grams).alias("ngram")).groupBy("ngram").count(), n, "ngram")
+    places = rows.select("t", F.explode(F.sequence(F.lit(0), F.size("t") - size)).alias("i"))
+    gram = F.concat_ws(" ", *[F.get("t", F.col("i") + k) for k in range(size)])
+    return _top(places.select(gram.alias("ngram")).groupBy("ngram").count(), n, "ngram")
 
 
 def singletons(toks: DataFrame, n: int | None = 50) -> DataFrame:
