@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts, similarity
 from ..functions.text import column, strip, tier_value, tokens
+from ..sources.files import spread
 from .joins import POS, with_position
 
 # What the kinds of columns are told by.
@@ -252,12 +253,15 @@ def analyze_column(df: DataFrame, toks: DataFrame, name: str, kind: str | None =
 
 def analyze(df: DataFrame, columns: Sequence[str], kinds: dict[str, str] | None = None) -> dict[str, Any]:
     """The whole report; the token table is kept for its many readers."""
-    df = with_position(df)
+    # Rows keep their positions when a small file in one split is dealt out to all tasks.
+    df = spread(with_position(df)).persist()
     toks = token_table(df, columns).persist()
     try:
         found = {c: analyze_column(df, toks, c, (kinds or {}).get(c)) for c in columns}
+        quality_rows = _rows(quality(df, columns))
     finally:
         toks.unpersist()
+        df.unpersist()
     stop: dict[str, set[str]] = {}
     aliases: dict[str, str] = {}
     for a in found.values():
@@ -266,4 +270,4 @@ def analyze(df: DataFrame, columns: Sequence[str], kinds: dict[str, str] | None
             for v in x["variants"]:
                 if (short := tier_value("clean", v["raw"])) != x["canonical"]:
                     aliases[short] = x["canonical"]
-    return {"data_quality": _rows(quality(df, columns)), "columns": found, "aggregated_stopwords": {k: sorted(v) for k, v in stop.items()}, "aggregated_aliases": aliases}
+    return {"data_quality": quality_rows, "columns": found, "aggregated_stopwords": {k: sorted(v) for k, v in stop.items()}, "aggregated_aliases": aliases}
